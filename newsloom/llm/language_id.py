@@ -142,12 +142,14 @@ class Parser:
 
     def __init__(self, model: Model, segment: int):
         self.model, self.segment = model, segment
-        n = len(model.languages)
-        joined = np.concatenate([np.where(t >= 0, t + s, -1) for t, s in zip(model.tables, model.starts, strict=True)]) if n else np.zeros((0, model.alphabet), np.int32)
-        self.moves = (joined.astype(np.int64) * model.alphabet).clip(min=-1).astype(np.int32).ravel() if n else joined.ravel()
-        self.roots = (model.starts * model.alphabet).astype(np.int32)[:, None]
-        first = self.moves[self.roots + np.arange(model.alphabet)] if n else np.zeros((0, model.alphabet), np.int32)
-        self.restart = np.where(first < 0, self.roots, first)  # the state of a phrase that starts with a symbol
+        # One more state, which has no transitions: there a symbol leads that the training text never has.
+        tables = [np.where(t >= 0, (t + s) * model.alphabet, -1) for t, s in zip(model.tables, model.starts, strict=True)]
+        self.moves = np.concatenate([*tables, np.full((1, model.alphabet), -1)]).astype(np.int32).ravel()
+        dead = len(self.moves) - model.alphabet
+        roots = (model.starts * model.alphabet)[:, None]
+        first = self.moves[roots + np.arange(model.alphabet)]
+        self.restart = np.where(first < 0, dead, first).astype(np.int32)  # the state of a phrase that starts with a symbol
+        self.roots = roots.astype(np.int32)
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: the number of phrases of each text against each automaton."""
