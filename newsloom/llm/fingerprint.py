@@ -119,7 +119,7 @@ def id_buckets(docs: DataFrame, rows_per_bucket: int, most_cuts: int) -> tuple[C
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * inner + inside), (len(edges) + 1) * inner + 1
 
 
-def with_next(docs: DataFrame, *, rows_per_bucket: int = 20_000, most_cuts: int = 500) -> DataFrame:
+def with_next(docs: DataFrame, *, rows_per_bucket: int = 2_000, most_cuts: int = 500) -> DataFrame:
     """doc_id, text and the text of the next row by ascending doc_id (``next_text``); the last row's next is the first.
 
     The table is dealt by ranges of doc_id and every text moves once. Only the last row of a range

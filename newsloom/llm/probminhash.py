@@ -199,25 +199,32 @@ def components(edges: DataFrame) -> DataFrame:
 def links_between(rows: DataFrame, known: DataFrame, sets: DataFrame, *, threshold: float, least_agreement: float) -> DataFrame:
     """Links (a, b) between different components of one bucket, from rows (band, node, component, n_shingles).
 
-    The whole test is the join's condition, so that only links leave the join, however many pairs a
+    The test is the join's condition, so that only near links leave the join, however many pairs a
     large bucket holds. A pair is tested in the first band that it shares. Nodes without any partner
-    of a likely signature are put aside first, and only the others bring their shingle sets.
+    of a likely signature are put aside first; the others bring their shingles as 32-bit digests, and
+    what passes on those is compared once more on the whole ones.
     """
     rows = rows.join(known.select("node", "signature", "bands"), "node")
     side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns})
-    size = (F.least("a_n_shingles", "b_n_shingles") >= F.greatest("a_n_shingles", "b_n_shingles") * threshold - 1e-9)
+    size = F.least("a_n_shingles", "b_n_shingles") >= F.greatest("a_n_shingles", "b_n_shingles") * threshold - 1e-9
     likely = (
         (F.col("a_band") == F.col("b_band"))
         & (F.col("a_component") != F.col("b_component"))
         & size  # texts whose sizes differ more cannot be that similar
         & (F.size(F.array_intersect("a_signature", "b_signature")) >= least_agreement)
     )
-    partners = side(rows, "a").join(side(rows, "b"), likely, "left_semi").select(F.col("a_node").alias("node")).distinct()
-    partners = materialise(partners)
-    full = rows.join(partners, "node", "left_semi").join(sets, "node")
+    partners = materialise(side(rows, "a").join(side(rows, "b"), likely, "left_semi").select(F.col("a_node").alias("node")).distinct())
+    short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
+    full = rows.join(partners, "node", "left_semi").join(short, "node")
+    # One component of each bucket need not be compared with itself: only the rest stands on the left.
+    members = rows.join(partners, "node", "left_semi").groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = members.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    full = full.join(largest, "band").withColumn("rest", F.col("component") != F.col("largest")).drop("largest")
     first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_band")
-    test = likely & (F.col("a_node") < F.col("b_node")) & first & similar(F.col("a_shingles"), F.col("b_shingles"), threshold)
-    return side(full, "a").join(side(full, "b"), test).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    once = ~F.col("b_rest") | (F.col("a_node") < F.col("b_node"))
+    test = likely & once & first & similar(F.col("a_shingles"), F.col("b_shingles"), threshold - 0.005)
+    found = side(full.filter("rest"), "a").join(side(full, "b"), test)
+    return linked(materialise(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))), sets, threshold)
 
 
 def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, margin: float = 0.18) -> DataFrame:
