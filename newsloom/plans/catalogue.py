@@ -227,9 +227,9 @@ def pair_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query(f"WITH {PAIR_SQL}, e AS (SELECT grp, left_id AS id, similarity FROM p UNION ALL SELECT grp, right_id, similarity FROM p) SELECT grp, id, round(round(avg(similarity), 6), 4) AS centrality FROM e GROUP BY grp, id")
+@query(f"WITH {PAIR_SQL}, e AS (SELECT grp, left_id AS id, similarity FROM p UNION ALL SELECT grp, right_id, similarity FROM p) SELECT grp, id, round(avg(similarity), 6) AS centrality FROM e GROUP BY grp, id")
 def centrality(spark, sf_dir):
-    return dossier.centrality(_pairs(spark, sf_dir), "grp").withColumn("centrality", F.round("centrality", 4))
+    return dossier.centrality(_pairs(spark, sf_dir), "grp")
 
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS p FROM documents),
