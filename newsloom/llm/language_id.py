@@ -34,11 +34,11 @@ DIGIT = 2
 
 @dataclass(frozen=True)
 class Model:
-    """languages, symbol of each code point, and per language a dense transition table and log length."""
+    """languages, symbol of each code point, the dense transitions of all automata in one table, and log lengths."""
 
     languages: list[str]
     symbols: np.ndarray  # uint8 by code point
-    tables: list[np.ndarray]  # int32 [states * alphabet], -1 where there is no transition
+    moves: np.ndarray  # int32 by state * alphabet + symbol: next state * alphabet, -1 where there is no transition
     starts: np.ndarray  # first state of each language in the joined table
     weights: np.ndarray  # log2 of each training length
     alphabet: int
@@ -69,8 +69,8 @@ def encode(text: str, symbols: np.ndarray) -> np.ndarray:
     return s[keep]
 
 
-def suffix_automaton(sequence: np.ndarray, alphabet: int) -> np.ndarray:
-    """Dense transitions of the automaton that accepts every substring of ``sequence``."""
+def suffix_automaton(sequence: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton that accepts every substring of ``sequence``."""
     moves, link, size, last = [{}], [-1], [0], 0
     for c in sequence.tolist():
         new = len(moves)
@@ -95,24 +95,31 @@ def suffix_automaton(sequence: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(moves), alphabet), -1, np.int32)
-    for i, m in enumerate(moves):
-        for c, j in m.items():
-            table[i, c] = j
-    return table
+    return moves
+
+
+def joined(automata: list[list[dict[int, int]]], starts: np.ndarray, alphabet: int) -> np.ndarray:
+    """One table of all automata, filled in place, and one more state without transitions: there a symbol
+    leads that the training text never has."""
+    table = np.full((sum(map(len, automata)) + 1, alphabet), -1, np.int32)
+    for start, automaton in zip(starts.tolist(), automata, strict=True):
+        for i, m in enumerate(automaton, start):
+            for c, j in m.items():
+                table[i, c] = (j + start) * alphabet
+    return table.ravel()
 
 
 def build(samples: dict[str, list[str]], *, letters: int = 96, chars: int = 60_000) -> Model:
     languages = sorted(samples)
     symbols, alphabet = symbol_table([t for texts in samples.values() for t in texts], letters)
-    tables, weights = [], []
+    automata, weights = [], []
     for language in languages:
         parts = [np.append(encode(t, symbols), np.uint8(BREAK)) for t in samples[language]]
         sequence = (np.concatenate(parts) if parts else np.zeros(0, np.uint8))[:chars]
-        tables.append(suffix_automaton(sequence, alphabet))
+        automata.append(suffix_automaton(sequence))
         weights.append(np.log2(max(2, len(sequence))))
-    starts = np.cumsum([0, *[len(t) for t in tables]])[:-1].astype(np.int64)
-    return Model(languages, symbols, tables, starts, np.array(weights), alphabet)
+    starts = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int64)
+    return Model(languages, symbols, joined(automata, starts, alphabet), starts, np.array(weights), alphabet)
 
 
 def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: int, seed: int) -> dict[str, list[str]]:
@@ -142,9 +149,7 @@ class Parser:
 
     def __init__(self, model: Model, segment: int):
         self.model, self.segment = model, segment
-        # One more state, which has no transitions: there a symbol leads that the training text never has.
-        tables = [np.where(t >= 0, (t + s) * model.alphabet, -1) for t, s in zip(model.tables, model.starts, strict=True)]
-        self.moves = np.concatenate([*tables, np.full((1, model.alphabet), -1)]).astype(np.int32).ravel()
+        self.moves = model.moves
         dead = len(self.moves) - model.alphabet
         roots = (model.starts * model.alphabet)[:, None]
         first = self.moves[roots + np.arange(model.alphabet)]
@@ -190,7 +195,7 @@ def decide(model: Model, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     return best, inverse[np.arange(len(best)), best] / inverse.sum(axis=1)
 
 
-def predict(docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 4_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000) -> DataFrame:
     """lang_pred and score for every row, after the columns ``carry`` of ``docs`` (all, if not given)."""
     docs = docs.select(*dict.fromkeys([*(docs.columns if carry is None else carry), "text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
