@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import constraints, corpus, dossier, gate, receipts
+from ..operators import clusters, constraints, corpus, dossier, gate, receipts
 from ..streaming import hourly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,43 @@ def stream_hourly_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     name = "hourly_" + "".join(c if c.isalnum() else "_" for c in folder)
     return hourly.run_available(spark, sf_dir, "events.parquet", schema, name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+#: The given vectors are nearly orthogonal: the defaults of the operator would find no cluster in them.
+DISTANCE = 0.6
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("source"))
+
+
+def _members(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    return vectors.join(clusters.average_linkage(vectors, DISTANCE), "id")
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_dot_product(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE 1 - list_dot_product(a.v, b.v) < {DISTANCE}""")
+def near_pairs(spark, sf_dir):
+    return clusters.near_pairs(_vectors(spark, sf_dir), DISTANCE).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def average_linkage_clusters(spark, sf_dir):
+    return _members(spark, sf_dir).select("id", "cluster")
+
+
+@query()
+def cluster_stats(spark, sf_dir):
+    return clusters.cluster_stats(_members(spark, sf_dir))
+
+
+@query()
+def cluster_summary(spark, sf_dir):
+    members = clusters.cut_lineage(_members(spark, sf_dir))
+    return clusters.run_summary(clusters.cluster_stats(members), members)
+
+
+@query()
+def nearest_outside(spark, sf_dir):
+    return clusters.nearest_outside(clusters.cut_lineage(_members(spark, sf_dir)))
