@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,6 +196,17 @@ def decide(model: Model, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     return best, inverse[np.arange(len(best)), best] / inverse.sum(axis=1)
 
 
+def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``most`` characters together; a longer row is alone."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def predict(docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000) -> DataFrame:
     """lang_pred and score for every row, after the columns ``carry`` of ``docs`` (all, if not given)."""
     docs = docs.select(*dict.fromkeys([*(docs.columns if carry is None else carry), "text"]))
@@ -207,21 +219,18 @@ def predict(docs: DataFrame, model: Model, *, carry: list[str] | None = None, se
         model = shared.value
         parser = Parser(model, segment)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            said, scores = [UND] * len(texts), np.zeros(len(texts))
-            usable = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
-            start = 0
-            while start < len(usable):
-                stop, chars = start, 0
-                while stop < len(usable) and (stop == start or chars + len(texts[usable[stop]]) <= batch_chars):
-                    chars += len(texts[usable[stop]])
-                    stop += 1
-                now = usable[start:stop]
-                sequences = [encode(texts[i], model.symbols) for i in now]
-                best, score = decide(model, parser.phrases(sequences), np.array([len(s) for s in sequences]))
-                for i, b, s in zip(now, best, score, strict=True):
-                    said[i], scores[i] = model.languages[b], s
-                start = stop
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(said), pa.array(scores)], names=[*names, "lang_pred", "score"])
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy()
+            for start, stop in blocks(sizes, batch_chars):
+                rows = batch.slice(start, stop - start)
+                texts = rows.column("text").to_pylist()
+                said, scores = [UND] * len(texts), np.zeros(len(texts))
+                usable = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
+                if usable:
+                    sequences = [encode(texts[i], model.symbols) for i in usable]
+                    best, score = decide(model, parser.phrases(sequences), np.array([len(s) for s in sequences]))
+                    scores[usable] = score
+                    for i, b in zip(usable, best, strict=True):
+                        said[i] = model.languages[b]
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(said, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, out)
