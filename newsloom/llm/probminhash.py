@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from ._common import materialise, with_row_id
 
 U64 = np.uint64
+#: Agreements that 16-bit digests of a signature's registers may lose: three or more go with chance 1e-5.
+SPARE = 2
 #: Odd multipliers of a shingle's words, by place.
 MULTIPLIERS = [U64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(64)]
 
@@ -196,28 +198,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_by(more: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after the further links (a, b): only the components that these touch are labelled anew."""
+    name = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    over = components(between).select(F.col("node").alias("component"), F.col("component").alias("_over"))
+    # A node that had no link is its own component; it is not in ``parts``.
+    nodes = parts.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
+    return nodes.join(over, "component", "left").select("node", F.coalesce("_over", "component").alias("component"))
+
+
 def links_between(rows: DataFrame, known: DataFrame, sets: DataFrame, *, threshold: float, least_agreement: float) -> DataFrame:
     """Links (a, b) between different components of one bucket, from rows (band, node, component, n_shingles).
 
     The test is the join's condition, so that only near links leave the join, however many pairs a
     large bucket holds. A pair is tested in the first band that it shares. Nodes without any partner
     of a likely signature are put aside first; the others bring their shingles as 32-bit digests, and
-    what passes on those is compared once more on the whole ones.
+    what passes on those is compared once more on the whole ones. Signatures come as 16-bit digests:
+    registers of one signature that meet in a digest count once, for which ``SPARE`` agreements are let go.
     """
-    rows = rows.join(known.select("node", "signature", "bands"), "node")
+    brief = known.select("node", "bands", F.transform("signature", lambda x: F.shiftright(x, 16).cast("smallint")).alias("signature"))
     side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns})
     size = F.least("a_n_shingles", "b_n_shingles") >= F.greatest("a_n_shingles", "b_n_shingles") * threshold - 1e-9
     likely = (
         (F.col("a_band") == F.col("b_band"))
         & (F.col("a_component") != F.col("b_component"))
         & size  # texts whose sizes differ more cannot be that similar
-        & (F.size(F.array_intersect("a_signature", "b_signature")) >= least_agreement)
+        & (F.size(F.array_intersect("a_signature", "b_signature")) >= least_agreement - SPARE)
     )
-    partners = materialise(side(rows, "a").join(side(rows, "b"), likely, "left_semi").select(F.col("a_node").alias("node")).distinct())
+    wide = rows.join(brief.drop("bands"), "node")
+    partners = side(wide, "a").join(side(wide, "b"), likely, "left_semi").select(F.col("a_node").alias("node")).distinct()
+    rows = materialise(rows.join(partners, "node", "left_semi"))
     short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
-    full = rows.join(partners, "node", "left_semi").join(short, "node")
+    full = rows.join(brief.join(short, "node"), "node")
     # One component of each bucket need not be compared with itself: only the rest stands on the left.
-    members = rows.join(partners, "node", "left_semi").groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    members = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = members.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     full = full.join(largest, "band").withColumn("rest", F.col("component") != F.col("largest")).drop("largest")
     first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_band")
@@ -236,13 +251,13 @@ def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, ban
     copies = made.groupBy("key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
     nodes = made.filter("n_shingles > 0").join(copies.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
     band = lambda i: F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows))
-    nodes = nodes.withColumn("bands", F.array(*[band(i) for i in range(bands)]))
-    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    all_bands = F.array(*[band(i) for i in range(bands)])
+    banded = nodes.select("node", "n_shingles", F.explode(all_bands).alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = materialise(banded.join(buckets, "band"))
 
     candidates = members.select("node").distinct()
-    known = nodes.join(candidates, "node", "left_semi")
+    known = materialise(nodes.join(candidates, "node", "left_semi").select("node", "doc_id", "text_hash", "signature"))
     text = F.coalesce("text", F.lit(""))
     # A text is found by its digest and doc_id; equal ones are the same text, so one is enough.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).join(
@@ -257,10 +272,11 @@ def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, ban
 
     labelled = members.join(parts, "node", "left").select("node", "n_shingles", "band", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_buckets = labelled.join(several, "band", "left_semi")
+    open_buckets = materialise(labelled.join(several, "band", "left_semi"))
+    known = known.select("node", "signature", all_bands.alias("bands"))
     more = materialise(links_between(open_buckets, known, sets, threshold=threshold, least_agreement=(threshold - margin) * registers))
     if more.limit(1).count():
-        parts = components(links.union(more))
+        parts = materialise(joined_by(more, parts))
 
     classed = copies.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = classed.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.sum("n_copies").alias("class_size"), F.min("node").alias("_any"))
