@@ -35,6 +35,31 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text, null as empty: with doc_id the identity of a row whose decision is looked up later."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def rows_kept(docs: DataFrame, judged: DataFrame, doc_id: Column) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, text_digest, kept; one row per row of ``docs``) keeps.
+
+    Rows are found again by doc_id (null is a value) and digest, as row numbers need not be the same in a
+    second run over ``docs``. Rows equal in both are one group of ``judged``: if it is kept, one of them
+    stays, the least in its other columns.
+    """
+    found = judged.groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 OR NOT kept")
+    apart = materialise(found.select(F.col("doc_id").alias("_apart_id"), F.col("text_digest").alias("_apart_digest"), "kept"))
+    digest = text_digest(F.col("text"))
+    same = doc_id.eqNullSafe(F.col("_apart_id")) & (digest == F.col("_apart_digest"))
+    single = docs.join(apart.select("_apart_id", "_apart_digest"), same, "left_anti").select(*docs.columns)
+    if not apart.filter("kept").limit(1).count():
+        return single
+    repeated = docs.join(apart.filter("kept").select("_apart_id", "_apart_digest"), same, "left_semi")
+    order = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    one = repeated.groupBy(doc_id.alias("_id"), digest.alias("_digest")).agg(F.min_by(F.struct(*docs.columns), order).alias("_kept"))
+    return single.unionByName(one.select("_kept.*"))
+
+
 def rank_in_group(rows: DataFrame, group: list[str], bucket: str, order: list[Column], rank: str, total: str) -> DataFrame:
     """0-based ``rank`` and group size ``total`` without putting a whole group into one task.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, with_row_id
+from ._common import materialise, rows_kept, text_digest, with_row_id
 
 #: Characters that do not count when texts are compared.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -33,15 +33,17 @@ def normalised(text: Column) -> Column:
 
 
 def recipes(docs: DataFrame, *, least: int = 512, most: int = 4096) -> DataFrame:
-    """One row per input row: _row, doc_id, n_chars, text_sha256 and recipe (id, size, sha of each chunk)."""
+    """One row per input row: _row, doc_id, text_digest (of the text as it is), n_chars, text_sha256 and recipe (id, size, sha of each chunk)."""
     chunks = F.regexp_extract_all(F.col("_text"), F.lit(chunk_pattern(least, most)), F.lit(0))
     return with_row_id(
         docs.select(
             "doc_id",
+            text_digest(F.col("text")).alias("text_digest"),
             F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
             normalised(F.col("text")).alias("_text"),
         ).select(
             "doc_id",
+            "text_digest",
             "n_chars",
             F.sha2("_text", 256).alias("text_sha256"),
             F.transform(
@@ -74,14 +76,12 @@ def verified_recipes(rows: DataFrame) -> DataFrame:
             F.col("recipe.id").alias("ids"),
             F.when(F.col("_failed"), proof).alias("proof"),
         ).alias("key"),
+        *[c for c in rows.columns if c == "text_digest"],
     )
 
 
-def exact_groups(docs: DataFrame, *, least: int = 512, most: int = 4096) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
-
-    Of equal texts the row with the most code points stays, then the smallest doc_id.
-    """
+def judged_rows(docs: DataFrame, *, least: int = 512, most: int = 4096) -> DataFrame:
+    """The columns of ``exact_groups`` and text_digest."""
     rows = verified_recipes(materialise(recipes(docs, least=least, most=most)))
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row").alias("row")))
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).filter("n > 1")
@@ -92,15 +92,18 @@ def exact_groups(docs: DataFrame, *, least: int = 512, most: int = 4096) -> Data
         F.coalesce(F.col("best.row") == F.col("_row"), F.lit(True)).alias("kept"),
         "text_sha256",
         "n_chunks",
+        "text_digest",
     )
 
 
-def deduplicate(docs: DataFrame, **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def exact_groups(docs: DataFrame, **sizes: int) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
-    A dropped row is found by doc_id, so ids must be unique and not null here; rows whose id is null
-    or repeated are all kept.
+    Of equal texts the row with the most code points stays, then the smallest doc_id.
     """
-    gone = exact_groups(docs, **sizes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
-    gone = gone.filter("n = 1 and not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return judged_rows(docs, **sizes).drop("text_digest")
+
+
+def deduplicate(docs: DataFrame, **sizes: int) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all their columns; ids may repeat or be null."""
+    return rows_kept(docs, judged_rows(docs, **sizes).select("doc_id", "text_digest", "kept"), F.col("doc_id"))

@@ -14,7 +14,7 @@ register (early termination). Two texts agree in a register with the probability
    no pair but a link leaves the join.
 4. A comparison is exact: Jaccard similarity of the sets of shingle digests (64 bits), 0.8 or more.
 
-Classes are the connected components; a class keeps its smallest doc_id.
+Classes are the connected components; a class keeps one row of its smallest doc_id.
 
 Defined results: null text is empty; texts without a word are equal only if they are identical, and
 are near to nothing; a text of fewer than five words has one shingle, all its words; a null doc_id
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, with_row_id
+from ._common import materialise, rows_kept, text_digest, with_row_id
 
 U64 = np.uint64
 #: Agreements that 16-bit digests of a signature's registers may lose: three or more go with chance 1e-5.
@@ -127,7 +127,7 @@ def blocks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int = 2_000_000) -> DataFrame:
-    """doc_id, text_hash, key, n_shingles, signature of every row."""
+    """doc_id, text_digest, key, n_shingles, signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -138,13 +138,13 @@ def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int =
                 rows = batch.slice(start, stop - start)
                 ends = np.arange(0, signature.size + 1, registers, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("text_hash"), pa.array(keys), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
-                    names=["doc_id", "text_hash", "key", "n_shingles", "signature"],
+                    [rows.column("doc_id"), rows.column("text_digest"), pa.array(keys), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
+                    names=["doc_id", "text_digest", "key", "n_shingles", "signature"],
                 )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
-        run, "doc_id long, text_hash long, key string, n_shingles int, signature array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).mapInArrow(
+        run, "doc_id long, text_digest binary, key string, n_shingles int, signature array<int>"
     )
 
 
@@ -242,13 +242,13 @@ def links_between(rows: DataFrame, known: DataFrame, sets: DataFrame, *, thresho
     return linked(materialise(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))), sets, threshold)
 
 
-def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, margin: float = 0.18) -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of the class), class_size, kept, copy_id
-    (least doc_id of its equal texts), n_copies, n_shingles.
-    """
+def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, margin: float = 0.18) -> DataFrame:
+    """The columns of ``near_classes`` and text_digest."""
     registers = bands * rows
     made = materialise(with_row_id(sketches(docs, width=width, registers=registers)))
-    copies = made.groupBy("key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
+    copies = made.groupBy("key").agg(
+        F.min("_row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n_copies")
+    )
     nodes = made.filter("n_shingles > 0").join(copies.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
     band = lambda i: F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows))
     all_bands = F.array(*[band(i) for i in range(bands)])
@@ -257,11 +257,11 @@ def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, ban
     members = materialise(banded.join(buckets, "band"))
 
     candidates = members.select("node").distinct()
-    known = materialise(nodes.join(candidates, "node", "left_semi").select("node", "doc_id", "text_hash", "signature"))
+    known = materialise(nodes.join(candidates, "node", "left_semi").select("node", "doc_id", "text_digest", "signature"))
     text = F.coalesce("text", F.lit(""))
     # A text is found by its digest and doc_id; equal ones are the same text, so one is enough.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).join(
-        known.select("doc_id", "text_hash", "node").withColumnRenamed("doc_id", "_id"), "text_hash"
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(
+        known.select("doc_id", "text_digest", "node").withColumnRenamed("doc_id", "_id"), "text_digest"
     )
     texts = found.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     sets = materialise(shingle_sets(texts, width=width).groupBy("node").agg(F.first("shingles").alias("shingles")))
@@ -279,22 +279,31 @@ def near_classes(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, ban
         parts = materialise(joined_by(more, parts))
 
     classed = copies.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = classed.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.sum("n_copies").alias("class_size"), F.min("node").alias("_any"))
-    by_key = classed.join(classes, "component").select("key", "node", "component", "class_id", "class_size", "copy_id", "n_copies", "_any")
-    joined = made.select("doc_id", "key", "n_shingles", "_row").join(by_key, "key")
+    classes = classed.groupBy("component").agg(F.min("best").alias("first"), F.sum("n_copies").alias("class_size"))
+    by_key = classed.join(classes, "component").select(
+        "key", F.col("first.doc_id").alias("class_id"), F.col("first._row").alias("_kept"), "class_size", F.col("best.doc_id").alias("copy_id"), "n_copies"
+    )
+    joined = made.select("doc_id", "key", "n_shingles", "_row", "text_digest").join(by_key, "key")
     return joined.select(
         "doc_id",
         "class_id",
         "class_size",
-        # The row with the class's least id; among rows without any id the class's least node.
-        F.when(F.col("class_id").isNull(), F.col("_row") == F.col("_any")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept"),
+        (F.col("_row") == F.col("_kept")).alias("kept"),
         "copy_id",
         "n_copies",
         "n_shingles",
+        "text_digest",
     )
 
 
+def near_classes(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per input row: doc_id, class_id (least doc_id of the class), class_size, kept (true for the
+    first row of class_id), copy_id (least doc_id of its equal texts), n_copies, n_shingles.
+    """
+    return judged_rows(docs, **parameters).drop("text_digest")
+
+
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class. doc_id should be unique; null ids all stay."""
-    gone = near_classes(docs, **parameters).filter("doc_id IS NOT NULL AND NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each class; ids may repeat or be null."""
+    judged = judged_rows(docs, **parameters).select("doc_id", "text_digest", "kept")
+    return rows_kept(docs, judged, F.col("doc_id").cast("long"))
