@@ -14,16 +14,46 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def group_pairs(vectors: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """Similarity of all pairs inside a cluster: clusters are small by the rules that make them."""
-    left, right = (vectors.select(F.col(group), F.col(key).alias(f"{s}_id"), F.col(vector).alias(f"{s}_v")) for s in ("left", "right"))
-    return left.join(right, group).filter("left_id < right_id").select(group, "left_id", "right_id", F.round(similarity(F.col("left_v"), F.col("right_v")), 6).alias("similarity"))
+def group_pairs(vectors: DataFrame, group: str, key: str, vector: str, *, rows_per_block: int = 500) -> DataFrame:
+    """Similarity of all pairs inside a cluster.
 
+    The members of a large cluster are dealt to blocks by digest and meet by pairs of blocks, so no join
+    key has more than about ``rows_per_block`` rows on a side; the pairs themselves are all there.
+    """
+    rows = vectors.select(F.col(group), F.col(key).alias("_id"), F.col(vector).alias("_v"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    a = dealt.select(group, F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"), F.col("_id").alias("_a"), F.col("_v").alias("_av"))
+    b = dealt.select(group, F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_i"), F.col("_block").alias("_j"), F.col("_id").alias("_b"), F.col("_v").alias("_bv"))
+    met = a.join(b, [group, "_i", "_j"]).filter("_a <> _b AND (_i < _j OR _a < _b)")
+    return met.select(group, F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), F.round(similarity(F.col("_av"), F.col("_bv")), 6).alias("similarity"))
 
-def centrality(pairs: DataFrame, group: str) -> DataFrame:
-    """Mean similarity of each member to the others; both ends by a union, not by an OR join."""
+
+def lone_centrality(size: Column) -> Column:
+    """Centrality of a member without a pair: 1.0 for a cluster's only article, else 0.0."""
+    return F.when(size == 1, 1.0).otherwise(0.0)
+
+
+def centrality(pairs: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """Mean similarity of each of ``members`` (group, id) to the others, from their pairs; both ends by a
+    union, not by an OR join."""
     ends = pairs.select(group, F.col("left_id").alias("id"), "similarity").unionByName(pairs.select(group, F.col("right_id").alias("id"), "similarity"))
-    return ends.groupBy(group, "id").agg(F.round(F.avg("similarity"), 6).alias("centrality"))
+    means = ends.groupBy(group, "id").agg(F.round(F.avg("similarity"), 6).alias("_mean"))
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    every = members.select(group, "id").join(sizes, group).join(means, [group, "id"], "left")
+    return every.select(group, "id", F.coalesce("_mean", lone_centrality(F.col("_n"))).alias("centrality"))
+
+
+def cluster_centrality(members: DataFrame) -> DataFrame:
+    """Mean similarity of every row of ``members`` (id, cluster, v) to the others of its cluster, without
+    pairs: the inner product with the cluster's vector sum, less the row's own share."""
+    parts = members.select("cluster", F.posexplode("v").alias("_at", "_x")).groupBy("cluster", "_at").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
+    sums = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias("_s"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.count("v").alias("_vectors"))
+    others = similarity(F.col("v"), F.col("_s")) - similarity(F.col("v"), F.col("v"))
+    mean = F.round(F.try_divide(others, F.col("_vectors") - 1), 6)
+    every = members.join(sizes, "cluster").join(sums, "cluster", "left")
+    return every.select("cluster", "id", F.coalesce(mean, lone_centrality(F.col("_n"))).alias("centrality"))
 
 
 def top_by_publisher(rows: DataFrame, group: str, publisher: str, order: list[Column], most: int) -> DataFrame:

@@ -218,8 +218,13 @@ PAIR_SQL = """p AS (SELECT a.grp, a.vec_id AS left_id, b.vec_id AS right_id, rou
   ON a.grp = b.grp AND a.vec_id < b.vec_id)"""
 
 
+def _eights(spark, sf_dir):
+    """Groups that SQL can name too; the pairs and centralities of the real clusters are cluster_pairs and cluster_centrality."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("grp"), F.col("vec_id").alias("id"), "embedding")
+
+
 def _pairs(spark, sf_dir):
-    return dossier.group_pairs(table(spark, sf_dir, "embeddings").withColumn("grp", F.expr("vec_id div 8")), "grp", "vec_id", "embedding")
+    return dossier.group_pairs(_eights(spark, sf_dir), "grp", "id", "embedding")
 
 
 @query(f"WITH {PAIR_SQL} SELECT * FROM p")
@@ -229,7 +234,7 @@ def pair_similarity(spark, sf_dir):
 
 @query(f"WITH {PAIR_SQL}, e AS (SELECT grp, left_id AS id, similarity FROM p UNION ALL SELECT grp, right_id, similarity FROM p) SELECT grp, id, round(avg(similarity), 6) AS centrality FROM e GROUP BY grp, id")
 def centrality(spark, sf_dir):
-    return dossier.centrality(_pairs(spark, sf_dir), "grp")
+    return dossier.centrality(_pairs(spark, sf_dir), _eights(spark, sf_dir), "grp")
 
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS p FROM documents),
@@ -314,6 +319,16 @@ def average_linkage_clusters(spark, sf_dir):
     return _members(spark, sf_dir).select("id", "cluster")
 
 
+@query()
+def cluster_pairs(spark, sf_dir):
+    return dossier.group_pairs(clusters.cut_lineage(_members(spark, sf_dir)), "cluster", "id", "v")
+
+
+@query()
+def cluster_centrality(spark, sf_dir):
+    return dossier.cluster_centrality(clusters.cut_lineage(_members(spark, sf_dir)))
+
+
 @query()
 def cluster_stats(spark, sf_dir):
     return clusters.cluster_stats(_members(spark, sf_dir))
