@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A text of fewer words is not substantial; fixed value of the ranking rules.
 LEAST_WORDS = 150
+#: What Python's ``\s`` takes for white space.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def normalise_title(title: Column) -> Column:
@@ -38,7 +44,26 @@ def completeness(url: Column, body: Column) -> Column:
     )
 
 
+def completeness_local(url: Column, body: Column) -> Column:
+    """As ``completeness``, for articles that were chosen by their number of words."""
+    return F.when(F.contains(url, F.lit("/live/")), "live_page").when(F.lower(body).contains("developing story"), "provisional").otherwise("substantial")
+
+
+def identity_prefix(url: Column) -> Column:
+    """The first 20 hex digits of the SHA-256 of a URL: the name of an article's files."""
+    return F.substring(F.sha2(url, 256), 1, 20)
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode normalisation form NFKC; no built-in has it."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, StringType())(text)
+
+
 def text_contract(title: Column, body: Column, words: int = 350) -> Column:
-    """Squished title, blank line, and the first words of the body: what is embedded."""
-    squish = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    """NFKC, squished title, blank line, and the first words of the body: what is embedded."""
+    squish = lambda c: F.trim(F.regexp_replace(nfkc(c), f"{SPACE}+", " "))
     return F.concat(squish(title), F.lit("\n\n"), F.array_join(F.slice(F.split(squish(body), " "), 1, words), " "))

@@ -30,6 +30,15 @@ def canonical_url(url: Column) -> Column:
     return F.when(text.rlike(PARTS) & (host != ""), made)
 
 
+def experiment_url(url: Column) -> Column:
+    """The experiment's identity of an http(s) URL, or null: scheme and host in lower case, port kept, no
+    query, fragment or parameters of the last segment, no slash at the end (the root is empty)."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda i: F.regexp_extract(text, r"(?is)^(https?)://([^/?#]*)([^?#]*)", i)
+    path = F.regexp_replace(F.regexp_replace(part(3), r"(?s);[^/]*\z", ""), r"/+\z", "")
+    return F.when(part(2) != "", F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 

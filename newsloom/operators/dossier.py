@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import LEAST_WORDS, word_count
+
+UNITED_STATES = "United States"
 #: Continents whose publishers stand for the audience: fixed values.
 AUDIENCE = ("EUROPE", "AMERICA")
 
@@ -56,6 +59,28 @@ def cluster_centrality(members: DataFrame) -> DataFrame:
     return every.select("cluster", "id", F.coalesce(mean, lone_centrality(F.col("_n"))).alias("centrality"))
 
 
+def local_coverage(articles: DataFrame) -> DataFrame:
+    """The coverage of each cluster, from rows (cluster, publisher, country, body, published_at): articles,
+    substantial ones, publishers, whether there is only one, publishers of the United States, first and last date."""
+    substantial = F.count_if(F.coalesce(word_count(F.col("body")) >= LEAST_WORDS, F.lit(False)))
+    by_publisher = articles.groupBy("cluster", "publisher").agg(
+        F.count(F.lit(1)).alias("n"),
+        substantial.alias("substantial"),
+        F.coalesce(F.bool_or(F.col("country") == UNITED_STATES), F.lit(False)).alias("us"),
+        F.min("published_at").alias("first"),
+        F.max("published_at").alias("last"),
+    )
+    return by_publisher.groupBy("cluster").agg(
+        F.sum("n").alias("articles"),
+        F.sum("substantial").alias("substantial"),
+        F.count(F.lit(1)).alias("publishers"),
+        (F.count(F.lit(1)) == 1).alias("single_source"),
+        F.count_if("us").alias("united_states_publishers"),
+        F.min("first").alias("coverage_start"),
+        F.max("last").alias("coverage_end"),
+    )
+
+
 def top_by_publisher(rows: DataFrame, group: str, publisher: str, order: list[Column], most: int) -> DataFrame:
     """The best row of each publisher, then the best ``most`` of a group."""
     best = rows.withColumn("_p", F.row_number().over(Window.partitionBy(group, publisher).orderBy(*order))).filter("_p = 1")
