@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +17,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private one is made
-    only where that setting is absent (local tests).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that the cluster names in ``spark.checkpoint.dir``. A
+    private one is made only where that setting is absent (local tests); a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder. Its files go when nothing
+    refers to them any more (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Stored:
+    """Intermediate tables of one job, as Parquet in the shared folder.
+
+    Unlike a checkpoint a table is compressed, is read by column, and keeps none of the constraints that
+    the optimizer has inferred, whose number grows from round to round of a loop. ``drop`` removes tables
+    once later ones have been written from them; what the result reads stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows with ``most`` characters together at most (a longer text is alone),
+    so that only one run at a time stands in memory as Python strings; null is ''."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
 def key_of(column: str) -> Column:
     """A non-null string key for a nullable column: null and '' stay apart."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))

@@ -1,24 +1,29 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Every text becomes its five-word shingles with weights 1 + ln(times seen). Each shingle is a Poisson
-process of arrivals whose rate is its weight; an arrival falls into one of the signature's registers,
-which keep their earliest shingle, and a shingle stops as soon as its next arrival is later than every
-register (early termination). Two texts agree in a register with the probability Jaccard similarity.
+Every text becomes its five-word shingles with weights 1.25 - 0.25 / times seen, from 1 up to 1.25. Each
+shingle is a Poisson process of arrivals whose rate is its weight; an arrival falls into one of the
+signature's registers, which keep their earliest shingle, and a shingle stops as soon as its next arrival
+is later than every register (early termination). Two texts agree in a register with their probability
+Jaccard similarity. A link is a Jaccard similarity of 0.8 or more of the *sets* of shingles: as weights
+stay within 1 and 1.25, such a pair has a probability Jaccard similarity of 0.64 at the very least (all
+shared shingles weighed differently) and of 0.76 or more if only shingles of one side repeat. With 24
+bands of 4 registers it shares no band with chance 3e-6 without repeats, 5e-5 and 1.2 per cent in these cases.
 
 1. Texts with equal word sequences are one node, found by digest; signatures are only banded per node.
 2. Nodes that share a band's registers form buckets. Each member of a bucket is compared with the
    bucket's least node: as many comparisons as members, however large a group of copies is.
 3. Verified comparisons give components. What is left are pairs of one bucket in different
-   components: those whose signatures agree enough (``margin`` below the threshold, more than
-   four standard errors) are compared too, inside the join, so a link that no least node shows is still found and
-   no pair but a link leaves the join.
-4. A comparison is exact: Jaccard similarity of the sets of shingle digests (64 bits), 0.8 or more.
+   components: a bucket's largest component against the rest, and the rest among themselves, dealt
+   to meetings of two bounded blocks. Pairs whose signatures agree in 55 per cent of the registers are compared
+   too, unless links of the same meeting join them already, so no pair but a link leaves a meeting.
+4. A comparison is exact: the sets of shingle digests (64 bits).
 
 Classes are the connected components; a class keeps one row of its smallest doc_id.
 
 Defined results: null text is empty; texts without a word are equal only if they are identical, and
 are near to nothing; a text of fewer than five words has one shingle, all its words; a null doc_id
-sorts after all others; of repeated rows one is kept; extra columns are not read.
+sorts after all others; of repeated rows one is kept; extra columns are not read. Intermediate tables
+stand in ``spark.checkpoint.dir``; those that the result does not read are removed on the way.
 """
 
 from __future__ import annotations
@@ -29,14 +34,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import materialise, rows_kept, text_digest, with_row_id
+from ._common import Stored, rows_kept, text_blocks, text_digest, with_row_id
 
 U64 = np.uint64
-#: Agreements that 16-bit digests of a signature's registers may lose: three or more go with chance 1e-5.
-SPARE = 2
 #: Odd multipliers of a shingle's words, by place.
 MULTIPLIERS = [U64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(64)]
 
@@ -112,18 +115,7 @@ def sketch(texts: list[str], words: Words, width: int, registers: int) -> tuple[
     at = np.flatnonzero(first)
     times = np.diff(np.append(at, len(owner)))
     owner, all_shingles = owner[at], all_shingles[at]
-    return keys, np.bincount(owner, minlength=len(texts)), signatures(owner, all_shingles, 1.0 + np.log(times), len(texts), registers)
-
-
-def blocks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    start = 0
-    while start < len(texts):
-        stop, chars = start, 0
-        while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= most):
-            chars += len(texts[stop])
-            stop += 1
-        yield start, stop
-        start = stop
+    return keys, np.bincount(owner, minlength=len(texts)), signatures(owner, all_shingles, 1.25 - 0.25 / times, len(texts), registers)
 
 
 def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int = 2_000_000) -> DataFrame:
@@ -132,10 +124,9 @@ def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, stop in blocks(texts, batch_chars):
-                keys, sizes, signature = sketch(texts[start:stop], words, width, registers)
-                rows = batch.slice(start, stop - start)
+            for start, texts in text_blocks(batch.column("text"), batch_chars):
+                keys, sizes, signature = sketch(texts, words, width, registers)
+                rows = batch.slice(start, len(texts))
                 ends = np.arange(0, signature.size + 1, registers, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("text_digest"), pa.array(keys), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
@@ -154,14 +145,13 @@ def shingle_sets(texts: DataFrame, *, width: int, batch_chars: int = 2_000_000)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, stop in blocks(texts, batch_chars):
-                _, owner, found = cut(texts[start:stop], words, width)
-                bounds = np.searchsorted(owner, np.arange(stop - start + 1))
+            for start, part in text_blocks(batch.column("text"), batch_chars):
+                _, owner, found = cut(part, words, width)
+                bounds = np.searchsorted(owner, np.arange(len(part) + 1))
                 sets = [np.unique(found[i:j]).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(start, stop - start), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"]
+                    [batch.column("node").slice(start, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"]
                 )
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
@@ -179,106 +169,195 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(similar(F.col("_a"), F.col("_b"), threshold)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored: Stored, name: str) -> DataFrame:
     """node, component (its least node) for every node of ``edges`` (a, b).
 
     Each round takes the least label among the neighbours and then the label of the label; the rounds
-    grow with the logarithm of a component's diameter. Only their number of changes reaches the driver.
+    grow with the logarithm of a component's diameter. Only their number of changes reaches the driver,
+    and only the last round's labels stay on disk.
     """
-    ways = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    ways = stored.put(f"{name}-ways", edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored.put(f"{name}-0", ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    turn = 0
     while True:
         near = ways.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        stepped = materialise(hooked.join(jump, "component").select("node", "old", F.least("component", "next").alias("component")))
-        changed = stepped.filter("old <> component").limit(1).count()
-        labels = stepped.drop("old")
-        if not changed:
+        stepped = hooked.join(jump, "component").select("node", "old", F.least("component", "next").alias("component"))
+        changed = Observation()
+        labels = stored.put(f"{name}-{turn + 1}", stepped.observe(changed, F.count_if(F.col("old") != F.col("component")).alias("n"))).drop("old")
+        stored.drop(f"{name}-{turn}")
+        turn += 1
+        if not changed.get["n"]:
+            stored.drop(f"{name}-ways")
             return labels
 
 
-def joined_by(more: DataFrame, parts: DataFrame) -> DataFrame:
+def joined_by(more: DataFrame, parts: DataFrame, stored: Stored) -> DataFrame:
     """``parts`` (node, component) after the further links (a, b): only the components that these touch are labelled anew."""
     name = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
     between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    over = components(between).select(F.col("node").alias("component"), F.col("component").alias("_over"))
+    over = components(between, stored, "over").select(F.col("node").alias("component"), F.col("component").alias("_over"))
     # A node that had no link is its own component; it is not in ``parts``.
     nodes = parts.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
     return nodes.join(over, "component", "left").select("node", F.coalesce("_over", "component").alias("component"))
 
 
-def links_between(rows: DataFrame, known: DataFrame, sets: DataFrame, *, threshold: float, least_agreement: float) -> DataFrame:
-    """Links (a, b) between different components of one bucket, from rows (band, node, component, n_shingles).
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (band, node, component, ...) of open buckets, dealt to meetings of two blocks.
 
-    The test is the join's condition, so that only near links leave the join, however many pairs a
-    large bucket holds. A pair is tested in the first band that it shares. Nodes without any partner
-    of a likely signature are put aside first; the others bring their shingles as 32-bit digests, and
-    what passes on those is compared once more on the whole ones. Signatures come as 16-bit digests:
-    registers of one signature that meet in a digest count once, for which ``SPARE`` agreements are let go.
+    One component of each bucket, the largest, need not be compared with itself. The others (the rest)
+    stand on the left, all rows on the right, each in blocks of about ``block`` rows by digest, and every
+    left block meets every right one under a key of its own: no task needs more than two blocks at once,
+    and a large component costs only its size times the number of blocks of the rest.
     """
-    brief = known.select("node", "bands", F.transform("signature", lambda x: F.shiftright(x, 16).cast("smallint")).alias("signature"))
-    side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns})
-    size = F.least("a_n_shingles", "b_n_shingles") >= F.greatest("a_n_shingles", "b_n_shingles") * threshold - 1e-9
-    likely = (
-        (F.col("a_band") == F.col("b_band"))
-        & (F.col("a_component") != F.col("b_component"))
-        & size  # texts whose sizes differ more cannot be that similar
-        & (F.size(F.array_intersect("a_signature", "b_signature")) >= least_agreement - SPARE)
-    )
-    wide = rows.join(brief.drop("bands"), "node")
-    partners = side(wide, "a").join(side(wide, "b"), likely, "left_semi").select(F.col("a_node").alias("node")).distinct()
-    rows = materialise(rows.join(partners, "node", "left_semi"))
-    short = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
-    full = rows.join(brief.join(short, "node"), "node")
-    # One component of each bucket need not be compared with itself: only the rest stands on the left.
     members = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = members.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    full = full.join(largest, "band").withColumn("rest", F.col("component") != F.col("largest")).drop("largest")
-    first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_band")
-    once = ~F.col("b_rest") | (F.col("a_node") < F.col("b_node"))
-    test = likely & once & first & similar(F.col("a_shingles"), F.col("b_shingles"), threshold - 0.005)
-    found = side(full.filter("rest"), "a").join(side(full, "b"), test)
-    return linked(materialise(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))), sets, threshold)
+    sizes = members.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("_largest"), F.sum("n").alias("_all"), F.max("n").alias("_most"))
+    wide = rows.join(sizes, "band").withColumns(
+        {"rest": F.col("component") != F.col("_largest"), "_l": F.expr(f"(_all - _most - 1) div {block} + 1"), "_r": F.expr(f"(_all - 1) div {block} + 1"), "_h": F.xxhash64("node")}
+    )
+    kept = rows.columns
+    left = wide.filter("rest").select(*kept, "rest", F.lit(True).alias("on_left"), F.expr("pmod(_h, _l)").alias("l"), F.explode(F.expr("sequence(0L, _r - 1)")).alias("r"))
+    right = wide.select(*kept, "rest", F.lit(False).alias("on_left"), F.explode(F.expr("sequence(0L, _l - 1)")).alias("l"), F.expr("pmod(_h, _r)").alias("r"))
+    return left.unionByName(right).repartition("band", "l", "r").sortWithinPartitions("band", "l", "r")
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each meeting of blocks, from batches sorted by band, l and r."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "l", "r")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            key = tuple(keys[:, start])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def agreeing(met: pa.Table, registers: int, least: int, ratio: float, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of a meeting and the signatures: pairs of different components whose sizes allow
+    a link and that agree in ``least`` registers or more; pairs of two rest rows once."""
+    on_left, rest = met.column("on_left").to_numpy(), met.column("rest").to_numpy()
+    component, size, node = (met.column(c).to_numpy() for c in ("component", "n_shingles", "node"))
+    signature = met.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, registers)
+    left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+    for a in range(0, len(left), tile):
+        i = left[a : a + tile]
+        for b in range(0, len(right), tile):
+            j = right[b : b + tile]
+            apart = component[i][:, None] != component[j]
+            apart &= np.minimum(size[i][:, None], size[j]) >= np.maximum(size[i][:, None], size[j]) * ratio - 1e-9
+            apart &= ~rest[j] | (node[i][:, None] < node[j])
+            if not apart.any():
+                continue
+            agree = np.zeros(apart.shape, np.int16)
+            for r in range(registers):
+                agree += signature[i, r][:, None] == signature[j, r]
+            x, y = np.nonzero(apart & (agree >= least))
+            if len(x):
+                yield i[x], j[y], signature[i[x]], signature[j[y]]
+
+
+def partners(rows: DataFrame, registers: int, least: int, ratio: float, block: int) -> DataFrame:
+    """The nodes of ``rows`` that have an agreeing partner in another component of one of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in meetings(batches):
+            node, found = met.column("node").to_numpy(), set()
+            for i, j, _, _ in agreeing(met, registers, least, ratio):
+                found.update(node[i].tolist(), node[j].tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["node"])
+
+    return dealt(rows, block).mapInArrow(run, "node long").distinct()
+
+
+def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands: int, registers: int, least: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of one bucket, from rows (band, node, component, n_shingles, signature).
 
+    A pair is compared exactly in the first band that it shares, unless links found before in the same
+    meeting already join its components: what leaves a meeting are fewer links than it has components.
+    """
+    width = registers // bands
 
-def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, margin: float = 0.18) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in meetings(batches):
+            node, component, number = (met.column(c).to_numpy() for c in ("node", "component", "number"))
+            lists = met.column("shingles").combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            shingles = lambda k: flat[ends[k] : ends[k + 1]]  # noqa: B023, E731
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:  # noqa: B023
+                    root[x] = x = root.get(up, up)  # noqa: B023
+                return x
+
+            a, b = [], []
+            for i, j, s, t in agreeing(met, registers, least, threshold):
+                shared = (s == t).reshape(len(i), bands, width).all(axis=2)
+                first = shared.any(axis=1) & (shared.argmax(axis=1) == number[i])
+                for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                    p, q = find(int(component[x])), find(int(component[y]))
+                    if p == q:
+                        continue
+                    u, v = shingles(x), shingles(y)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    if common >= (len(u) + len(v) - common) * threshold - 1e-9:
+                        root[max(p, q)] = min(p, q)
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt(rows.join(sets, "node"), block).mapInArrow(run, "a long, b long").distinct()
+
+
+def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, agreement: float = 0.55, block: int = 1024) -> DataFrame:
     """The columns of ``near_classes`` and text_digest."""
-    registers = bands * rows
-    made = materialise(with_row_id(sketches(docs, width=width, registers=registers)))
-    copies = made.groupBy("key").agg(
-        F.min("_row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n_copies")
-    )
-    nodes = made.filter("n_shingles > 0").join(copies.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
+    registers, stored = bands * rows, Stored(docs.sparkSession)
+    made = stored.put("made", with_row_id(sketches(docs, width=width, registers=registers)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    of_node = F.min_by(F.struct("doc_id", "text_digest", "n_shingles", "signature"), "_row")
+    copies = made.groupBy("key").agg(F.min("_row").alias("node"), first.alias("best"), F.count(F.lit(1)).alias("n_copies"), of_node.alias("_of"))
+    nodes = stored.put("nodes", copies.select("key", "node", "best", "n_copies", "_of.*"))
+    with_words = nodes.filter("n_shingles > 0")
     band = lambda i: F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows))
-    all_bands = F.array(*[band(i) for i in range(bands)])
-    banded = nodes.select("node", "n_shingles", F.explode(all_bands).alias("band"))
+    banded = with_words.select("node", "n_shingles", F.posexplode(F.array(*[band(i) for i in range(bands)])).alias("number", "band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialise(banded.join(buckets, "band"))
+    members = stored.put("members", banded.join(buckets, "band"))
 
-    candidates = members.select("node").distinct()
-    known = materialise(nodes.join(candidates, "node", "left_semi").select("node", "doc_id", "text_digest", "signature"))
-    text = F.coalesce("text", F.lit(""))
     # A text is found by its digest and doc_id; equal ones are the same text, so one is enough.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(
-        known.select("doc_id", "text_digest", "node").withColumnRenamed("doc_id", "_id"), "text_digest"
-    )
+    known = with_words.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_digest")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(known, "text_digest")
     texts = found.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = materialise(shingle_sets(texts, width=width).groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-    stars = materialise(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialise(linked(stars, sets, threshold))
-    parts = components(links)
-
-    labelled = members.join(parts, "node", "left").select("node", "n_shingles", "band", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_buckets = materialise(labelled.join(several, "band", "left_semi"))
-    known = known.select("node", "signature", all_bands.alias("bands"))
-    more = materialise(links_between(open_buckets, known, sets, threshold=threshold, least_agreement=(threshold - margin) * registers))
-    if more.limit(1).count():
-        parts = materialise(joined_by(more, parts))
-
-    classed = copies.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = stored.put("sets", shingle_sets(texts, width=width).groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+    stars = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    parts = components(stored.put("links", linked(stars, sets, threshold)), stored, "parts")
+
+    labelled = members.join(parts, "node", "left").select("node", "n_shingles", "number", "band", F.coalesce("component", "node").alias("component"))
+    several = lambda some: some.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    open_rows = stored.put("open", labelled.join(several(labelled), "band", "left_semi").join(with_words.select("node", "signature"), "node"))
+    stored.drop("members", "links")
+    likely = partners(open_rows, registers, int(agreement * registers), threshold, block)
+    likely = stored.put("likely", open_rows.join(likely, "node", "left_semi"))
+    likely = likely.join(several(likely), "band", "left_semi")
+    more = stored.put("more", links_between(likely, sets, threshold=threshold, bands=bands, registers=registers, least=int(agreement * registers), block=block))
+    parts = stored.put("classes", joined_by(more, parts, stored))
+    stored.drop("open", "likely", "sets", "more")
+
+    classed = nodes.select("key", "node", "best", "n_copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = classed.groupBy("component").agg(F.min("best").alias("first"), F.sum("n_copies").alias("class_size"))
     by_key = classed.join(classes, "component").select(
         "key", F.col("first.doc_id").alias("class_id"), F.col("first._row").alias("_kept"), "class_size", F.col("best.doc_id").alias("copy_id"), "n_copies"
