@@ -5,10 +5,12 @@ each automaton: the longest match from the current place is one phrase, and the
 after it. The language whose automaton needs the fewest phrases, each weighed by the logarithm of its
 training length and divided by the length of the text, wins.
 
-Texts are lower-cased, mapped to an alphabet learned from the training text (digits are one symbol,
-everything else that is not a learned letter is a break), and runs of breaks become one. Parsing
-restarts every ``segment`` symbols, at the same places for all languages, which bounds the number of
-dependent steps however long a text is; whole texts are parsed.
+Texts are lower-cased; every letter of the training text is a symbol of its own, whatever its script,
+digits are one symbol, and runs of anything that is no letter are one break. A letter that no training
+text has is a phrase of its own in every language. Parsing restarts every ``segment`` symbols, at the same
+places for all languages, which bounds the number of dependent steps however long a text is; whole texts
+are parsed. The transitions of all automata stand in one hash table that has as many entries as they
+have (at most three for each training symbol), so that a model grows with the training text alone.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language first in alphabetical order; without training text every text is ``und``; extra columns
@@ -17,47 +19,50 @@ pass through ``predict``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import text_blocks
+
 UND = "und"
-BREAK = 1
-DIGIT = 2
+#: Symbols: a letter without training text, a break, a digit; learned letters follow.
+UNSEEN, BREAK, DIGIT, LETTERS = 0, 1, 2, 3
+U64 = np.uint64
+SYMBOL_BITS, STATE_BITS = U64(16), U64(24)
+STATES = U64((1 << 24) - 1)
+EMPTY = U64(0xFFFFFFFFFFFFFFFF)
+SPREAD = U64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages, symbol of each code point, the dense transitions of all automata in one table, and log lengths."""
+    """languages, symbol of each code point, the hash table of all transitions, where phrases begin, and log lengths."""
 
     languages: list[str]
-    symbols: np.ndarray  # uint8 by code point
-    moves: np.ndarray  # int32 by state * alphabet + symbol: next state * alphabet, -1 where there is no transition
-    starts: np.ndarray  # first state of each language in the joined table
+    symbols: np.ndarray  # uint16 by code point
+    slots: np.ndarray  # uint64: (state, symbol) and the next state, or EMPTY
+    starts: np.ndarray  # first state of each language
+    first: np.ndarray  # [languages, symbols]: the state of a phrase that starts with a symbol
     weights: np.ndarray  # log2 of each training length
-    alphabet: int
-
-
-def symbol_table(texts: list[str], most: int) -> tuple[np.ndarray, int]:
-    """Letters that make up the training text, most frequent first, as symbols 3, 4, ...; 0 is never used."""
-    letters = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    chosen = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:most]]
-    symbols = np.full(0x110000, BREAK, np.uint8)
-    code = {c: i + 3 for i, c in enumerate(chosen)}
-    for c, s in code.items():
-        symbols[ord(c)] = s
-        for upper in {c.upper(), c.title()}:
-            if len(upper) == 1:
-                symbols[ord(upper)] = s
+
+
+def symbol_table(texts: list[str]) -> tuple[np.ndarray, int]:
+    """The symbol of every code point, and the number of symbols."""
+    letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
+    symbols = np.full(0x110000, BREAK, np.uint16)
+    symbols[[c for c in range(0x110000) if chr(c).isalpha()]] = UNSEEN
+    for s, c in enumerate(letters, LETTERS):
+        for form in {c, c.upper(), c.title()}:
+            if len(form) == 1:
+                symbols[ord(form)] = s
     symbols[ord("0") : ord("9") + 1] = DIGIT
-    return symbols, len(chosen) + 3
+    return symbols, LETTERS + len(letters)
 
 
 def encode(text: str, symbols: np.ndarray) -> np.ndarray:
@@ -99,50 +104,81 @@ def suffix_automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def joined(automata: list[list[dict[int, int]]], starts: np.ndarray, alphabet: int) -> np.ndarray:
-    """One table of all automata, filled in place, and one more state without transitions: there a symbol
-    leads that the training text never has."""
-    table = np.full((sum(map(len, automata)) + 1, alphabet), -1, np.int32)
-    for start, automaton in zip(starts.tolist(), automata, strict=True):
-        for i, m in enumerate(automaton, start):
-            for c, j in m.items():
-                table[i, c] = (j + start) * alphabet
-    return table.ravel()
+def transitions(automaton: list[dict[int, int]], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(state and symbol, next state) of every transition, with states counted from ``start``."""
+    sizes = np.fromiter(map(len, automaton), np.int64, len(automaton))
+    of = np.repeat(np.arange(len(automaton)) + start, sizes).astype(U64)
+    symbol = np.fromiter((c for m in automaton for c in m), U64, int(sizes.sum()))
+    to = np.fromiter((j for m in automaton for j in m.values()), U64, int(sizes.sum()))
+    return (of << SYMBOL_BITS) | symbol, to + U64(start)
+
+
+def place_of(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (keys * SPREAD) >> U64(65 - len(slots).bit_length())
 
 
-def build(samples: dict[str, list[str]], *, letters: int = 96, chars: int = 60_000) -> Model:
+def hash_table(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Open addressing, at most a quarter full; a taken place passes on to the next."""
+    slots = np.full(1 << max(4, (4 * len(keys)).bit_length()), EMPTY)
+    entries, at = (keys << STATE_BITS) | values, place_of(keys, slots)
+    while len(entries):
+        free = slots[at] == EMPTY
+        _, one = np.unique(at[free], return_index=True)
+        put = np.flatnonzero(free)[one]
+        slots[at[put]] = entries[put]
+        left = np.ones(len(entries), bool)
+        left[put] = False
+        entries, at = entries[left], (at[left] + U64(1)) & U64(len(slots) - 1)
+    return slots
+
+
+def build(samples: dict[str, list[str]]) -> Model:
     languages = sorted(samples)
-    symbols, alphabet = symbol_table([t for texts in samples.values() for t in texts], letters)
-    automata, weights = [], []
+    symbols, alphabet = symbol_table([t for texts in samples.values() for t in texts])
+    starts, weights, keys, values, total = [], [], [], [], 0
     for language in languages:
-        parts = [np.append(encode(t, symbols), np.uint8(BREAK)) for t in samples[language]]
-        sequence = (np.concatenate(parts) if parts else np.zeros(0, np.uint8))[:chars]
-        automata.append(suffix_automaton(sequence))
+        parts = [np.append(encode(t, symbols), np.uint16(BREAK)) for t in samples[language]]
+        sequence = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+        automaton = suffix_automaton(sequence)
+        k, v = transitions(automaton, total)
+        starts.append(total)
+        keys.append(k)
+        values.append(v)
+        total += len(automaton)
         weights.append(np.log2(max(2, len(sequence))))
-    starts = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int64)
-    return Model(languages, symbols, joined(automata, starts, alphabet), starts, np.array(weights), alphabet)
+    if total >= int(STATES) or alphabet >= 1 << int(SYMBOL_BITS):
+        raise ValueError("the training text is too long or has too many letters for the table of transitions")
+    first = np.full((len(languages), alphabet), total, U64)  # the state after the last has no transitions
+    for row, start, k, v in zip(first, starts, keys, values, strict=True):
+        root = (k >> SYMBOL_BITS) == U64(start)
+        row[(k[root] & U64((1 << int(SYMBOL_BITS)) - 1)).astype(np.int64)] = v[root]
+    nothing = [np.zeros(0, U64)]
+    return Model(languages, symbols, hash_table(np.concatenate(keys or nothing), np.concatenate(values or nothing)), np.array(starts, np.int64), first, np.array(weights))
 
 
 def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: int, seed: int) -> dict[str, list[str]]:
-    """At most about docs_per_language texts of each language, chosen by digest, cut to chars_per_doc."""
+    """About docs_per_language texts of each language, chosen by digest; of a longer text a passage of
+    chars_per_doc characters whose place the digest chooses."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    drawn = known.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", 1, chars_per_doc).alias("text"))
+    digest = F.xxhash64(F.lit(seed), "doc_id", "text")
+    draw = F.pmod(digest, F.lit(1 << 30)).cast("double") / (1 << 30)
+    spare = F.greatest(F.char_length("text") - chars_per_doc, F.lit(0))
+    start = F.pmod(F.shiftright(digest, 32), spare + 1).cast("int") + 1
+    drawn = known.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", start, F.lit(chars_per_doc)).alias("text"))
     sample: dict[str, list[str]] = {}
     for row in sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         sample.setdefault(row["lang"], []).append(row["text"])
     return sample
 
 
-def train(docs: DataFrame, *, docs_per_language: int = 150, chars_per_doc: int = 800, seed: int = 7, **sizes: int) -> Model:
-    """Fit on a bounded sample of labelled rows (lang, text, doc_id). docs_per_language * chars_per_doc
-    characters of each language reach the driver at most (twice that with bad luck), and the automaton
-    takes ``chars`` of them."""
-    return build(training_sample(docs, docs_per_language=docs_per_language, chars_per_doc=chars_per_doc, seed=seed), **sizes)
+def train(docs: DataFrame, *, docs_per_language: int = 100, chars_per_doc: int = 800, seed: int = 7) -> Model:
+    """Fit on a bounded sample of labelled rows (lang, text, doc_id): docs_per_language * chars_per_doc
+    characters of each language are expected at most, and all that are drawn are used."""
+    return build(training_sample(docs, docs_per_language=docs_per_language, chars_per_doc=chars_per_doc, seed=seed))
 
 
 class Parser:
@@ -150,12 +186,23 @@ class Parser:
 
     def __init__(self, model: Model, segment: int):
         self.model, self.segment = model, segment
-        self.moves = model.moves
-        dead = len(self.moves) - model.alphabet
-        roots = (model.starts * model.alphabet)[:, None]
-        first = self.moves[roots + np.arange(model.alphabet)]
-        self.restart = np.where(first < 0, dead, first).astype(np.int32)  # the state of a phrase that starts with a symbol
-        self.roots = roots.astype(np.int32)
+
+    def moves(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether there is none) after ``symbol``; [languages, segments]."""
+        slots = self.model.slots
+        keys = (state << SYMBOL_BITS) | symbol
+        at = place_of(keys, slots)
+        entries = slots.take(at.view(np.int64))
+        known = (entries >> STATE_BITS) == keys
+        open_ = np.flatnonzero(~known & (entries != EMPTY))  # another key stands there: look further
+        while len(open_):
+            at.ravel()[open_] = (at.ravel()[open_] + U64(1)) & U64(len(slots) - 1)
+            found = slots[at.ravel()[open_]]
+            entries.ravel()[open_] = found
+            same = (found >> STATE_BITS) == keys.ravel()[open_]
+            known.ravel()[open_] = same
+            open_ = open_[~same & (found != EMPTY)]
+        return entries & STATES, ~known
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: the number of phrases of each text against each automaton."""
@@ -170,16 +217,15 @@ class Parser:
         size = np.minimum(self.segment, lengths[owner] - at * self.segment)
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
-        flat = np.concatenate(sequences).astype(np.int32)
+        flat = np.concatenate(sequences).astype(U64)
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # segments longer than t
-        state = np.repeat(self.roots, len(owner), axis=1)
+        state = np.repeat(self.model.starts.astype(U64)[:, None], len(owner), axis=1)
         found = np.ones(state.shape, np.int32)
         for t in range(size[0]):
             k = active[t]
             symbol = flat[begin[:k] + t]
-            moved = self.moves.take(state[:, :k] + symbol, mode="clip")
-            failed = moved < 0
-            np.copyto(moved, self.restart.take(symbol, axis=1, mode="clip"), where=failed)
+            moved, failed = self.moves(state[:, :k], symbol)
+            np.copyto(moved, self.model.first.take(symbol.view(np.int64), axis=1), where=failed)
             state[:, :k] = moved
             if t:
                 found[:, :k] += failed
@@ -196,41 +242,31 @@ def decide(model: Model, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     return best, inverse[np.arange(len(best)), best] / inverse.sum(axis=1)
 
 
-def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``most`` characters together; a longer row is alone."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield start, stop
-        start = stop
-
-
-def predict(docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000) -> DataFrame:
-    """lang_pred and score for every row, after the columns ``carry`` of ``docs`` (all, if not given)."""
+def predict(
+    docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The prediction and its score, under ``names``, for every row, after the columns ``carry`` of ``docs``
+    (all, if not given); columns of those names give way."""
     docs = docs.select(*dict.fromkeys([*(docs.columns if carry is None else carry), "text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score") and (carry is None or f.name in carry)]
-    schema, names = T.StructType(kept), [f.name for f in kept]
-    out = T.StructType([*schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [f for f in docs.schema if f.name not in names and (carry is None or f.name in carry)]
+    before = [f.name for f in kept]
+    out = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         parser = Parser(model, segment)
         for batch in batches:
-            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy()
-            for start, stop in blocks(sizes, batch_chars):
-                rows = batch.slice(start, stop - start)
-                texts = rows.column("text").to_pylist()
+            for start, texts in text_blocks(batch.column("text"), batch_chars):
+                rows = batch.slice(start, len(texts))
                 said, scores = [UND] * len(texts), np.zeros(len(texts))
-                usable = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
+                usable = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model.languages else []
                 if usable:
                     sequences = [encode(texts[i], model.symbols) for i in usable]
                     best, score = decide(model, parser.phrases(sequences), np.array([len(s) for s in sequences]))
                     scores[usable] = score
                     for i, b in zip(usable, best, strict=True):
                         said[i] = model.languages[b]
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(said, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in before], pa.array(said, pa.string()), pa.array(scores)], names=[*before, *names])
 
     return docs.mapInArrow(run, out)

@@ -73,16 +73,21 @@ def plain_phrases(sequence, training, segment):
     return count
 
 
+def as_string(sequence):
+    return "".join(map(chr, sequence))
+
+
 def test_cross_parsing_matches_plain_search():
     draw = random.Random(5)
-    samples = {k: ["".join(draw.choice(letters) for _ in range(300))] for k, letters in {"x": "abcde ", "y": "cdefg ", "z": "aéîo "}.items()}
-    model = language_id.build(samples, chars=200)
-    texts = ["".join(draw.choice("abcdefgéîo 1!") for _ in range(n)) for n in (0, 1, 7, 50, 333)] + ["ABC cde", "жжж"]
+    chinese = [chr(0x4E00 + i) for i in range(150)]
+    samples = {k: ["".join(draw.choice(letters) for _ in range(300))] for k, letters in {"x": "abcde ", "y": "cdefg ", "z": "aéîo ", "zh": chinese}.items()}
+    model = language_id.build(samples)
+    texts = ["".join(draw.choice(["a", "b", "é", "o", " ", "1", "!", *chinese[:9]]) for _ in range(n)) for n in (0, 1, 7, 50, 333)] + ["ABC cde", "жжж", "жaж"]
     sequences = [language_id.encode(t, model.symbols) for t in texts]
     got = language_id.Parser(model, 64).phrases(sequences)
     for j, language in enumerate(model.languages):
-        training = np.append(language_id.encode(samples[language][0], model.symbols), np.uint8(1))[:200].tobytes()
-        assert [plain_phrases(s.tobytes(), training, 64) for s in sequences] == got[:, j].tolist()
+        training = as_string(np.append(language_id.encode(samples[language][0], model.symbols), np.uint16(1)))
+        assert [plain_phrases(as_string(s), training, 64) for s in sequences] == got[:, j].tolist()
 
 
 def test_language_prediction(spark, odd, empty):
@@ -99,6 +104,22 @@ def test_language_prediction(spark, odd, empty):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.train(empty), carry=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_of_large_scripts(spark):
+    """Chinese and Japanese text of some thousand letters, Cyrillic and Latin: no letter is lost to a cap."""
+    draw = random.Random(12)
+    letters = {"zh": [chr(0x4E00 + 3 * i) for i in range(3000)], "ja": [chr(0x4E00 + 5 * i) for i in range(1500)] + [chr(0x3042 + i) for i in range(80)] * 30, "ru": "абвгдежзиклмно", "uk": "абвгдеєжзиїклмн", "en": "abcdefgh"}
+    # Words recur, as in prose; a language is told by them.
+    words = {k: ["".join(draw.choice(v) for _ in range(3)) for _ in range(150)] for k, v in letters.items()}
+    rows = [(i, "".join(draw.choice(words[k]) + draw.choice([" ", ""]) for _ in range(120)), k, "s", None) for i, k in enumerate(list(letters) * 30)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    model = language_id.train(docs.filter("doc_id < 75"))
+    assert len(set(model.symbols.tolist())) > 600
+    assert language_id.predict(docs.filter("doc_id >= 75"), model).filter("lang <> lang_pred").count() == 0
+    # The learned passage is drawn from anywhere in a text.
+    late = spark.createDataFrame([(i, "x " * 500 + "late " * 100, "xx", "s", None) for i in range(40)], DOCUMENTS)
+    assert any("late" in t for t in language_id.training_sample(late, docs_per_language=100, chars_per_doc=100, seed=1)["xx"])
+
+
 @pytest.mark.parametrize("text", ["", "  a", "a  ", "▁▁ x▁", "日本 \U0001f600", "</s>\n\n\t x", "the " * 300])
 def test_parity_of_single_texts(text):
     sentencepiece_codec.verify_parity(MODEL, [text])
