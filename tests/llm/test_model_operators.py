@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -38,6 +39,32 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(got[:, 1], plain)
 
 
+def test_segments_change_nothing():
+    """A chain cut into segments has the marginals and pairs of the whole chain."""
+    draw = np.random.default_rng(4)
+    counts = np.array([1, 40, 7, 129, 8, 9])
+    unary, transition = draw.normal(size=counts.sum()) * 3, draw.normal(size=(2, 2)) * 2
+    whole, pairs = quality_crf.forward_backward(unary, transition, counts, segment=10_000)
+    for segment in (2, 7, 8, 64):
+        got, found = quality_crf.forward_backward(unary, transition, counts, segment=segment)
+        assert np.allclose(got, whole) and np.allclose(found, pairs)
+
+
+def test_scores_of_pieces_and_a_long_text():
+    draw = np.random.default_rng(6)
+    weights = draw.normal(size=3 * quality_crf.OWN + 1)
+    texts = ["a b\n\nC d!\nC d!", "", "one", "x\n" * 50]
+    x, _, counts = quality_crf.line_features(texts)
+    got, _, same = quality_crf.unary_scores(texts, weights)
+    assert np.allclose(got, quality_crf.with_neighbours(x, counts) @ weights) and (counts == same).all()
+    small, _, _ = quality_crf.read_lines(texts, lambda own: own, quality_crf.OWN, most_lines=3, most_chars=5)
+    assert np.allclose(small, x)
+    model = quality_crf.Model(weights, draw.normal(size=(2, 2)), 1.0, 0.0)
+    began = time.time()
+    assert 0 <= quality_crf.score(["ab cd.\n" * 300_000], model)[0] <= 1
+    assert time.time() - began < 60
+
+
 def test_line_features_see_repetition_and_shouting():
     x, lengths, counts = quality_crf.line_features(["of of of of", "HE!! SHE!!\n\nHE!! SHE!!", ""])
     assert counts.tolist() == [1, 3, 1] and lengths.tolist() == [11, 10, 0, 10, 0]
