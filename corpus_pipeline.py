@@ -8,14 +8,18 @@ rows), and encoding turns every text into ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import exact_dedup, language_id, mixing, probminhash, queries, sentencepiece_codec
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are ``und``: null, or without any letter."""
+    """Rejects documents that are ``und``: null, or without any letter. Columns of any name stay as they are."""
     model = language_id.train(docs.filter(~queries.fold(3, 1)))
-    return language_id.predict(docs, model).filter(f"lang_pred <> '{language_id.UND}'").select(*docs.columns)
+    if not model.languages:  # nothing is labelled: no language can be named, but texts with letters stay
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    names = tuple(next(n for n in (name, *(f"{name}_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns) for name in ("lang_pred", "lang_score"))
+    return language_id.predict(docs, model, names=names).filter(F.col(names[0]) != language_id.UND).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
