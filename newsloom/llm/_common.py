@@ -128,19 +128,20 @@ def rank_in_group(rows: DataFrame, group: list[str], bucket: str, order: list[Co
     )
 
 
-def rank_overall(rows: DataFrame, bucket: str, order: list[Column], rank: str, total: str) -> DataFrame:
-    """As ``rank_in_group`` for the whole table; the number of buckets is bounded by the caller, so
-    the table of counts has a proven size and is broadcast."""
-    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+def rank_overall(rows: DataFrame, order: list[Column], rank: str, total: str) -> DataFrame:
+    """0-based ``rank`` along ``order`` (a total order) and the number of rows, without a window over the table.
+
+    ``rows`` (materialised, as its ranges are sampled first) are dealt by sampled ranges of the whole order,
+    so that ties in its first columns do not crowd one task, and numbered inside each range; only the
+    ranges' counts, one row for each partition, are summed up and broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    numbered = numbered.withColumns({"_range": F.shiftright("_place", 33), "_inside": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_place")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn(total, F.sum("_n").over(Window.partitionBy()))
-        .drop("_n")
-    )
-    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), bucket)
-        .withColumn(rank, F.col("_before") + F.col("_inside") - 1)
-        .drop("_inside", "_before")
+        numbered.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias(total))
     )
+    return numbered.join(F.broadcast(offsets), "_range").withColumn(rank, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")

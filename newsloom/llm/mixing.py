@@ -1,15 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame functions only).
 
-Rows of a source are shuffled by a seeded digest and grouped into blocks. With weight a/A (integer
-shares a, their sum A), block k of a source may run from slot floor(k A / a) and must run before slot
-ceil((k + 1) A / a). Earliest-deadline-first over one slot per block meets every window, so at each
-slot every source is within one block of its target. The schedule repeats after A slots: it is
-computed once for A slots, a table of A rows, and every block finds its slot by an equi-join.
-
-Defined results: every row is placed exactly once. When a source runs out its slots stay empty and
-the others keep their order; ``exact`` tells the rows before the first empty slot. A source without
-a target, a target of zero or below and a null source (a source of its own) get the smallest share,
-one in A. Extra columns are not read. An empty table gives no rows.
+Rows of a source are shuffled by a seeded digest and grouped into blocks, and time is cut into epochs of
+``period`` slots, one block to a slot. In each epoch every source has an integer share: the growth of its
+target over the epoch, rounded so that shares add up to the slots and that at the ends of all epochs every
+source is less than one block from its exact target (floor(t c) - floor(t c'), c and c' the sums of the
+weights with and without it). With share a of A slots, block k may run from slot floor(k A / a) and must run
+before slot ceil((k + 1) A / a). Earliest-deadline-first over the epoch meets every window, so inside
+an epoch a source is less than one block from its share's line. Against the exact target that is less
+than one block wherever the weights times ``period`` are integers, and less than two for any other weights, however
+long the mixture is. An epoch is one row: epochs are scheduled side by side.
+
+A source whose weight gives it less than one block in an epoch shares one lane with all others of that
+kind; inside the lane their blocks go by ideal time, (k + 1/2) / weight. Any number of sources is
+taken so. Exact epochs end when the first lane runs out; all later blocks go by ideal time.
+
+Defined results: every row is placed exactly once; a null source is a source of its own; a source without
+a target, or with one of zero or below, comes after all others; ``exact`` tells the rows of scheduled
+epochs, the others have no slot, release or deadline. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,58 +28,80 @@ from pyspark.sql import functions as F
 
 from ._common import key_of, materialise, rank_in_group, rank_overall
 
+#: The weight of a source without a target, as a part of all weights.
+NEARLY_NOTHING = 1e-12
 
-def shares(rows: DataFrame, weights: Mapping[str, float] | None, period: int, flatten: float) -> DataFrame:
-    """_source, blocks of it there are, and its share of the period (integers, 1 at least)."""
-    sizes = rows.groupBy("_source").agg(F.max("_blocks").alias("_blocks"), F.max("_of").alias("_of"))
+
+def targets(ranked: DataFrame, weights: Mapping[str, float] | None, flatten: float) -> DataFrame:
+    """_source, _blocks and _w (adds up to one) of every source; one row each."""
+    sizes = ranked.groupBy("_source").agg((F.max("_block") + 1).alias("_blocks"), F.max("_of").alias("_of"))
     if weights is None:
         weight = F.pow(F.col("_of").cast("double"), F.lit(flatten))
     else:
         given = [F.lit(x) for name, w in weights.items() for x in (f"={name}", float(w))]
-        weight = F.coalesce(F.create_map(*given)[F.col("_source")], F.lit(0.0)) if given else F.lit(1.0)
-    weighed = sizes.withColumn("_w", F.greatest(weight, F.lit(0.0)))
+        weight = F.greatest(F.coalesce(F.create_map(*given)[F.col("_source")], F.lit(0.0)) if given else F.lit(0.0), F.lit(0.0))
+    weighed = sizes.select("_source", "_blocks", weight.alias("_raw"))
+    whole = weighed.agg(F.sum("_raw").alias("_sum"))  # one row
+    part = F.coalesce(F.try_divide("_raw", "_sum"), F.lit(0.0))
+    return weighed.crossJoin(F.broadcast(whole)).select("_source", "_blocks", F.greatest(part, F.lit(NEARLY_NOTHING)).alias("_w"))
+
+
+def epochs(lanes: DataFrame, period: int) -> DataFrame:
+    """_epoch, _length and the array _lanes of (lane, first, share) of every scheduled epoch.
+
+    lanes: _lane, _blocks, _lw; at most ``period`` + 1 rows. All lanes last through the scheduled slots.
+    """
     everything = Window.partitionBy()
-    part = F.col("_w") * period / F.nullif(F.sum("_w").over(everything), F.lit(0.0))
-    return weighed.select("_source", "_blocks", F.greatest(F.coalesce(F.round(part), F.lit(1.0)), F.lit(1.0)).cast("long").alias("_share"))
+    along = Window.orderBy("_lane")
+    part = lanes.withColumn("_lw", F.col("_lw") / F.sum("_lw").over(everything))
+    horizon = F.floor(F.min(F.col("_blocks") / F.col("_lw")).over(everything) + 1e-9)
+    upto = F.when(F.lead(F.lit(1)).over(along).isNull(), F.lit(1.0)).otherwise(F.sum("_lw").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    edged = part.select("_lane", horizon.alias("_t"), upto.alias("_to")).withColumn("_from", F.coalesce(F.lag("_to").over(along), F.lit(0.0)))
+    timed = edged.filter("_t > 0").withColumn("_length", F.least(F.col("_t"), F.lit(period)).cast("long"))
+    at = timed.withColumn("_epoch", F.explode(F.expr("sequence(0L, cast(_t div _length as bigint) - 1)")))
+    had = lambda t: F.floor(t * F.col("_to") + 1e-9) - F.floor(t * F.col("_from") + 1e-9)
+    begun, over = had(F.col("_epoch") * F.col("_length")), had((F.col("_epoch") + 1) * F.col("_length"))
+    return (
+        at.select("_epoch", "_length", F.struct("_lane", begun.cast("long").alias("first"), (over - begun).cast("long").alias("share")).alias("_one"))
+        .groupBy("_epoch", "_length")
+        .agg(F.sort_array(F.collect_list("_one")).alias("_lanes"))
+    )
 
 
-def schedule(share: DataFrame) -> DataFrame:
-    """One period of the earliest-deadline-first schedule: _source, _turn (its k-th block of the
-    period), _at (slot), _share, _period and _blocks. As many rows as the shares sum to."""
-    gathered = share.agg(F.sort_array(F.collect_list(F.struct("_source", "_share", "_blocks"))).alias("s"), F.sum("_share").alias("a"))
-    # The eligible block (released by slot t) with the earliest deadline; ties go to the larger share, then the name.
+def schedule(found: DataFrame) -> DataFrame:
+    """The earliest-deadline-first schedule of every epoch: _lane, _turn (the lane's block), slot, release, deadline."""
+    # The eligible block (released by slot t) with the earliest deadline; ties go to the larger share, then the lane.
     pick = """
         element_at(array_sort(filter(
             transform(s, (x, i) -> named_struct(
-                'deadline', ((acc.had[i] + 1) * a + x._share - 1) div x._share,
-                'rest', -x._share, 'i', i, 'open', (acc.had[i] * a) div x._share <= t and acc.had[i] < x._share)),
+                'deadline', ((acc.had[i] + 1) * a + x.share - 1) div x.share,
+                'rest', -x.share, 'i', i, 'open', (acc.had[i] * a) div x.share <= t and acc.had[i] < x.share)),
             y -> y.open)), 1).i
     """
-    # State: how many blocks each source has had, and which source each slot went to.
+    # State: how many blocks each lane has had, and which lane and block each slot went to.
     step = """
         aggregate(
-          sequence(cast(0 as bigint), a - 1),
-          named_struct('had', transform(s, x -> cast(0 as bigint)), 'order', cast(array() as array<int>)),
+          sequence(0L, a - 1),
+          named_struct('had', transform(s, x -> 0L), 'order', cast(array() as array<struct<i: int, k: bigint>>)),
           (acc, t) -> aggregate(
             array(PICK),
             acc,
             (old, p) -> named_struct(
               'had', transform(old.had, (h, i) -> h + if(i = p, 1, 0)),
-              'order', concat(old.order, array(p)))))
+              'order', concat(old.order, array(named_struct('i', p, 'k', old.had[p]))))))
     """.replace("PICK", pick)
-    slots = gathered.filter("a > 0").select("s", "a", F.posexplode(F.expr(f"({step}).order")).alias("_at", "i"))
-    turn = F.row_number().over(Window.partitionBy("i").orderBy("_at")) - 1
-    return slots.select(
-        F.expr("s[i]._source").alias("_source"),
-        turn.cast("long").alias("_turn"),
-        F.col("_at").cast("long").alias("_at"),
-        F.expr("s[i]._share").alias("_share"),
-        F.expr("s[i]._blocks").alias("_blocks"),
-        F.col("a").alias("_period"),
+    some = found.select("_epoch", F.col("_length").alias("a"), F.filter("_lanes", lambda x: x["share"] > 0).alias("s"))
+    slots = some.select("_epoch", "a", "s", F.posexplode(F.expr(f"({step}).order")).alias("_at", "_o"))
+    return slots.selectExpr(
+        "s[_o.i]._lane AS _lane",
+        "s[_o.i].first + _o.k AS _turn",
+        "_epoch * a + _at AS slot",
+        "_epoch * a + (_o.k * a) div s[_o.i].share AS release",
+        "_epoch * a + ((_o.k + 1) * a + s[_o.i].share - 1) div s[_o.i].share AS deadline",
     )
 
 
-def mix(
+def positions(
     docs: DataFrame,
     *,
     weights: Mapping[str, float] | None = None,
@@ -82,61 +111,52 @@ def mix(
     seed: str = "mix-1",
     buckets: int = 4096,
 ) -> DataFrame:
-    """doc_id, source, block, share, period, release, deadline, slot, position, exact for every row.
-
-    ``weights`` are targets by source; without them a source's target is its row count to the power
-    ``flatten``. ``period`` bounds the schedule (its table has period + number of sources rows at
-    most, which is what is broadcast; more sources than that raise an error in the job).
-    """
+    """The columns of ``mix`` and _all, the number of rows."""
     rows = docs.select(
         "doc_id",
         "source",
         key_of("source").alias("_source"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"),
     ).withColumn("_bucket", F.floor(F.conv(F.substring("_u", 1, 8), 16, 10).cast("double") / 2**32 * buckets).cast("int"))
-    order = [F.col("_u"), F.col("doc_id")]
-    ranked = rank_in_group(rows, ["_source"], "_bucket", order, "_rank", "_of").withColumns(
-        {"_block": F.expr(f"_rank div {block_rows}"), "_blocks": F.expr(f"(_of - 1) div {block_rows} + 1")}
+    ranked = rank_in_group(rows, ["_source"], "_bucket", [F.col("_u"), F.col("doc_id")], "_rank", "_of")
+    ranked = materialise(ranked.withColumn("_block", F.expr(f"_rank div {block_rows}")).drop("_bucket", "_u"))
+    target = materialise(targets(ranked, weights, flatten).withColumn("_own", F.col("_w") * period >= 1))
+    # Lanes by themselves are named by their source ('' or '=...'); the common lane is '~'.
+    shared = materialise(
+        target.filter("NOT _own").select("_source", "_w", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block")).withColumn("_ideal", (F.col("_block") + 0.5) / F.col("_w"))
     )
-    ranked = materialise(ranked.drop("_bucket", "_u"))
-    share = shares(ranked, weights, period, flatten)
-    few = F.when(F.count(F.lit(1)).over(Window.partitionBy()) > period, F.raise_error(F.lit("more sources than slots in the period"))).otherwise(F.col("_share"))
-    table = schedule(share.withColumn("_share", few))
-    # The first slot that stays empty: the least slot of a block that a source no longer has.
-    missing = F.when(F.expr("_blocks % _share") == F.col("_turn"), F.expr("(_blocks div _share) * _period") + F.col("_at"))
-    table = table.withColumn("_until", F.min(missing).over(Window.partitionBy()))
-    length = F.max(F.expr("((_blocks - 1) div _share + 1) * _period")).over(Window.partitionBy())
-    table = table.withColumn("_length", length).drop("_blocks")
-    placed = (
-        ranked.drop("_blocks")
-        .join(F.broadcast(table.select("_source", F.col("_share").alias("_s")).distinct()), "_source")
-        .withColumn("_turn", F.expr("_block % _s"))
-        .drop("_s")
-        .join(F.broadcast(table), ["_source", "_turn"])
-        .withColumn("slot", F.expr("(_block div _share) * _period + _at"))
-        .withColumn("_cut", F.floor(F.col("slot").cast("double") / F.col("_length") * 4 * buckets).cast("int"))
-    )
-    placed = materialise(placed.drop("_length", "_at", "_turn", "_of"))
-    return rank_overall(placed, "_cut", [F.col("slot"), F.col("_rank")], "position", "_all").select(
-        "doc_id",
-        "source",
-        F.col("_block").alias("block"),
-        F.col("_share").alias("share"),
-        F.col("_period").alias("period"),
-        F.expr("(_block * _period) div _share").alias("release"),
-        F.expr("((_block + 1) * _period + _share - 1) div _share").alias("deadline"),
-        "slot",
-        "position",
-        (F.col("slot") < F.col("_until")).alias("exact"),
+    common = rank_overall(shared, [F.col("_ideal"), F.col("_source"), F.col("_block")], "_turn", "_all").select("_source", "_block", F.lit("~").alias("_lane"), "_turn")
+    lanes = target.filter("_own").select(F.col("_source").alias("_lane"), "_blocks", F.col("_w").alias("_lw"))
+    rest = target.filter("NOT _own").agg(F.sum("_blocks").alias("_blocks"), F.sum("_w").alias("_lw")).filter(F.col("_lw") * period >= 1).select(F.lit("~").alias("_lane"), "_blocks", "_lw")
+    slots = materialise(schedule(epochs(lanes.unionByName(rest), period)))
+    own = slots.filter("_lane <> '~'").select(F.col("_lane").alias("_source"), F.col("_turn").alias("_block"), "slot", "release", "deadline")
+    both = own.unionByName(common.join(slots, ["_lane", "_turn"]).select("_source", "_block", "slot", "release", "deadline"))
+    placed = ranked.join(target.select("_source", F.col("_w").alias("weight")), "_source").join(both, ["_source", "_block"], "left")
+    placed = materialise(placed.withColumn("_ideal", (F.col("_block") + 0.5) / F.col("weight")).drop("_of"))
+    order = [F.coalesce("slot", F.lit((1 << 63) - 1)), F.col("_ideal"), F.col("_source"), F.col("_rank")]
+    placed = placed.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    return rank_overall(placed, [F.col(f"_o{i}") for i in range(len(order))], "position", "_all").select(
+        "doc_id", "source", "weight", F.col("_block").alias("block"), "slot", "release", "deadline", "position", F.col("slot").isNotNull().alias("exact"), "_all"
     )
 
 
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, source, weight, block, slot, release, deadline, position, exact for every row.
+
+    ``weights`` are targets by source; without them a source's target is its row count to the power
+    ``flatten``. ``period`` is the length of an epoch and bounds the lanes: one row of as many entries.
+    """
+    return positions(docs, **parameters).drop("_all")
+
+
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, all of them, in the order of the mixture (partition by partition).
 
-    The order is found by doc_id, which should be unique; rows with a null doc_id come first.
+    The order is found by doc_id: rows of one id stand together at its first place, rows without an id come first.
     """
-    places = mix(docs.select("doc_id", "source"), **parameters).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    ordered = docs.join(places, "doc_id", "left")
+    found = positions(docs.select("doc_id", "source"), **parameters)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    # Places are known and dense: partitions are cut from them and need no sampling.
+    places = found.groupBy("doc_id").agg(F.min("position").alias("_position"), F.min(F.expr(f"cast((position * {parts}) div _all as int)")).alias("_part"))
+    ordered = docs.join(places, "doc_id", "left").withColumns({"_position": F.coalesce("_position", F.lit(-1)), "_part": F.coalesce("_part", F.lit(0))})
+    return ordered.repartitionById(parts, "_part").sortWithinPartitions("_position").select(*docs.columns)

@@ -75,12 +75,30 @@ def test_shards_match_plain_ranking(odd, odd_rows):
     assert Counter((r.doc_id, r.shard, r.size) for r in got) == expected
 
 
+def test_shards_of_single_rows(spark):
+    """Every row its own source: all have the same fraction, and the whole order is cut evenly nevertheless."""
+    docs = spark.createDataFrame([(i, "t", f"s{i}") for i in range(4000)], "doc_id long, text string, source string")
+    got = sharding.assign_shards(docs)
+    assert {r.n for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {500} and got.select("text_group").distinct().count() == 1
+    held = sharding.ranked(docs, [], shards=8, seed="x", buckets=64)
+    spread = held.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 2500 and len(spread) > 1
+
+
+def test_written_shards(spark, odd, tmp_path):
+    sharding.write_shards(odd, f"{tmp_path}/shards", shards=2)
+    got = spark.read.parquet(f"{tmp_path}/shards")
+    key = lambda rows: Counter(tuple(sorted(r.asDict().items(), key=lambda x: x[0])) for r in rows)
+    assert key(got.select("row.*").collect()) == key(odd.collect())
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, i) for s in (0, 1) for i in range(6)]
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
 def plain_schedule(shares):
-    """Earliest deadline first over one period, one slot at a time."""
+    """Earliest deadline first over one epoch, one slot at a time."""
     period, had, order = sum(shares.values()), dict.fromkeys(shares, 0), []
     for t in range(period):
         able = [s for s, a in shares.items() if had[s] < a and had[s] * period // a <= t]
@@ -90,27 +108,71 @@ def plain_schedule(shares):
     return order
 
 
+def plain_slots(weights, blocks, period):
+    """The slot of each (source, block) of the scheduled epochs, and how many slots there are."""
+    horizon = int(min(blocks[s] / w for s, w in weights.items()) + 1e-9)
+    length = min(horizon, period)
+    names, slots = sorted(weights), {}
+    for e in range(horizon // length):
+        had = {}
+        for t in (e * length, (e + 1) * length):
+            edges = [0.0, *[sum(weights[n] for n in names[: i + 1]) for i in range(len(names) - 1)], 1.0]
+            had[t] = {n: int(t * edges[i + 1] + 1e-9) - int(t * edges[i] + 1e-9) for i, n in enumerate(names)}
+        begun, over = had[e * length], had[(e + 1) * length]
+        shares = {n: over[n] - begun[n] for n in names if over[n] > begun[n]}
+        slots |= {(n, begun[n] + k): e * length + at for at, (n, k) in enumerate(plain_schedule(shares))}
+    return slots, horizon // length * length
+
+
+def check_mixture(got, weights, period, block_rows, bound):
+    sizes = Counter(r.source for r in got)
+    blocks = {f"={s}": -(-n // block_rows) for s, n in sizes.items() if s in weights}
+    slots, end = plain_slots({f"={s}": w for s, w in weights.items()}, blocks, period)
+    assert end and {(f"={r.source}", r.block): r.slot for r in got if r.exact} == slots
+    assert all(r.release <= r.slot < r.deadline for r in got if r.exact)
+    done = Counter()
+    for t, (source, _) in enumerate(sorted(slots, key=slots.get)):
+        done[source] += 1
+        assert all(abs(done[f"={s}"] - (t + 1) * w) < bound for s, w in weights.items())
+    key = [(not r.exact, r.slot if r.exact else 0, (r.block + 0.5) / r.weight if not r.exact else 0) for r in sorted(got, key=lambda r: r.position)]
+    assert key == sorted(key)
+
+
 def test_mixing_is_pfair(spark, empty):
     rows = [(i, f"s{min(i % 7, 3)}" if i % 11 else None) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    got = sorted(mixing.mix(docs, weights={"s0": 0.5, "s1": 0.2, "s2": 0.1, "s3": 0.2}, block_rows=4, period=50, buckets=8).collect(), key=lambda r: r.position)
-    assert [r.position for r in got] == list(range(500)) and sorted(r.doc_id for r in got) == list(range(500))
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    shares = {("" if r.source is None else f"={r.source}"): r.share for r in got}
-    period = sum(shares.values())
-    slots = {(s, k): t for t, (s, k) in enumerate(plain_schedule(shares))}
-    for r in got:
-        s = "" if r.source is None else f"={r.source}"
-        assert r.slot == r.block // r.share * period + slots[s, r.block % r.share]
-    done = Counter()
-    blocks = sorted({(r.slot, r.source) for r in got if r.exact}, key=lambda x: x[0])
-    for t, (slot, source) in enumerate(blocks):
-        assert slot == t  # no empty slot while all sources last
-        done[source] += 1
-        assert all(abs(done[s] - (t + 1) * next(r.share for r in got if r.source == s) / period) < 1 for s in {r.source for r in got})
+    weights = {"s0": 0.5, "s1": 0.2, "s2": 0.1, "s3": 0.2}
+    got = mixing.mix(docs, weights=weights, block_rows=4, period=10, buckets=8).collect()
+    assert sorted(r.position for r in got) == list(range(500)) and sorted(r.doc_id for r in got) == list(range(500))
+    check_mixture(got, weights, 10, 4, bound=1)  # weights times period are integers
+    assert {r.source for r in sorted(got, key=lambda r: r.position)[-10:]} == {None}  # without a target
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_stays_near_uneven_weights(spark):
+    """Weights that no period divides: the deviation does not grow from epoch to epoch."""
+    weights = {"a": 0.537, "b": 0.2619, "c": 0.2011}
+    rows = [(i, "abc"[min(i % 5, 2)]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=1, period=20).collect()
+    assert sum(r.exact for r in got) > 1000
+    check_mixture(got, weights, 20, 1, bound=2)
+
+
+def test_mixing_of_many_sources(spark):
+    """5,000 sources of one or two rows beside a hot one; no source is refused and none is lost."""
+    rows = [(i, f"s{i % 5000}") for i in range(7000)] + [(10_000 + i, "hot") for i in range(3500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, weights={"hot": 0.4} | {f"s{i}": 0.6 / 5000 for i in range(5000)}, block_rows=1, period=100).collect()
+    assert sorted(r.position for r in got) == list(range(10_500)) and len({r.doc_id for r in got}) == 10_500
+    first = sorted(got, key=lambda r: r.position)[:4000]
+    done = 0
+    for t, r in enumerate(first, 1):
+        done += r.source == "hot"
+        assert abs(done - 0.4 * t) < 1
+    assert max(Counter(r.source for r in first if r.source != "hot").values()) == 1
+    assert mixing.mix(docs, weights={}, block_rows=1).count() == 10_500
+
+
 def test_mixed_keeps_every_row_in_order(spark):
     docs = spark.createDataFrame([(i, f"s{i % 3}", "x") for i in range(100)], "doc_id long, source string, position string")
     place = {r.doc_id: r.position for r in mixing.mix(docs, block_rows=2).collect()}
