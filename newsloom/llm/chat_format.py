@@ -55,6 +55,11 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
 
 
+def plain_text(parts: Column) -> Column:
+    """The text parts of a turn as they are: equal places in a conversation are ordered by them."""
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+
+
 def visit(parts: Column, tokens: Mapping[str, int]) -> tuple[Column, Column]:
     """(content, attachments) of a list of parts. Placeholders are numbered within their turn."""
     kind = lambda p: F.when(p["type"].isin(*tokens), p["type"]).otherwise(F.lit("unknown"))
@@ -93,9 +98,9 @@ def format_parts(turns: DataFrame, *, tokens: Mapping[str, int] | None = None) -
     role = F.coalesce("role", F.lit(""))
     speaks = role == ASSISTANT
     head = F.concat(F.when(speaks, OUT_OPEN).otherwise(IN_OPEN), escape_role(role), F.lit("\n"))
-    rows = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), attachments.alias("parts"), speaks.alias("speaks"), head.alias("head"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), attachments.alias("parts"), speaks.alias("speaks"), head.alias("head"), plain_text(F.col("parts")).alias("said"))
     rows = rows.withColumn("piece", F.concat("head", "content", F.when(F.col("speaks"), OUT_CLOSE).otherwise(IN_CLOSE)))
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "content")
     before = F.sum(F.char_length("piece").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("at", F.coalesce(before, F.lit(0)) + F.char_length("head")).withColumn("n", F.row_number().over(ordered))
     one = F.struct(

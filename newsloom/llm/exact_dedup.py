@@ -20,12 +20,25 @@ from ._common import materialise, rows_kept, text_digest, with_row_id
 
 #: Characters that do not count when texts are compared.
 IGNORED = r"[\x20\x09-\x0D]+"
-#: A chunk ends after one of these letter triples, once it is long enough.
-CUT = "(?<=[snr][dtlg][aeiou])"
+def cells(first: int, last: int, step: int, start: int, size: int) -> str:
+    """A character class: of every ``step`` code points from ``first`` to ``last`` those from ``start`` on, ``size`` of them."""
+    return "[" + "".join(f"\\x{{{c + start:X}}}-\\x{{{c + start + size - 1:X}}}" for c in range(first, last, step)) + "]"
+
+
+#: A chunk ends, once it is long enough, after one of these: about one of every fifty to two hundred places
+#: in Latin prose, digits, the other alphabets (U+0080 to U+2FFF) and the large scripts above them.
+CUT = "|".join(
+    [
+        "(?<=[snr][dtlg][aeiou])",
+        "(?<=[0-9]{3})(?<=[0-3][0-4][5-9])",
+        r"(?<=[\x{80}-\x{2FFF}]{2})(?<=" + cells(0x80, 0x3000, 32, 16, 4) + cells(0x80, 0x3000, 32, 24, 8) + ")",
+        r"(?<=[\x{3000}-\x{10FFFF}]{2})(?<=" + cells(0x3000, 0x20000, 1024, 256, 128) + cells(0x3000, 0x20000, 1024, 512, 128) + ")",
+    ]
+)
 
 
 def chunk_pattern(least: int, most: int) -> str:
-    return rf"(?s).{{{least},{most}}}?{CUT}|(?s).{{1,{most}}}"
+    return rf"(?s).{{{least},{most}}}?(?:{CUT})|(?s).{{1,{most}}}"
 
 
 def normalised(text: Column) -> Column:

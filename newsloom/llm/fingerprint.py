@@ -98,15 +98,19 @@ def likeness(a: Column, b: Column, signs_a: Column, signs_b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(cosine)
 
 
-def id_buckets(docs: DataFrame, rows_per_bucket: int, most_cuts: int) -> tuple[Column, int]:
-    """A bucket number that does not decrease along doc_id (null ids first), and how many there are.
+def id_buckets(docs: DataFrame, rows_per_bucket: int, most_cuts: int) -> tuple[Column, int, int]:
+    """A bucket number that does not decrease along (doc_id, _tie), null ids first, how many buckets there
+    can be, and how many rows have no id.
 
-    At most ``most_cuts`` quantiles of doc_id are fetched to the driver; beyond
-    most_cuts * rows_per_bucket rows each quantile interval is cut again into equal widths.
+    ``_tie`` orders rows without an id; their buckets are equal parts of its range. At most ``most_cuts``
+    quantiles of doc_id are fetched to the driver; beyond most_cuts * rows_per_bucket rows each quantile
+    interval is cut again into equal widths, which even ids fill evenly; a bucket of others sorts with spilling.
     """
-    n, low = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
+    rows, n, low = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id")).first()
+    without = -(-(rows - n) // rows_per_bucket)
+    of_null = F.floor((F.col("_tie").cast("double") / 2.0**64 + 0.5) * max(without, 1)).cast("long") - max(without, 1)
     if not n:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0), 2
+        return of_null, without + 1, rows
     cuts = max(1, min(most_cuts, -(-n // rows_per_bucket)))
     inner = max(1, -(-n // (cuts * rows_per_bucket)))
     points = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] + [1.0], 10 * cuts)).first()[0]
@@ -116,31 +120,40 @@ def id_buckets(docs: DataFrame, rows_per_bucket: int, most_cuts: int) -> tuple[C
     low_edge, high_edge = F.element_at(bounds, at), F.coalesce(F.try_element_at(bounds, at + 1), F.element_at(bounds, at) + 1)
     share = (F.col("doc_id").cast("double") - low_edge.cast("double")) / F.greatest(high_edge.cast("double") - low_edge.cast("double"), F.lit(1.0))
     inside = F.least(F.floor(share * inner), F.lit(inner - 1)).cast("int")
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * inner + inside), (len(edges) + 1) * inner + 1
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise((at * inner + inside).cast("long")), (len(edges) + 1) * inner + 1 + without, rows - n
 
 
-def with_next(docs: DataFrame, *, rows_per_bucket: int = 2_000, most_cuts: int = 500) -> DataFrame:
-    """doc_id, text and the text of the next row by ascending doc_id (``next_text``); the last row's next is the first.
+#: Buckets whose first rows (two numbers each) may be broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
-    The table is dealt by ranges of doc_id and every text moves once. Only the last row of a range
-    needs a row of another range: the first of the next one that has rows, found from ids alone.
-    Rows with equal ids are ordered by text (null as empty).
+
+def with_next(docs: DataFrame, *, rows_per_bucket: int = 2_000, most_cuts: int = 2_000, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, text, its vector v, and text and vector of the next row by ascending doc_id (``next_text``, ``x``);
+    the last row's next is the first.
+
+    The table is dealt by ranges of doc_id; every text moves once, with its vector, so that each vector is
+    made once. Only the last row of a range needs a row of another range: the first of the next one that
+    has rows, found from ids alone. Rows with equal ids are ordered by text (null as empty); rows without an id
+    come first, by the digest of their text and then by the text.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bucket, _ = id_buckets(docs.select("doc_id"), rows_per_bucket, most_cuts)
-    ids = docs.select("doc_id").withColumn("_bucket", bucket).groupBy("_bucket").agg(F.min("doc_id").alias("_first"))
+    bucket, most, without = id_buckets(docs.select("doc_id"), rows_per_bucket, most_cuts)
+    text = F.coalesce("text", F.lit(""))
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64(text)) if without else F.lit(None).cast("long")
+    rows = docs.select("doc_id", text.alias("text"), tie.alias("_tie"))
+    ids = (rows if without else docs.select("doc_id", tie.alias("_tie"))).withColumn("_bucket", bucket)
+    first = ids.groupBy("_bucket").agg(F.min("doc_id").alias("_first"), F.min("_tie").alias("_first_tie"))
     order = Window.orderBy("_bucket")  # one row per bucket
-    heads = ids.select(
-        "_bucket",
-        F.coalesce(F.lead(F.struct("_first")).over(order), F.first(F.struct("_first")).over(order))["_first"].alias("_first"),
-    )
-    first_texts = (
-        rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_bucket").agg(F.min("text").alias("_head"))
-    )
-    along = Window.partitionBy("_bucket").orderBy("doc_id", "text")
-    following = rows.withColumn("_bucket", bucket).withColumn("_next", F.lead("text").over(along))
-    return following.join(first_texts, (following["_bucket"] == first_texts["_bucket"]) & following["_next"].isNull(), "left").select(
-        "doc_id", "text", F.coalesce("_next", "_head").alias("next_text")
+    head = F.struct("_first", "_first_tie")
+    heads = first.select("_bucket", F.coalesce(F.lead(head).over(order), F.first(head).over(order)).alias("_h")).select("_bucket", "_h.*")
+    heads = F.broadcast(heads) if most <= most_broadcast else heads
+    same = F.col("doc_id").eqNullSafe(F.col("_first")) & F.col("_tie").eqNullSafe(F.col("_first_tie"))
+    firsts = rows.join(heads, same).groupBy("_bucket").agg(F.min("text").alias("_head_text"))
+    firsts = with_vectors(firsts, {"_head_text": "_head_v"}).withColumnRenamed("_bucket", "_of")
+    along = Window.partitionBy("_bucket").orderBy("doc_id", "_tie", "text")
+    made = with_vectors(rows, {"text": "v"}).withColumn("_bucket", bucket)
+    following = made.withColumn("_next", F.lead(F.struct("text", "v")).over(along))
+    return following.join(firsts, (F.col("_bucket") == F.col("_of")) & F.col("_next").isNull(), "left").select(
+        "doc_id", "text", "v", F.coalesce("_next.text", "_head_text").alias("next_text"), F.coalesce("_next.v", "_head_v").alias("x")
     )
 
 
@@ -153,9 +166,8 @@ def fingerprints(docs: DataFrame, **parameters) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs, **parameters).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    return with_vectors(rows, {"text": "v", "edited": "e", "next_text": "x"}).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "x"
-    )
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "v", "x", "edited")
+    return with_vectors(rows, {"edited": "e"}).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "x")
 
 
 def compare_with_edits(docs: DataFrame, **parameters) -> DataFrame:

@@ -1,7 +1,9 @@
 """Exact dedup, sharding, mixing, chat formatting, secrets and fingerprints against plain versions."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings
@@ -49,6 +51,17 @@ def test_chunks_are_content_defined_and_whole(spark):
     assert len(set(a) & set(b)) > 0.8 * len(set(a))
 
 
+def test_chunks_are_content_defined_in_every_script(spark):
+    """After an insertion at the front most chunks come back, in Cyrillic, Chinese, Hangul and digits too."""
+    draw = random.Random(8)
+    scripts = {"ru": range(0x430, 0x450), "zh": range(0x4E00, 0x9FA0), "ko": range(0xAC00, 0xD7A0), "0": range(0x30, 0x3A), "ar": range(0x627, 0x64B)}
+    pattern = F.lit(exact_dedup.chunk_pattern(64, 1024))
+    for points in scripts.values():
+        text = "".join(chr(draw.choice(points)) for _ in range(20_000))
+        a, b = (spark.createDataFrame([(t,)], "t string").select(F.regexp_extract_all("t", pattern, F.lit(0)).alias("c")).first().c for t in (text, "\u4e00x1" + text))
+        assert "".join(a) == text and len(set(a) & set(b)) > 0.8 * len(set(a)) and len(a) > 40
+
+
 def test_deduplicate_keeps_columns(spark, empty):
     docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
     assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs).collect()) == [1, 3]
@@ -240,6 +253,100 @@ def test_secrets_match_plain_scan(spark):
     assert next(r.n_copied for r in got if r.doc_id == 2) == 1
 
 
+def test_secrets_of_a_text_with_many_hits(spark, tmp_path):
+    """20,000 hits in one text: places are right, time stays in proportion, and no value reaches the disk."""
+    rows = [(1, "".join(f"é token=Zq{i:07d}x, " for i in range(20_000)), "a"), (2, "password: Hidden77Treasure99", "b")]
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/checkpoint")
+    began = time.time()
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    many = got.filter("doc_id = 1").select("n_assign", "n_live", secrets.as_text("base").alias("b")).first()
+    assert time.time() - began < 60
+    expected = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[A-Za-z0-9]+", rows[0][1])]
+    assert many.n_assign == many.n_live == 20_000 and many.b.split(",") == expected
+    written = [p.read_bytes() for p in tmp_path.rglob("part-*")]
+    assert written and not any(b"Hidden77" in x or b"Zq00000" in x for x in written)
+
+
+def plain_ownership(rows):
+    """live spans and the number of copied candidates of each row, by doc and owner."""
+    found = []
+    for i, text, owner in rows:
+        spans = set()
+        for kind, (pattern, group, least) in secrets.BASE.items():
+            spans |= {(m.start(group), m.end(group)) for m in re.finditer(pattern, text or "", re.ASCII) if len(m.group(group)) >= least}
+        for m in re.finditer(secrets.OPAQUE, text or ""):
+            if all(re.search(c, m.group()) for c in ("[0-9]", "[a-z]", "[A-Z]")):
+                spans.add(m.span())
+        spans = {s for s in spans if s[1] - s[0] >= 8 and re.search("[0-9]", text[slice(*s)]) and re.search("[A-Za-z]", text[slice(*s)])}
+        found.append((i, owner, {s: text[slice(*s)] for s in spans}))
+    held = defaultdict(set)
+    for i, owner, values in found:
+        for v in values.values():
+            held[v].add((owner, i))
+    live = {v for v, at in held.items() if len({o for o, _ in at}) <= 2 and len(at) <= 50}
+    return Counter((i, tuple(sorted(s for s, v in values.items() if v in live)), sum(v not in live for v in values.values())) for i, _, values in found)
+
+
+def test_ownership_matches_plain_counting(spark):
+    rows = SECRET_ROWS + [(20 + i, f"secret=Example{i % 3}Pass9 and {KEY_CHARS}", f"s{i % 4}") for i in range(12)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    live = [tuple(sorted((s["start"], s["end"]) for s in r.spans if s["kind"] == 3)) for r in got]
+    assert Counter((r.doc_id, s, r.n_copied) for r, s in zip(got, live, strict=True)) == plain_ownership(rows)
+
+
+def test_equal_turns_are_ordered_by_text(spark):
+    """[INST] stands before [Z, though its escaped form does not."""
+    rows = [(1, 0, "user", "[Z"), (1, 0, "user", "[INST]")]
+    got = chat_format.format_texts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [t.text for t in got.select(chat_format.read_turns(F.col("formatted")).alias("t")).first().t] == ["[INST]", "[Z"]
+
+
+def plain_fingerprint(text, digest):
+    """The words of a text's vector by adding up the digests of its paragraphs and sentences."""
+    paragraphs = [p for p in re.split(fingerprint.PARAGRAPH, text) if p.strip(" ")]
+    sentences = [s for p in paragraphs for s in re.split(fingerprint.SENTENCE_END, p)]
+    words = [len(sentences)]
+    for seed in fingerprint.SEEDS:
+        words += [sum(digest[seed, p] & fingerprint.HALF for p in paragraphs), sum(digest[seed, p] >> 32 for p in paragraphs)]
+    for seed in fingerprint.SEEDS:
+        for j in range(20):
+            words.append(sum((digest[seed, s] >> j) & fingerprint.ONE_BIT_OF_EACH_LANE for s in sentences))
+    return [w & fingerprint.MODULUS_MASK for w in words]
+
+
+def test_fingerprint_values_match_plain_sums(spark):
+    texts = ["One. Two!\nthree", "", "same line\nsame line\n\n  \nother. More; and", "x" * 500 + ".\ny", "three\nOne. Two!"]
+    parts = {p for t in texts for p in re.split(fingerprint.PARAGRAPH, t)} | {s for t in texts for p in re.split(fingerprint.PARAGRAPH, t) for s in re.split(fingerprint.SENTENCE_END, p)}
+    pieces = spark.createDataFrame([(p,) for p in parts], "p string")
+    digest = {(s, r.p): r[s] & (1 << 64) - 1 for r in pieces.select("p", *[F.xxhash64(F.lit(s), "p").alias(s) for s in fingerprint.SEEDS]).collect() for s in fingerprint.SEEDS}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.compare_with_edits(docs).collect()}
+    vectors = [plain_fingerprint(t, digest) for t in texts]
+    for i, v in enumerate(vectors):
+        assert got[i].fingerprint == "".join(f"{w:015x}" for w in v)
+        x = vectors[(i + 1) % len(texts)]
+        signs = [[2 * ((w >> at) & fingerprint.LANE_MASK) - u[0] for w in u[5:] for at in (0, 20, 40)] for u in (v, x)]
+        norm = (sum(a * a for a in signs[0]) * sum(b * b for b in signs[1])) ** 0.5
+        near = 1.0 if v == x else max(0.0, sum(a * b for a, b in zip(*signs, strict=True)) / norm) if norm else 0.0
+        assert abs(got[i].near_next - min(1.0, near)) < 1e-9
+    assert got[0].fingerprint == got[4].fingerprint
+
+
+def test_fingerprints_without_ids(spark):
+    """A third of the rows without an id: they follow each other by digest and text, in buckets of their own."""
+    texts = [(None if i % 3 else i, f"text {i % 40}") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ties = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]] if r[0] is None else 0, r[1]))
+    expected = Counter()
+    for k, (i, t) in enumerate(order):
+        h, following = len(t) // 2, order[(k + 1) % len(order)][1]
+        expected[(i, sha(t[: len(t) - h] + following[:h]))] += 1
+    for most in (10**6, 0):  # with and without a broadcast
+        got = fingerprint.fingerprints(docs, rows_per_bucket=20, most_broadcast=most).collect()
+        assert Counter((r.doc_id, r.edited_sha256) for r in got) == expected
+
+
 def test_fingerprints(spark, odd, odd_rows, empty):
     texts = sorted(((r[0], r[1] or "") for r in odd_rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     got = fingerprint.compare_with_edits(odd, rows_per_bucket=3).collect()
