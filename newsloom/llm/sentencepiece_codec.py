@@ -11,7 +11,7 @@ Parity with the original library is checked on fixed probes before a job starts
 and the decoded ids of every row are compared with the normalised text.
 
 Defined results: null and empty texts have no ids and decode to ''; the ids of a text do not depend
-on other rows; extra columns pass through.
+on other rows; extra columns pass through, but those with the name of a made column give way.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import text_blocks
+
 MARK = "▁"
 #: Piece types of the model file: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -42,6 +44,7 @@ class ModelFile:
     add_dummy_prefix: bool = True
     remove_extra_whitespaces: bool = True
     escape_whitespaces: bool = True
+    unknown_surface: str = " \u2047 "
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -81,6 +84,7 @@ def parse_model(data: bytes) -> ModelFile:
         elif number == 2:
             trainer = dict(fields(value))
             model.kind, model.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+            model.unknown_surface = trainer[44].decode() if 44 in trainer else model.unknown_surface
         elif number == 3:
             norm = dict(fields(value))
             model.charsmap = norm.get(2, b"")
@@ -116,7 +120,7 @@ def build_tokenizer(model: ModelFile, cache: int = 10_000):
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces only: other white space stays
     if model.escape_whitespaces:
         steps += [normalizers.Replace(" ", MARK)]
     if model.add_dummy_prefix:
@@ -184,7 +188,8 @@ class Codec:
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.unknown = next((i for i, x in enumerate(self.model.pieces) if x[2] == UNKNOWN), -1)
-        self.bytes_of = [bytes([int(p[3:-1], 16)]) if kind == BYTE else (p.replace(MARK, " ") if self.model.escape_whitespaces else p).encode() for p, _, kind in self.model.pieces]
+        self.bytes_of = [self.surface(piece, kind) for piece, _, kind in self.model.pieces]
+        self.marked = [kind in (NORMAL, USER_DEFINED, UNUSED) and piece.startswith(MARK) for piece, _, kind in self.model.pieces]
         self.sizes = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces], np.int64)
         self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.byte_fallback and self.model.add_dummy_prefix and not self.model.charsmap and not self.model.remove_extra_whitespaces
         self.words = re.compile(f"{MARK}+[^{MARK}]*")
@@ -222,22 +227,30 @@ class Codec:
                 start = end
         return [np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32) for words in cut]
 
+    def surface(self, piece: str, kind: int) -> bytes:
+        """What a piece stands for in a decoded text."""
+        if kind == BYTE:
+            return bytes([int(piece[3:-1], 16)])
+        if kind in (UNKNOWN, CONTROL):
+            return self.model.unknown_surface.encode() if kind == UNKNOWN else b""
+        return (piece.replace(MARK, " ") if self.model.escape_whitespaces else piece).encode()
+
     def decode(self, ids: list[int]) -> str:
-        """As the library's decoder: pieces to bytes, bytes to text, without the marker of the beginning."""
-        if not self.model.byte_fallback:
-            return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
+        """As the original decoder: pieces to bytes, bytes to text, without the marker of the beginning."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
+        opened = self.model.add_dummy_prefix or self.model.remove_extra_whitespaces
+        return text[1:] if opened and ids and self.marked[ids[0]] else text
 
 
-def encode(docs: DataFrame, path: str, *, column: str = "text", carry: list[str] | None = None, with_ids: bool = True, batch_chars: int = 2_000_000, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, column: str = "text", carry: list[str] | None = None, with_ids: bool = True, batch_chars: int = 2_000_000, threads: int | None = None) -> DataFrame:
     """Rows of ``docs`` (its columns ``carry``, all if not given) with ids, n_tokens, n_unknown,
     decoded_sha256 and round_trip (decoded text = normalised text).
 
     ``path`` names the model file on the driver; its bytes travel to the tasks. ``threads`` is the
-    number of threads that a task's batches are encoded with (the CPUs of a task).
+    number of threads that a task's batches are encoded with: the CPUs of a task (``spark.task.cpus``), and two at least.
     """
     verify_parity(path)
+    threads = threads or max(2, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
     data = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
     made = [
         *([T.StructField("ids", T.ArrayType(T.IntegerType(), False))] if with_ids else []),
@@ -254,18 +267,11 @@ def encode(docs: DataFrame, path: str, *, column: str = "text", carry: list[str]
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), str(threads > 1).lower()
         codec = Codec(data.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(column).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= batch_chars):
-                    chars += len(texts[stop])
-                    stop += 1
-                part = texts[start:stop]
+            for start, part in text_blocks(batch.column(column), batch_chars):
                 ids = codec.encode(part)
                 decoded = [codec.decode(i.tolist()) for i in ids]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                rows = batch.slice(start, stop - start)
+                rows = batch.slice(start, len(part))
                 columns = [
                     *([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))] if with_ids else []),
                     pa.array([len(i) for i in ids], pa.int64()),
@@ -274,7 +280,6 @@ def encode(docs: DataFrame, path: str, *, column: str = "text", carry: list[str]
                     pa.array([d == normalise(t, codec.model) for d, t in zip(decoded, part, strict=True)]),
                 ]
                 yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], *columns], names=out_names)
-                start = stop
 
     read = docs.select(*dict.fromkeys([*names, column]))
     return read.mapInArrow(run, T.StructType([*kept, *made]))

@@ -1,6 +1,7 @@
 """Quality, language, SentencePiece, ProbMinHash and the pipeline against plain versions."""
 
 import random
+import struct
 import sys
 import time
 from collections import Counter
@@ -171,6 +172,48 @@ def test_unigram_model_is_rebuilt():
     assert tokenizer.encode("ab  c").ids == [3, 4, 5] and tokenizer.decode([3, 4, 5]) == "ab c"
 
 
+def field(number, value):
+    """A protobuf field: int, float, bytes or str."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number * 8 + 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number * 8) + varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return varint(number * 8 + 2) + varint(len(raw)) + raw
+
+
+def unigram_file(path, *, fallback, dummy, extra):
+    """A unigram model made by hand: pieces of random letters with random scores, all bytes if asked."""
+    draw = random.Random(21)
+    normal = {"".join(draw.choice("▁abcdeé中") for _ in range(draw.randrange(1, 5))): -draw.uniform(1, 12) for _ in range(400)} | {c: -draw.uniform(8, 14) for c in "▁abcde"}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback] + [(p, s, 1) for p, s in normal.items()]
+    data = b"".join(field(1, field(1, p) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    data += field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(1, "identity") + field(3, int(dummy)) + field(4, int(extra)) + field(5, 1))
+    Path(path).write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize(("fallback", "dummy", "extra"), [(True, True, False), (True, True, True), (False, True, True), (True, False, False), (False, False, True)])
+def test_unigram_parity_with_the_original_library(tmp_path, fallback, dummy, extra):
+    """Ids and decoded texts of a unigram model equal the original library's: scores, unknown characters, bytes, spaces."""
+    path = unigram_file(tmp_path / "u.model", fallback=fallback, dummy=dummy, extra=extra)
+    draw = random.Random(22)
+    texts = ["".join(draw.choice(["a", "b", "c", "de", "é", "中", " ", "  ", "\t", "\n", "zz", "ж"]) for _ in range(n)) for n in (1, 2, 5, 20, 80) for _ in range(40)]
+    sentencepiece_codec.verify_parity(path, texts)
+
+
+def test_threads_give_the_same_ids(spark, odd):
+    rows = [sorted((r.doc_id or 0, r.ids) for r in sentencepiece_codec.encode(odd, MODEL, carry=["doc_id"], threads=n).collect()) for n in (1, 4)]
+    assert rows[0] == rows[1]
+
+
 def plain_sets(text):
     words = (text or "").lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
