@@ -69,6 +69,16 @@ def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         start = stop
 
 
+#: Rows of a materialised table (a few short columns) that may be broadcast: some 50 MB.
+MOST_BROADCAST = 500_000
+
+
+def broadcast_if_small(table: DataFrame, most_rows: int = MOST_BROADCAST) -> DataFrame:
+    """``table``, which must be materialised, marked for a broadcast if it has no more than ``most_rows``
+    rows; beyond, it is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def key_of(column: str) -> Column:
     """A non-null string key for a nullable column: null and '' stay apart."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
@@ -95,6 +105,7 @@ def rows_kept(docs: DataFrame, judged: DataFrame, doc_id: Column) -> DataFrame:
     apart = materialise(found.select(F.col("doc_id").alias("_apart_id"), F.col("text_digest").alias("_apart_digest"), "kept"))
     digest = text_digest(F.col("text"))
     same = doc_id.eqNullSafe(F.col("_apart_id")) & (digest == F.col("_apart_digest"))
+    apart = broadcast_if_small(apart)  # few rows: texts need not be shuffled
     single = docs.join(apart.select("_apart_id", "_apart_digest"), same, "left_anti").select(*docs.columns)
     if not apart.filter("kept").limit(1).count():
         return single

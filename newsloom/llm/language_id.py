@@ -9,8 +9,10 @@ Texts are lower-cased; every letter of the training text is a symbol of its own,
 digits are one symbol, and runs of anything that is no letter are one break. A letter that no training
 text has is a phrase of its own in every language. Parsing restarts every ``segment`` symbols, at the same
 places for all languages, which bounds the number of dependent steps however long a text is; whole texts
-are parsed. The transitions of all automata stand in one hash table that has as many entries as they
-have (at most three for each training symbol), so that a model grows with the training text alone.
+are parsed. The transitions of all automata stand in one table in which the rows of states overlap: a
+state's transition for a symbol is at the state's base plus the symbol, if the entry there names the state.
+It has hardly more entries than there are transitions (at most three for each training symbol), so that
+a model grows with the training text, and not with the alphabet too.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language first in alphabetical order; without training text every text is ``und``; extra columns
@@ -33,20 +35,18 @@ from ._common import text_blocks
 UND = "und"
 #: Symbols: a letter without training text, a break, a digit; learned letters follow.
 UNSEEN, BREAK, DIGIT, LETTERS = 0, 1, 2, 3
-U64 = np.uint64
-SYMBOL_BITS, STATE_BITS = U64(16), U64(24)
-STATES = U64((1 << 24) - 1)
-EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-SPREAD = U64(0x9E3779B97F4A7C15)
+STATE_BITS = 24
+STATES = (1 << STATE_BITS) - 1
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages, symbol of each code point, the hash table of all transitions, where phrases begin, and log lengths."""
+    """languages, symbol of each code point, the table of all transitions, where phrases begin, and log lengths."""
 
     languages: list[str]
     symbols: np.ndarray  # uint16 by code point
-    slots: np.ndarray  # uint64: (state, symbol) and the next state, or EMPTY
+    base: np.ndarray  # int32 by state
+    entries: np.ndarray  # int64 by base + symbol: the state and the next state, or -1
     starts: np.ndarray  # first state of each language
     first: np.ndarray  # [languages, symbols]: the state of a phrase that starts with a symbol
     weights: np.ndarray  # log2 of each training length
@@ -104,56 +104,59 @@ def suffix_automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def transitions(automaton: list[dict[int, int]], start: int) -> tuple[np.ndarray, np.ndarray]:
-    """(state and symbol, next state) of every transition, with states counted from ``start``."""
-    sizes = np.fromiter(map(len, automaton), np.int64, len(automaton))
-    of = np.repeat(np.arange(len(automaton)) + start, sizes).astype(U64)
-    symbol = np.fromiter((c for m in automaton for c in m), U64, int(sizes.sum()))
-    to = np.fromiter((j for m in automaton for j in m.values()), U64, int(sizes.sum()))
-    return (of << SYMBOL_BITS) | symbol, to + U64(start)
-
-
-def place_of(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (keys * SPREAD) >> U64(65 - len(slots).bit_length())
-
-
-def hash_table(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Open addressing, at most a quarter full; a taken place passes on to the next."""
-    slots = np.full(1 << max(4, (4 * len(keys)).bit_length()), EMPTY)
-    entries, at = (keys << STATE_BITS) | values, place_of(keys, slots)
-    while len(entries):
-        free = slots[at] == EMPTY
-        _, one = np.unique(at[free], return_index=True)
-        put = np.flatnonzero(free)[one]
-        slots[at[put]] = entries[put]
-        left = np.ones(len(entries), bool)
-        left[put] = False
-        entries, at = entries[left], (at[left] + U64(1)) & U64(len(slots) - 1)
-    return slots
+def overlapped(automata: list[list[dict[int, int]]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, entries) of the table of all states, counted through. States with several transitions are
+    placed first, the largest first, each where its entries are free; those with one fill the gaps."""
+    states = [m for automaton in automata for m in automaton]
+    of = np.repeat(np.arange(len(automata)), [len(a) for a in automata])
+    offset = (np.cumsum([0, *map(len, automata)])[:-1] if automata else np.zeros(0, np.int64))[of].tolist()
+    sizes = np.fromiter(map(len, states), np.int64, len(states))
+    several = np.flatnonzero(sizes > 1)
+    several = several[np.argsort(-sizes[several], kind="stable")]
+    room = 2 * int(sizes.sum()) + 4 * alphabet
+    taken = bytearray(room)
+    base, entries = np.zeros(len(states) + 1, np.int32), np.full(room, -1, np.int64)  # the last state has no transitions
+    begin = alphabet
+    for state in several.tolist():
+        symbols = sorted(states[state])
+        low, rest = symbols[0], symbols[1:]
+        at = taken.find(0, begin)
+        tries = 0
+        while any(taken[at + s - low] for s in rest):
+            at = taken.find(0, at + 1)
+            tries += 1
+        if tries > 8:  # what lies before is nearly full
+            begin += (at - begin) // 4
+        base[state] = at - low
+        for s, to in states[state].items():
+            taken[at + s - low] = 1
+            entries[at + s - low] = (state << STATE_BITS) | (to + offset[state])
+    one = np.flatnonzero(sizes == 1)
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8)[alphabet:] == 0)[: len(one)] + alphabet
+    symbol = np.fromiter((next(iter(states[i])) for i in one), np.int64, len(one))
+    to = np.fromiter((next(iter(states[i].values())) + offset[i] for i in one), np.int64, len(one))
+    base[one] = free - symbol
+    entries[free] = (one << STATE_BITS) | to
+    used = int(np.flatnonzero(entries >= 0).max(initial=0)) + 1
+    return base, np.append(entries[:used], np.full(alphabet, -1, np.int64))
 
 
 def build(samples: dict[str, list[str]]) -> Model:
     languages = sorted(samples)
     symbols, alphabet = symbol_table([t for texts in samples.values() for t in texts])
-    starts, weights, keys, values, total = [], [], [], [], 0
+    automata, weights = [], []
     for language in languages:
         parts = [np.append(encode(t, symbols), np.uint16(BREAK)) for t in samples[language]]
         sequence = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-        automaton = suffix_automaton(sequence)
-        k, v = transitions(automaton, total)
-        starts.append(total)
-        keys.append(k)
-        values.append(v)
-        total += len(automaton)
+        automata.append(suffix_automaton(sequence))
         weights.append(np.log2(max(2, len(sequence))))
-    if total >= int(STATES) or alphabet >= 1 << int(SYMBOL_BITS):
+    starts = np.cumsum([0, *map(len, automata)])
+    if starts[-1] >= STATES or alphabet >= 1 << 16:
         raise ValueError("the training text is too long or has too many letters for the table of transitions")
-    first = np.full((len(languages), alphabet), total, U64)  # the state after the last has no transitions
-    for row, start, k, v in zip(first, starts, keys, values, strict=True):
-        root = (k >> SYMBOL_BITS) == U64(start)
-        row[(k[root] & U64((1 << int(SYMBOL_BITS)) - 1)).astype(np.int64)] = v[root]
-    nothing = [np.zeros(0, U64)]
-    return Model(languages, symbols, hash_table(np.concatenate(keys or nothing), np.concatenate(values or nothing)), np.array(starts, np.int64), first, np.array(weights))
+    first = np.full((len(languages), alphabet), starts[-1], np.int64)  # the state after the last has no transitions
+    for row, automaton, start in zip(first, automata, starts[:-1], strict=True):
+        row[list(automaton[0])] = [to + start for to in automaton[0].values()]
+    return Model(languages, symbols, *overlapped(automata, alphabet), starts[:-1], first, np.array(weights))
 
 
 def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: int, seed: int) -> dict[str, list[str]]:
@@ -189,20 +192,10 @@ class Parser:
 
     def moves(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, whether there is none) after ``symbol``; [languages, segments]."""
-        slots = self.model.slots
-        keys = (state << SYMBOL_BITS) | symbol
-        at = place_of(keys, slots)
-        entries = slots.take(at.view(np.int64))
-        known = (entries >> STATE_BITS) == keys
-        open_ = np.flatnonzero(~known & (entries != EMPTY))  # another key stands there: look further
-        while len(open_):
-            at.ravel()[open_] = (at.ravel()[open_] + U64(1)) & U64(len(slots) - 1)
-            found = slots[at.ravel()[open_]]
-            entries.ravel()[open_] = found
-            same = (found >> STATE_BITS) == keys.ravel()[open_]
-            known.ravel()[open_] = same
-            open_ = open_[~same & (found != EMPTY)]
-        return entries & STATES, ~known
+        entries = self.model.entries.take(self.model.base.take(state) + symbol, mode="clip")
+        failed = (entries >> STATE_BITS) != state
+        entries &= STATES
+        return entries, failed
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: the number of phrases of each text against each automaton."""
@@ -217,15 +210,15 @@ class Parser:
         size = np.minimum(self.segment, lengths[owner] - at * self.segment)
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
-        flat = np.concatenate(sequences).astype(U64)
+        flat = np.concatenate(sequences).astype(np.int64)
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # segments longer than t
-        state = np.repeat(self.model.starts.astype(U64)[:, None], len(owner), axis=1)
+        state = np.repeat(self.model.starts.astype(np.int64)[:, None], len(owner), axis=1)
         found = np.ones(state.shape, np.int32)
         for t in range(size[0]):
             k = active[t]
             symbol = flat[begin[:k] + t]
             moved, failed = self.moves(state[:, :k], symbol)
-            np.copyto(moved, self.model.first.take(symbol.view(np.int64), axis=1), where=failed)
+            np.copyto(moved, self.model.first.take(symbol, axis=1), where=failed)
             state[:, :k] = moved
             if t:
                 found[:, :k] += failed

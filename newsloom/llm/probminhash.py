@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import Stored, rows_kept, text_blocks, text_digest, with_row_id
+from ._common import Stored, broadcast_if_small, rows_kept, text_blocks, text_digest, with_row_id
 
 U64 = np.uint64
 #: Odd multipliers of a shingle's words, by place.
@@ -337,9 +337,9 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     members = stored.put("members", banded.join(buckets, "band"))
 
     # A text is found by its digest and doc_id; equal ones are the same text, so one is enough.
-    known = with_words.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_digest")
+    known = stored.put("known", with_words.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_digest"))
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(known, "text_digest")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(broadcast_if_small(known), "text_digest")
     texts = found.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     sets = stored.put("sets", shingle_sets(texts, width=width).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
@@ -349,7 +349,7 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     labelled = members.join(parts, "node", "left").select("node", "n_shingles", "number", "band", F.coalesce("component", "node").alias("component"))
     several = lambda some: some.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     open_rows = stored.put("open", labelled.join(several(labelled), "band", "left_semi").join(with_words.select("node", "signature"), "node"))
-    stored.drop("members", "links")
+    stored.drop("members", "known", "links")
     likely = partners(open_rows, registers, int(agreement * registers), threshold, block)
     likely = stored.put("likely", open_rows.join(likely, "node", "left_semi"))
     likely = likely.join(several(likely), "band", "left_semi")
