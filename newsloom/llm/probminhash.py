@@ -267,18 +267,26 @@ def agreeing(met: pa.Table, registers: int, least: int, ratio: float, tile: int
                 yield i[x], j[y], signature[i[x]], signature[j[y]]
 
 
-def partners(rows: DataFrame, registers: int, least: int, ratio: float, block: int) -> DataFrame:
-    """The nodes of ``rows`` that have an agreeing partner in another component of one of their buckets."""
+def first_shared(s: np.ndarray, t: np.ndarray, number: np.ndarray, bands: int) -> np.ndarray:
+    """Whether the band of this meeting (``number``) is the first that two signatures share: pairs are compared there only."""
+    shared = (s == t).reshape(len(s), bands, -1).all(axis=2)
+    return shared.any(axis=1) & (shared.argmax(axis=1) == number)
+
+
+def partners(rows: DataFrame, *, threshold: float, bands: int, registers: int, least: int, block: int) -> DataFrame:
+    """The places (band, node) of ``rows`` where a node has an agreeing partner in another component that is to be compared there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in meetings(batches):
-            node, found = met.column("node").to_numpy(), set()
-            for i, j, _, _ in agreeing(met, registers, least, ratio):
-                found.update(node[i].tolist(), node[j].tolist())
+            node, number, found = met.column("node").to_numpy(), met.column("number").to_numpy(), set()
+            for i, j, s, t in agreeing(met, registers, least, threshold):
+                here = first_shared(s, t, number[i], bands)
+                found.update(node[i[here]].tolist(), node[j[here]].tolist())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["node"])
+                band = met.column("band")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([band] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["band", "node"])
 
-    return dealt(rows, block).mapInArrow(run, "node long").distinct()
+    return dealt(rows, block).mapInArrow(run, "band long, node long").distinct()
 
 
 def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands: int, registers: int, least: int, block: int) -> DataFrame:
@@ -287,8 +295,6 @@ def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands:
     A pair is compared exactly in the first band that it shares, unless links found before in the same
     meeting already join its components: what leaves a meeting are fewer links than it has components.
     """
-    width = registers // bands
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in meetings(batches):
             node, component, number = (met.column(c).to_numpy() for c in ("node", "component", "number"))
@@ -304,8 +310,7 @@ def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands:
 
             a, b = [], []
             for i, j, s, t in agreeing(met, registers, least, threshold):
-                shared = (s == t).reshape(len(i), bands, width).all(axis=2)
-                first = shared.any(axis=1) & (shared.argmax(axis=1) == number[i])
+                first = first_shared(s, t, number[i], bands)
                 for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
                     p, q = find(int(component[x])), find(int(component[y]))
                     if p == q:
@@ -350,10 +355,9 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     several = lambda some: some.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     open_rows = stored.put("open", labelled.join(several(labelled), "band", "left_semi").join(with_words.select("node", "signature"), "node"))
     stored.drop("members", "known", "links")
-    likely = partners(open_rows, registers, int(agreement * registers), threshold, block)
-    likely = stored.put("likely", open_rows.join(likely, "node", "left_semi"))
-    likely = likely.join(several(likely), "band", "left_semi")
-    more = stored.put("more", links_between(likely, sets, threshold=threshold, bands=bands, registers=registers, least=int(agreement * registers), block=block))
+    sizes = {"threshold": threshold, "bands": bands, "registers": registers, "least": int(agreement * registers), "block": block}
+    likely = stored.put("likely", open_rows.join(partners(open_rows, **sizes), ["band", "node"], "left_semi"))
+    more = stored.put("more", links_between(likely, sets, **sizes))
     parts = stored.put("classes", joined_by(more, parts, stored))
     stored.drop("open", "likely", "sets", "more")
 
