@@ -30,6 +30,42 @@ def word_count(body: Column) -> Column:
     return F.regexp_count(body, F.lit(r"\S+"))
 
 
+def ruby_words(body: Column) -> Column:
+    """Words between ASCII white space and null characters."""
+    return F.regexp_count(body, F.lit(r"[^\x00\x09-\x0D\x20]+"))
+
+
+def python_words(body: Column) -> Column:
+    """Words between white space of any script."""
+    return F.regexp_count(body, F.lit(f"[^{SPACE[1:-1]}]+"))
+
+
+def bridge_body(body: Column) -> Column:
+    """Single spaces, and lines without blank ones between or around."""
+    spaced = F.regexp_replace(body, "[ \\t]+", " ")
+    return F.regexp_replace(F.regexp_replace(spaced, f"{SPACE}*\\n{SPACE}*", "\n"), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def excerpt(body: Column, words: int = 55) -> Column:
+    """The first words of a body."""
+    return F.array_join(F.slice(F.filter(F.split(body, f"{SPACE}+"), lambda w: w != ""), 1, words), " ")
+
+
+def authors(value: Column) -> Column:
+    """Names from a byline that has commas or ``and`` between them."""
+    return F.filter(F.split(F.coalesce(value, F.lit("")), r"\s*(?:,| and )\s*"), lambda n: F.trim(n) != "")
+
+
+#: Phrases of pages behind an access wall: fixed values.
+WALLS = ["subscribe to continue", "sign in to continue", "already a subscriber"]
+
+
+def warnings(body: Column, page: Column) -> Column:
+    """What an editor should know of a collected article: a short body, signs of an access wall."""
+    wall = F.lower(page).rlike("|".join(WALLS))
+    return F.array_compact(F.array(F.when(python_words(body) < LEAST_WORDS, "body_under_150_words"), F.when(wall, "possible_access_wall")))
+
+
 def content_hash(body: Column, title: Column) -> Column:
     """SHA-256 of the canonical JSON of body and title."""
     return F.sha2(F.to_json(F.struct(body.alias("body_text"), title.alias("title")), {"ignoreNullFields": "false"}), 256)

@@ -65,6 +65,24 @@ def near_pairs(vectors: DataFrame, threshold: float, *, rows_per_block: int = 2_
     return block_products(vectors.select("id", "v"), pick, "a long, b long, similarity double", rows_per_block)
 
 
+def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataFrame:
+    """id and component (its least id) of the graph of near pairs; a row without a near one is alone.
+
+    Each round takes the least label among the neighbours and then the label of the label.
+    """
+    pairs = near_pairs(vectors, threshold, **sizes).select("a", "b")
+    ways = cut_lineage(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut_lineage(vectors.select("id", F.col("id").alias("component")))
+    while True:
+        near = ways.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        stepped = cut_lineage(hooked.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        labels = stepped.drop("old")
+        if not stepped.filter("old <> component").limit(1).count():
+            return labels
+
+
 def average_linkage(vectors: DataFrame, threshold: float = 0.145, **sizes: int) -> DataFrame:
     """id and cluster (its least id) of every row of ``vectors`` (id, v); rows without a near one are alone.
 
@@ -106,7 +124,9 @@ def cluster_stats(members: DataFrame) -> DataFrame:
     from rows (id, cluster, source, v)."""
     several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("source")).alias("sources")).filter("size > 1")
     pairs = group_pairs(members.join(several, "cluster", "left_semi"), "cluster", "id", "v")
-    said = pairs.groupBy("cluster").agg(*[F.round(f("similarity"), 6).alias(n) for f, n in ((F.avg, "mean_similarity"), (F.min, "min_similarity"), (F.max, "max_similarity"))])
+    # The mean is that of whole millionths, so that it does not depend on the order of the pairs.
+    mean = F.sum(F.round(F.col("similarity") * 1_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000
+    said = pairs.groupBy("cluster").agg(F.round(mean, 6).alias("mean_similarity"), F.min("similarity").alias("min_similarity"), F.max("similarity").alias("max_similarity"))
     return several.join(said, "cluster").withColumn("n_sources", F.size("sources").cast("long"))
 
 

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, url_host
 
 
-def decide(candidates: DataFrame, known: DataFrame, *, hosts: list[str], cap: int, trust_markers: bool = False) -> DataFrame:
+def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: int, trust_markers: bool = False) -> DataFrame:
     """Adds canonical_url, decision and reason to candidates (ordinal, url, source_updated_at).
 
-    ``known`` has canonical_url (unique) and source_updated_at. The cap counts accepted candidates in
-    the order of their ordinals: the last accepted ordinal is found by a top-k of ``cap`` rows, not by
-    a running count over one partition. Host comes before duplicate, and a capped or known URL counts
-    as seen.
+    ``known`` has canonical_url (unique) and source_updated_at; ``hosts`` has host, the allow-list. The cap
+    counts accepted candidates in the order of their ordinals: the last accepted ordinal is found by a top-k
+    of ``cap`` rows, not by a running count over one partition. Host comes before duplicate, and a capped or
+    known URL counts as seen. Rows without a valid URL are never grouped.
     """
-    rows = candidates.withColumn("canonical_url", canonical_url(F.col("url")))
-    first = F.row_number().over(Window.partitionBy("canonical_url").orderBy("ordinal")) == 1
+    rows = candidates.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_host", url_host(F.col("canonical_url")))
+    # The first row of each URL, found again by (URL, ordinal): no task sorts all rows of one URL.
+    first = rows.filter("canonical_url IS NOT NULL").groupBy("canonical_url").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
     state = known.select("canonical_url", F.col("source_updated_at").alias("_known_at"), F.lit(True).alias("_known"))
-    newer = F.lit(trust_markers) & F.col("source_updated_at").isNotNull() & (F.col("_known_at").isNull() | (F.col("source_updated_at") > F.col("_known_at")))
+    allowed = hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_allowed")).distinct()
+    marker = F.col("source_updated_at")
+    newer = F.lit(trust_markers) & marker.isNotNull() & (F.col("_known_at").isNull() | (marker > F.col("_known_at")))
     judged = (
-        rows.withColumn("_first", first)
+        rows.join(first, ["canonical_url", "ordinal"], "left")
         .join(state, "canonical_url", "left")
+        .join(allowed, "_host", "left")
         .withColumn(
             "reason",
             F.when(F.col("canonical_url").isNull(), "invalid_url")
-            .when(~F.coalesce(url_host(F.col("canonical_url")).isin(hosts), F.lit(False)), "disallowed_host")
-            .when(~F.col("_first"), "duplicate_in_run")
+            .when(F.col("_allowed").isNull(), "disallowed_host")
+            .when(F.col("_first").isNull(), "duplicate_in_run")
             .when(F.col("_known").isNull(), "unseen")
             .when(newer, "trusted_newer_update")
             .otherwise("known_unchanged"),

@@ -8,13 +8,12 @@ with nation and region is the publisher registry.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import places, urls
 from ..functions import text as tx
-from ..functions import urls
 from ..operators import clusters, constraints, corpus, dossier, gate, receipts
 from ..streaming import hourly
 
@@ -74,8 +73,7 @@ GATE_SQL = f"""WITH {URL_SQL},
 def _decisions(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), "url", F.lit(None).cast("string").alias("source_updated_at"))
     url = urls.canonical_url(F.col("url"))
-    # The run's allow-list is configuration: a short list of host names.
-    hosts = [r[0] for r in pages.filter("ordinal % 10 <> 9").select(urls.url_host(url)).distinct().collect() if r[0]]
+    hosts = pages.filter("ordinal % 10 <> 9").select(urls.url_host(url).alias("host")).distinct()
     known = pages.filter("ordinal % 5 = 0").select(url.alias("canonical_url"), "source_updated_at").filter("canonical_url IS NOT NULL").distinct()
     return gate.decide(pages, known, hosts=hosts, cap=CAP)
 
@@ -251,7 +249,9 @@ def audience_role(spark, sf_dir):
     registry = (
         table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return registry.select("s_suppkey", dossier.audience_role(F.col("n_name"), F.col("r_name"), F.lit("France")).alias("role"))
+    # The table's region names stand for the continents that the rule knows.
+    continent = F.when(F.col("r_name") == "EUROPE", "Europe").when(F.col("r_name") == "AMERICA", "North America").otherwise(F.col("r_name"))
+    return registry.select("s_suppkey", places.audience_role(F.col("n_name"), continent, F.lit("France")).alias("role"))
 
 
 @query("""WITH s AS (
@@ -289,10 +289,7 @@ def qualification_report(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, sf_dir):
-    folder = PurePosixPath(sf_dir).name
-    schema = table(spark, sf_dir, "events").schema
-    name = "hourly_" + "".join(c if c.isalnum() else "_" for c in folder)
-    return hourly.run_available(spark, sf_dir, "events.parquet", schema, name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return hourly.run_hourly(spark, f"{sf_dir}/events.parquet").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 #: The given vectors are nearly orthogonal: the defaults of the operator would find no cluster in them.

@@ -1,9 +1,57 @@
-"""Hourly counts of a stream of receipts."""
+"""Streams of receipts: hourly counts, slots delivered once, the gate over a stream, and leases with timers.
+
+Every ``run_*`` reads what is there with a stream of its own, writes a table below the cluster's checkpoint
+folder, and reads that table; the stream's own checkpoint lies beside it. Nothing is kept on the driver.
+"""
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.slots import STATE, Source
+
+
+def work_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
+    return f"{folder}/{uuid.uuid4()}"
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a Parquet table: a folder as Spark writes it, or a single file."""
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders only
+        return source.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return source.parquet(path)
+
+
+def run_to_table(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
+    """What ``rows`` (a stream) gives for the data that is there, as a table. In complete mode each batch
+    replaces the table; in append and update mode it is added with its number in ``_batch``."""
+    folder = work_folder(spark)
+    schema = rows.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{folder}/table")
+        else:  # a batch that runs again replaces itself
+            batch.write.mode("overwrite").parquet(f"{folder}/table/_batch={number}")
+
+    query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not query.recentProgress:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table")
 
 
 def hourly_counts(rows: DataFrame, at: str = "ts", kind: str = "event_type", late: str = "2 hours") -> DataFrame:
@@ -13,9 +61,79 @@ def hourly_counts(rows: DataFrame, at: str = "ts", kind: str = "event_type", lat
     return timed.groupBy(F.window("_at", "1 hour").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
 
 
-def run_available(spark: SparkSession, folder: str, glob: str, schema, target: str) -> DataFrame:
-    """Run the stream over the files that are there, in complete mode, into the memory table ``target``."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    query = hourly_counts(stream).writeStream.outputMode("complete").format("memory").queryName(target).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(target)
+def run_hourly(spark: SparkSession, path: str) -> DataFrame:
+    return run_to_table(spark, hourly_counts(read_stream(spark, path)), "complete")
+
+
+def delivered_once(receipts: DataFrame, late: str = "31 days") -> DataFrame:
+    """One row of each (source_id, slot_at): a slot that is delivered again within ``late`` is dropped."""
+    return receipts.withWatermark("at", late).dropDuplicatesWithinWatermark(["source_id", "slot_at"])
+
+
+def late_rows(everything: DataFrame, delivered: DataFrame, key: list[str]) -> DataFrame:
+    """The back-fill of what came after the watermark: rows whose key is not among the delivered ones."""
+    return everything.join(delivered.select(*key).distinct(), key, "left_anti")
+
+
+def gate_stream(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """The stream's candidates (canonical_url, ...) with decision and reason against the known state, a static table."""
+    state = known.select("canonical_url", F.lit(True).alias("_known"))
+    reason = F.when(F.col("canonical_url").isNull(), "invalid_url").when(F.col("_known").isNull(), "unseen").otherwise("known_unchanged")
+    return candidates.join(state, "canonical_url", "left").withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "unseen", "fetch").otherwise("skip")).drop("_known")
+
+
+def _pack(slots: dict) -> str:
+    return json.dumps([{k: v.isoformat() if isinstance(v, datetime) else v for k, v in {"slot_at": at, **s}.items()} for at, s in slots.items()])
+
+
+def _unpack(text: str) -> dict:
+    slots = {}
+    for s in json.loads(text):
+        for k in ("slot_at", "claimed_at", "lease_expires_at", "finished_at"):
+            s[k] = s[k] and datetime.fromisoformat(s[k])
+        slots[s.pop("slot_at")] = s
+    return slots
+
+
+def lease_stream(events: DataFrame, lease_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """The changed slots of every source after each batch of ``events`` (as for ``operators.slots.fold``).
+
+    A source's slots are its state. A timer stands at the end of its earliest live lease, in the time of the
+    events: when the watermark has passed it, slots whose lease is over come out with status ``expired`` (they can
+    be claimed again). A timer in processing time would keep a stream over given data from ever ending.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        source = Source(_unpack(state.get[0]) if state.exists else {})
+        now = datetime.fromtimestamp(state.getCurrentWatermarkMs() / 1000, UTC).replace(tzinfo=None)
+        if state.hasTimedOut:
+            touched = {at for at, s in source.slots.items() if s["status"] == "claimed" and s["lease_expires_at"] <= now}
+        else:
+            touched = set()
+            rows = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable")
+            for e in rows.itertuples(index=False):
+                at, slot_at = e.at.to_pydatetime(), e.slot_at.to_pydatetime()
+                if e.action == "claim":
+                    changed = source.claim(slot_at, at, timedelta(seconds=lease_seconds))
+                else:
+                    changed = source.finish(slot_at, at, e.action, None if pd.isna(e.run_id) else int(e.run_id))
+                if changed:
+                    touched.add(slot_at)
+            state.update((_pack(source.slots),))
+        ends = [s["lease_expires_at"] for s in source.slots.values() if s["status"] == "claimed" and s["lease_expires_at"] > now]
+        if ends:
+            state.setTimeoutTimestamp(int(min(ends).replace(tzinfo=UTC).timestamp() * 1000) + 1)
+        made = [{"source_id": key[0], "slot_at": at, **source.slots[at], **({"status": "expired"} if state.hasTimedOut else {})} for at in sorted(touched)]
+        frame = pd.DataFrame(made, columns=[f.split()[0] for f in STATE.split(", ")])
+        frame["run_id"] = frame["run_id"].astype("Int64")
+        yield frame
+
+    timed = events.withWatermark("at", late)
+    return timed.groupBy("source_id").applyInPandasWithState(step, STATE, "slots string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_slots(changes: DataFrame) -> DataFrame:
+    """The last state of each slot from a table of changes with their batch."""
+    names = [f.split()[0] for f in STATE.split(", ")]
+    last = changes.groupBy("source_id", "slot_at").agg(F.max_by(F.struct(*names[2:]), "_batch").alias("_l"))
+    return last.select("source_id", "slot_at", "_l.*")
