@@ -23,5 +23,5 @@ def read_json(spark: SparkSession, path: str, schema: str, most_bytes: int = MOS
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
-    """Append decisions as JSON lines; nulls are written out."""
-    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+    """Append decisions as JSON lines, keys in order; nulls are written out."""
+    rows.select(*sorted(rows.columns)).write.mode("append").option("ignoreNullFields", "false").json(path)
