@@ -82,6 +82,53 @@ class ArticlePage(HTMLParser):
         }
 
 
+#: Elements that never have an end tag: fixed values of HTML.
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
+ADDED = frozenset(["advertisement", "audio-module"])
+
+
+class CleanPage(HTMLParser):
+    """The text nodes of a page's body without what was put around the article: navigation bars, scripts, forms,
+    advertisements, audio players, and the block that holds the provenance link."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool, int]] = []  # tag, whether its content is dropped, texts before it
+        self.texts: list[str] = []
+        self.marked: set[int] = set()  # depths of blocks that will be dropped when they end
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        given = {k: v or "" for k, v in attrs}
+        bar = tag == "table" and "touchscreen_navbar" in given.get("class", "").split()
+        dropped = bool(self.open and self.open[-1][1]) or tag in SKIPPED or bar or given.get("aria-label") in ADDED
+        if tag == "a" and given.get("rel") == PROVENANCE:
+            self.marked.update([next((i for i in reversed(range(len(self.open))) if self.open[i][0] in ("p", "div")), -1)])
+        if tag not in VOID:
+            self.open.append((tag, dropped, len(self.texts)))
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
+        if at is None:
+            return
+        drop = [i for i in self.marked if i >= at]
+        if drop:
+            del self.texts[self.open[min(drop)][2] :]
+        self.marked -= set(drop)
+        del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        inside = not self.open or not self.open[-1][1]
+        if inside and any(t == "body" for t, _, _ in self.open) and data.strip():
+            self.texts.append(data.strip())
+
+
+def clean_text(page: str | None) -> str:
+    parser = CleanPage()
+    parser.feed(page or "")
+    parser.close()
+    return "\n".join(parser.texts)
+
+
 class Links(HTMLParser):
     """Address and text of every anchor."""
 
@@ -152,3 +199,15 @@ def page_links(pages: DataFrame, *, key: str = "page_id", page: str = "html", ba
 
     schema = T.StructType([pages.schema[key], T.StructField("position", T.IntegerType()), T.StructField("link", T.StringType()), T.StructField("title", T.StringType())])
     return pages.select(key, page, base).mapInArrow(run, schema)
+
+
+def clean_bodies(pages: DataFrame, column: str = "html", into: str = "body_text") -> DataFrame:
+    """The other columns of ``pages`` and the cleaned text of the page in ``column``."""
+    kept = [f for f in pages.schema if f.name not in (column, into)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([clean_text(p.as_py()) for p in batch.column(column)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], texts], names=[*[f.name for f in kept], into])
+
+    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))

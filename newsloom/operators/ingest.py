@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import strict_time, time_error
+from ..functions.dates import bridge_time, strict_time, time_error
 from ..functions.text import normalise_body, normalise_title
-from ..functions.urls import http_url, url_host
+from ..functions.urls import canonical_url, http_url, url_host
 
 #: Longest message of an error receipt, in characters.
 MOST_MESSAGE = 500
@@ -147,9 +147,6 @@ def known_state(documents: DataFrame) -> DataFrame:
 
 def known_state_error(version: Column, slug: Column, url: Column, marker: Column) -> Column:
     """A message where an entry of a known state cannot be used, else null."""
-    from ..functions.dates import bridge_time
-    from ..functions.urls import canonical_url
-
     return (
         F.when(~version.eqNullSafe(F.lit("calibre-known-state/v1")), "known state must use calibre-known-state/v1")
         .when(F.coalesce(slug, F.lit("")) == "", "known state requires source_slug")

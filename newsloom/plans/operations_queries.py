@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import manifests, policies, reports, slots
+from ..functions.text import word_count
+from ..operators import constraints, manifests, policies, records, reports, slots
 from ..streaming import hourly
 from .catalogue import DUPLICATE_SQL, URL_SQL, _duplicates, query, table
 
@@ -310,3 +311,57 @@ def stream_leases(spark, sf_dir):
     """The lease state of every slot, kept by a stream of receipts."""
     received = lease_events(hourly.read_stream(spark, f"{sf_dir}/events.parquet"))
     return hourly.latest_slots(hourly.run_to_table(spark, hourly.lease_stream(received), "update"))
+
+
+@query(r"""SELECT doc_id, sha256('{"acquisition":{"final_url":"https://e.com/' || doc_id || '","http_status":200,"requested_url":"https://e.com/' || doc_id || '?r","retrieved_at":"2026-08-09T10:00:00Z"},"article":{"canonical_url":"https://e.com/'
+    || doc_id || '","language":"' || coalesce(lang, 'en') || '","title":"T"},"content":{"body_text":' || to_json(text) || ',"word_count":' || len(regexp_extract_all(text, '\S+')) || '},"schema_version":"calibre-article/v1","source_slug":"' || source || '"}') AS payload_hash FROM documents""")
+def article_payloads(spark, sf_dir):
+    url = F.concat(F.lit("https://e.com/"), "doc_id")
+    made = records.article_payload(F.col("source"), url, F.lit("T"), F.col("text"), word_count(F.col("text")), F.col("lang"), F.lit("2026-08-09T10:00:00Z"), F.concat(url, F.lit("?r")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(made, 256).alias("payload_hash"))
+
+
+@query("""SELECT event_id, 1 + (event_id % 3 = 0)::INT AS kept, '{' || CASE WHEN event_id % 2 = 0 THEN '"kind":"' || event_type || '",' ELSE '' END || '"user":' || user_id || '}' AS metadata FROM events""")
+def kept_metadata(spark, sf_dir):
+    """Headers of the allowed names, and metadata without nulls."""
+    k = F.col("event_id")
+    headers = F.create_map(F.lit("ETag"), F.lit("x"), F.lit("Set-Cookie"), F.lit("y"), F.when(k % 3 == 0, "Date").otherwise("X-Date"), F.lit("z"))
+    metadata = records.without_nulls({"user": F.col("user_id"), "kind": F.when(k % 2 == 0, F.col("event_type"))})
+    return table(spark, sf_dir, "events").select("event_id", F.size(records.kept_headers(headers)).alias("kept"), metadata.alias("metadata"))
+
+
+@query("SELECT o_custkey, p_type, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def traversals(spark, sf_dir):
+    """Orders to parts through their lines: documents of clusters, claims of stories, stories of editions."""
+    link = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    left, right = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return records.traverse(left, link, right, "o_orderkey", "p_partkey").groupBy("o_custkey", "p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Customer' WHEN 1 THEN 'Supplier' ELSE 'Story' END AS subject_type,
+    CASE event_id % 3 WHEN 0 THEN user_id IN (SELECT c_custkey FROM customer) WHEN 1 THEN user_id IN (SELECT s_suppkey FROM supplier) ELSE false END AS found FROM events""")
+def audit_subjects(spark, sf_dir):
+    k = F.col("event_id") % 3
+    events = table(spark, sf_dir, "events").select("event_id", F.when(k == 0, "Customer").when(k == 1, "Supplier").otherwise("Story").alias("subject_type"), F.col("user_id").alias("subject_id"))
+    tables = {"Customer": table(spark, sf_dir, "customer").select("c_custkey"), "Supplier": table(spark, sf_dir, "supplier").select("s_suppkey")}
+    return records.subjects(events, tables).select("event_id", "subject_type", "found")
+
+
+@query("""WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'attributed' WHEN 1 THEN 'rumour' ELSE 'confirmed' END AS status, CASE WHEN s_suppkey % 8 = 0 THEN 'A' END AS attributed_to FROM supplier),
+    e AS (SELECT event_id, value / 100 AS confidence, user_id, ts FROM events)
+  SELECT 'claims.status' AS check_name, count(*) FILTER (status = 'rumour') AS violations FROM c UNION ALL SELECT 'claims.attributed_to_someone', count(*) FILTER (status = 'attributed' AND attributed_to IS NULL) FROM c
+  UNION ALL SELECT 'evidence_items.confidence', count(*) FILTER (NOT confidence BETWEEN 0 AND 1) FROM e
+  UNION ALL SELECT 'news_collection_cycles.slot_at_unique', (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY date_trunc('hour', ts) HAVING count(*) > 1))
+  UNION ALL SELECT 'news_collection_cycles.status', 0 UNION ALL SELECT 'news_collection_cycles.on_the_hour', 0
+  UNION ALL SELECT 'news_collection_cycles.finished_if_completed', count(*) FILTER (user_id % 2 = 0) FROM e UNION ALL SELECT 'news_collection_cycles.sorted_sources', count(*) FILTER (user_id % 10 > 4) FROM e""")
+def model_checks(spark, sf_dir):
+    """The data model's checks on suppliers as claims and receipts as evidence and cycles, with faults by their numbers."""
+    s, e = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "events")
+    k = F.col("s_suppkey")
+    claims = s.select(F.when(k % 4 == 0, "attributed").when(k % 4 == 1, "rumour").otherwise("confirmed").alias("status"), F.when(k % 8 == 0, "A").alias("attributed_to"))
+    evidence = e.select((F.col("value") / 100).alias("confidence"))
+    cycles = e.select(
+        F.date_trunc("hour", "ts").alias("slot_at"), F.lit("completed").alias("status"), F.when(F.col("user_id") % 2 != 0, F.col("ts")).alias("finished_at"),
+        F.array(F.lit("e"), F.when(F.col("user_id") % 10 > 4, "a").otherwise("z")).alias("expected_source_slugs"),
+    )
+    return constraints.check_model({"claims": claims, "evidence_items": evidence, "news_collection_cycles": cycles})
