@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dossier import group_pairs, similarity
 
@@ -33,23 +34,63 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def block_products(vectors: DataFrame, pick: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame], schema: str, rows_per_block: int) -> DataFrame:
-    """What ``pick`` keeps of the products of all pairs of blocks of ``vectors`` (id, v, ...).
+#: Rows that stand for the others when vectors are dealt to cells, at most.
+MOST_PIVOTS = 256
 
-    Rows are dealt to blocks by digest; a task holds two blocks, and only what ``pick`` returns leaves it.
+
+def dealt_to_cells(vectors: DataFrame, rows_per_block: int) -> tuple[DataFrame, np.ndarray, dict[int, tuple[int, float]]]:
+    """(``vectors`` with the cell of their nearest pivot, the angles between pivots, (rows, radius) of each cell).
+
+    Pivots are rows that a digest chooses, more for larger tables and 256 at most; they and one row per cell
+    reach the driver. A cell's radius is the greatest angle of its rows to the pivot.
+    """
+    n = vectors.count()
+    pivots = min(MOST_PIVOTS, max(1, int(4 * (n / rows_per_block) ** 0.5)))
+    drawn = vectors.filter("v IS NOT NULL").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    points = np.array([r["v"] for r in drawn], float)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                near = np.stack(rows["v"]).astype(float) @ points.T
+                cell = near.argmax(axis=1)
+                yield rows.assign(_cell=cell.astype(np.int32), _angle=np.arccos(np.clip(near[np.arange(len(rows)), cell], -1, 1)))
+
+    schema = T.StructType([*vectors.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])
+    celled = cut_lineage(vectors.mapInPandas(nearest, schema))
+    cells = {r["_cell"]: (r["n"], r["radius"]) for r in celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("radius")).collect()}
+    return celled.drop("_angle"), np.arccos(np.clip(points @ points.T, -1, 1)) if len(points) else np.zeros((0, 0)), cells
+
+
+def block_products(
+    vectors: DataFrame, pick: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame], schema: str, rows_per_block: int, widest: float = np.pi
+) -> DataFrame:
+    """What ``pick`` keeps of the products of all pairs of unit ``vectors`` (id, v, ...) within an angle of ``widest``.
+
+    Rows are dealt to cells around pivots, and two cells meet only if rows of both can be that near: the angle
+    of their pivots is at most their radii and ``widest`` together, as angles obey the triangle inequality. Large
+    cells are cut into blocks by digest; a task holds two blocks, and only what ``pick`` returns leaves it.
     """
-    blocks = max(1, -(-vectors.count() // rows_per_block))
-    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    meets = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    meets = meets.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
+    celled, between, cells = dealt_to_cells(vectors, rows_per_block)
+    blocks = {c: -(-n // rows_per_block) for c, (n, _) in cells.items()}
+    # Unit vectors are so to about 1e-7, which blurs small angles to 1e-3.
+    meeting = [(i, j, blocks[j]) for i in cells for j in cells if between[i, j] <= cells[i][1] + cells[j][1] + widest + 2e-3]
+    spark = vectors.sparkSession
+    meet = spark.createDataFrame(meeting, "_cell int, _other int, _others int")  # MOST_PIVOTS squared rows at most
+    size = spark.createDataFrame(list(blocks.items()), "_cell int, _own int")
+    dealt = celled.join(F.broadcast(size), "_cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_own")).cast("int")).drop("_own")
+    rows = dealt.join(F.broadcast(meet), "_cell").withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_others") - 1)))
+    mine, other = F.struct(F.col("_cell").alias("c"), F.col("_block").alias("b")), F.struct(F.col("_other").alias("c"), F.col("_met").alias("b"))
+    rows = rows.withColumns({"_i": F.least(mine, other), "_j": F.greatest(mine, other), "_mine": mine})
+    rows = rows.select(*vectors.columns, F.col("_i.c").alias("_ic"), F.col("_i.b").alias("_ib"), F.col("_j.c").alias("_jc"), F.col("_j.b").alias("_jb"), (F.col("_mine") == F.col("_i")).alias("_left"), (F.col("_mine") == F.col("_j")).alias("_right"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["_block"] == rows["_i"]], rows[rows["_block"] == rows["_j"]]
+        left, right = rows[rows["_left"]], rows[rows["_right"]]
         if left.empty or right.empty:
             return pick(left, right, np.zeros((len(left), len(right))), False)
-        return pick(left, right, np.stack(left["v"]).astype(float) @ np.stack(right["v"]).astype(float).T, bool(rows["_i"].iat[0] == rows["_j"].iat[0]))
+        return pick(left, right, np.stack(left["v"]).astype(float) @ np.stack(right["v"]).astype(float).T, bool(rows["_left"].iat[0] and rows["_right"].iat[0]))
 
-    return meets.groupBy("_i", "_j").applyInPandas(run, schema)
+    return rows.groupBy("_ic", "_ib", "_jc", "_jb").applyInPandas(run, schema)
 
 
 def near_pairs(vectors: DataFrame, threshold: float, *, rows_per_block: int = 2_000) -> DataFrame:
@@ -62,7 +103,8 @@ def near_pairs(vectors: DataFrame, threshold: float, *, rows_per_block: int = 2_
         i, j = i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": products[i, j]})
 
-    return block_products(vectors.select("id", "v"), pick, "a long, b long, similarity double", rows_per_block)
+    widest = float(np.arccos(np.clip(1 - threshold, -1, 1)))
+    return block_products(vectors.select("id", "v"), pick, "a long, b long, similarity double", rows_per_block, widest)
 
 
 def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataFrame:
