@@ -51,7 +51,12 @@ def bridge_time(value: Column) -> Column:
     hours = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|[Zz+-])", "$1:00")
     hours = F.regexp_replace(hours, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=$|[Zz+-])", "$1:00")
     zoned = F.regexp_replace(F.replace(hours, F.lit(","), F.lit(".")), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    time = F.try_to_timestamp(F.when(zoned.rlike(r"(?i)[T ].*(z|[+-]\d{2}(:\d{2})?)$"), F.upper(zoned)).when(zoned.rlike("[T ]"), F.concat(zoned, F.lit("Z"))).otherwise(F.concat(zoned, F.lit("T00:00:00Z"))))
+    time = F.try_to_timestamp(
+        F.when(
+            zoned.rlike(r"(?i)[T ].*(z|[+-]\d{2}(:\d{2})?)$"),
+            F.upper(zoned),
+        ).when(zoned.rlike("[T ]"), F.concat(zoned, F.lit("Z"))).otherwise(F.concat(zoned, F.lit("T00:00:00Z")))
+    )
     fraction = F.regexp_replace(F.date_format(time, ".SSSSSS"), r"^\.0+$", "")
     return F.when(text.rlike(LOOSE), F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z")))
 

@@ -194,10 +194,17 @@ def page_links(pages: DataFrame, *, key: str = "page_id", page: str = "html", ba
                     positions.append(i)
                     links.append(link)
                     titles.append(title)
-            arrays = [pa.array(keys, batch.column(key).type), pa.array(positions, pa.int32()), pa.array(links, pa.string()), pa.array(titles, pa.string())]
+            arrays = [
+                pa.array(keys, batch.column(key).type),
+                pa.array(positions, pa.int32()),
+                pa.array(links, pa.string()),
+                pa.array(titles, pa.string()),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "position", "link", "title"])
 
-    schema = T.StructType([pages.schema[key], T.StructField("position", T.IntegerType()), T.StructField("link", T.StringType()), T.StructField("title", T.StringType())])
+    schema = T.StructType(
+        [pages.schema[key], T.StructField("position", T.IntegerType()), T.StructField("link", T.StringType()), T.StructField("title", T.StringType())]
+    )
     return pages.select(key, page, base).mapInArrow(run, schema)
 
 

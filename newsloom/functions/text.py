@@ -82,7 +82,10 @@ def completeness(url: Column, body: Column) -> Column:
 
 def completeness_local(url: Column, body: Column) -> Column:
     """As ``completeness``, for articles that were chosen by their number of words."""
-    return F.when(F.contains(url, F.lit("/live/")), "live_page").when(F.lower(body).contains("developing story"), "provisional").otherwise("substantial")
+    return F.when(F.contains(url, F.lit("/live/")), "live_page").when(
+        F.lower(body).contains("developing story"),
+        "provisional",
+    ).otherwise("substantial")
 
 
 def identity_prefix(url: Column) -> Column:

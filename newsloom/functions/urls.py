@@ -44,7 +44,10 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(part(3), "/{2,}", "/"), "/$", "")
     pairs = F.transform(
         F.filter(F.split(part(4), "&"), lambda p: p != ""),
-        lambda p: F.struct(form_decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("key"), form_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")),
+        lambda p: F.struct(
+            form_decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("key"),
+            form_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value"),
+        ),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["key"]).startswith("utm_") & ~F.lower(p["key"]).isin(TRACKING_PARAMETERS)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(form_encode(p["key"]), F.lit("="), form_encode(p["value"]))), "&")
@@ -102,5 +105,8 @@ def date_in_path(url: Column) -> Column:
     """A /2026/08/09/ or /2026/aug/9/ date of the path, or null."""
     path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
     numeric = F.try_to_date(F.regexp_replace(F.regexp_extract(path, r"/(20\d{2}/\d{2}/\d{2})/", 1), "/", "-"), "yyyy-MM-dd")
-    named = F.try_to_date(F.initcap(F.regexp_extract(path, r"(?i)/(20\d{2}/(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/\d{1,2})/", 1)), "yyyy/MMM/d")
+    named = F.try_to_date(
+        F.initcap(F.regexp_extract(path, r"(?i)/(20\d{2}/(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/\d{1,2})/", 1)),
+        "yyyy/MMM/d",
+    )
     return F.coalesce(numeric, named)

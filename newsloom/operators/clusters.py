@@ -58,12 +58,20 @@ def dealt_to_cells(vectors: DataFrame, rows_per_block: int) -> tuple[DataFrame,
 
     schema = T.StructType([*vectors.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])
     celled = cut_lineage(vectors.mapInPandas(nearest, schema))
-    cells = {r["_cell"]: (r["n"], r["radius"]) for r in celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("radius")).collect()}
+    cells = {
+        r["_cell"]: (r["n"], r["radius"]) for r in celled.groupBy("_cell").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("_angle").alias("radius"),
+        ).collect()
+    }
     return celled.drop("_angle"), np.arccos(np.clip(points @ points.T, -1, 1)) if len(points) else np.zeros((0, 0)), cells
 
 
 def block_products(
-    vectors: DataFrame, pick: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame], schema: str, rows_per_block: int, widest: float = np.pi
+    vectors: DataFrame, pick: Callable[
+        [pd.DataFrame, pd.DataFrame, np.ndarray, bool],
+        pd.DataFrame
+    ], schema: str, rows_per_block: int, widest: float = np.pi
 ) -> DataFrame:
     """What ``pick`` keeps of the products of all pairs of unit ``vectors`` (id, v, ...) within an angle of ``widest``.
 
@@ -82,13 +90,26 @@ def block_products(
     rows = dealt.join(F.broadcast(meet), "_cell").withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_others") - 1)))
     mine, other = F.struct(F.col("_cell").alias("c"), F.col("_block").alias("b")), F.struct(F.col("_other").alias("c"), F.col("_met").alias("b"))
     rows = rows.withColumns({"_i": F.least(mine, other), "_j": F.greatest(mine, other), "_mine": mine})
-    rows = rows.select(*vectors.columns, F.col("_i.c").alias("_ic"), F.col("_i.b").alias("_ib"), F.col("_j.c").alias("_jc"), F.col("_j.b").alias("_jb"), (F.col("_mine") == F.col("_i")).alias("_left"), (F.col("_mine") == F.col("_j")).alias("_right"))
+    rows = rows.select(
+        *vectors.columns,
+        F.col("_i.c").alias("_ic"),
+        F.col("_i.b").alias("_ib"),
+        F.col("_j.c").alias("_jc"),
+        F.col("_j.b").alias("_jb"),
+        (F.col("_mine") == F.col("_i")).alias("_left"),
+        (F.col("_mine") == F.col("_j")).alias("_right"),
+    )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["_left"]], rows[rows["_right"]]
         if left.empty or right.empty:
             return pick(left, right, np.zeros((len(left), len(right))), False)
-        return pick(left, right, np.stack(left["v"]).astype(float) @ np.stack(right["v"]).astype(float).T, bool(rows["_left"].iat[0] and rows["_right"].iat[0]))
+        return pick(
+            left,
+            right,
+            np.stack(left["v"]).astype(float) @ np.stack(right["v"]).astype(float).T,
+            bool(rows["_left"].iat[0] and rows["_right"].iat[0]),
+        )
 
     return rows.groupBy("_ic", "_ib", "_jc", "_jb").applyInPandas(run, schema)
 
@@ -117,7 +138,11 @@ def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataF
     labels = cut_lineage(vectors.select("id", F.col("id").alias("component")))
     while True:
         near = ways.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        hooked = labels.join(near, "id", "left").select(
+            "id",
+            F.col("component").alias("old"),
+            F.least("component", F.coalesce("near", "component")).alias("component"),
+        )
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
         stepped = cut_lineage(hooked.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
         labels = stepped.drop("old")
@@ -133,7 +158,13 @@ def average_linkage(vectors: DataFrame, threshold: float = 0.145, **sizes: int)
     edges = cut_lineage(near_pairs(vectors, threshold, **sizes).select("a", "b"))
     touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     members = touched.withColumn("cluster", F.col("id"))
-    centres = cut_lineage(vectors.join(touched, "id", "left_semi").select("id", F.lit(1).cast("long").alias("n"), F.transform("v", lambda x: x.cast("double")).alias("s")))
+    centres = cut_lineage(
+        vectors.join(touched, "id", "left_semi").select(
+            "id",
+            F.lit(1).cast("long").alias("n"),
+            F.transform("v", lambda x: x.cast("double")).alias("s"),
+        )
+    )
     while True:
         a, b = (centres.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
         mean = similarity(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))
@@ -164,18 +195,34 @@ def average_linkage(vectors: DataFrame, threshold: float = 0.145, **sizes: int)
 def cluster_stats(members: DataFrame) -> DataFrame:
     """size, distinct sources and the mean, least and greatest similarity of the clusters of two or more,
     from rows (id, cluster, source, v)."""
-    several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("source")).alias("sources")).filter("size > 1")
+    several = members.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
+    ).filter("size > 1")
     pairs = group_pairs(members.join(several, "cluster", "left_semi"), "cluster", "id", "v")
     # The mean is that of whole millionths, so that it does not depend on the order of the pairs.
     mean = F.sum(F.round(F.col("similarity") * 1_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000
-    said = pairs.groupBy("cluster").agg(F.round(mean, 6).alias("mean_similarity"), F.min("similarity").alias("min_similarity"), F.max("similarity").alias("max_similarity"))
+    said = pairs.groupBy("cluster").agg(
+        F.round(mean, 6).alias("mean_similarity"),
+        F.min("similarity").alias("min_similarity"),
+        F.max("similarity").alias("max_similarity"),
+    )
     return several.join(said, "cluster").withColumn("n_sources", F.size("sources").cast("long"))
 
 
 def run_summary(stats: DataFrame, members: DataFrame) -> DataFrame:
     """One row: clusters, grouped and single rows, clusters of several sources."""
-    found = stats.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("grouped"), F.count_if(F.col("n_sources") > 1).alias("multi_source"))
-    return members.agg(F.count(F.lit(1)).alias("_n")).crossJoin(found).select("clusters", "grouped", (F.col("_n") - F.col("grouped")).alias("singletons"), "multi_source")  # one row each
+    found = stats.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("grouped"),
+        F.count_if(F.col("n_sources") > 1).alias("multi_source"),
+    )
+    return members.agg(F.count(F.lit(1)).alias("_n")).crossJoin(found).select(  # one row each
+        "clusters",
+        "grouped",
+        (F.col("_n") - F.col("grouped")).alias("singletons"),
+        "multi_source",
+    )
 
 
 def nearest_outside(members: DataFrame, *, rows_per_block: int = 2_000) -> DataFrame:
@@ -191,7 +238,14 @@ def nearest_outside(members: DataFrame, *, rows_per_block: int = 2_000) -> DataF
         able = inside["grouped"].to_numpy(bool) & apart.any(axis=1)
         at = np.where(apart, products[:, order], -np.inf).argmax(axis=1)[able] if len(outside) else np.zeros(0, int)
         rows = inside[able]
-        return pd.DataFrame({"cluster": rows["cluster"], "inside": rows["id"], "outside": outside["id"].to_numpy()[at], "similarity": products[:, order][np.flatnonzero(able), at]})
+        return pd.DataFrame(
+            {
+                "cluster": rows["cluster"],
+                "inside": rows["id"],
+                "outside": outside["id"].to_numpy()[at],
+                "similarity": products[:, order][np.flatnonzero(able), at],
+            }
+        )
 
     def pick(left: pd.DataFrame, right: pd.DataFrame, products: np.ndarray, same: bool) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -199,6 +253,13 @@ def nearest_outside(members: DataFrame, *, rows_per_block: int = 2_000) -> DataF
         found = [best(left, right, products)] if same else [best(left, right, products), best(right, left, products.T)]
         return pd.concat(found)
 
-    ranked = block_products(rows, pick, "cluster long, inside long, outside long, similarity double", rows_per_block).withColumn("similarity", F.round("similarity", 6))
+    ranked = block_products(
+        rows,
+        pick,
+        "cluster long, inside long, outside long, similarity double",
+        rows_per_block,
+    ).withColumn("similarity", F.round("similarity", 6))
     pair = F.struct("inside", "outside", "similarity")
-    return ranked.groupBy("cluster").agg(F.max_by(pair, F.struct("similarity", -F.col("inside"), -F.col("outside"))).alias("_p")).select("cluster", "_p.*")
+    return ranked.groupBy("cluster").agg(
+        F.max_by(pair, F.struct("similarity", -F.col("inside"), -F.col("outside"))).alias("_p")
+    ).select("cluster", "_p.*")

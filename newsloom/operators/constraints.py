@@ -41,9 +41,16 @@ DOMAINS = {
     "stories": {"status": ["draft", "review", "approved", "published", "withdrawn"]},
     "story_versions": {"status": ["draft", "approved", "published", "superseded"]},
     "story_claims": {"usage": ["asserted", "attributed", "context"]},
-    "editions": {"edition_type": ["weekday", "weekend"], "tier": ["top_ten", "complete", "weekend"], "status": ["draft", "review", "approved", "published", "corrected"]},
+    "editions": {
+        "edition_type": ["weekday", "weekend"],
+        "tier": ["top_ten", "complete", "weekend"],
+        "status": ["draft", "review", "approved", "published", "corrected"],
+    },
     "artifacts": {"artifact_type": ["web", "rss", "email", "pdf", "epub"], "status": ["pending", "generated", "failed"]},
-    "deliveries": {"channel": ["web", "rss", "email", "download", "pdf_email", "epub_email"], "status": ["pending", "attempted", "delivered", "failed"]},
+    "deliveries": {
+        "channel": ["web", "rss", "email", "download", "pdf_email", "epub_email"],
+        "status": ["pending", "attempted", "delivered", "failed"],
+    },
     "corrections": {"status": ["draft", "approved", "published"]},
 }
 #: Columns that are unique together, by table: fixed values of the data model.
@@ -61,7 +68,11 @@ KEYS = {
 }
 #: Rules over the columns of one row, by table: name and SQL of what holds.
 RULES = {
-    "source_policies": {"positive_version": "version > 0", "approved_is_reviewed": "status <> 'approved' OR (reviewed_by IS NOT NULL AND reviewed_at IS NOT NULL)", "retention": "coalesce(retention_days, 0) >= 0"},
+    "source_policies": {
+        "positive_version": "version > 0",
+        "approved_is_reviewed": "status <> 'approved' OR (reviewed_by IS NOT NULL AND reviewed_at IS NOT NULL)",
+        "retention": "coalesce(retention_days, 0) >= 0",
+    },
     "collection_runs": {"counters": "documents_seen >= 0 AND documents_created >= 0 AND snapshots_created >= 0"},
     "document_snapshots": {"byte_size": "byte_size >= 0"},
     "discovery_observations": {"position": "position >= 0"},

@@ -38,7 +38,10 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
         )
     )
     fetched = F.col("reason").isin("unseen", "trusted_newer_update")
-    last = judged.filter(fetched).select("ordinal").orderBy("ordinal").limit(cap).agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_last"), F.lit(1).alias("_one"))
+    last = judged.filter(fetched).select("ordinal").orderBy("ordinal").limit(cap).agg(
+        F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_last"),
+        F.lit(1).alias("_one"),
+    )
     return (
         judged.withColumn("_one", F.lit(1))
         .join(F.broadcast(last), "_one")  # one row
@@ -50,5 +53,7 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
 
 def counts(decisions: DataFrame) -> DataFrame:
     return decisions.agg(
-        F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("decision") == "fetch").alias("eligible"), F.count_if(F.col("decision") == "skip").alias("skipped")
+        F.count(F.lit(1)).alias("discovered"), F.count_if(
+            F.col("decision") == "fetch"
+        ).alias("eligible"), F.count_if(F.col("decision") == "skip").alias("skipped")
     )

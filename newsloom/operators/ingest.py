@@ -16,7 +16,10 @@ MOST_MESSAGE = 500
 def url_error(url: Column, field: str, hosts: Column) -> Column:
     """A message where a URL is no http(s) URL with one of ``hosts`` (array), else null."""
     allowed = F.array_contains(hosts, url_host(url))
-    return F.when(http_url(url).isNull(), F.lit(f"{field} must be an HTTP URL")).when(~F.coalesce(allowed, F.lit(False)), F.lit(f"{field} host is not allowed"))
+    return F.when(http_url(url).isNull(), F.lit(f"{field} must be an HTTP URL")).when(
+        ~F.coalesce(allowed, F.lit(False)),
+        F.lit(f"{field} host is not allowed"),
+    )
 
 
 def identity_error(version: Column, expected_version: str, slug: Column, expected_slug: Column) -> Column:
@@ -29,7 +32,10 @@ def identity_error(version: Column, expected_version: str, slug: Column, expecte
 def context_error(source: Column, policy_source: Column, run_source: Column, policy: Column, run_policy: Column, status: Column) -> Column:
     """A message where source, policy and run do not belong together or the policy is not approved."""
     together = policy_source.eqNullSafe(source) & run_source.eqNullSafe(source) & run_policy.eqNullSafe(policy)
-    return F.when(~together, "source, policy, and collection run must match").when(~status.eqNullSafe(F.lit("approved")), "source policy must be approved")
+    return F.when(~together, "source, policy, and collection run must match").when(
+        ~status.eqNullSafe(F.lit("approved")),
+        "source policy must be approved",
+    )
 
 
 def article_error(hosts: Column) -> Column:
@@ -55,7 +61,11 @@ def isolate(rows: DataFrame, kind: str, index: str, error: Column) -> tuple[Data
     """(rows without a fault, error receipts of the others): one bad record never stops its siblings."""
     judged = rows.withColumn("_error", error)
     receipts = judged.filter("_error IS NOT NULL").select(
-        F.lit(kind).alias("kind"), F.col(index).cast("long").alias("index"), F.lit("InvalidRecord").alias("error_class"), F.substring("_error", 1, MOST_MESSAGE).alias("error_message")
+        F.lit(kind).alias("kind"), F.col(index).cast("long").alias("index"), F.lit("InvalidRecord").alias("error_class"), F.substring(
+            "_error",
+            1,
+            MOST_MESSAGE,
+        ).alias("error_message")
     )
     return judged.filter("_error IS NULL").drop("_error"), receipts
 
@@ -67,7 +77,9 @@ def with_document(observations: DataFrame, documents: DataFrame) -> DataFrame:
 
 def with_decision(articles: DataFrame, decisions: DataFrame) -> DataFrame:
     """Each article with its decision to fetch; ``requested_url`` is what was discovered, or the article's own URL."""
-    fetched = decisions.filter("decision = 'fetch'").groupBy("canonical_url").agg(F.max_by(F.struct("discovered_url", "feed_published", "feed_updated"), "position").alias("_d"))
+    fetched = decisions.filter("decision = 'fetch'").groupBy("canonical_url").agg(
+        F.max_by(F.struct("discovered_url", "feed_published", "feed_updated"), "position").alias("_d")
+    )
     return articles.join(fetched, "canonical_url", "left").select(
         *articles.columns, F.coalesce("_d.discovered_url", "canonical_url").alias("requested_url"), "_d.feed_published", "_d.feed_updated"
     )
@@ -103,9 +115,16 @@ def ingest(existing: DataFrame | None, incoming: DataFrame, imported: DataFrame
         F.max_by("retrieved_at", "ord").alias("last_seen_at"),
         F.min("ord").alias("first_ord"),
     )
-    versions = rows.groupBy("url", "content_hash").agg(F.min("ord").alias("ord"), F.min_by("title", "ord").alias("title"), F.min_by("retrieved_at", "ord").alias("first_seen_at"))
+    versions = rows.groupBy("url", "content_hash").agg(
+        F.min("ord").alias("ord"),
+        F.min_by("title", "ord").alias("title"),
+        F.min_by("retrieved_at", "ord").alias("first_seen_at"),
+    )
     section = F.coalesce("section", F.lit(""))
-    observations = rows.groupBy("run_id", "url", "content_hash", section.alias("section")).agg(F.min("ord").alias("ord"), F.min_by("retrieved_at", "ord").alias("retrieved_at"))
+    observations = rows.groupBy("run_id", "url", "content_hash", section.alias("section")).agg(
+        F.min("ord").alias("ord"),
+        F.min_by("retrieved_at", "ord").alias("retrieved_at"),
+    )
     # A row is the first of its URL, its version or its observation if its place is the least one there.
     firsts = (
         articles.select(F.col("first_ord").alias("ord"), F.lit(1).alias("a"), F.lit(0).alias("v"), F.lit(0).alias("o"))
@@ -126,12 +145,23 @@ def ingest(existing: DataFrame | None, incoming: DataFrame, imported: DataFrame
             F.coalesce(F.sum("o"), F.lit(0)).alias("new_observations"),
         )
     )
-    return {"articles": articles.select("url", "title", "_date.*", "first_seen_at", "last_seen_at"), "versions": versions, "observations": observations, "counters": counters}
+    return {
+        "articles": articles.select("url", "title", "_date.*", "first_seen_at", "last_seen_at"),
+        "versions": versions,
+        "observations": observations,
+        "counters": counters,
+    }
 
 
 def run_counters(records: DataFrame, documents: DataFrame, snapshots: DataFrame, observations: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: records seen, documents, snapshots and observations created, errors."""
-    counted = [(records, "documents_seen"), (documents, "documents_created"), (snapshots, "snapshots_created"), (observations, "observations_created"), (errors, "errors")]
+    counted = [
+        (records, "documents_seen"),
+        (documents, "documents_created"),
+        (snapshots, "snapshots_created"),
+        (observations, "observations_created"),
+        (errors, "errors"),
+    ]
     named = None
     for rows, name in counted:
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
@@ -141,7 +171,10 @@ def run_counters(records: DataFrame, documents: DataFrame, snapshots: DataFrame,
 
 def known_state(documents: DataFrame) -> DataFrame:
     """source_slug, canonical_url and the JSON line of every known document, ordered by URL; a missing marker is written as null."""
-    line = F.to_json(F.struct("canonical_url", F.date_format("source_updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("source_updated_at")), {"ignoreNullFields": "false"})
+    line = F.to_json(
+        F.struct("canonical_url", F.date_format("source_updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("source_updated_at")),
+        {"ignoreNullFields": "false"},
+    )
     return documents.select("source_slug", "canonical_url", line.alias("line")).orderBy("source_slug", "canonical_url")
 
 

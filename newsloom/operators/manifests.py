@@ -112,11 +112,16 @@ def key_errors(path: str) -> list[Column]:
 
 def size_error(path: str, low: int, high: int) -> Column:
     found = items(field(path))
-    return F.when(found.isNull(), F.lit(f"{path} must be an array")).otherwise(otherwise(F.size(found).between(low, high), f"{path} must contain between {low} and {high} items"))
+    return F.when(found.isNull(), F.lit(f"{path} must be an array")).otherwise(
+        otherwise(F.size(found).between(low, high), f"{path} must contain between {low} and {high} items")
+    )
 
 
 def texts(path: str) -> Column:
-    return F.transform(items(field(path)), lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("STRING")), F.try_variant_get(x, "$", "string")))
+    return F.transform(
+        items(field(path)),
+        lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("STRING")), F.try_variant_get(x, "$", "string")),
+    )
 
 
 def feed_urls() -> Column:
@@ -153,10 +158,16 @@ def discovery_errors() -> list[Column]:
     article, redirect = texts("discovery.allowed_hosts.article"), texts("discovery.allowed_hosts.redirect")
     home = F.lower(F.try_parse_url(text(field("source.canonical_url")), F.lit("HOST")))
     mode = text(field("discovery.update_strategy.mode"))
-    hosts = lambda found, name: F.when(found.isNotNull(), otherwise(every(found, lambda h: h.rlike(HOST)), f"discovery.allowed_hosts.{name} must hold lower-case hostnames"))
+    hosts = lambda found, name: F.when(
+        found.isNotNull(),
+        otherwise(every(found, lambda h: h.rlike(HOST)), f"discovery.allowed_hosts.{name} must hold lower-case hostnames"),
+    )
     return [
         size_error("discovery.feeds", 1, MOST_FEEDS),
-        F.when(feeds.isNotNull(), otherwise(plain & every(urls, lambda u: u.rlike(HTTP)), "discovery.feeds must hold an HTTP(S) url each, and nothing else")),
+        F.when(
+            feeds.isNotNull(),
+            otherwise(plain & every(urls, lambda u: u.rlike(HTTP)), "discovery.feeds must hold an HTTP(S) url each, and nothing else"),
+        ),
         F.when(urls.isNotNull(), otherwise(distinct(urls), "discovery feed URLs contains duplicates")),
         size_error("discovery.allowed_hosts.article", 1, MOST_HOSTS),
         size_error("discovery.allowed_hosts.redirect", 0, MOST_HOSTS),
@@ -165,7 +176,10 @@ def discovery_errors() -> list[Column]:
         F.when(article.isNotNull() & redirect.isNotNull(), otherwise(distinct(F.concat(article, redirect)), "allowed hosts contains duplicates")),
         F.when(article.isNotNull(), otherwise(F.array_contains(article, home), "source canonical host must be in discovery.allowed_hosts.article")),
         member_error("discovery.update_strategy.mode", UPDATE_MODES),
-        F.when((mode == "unseen_only") & has("discovery.update_strategy", "field"), F.lit("discovery.update_strategy.field is not allowed for unseen_only")),
+        F.when(
+            (mode == "unseen_only") & has("discovery.update_strategy", "field"),
+            F.lit("discovery.update_strategy.field is not allowed for unseen_only"),
+        ),
         F.when(mode == "trusted_marker", member_error("discovery.update_strategy.field", UPDATE_FIELDS)),
     ]
 
@@ -176,12 +190,18 @@ def policy_errors() -> list[Column]:
         otherwise(text(field("policy_proposal.status")) == "draft", "policy_proposal.status must be draft"),
         member_error("policy_proposal.access_method", ACCESS_METHODS),
         url_error("policy_proposal.endpoint_url"),
-        otherwise(F.array_contains(feed_urls(), text(field("policy_proposal.endpoint_url"))), "policy_proposal.endpoint_url must match a discovery feed"),
+        otherwise(
+            F.array_contains(feed_urls(), text(field("policy_proposal.endpoint_url"))),
+            "policy_proposal.endpoint_url must match a discovery feed",
+        ),
         url_error("policy_proposal.terms_url"),
         url_error("policy_proposal.robots_url"),
         integer_error("policy_proposal.retention_days", *RETENTION),
         size_error("policy_proposal.allowed_uses", 1, len(ALLOWED_USES)),
-        F.when(uses.isNotNull(), otherwise(every(uses, lambda u: u.isin(ALLOWED_USES)), f"policy_proposal.allowed_uses must be among: {', '.join(ALLOWED_USES)}")),
+        F.when(
+            uses.isNotNull(),
+            otherwise(every(uses, lambda u: u.isin(ALLOWED_USES)), f"policy_proposal.allowed_uses must be among: {', '.join(ALLOWED_USES)}"),
+        ),
         F.when(uses.isNotNull(), otherwise(distinct(uses), "policy_proposal.allowed_uses contains duplicates")),
         string_error("policy_proposal.attribution"),
         F.when(has("policy_proposal", "notes"), string_error("policy_proposal.notes")),
@@ -248,5 +268,7 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 def fetch_manifest(checked: DataFrame, slug: str) -> DataFrame:
     """The one manifest of a slug; the query fails if there is none or more than one."""
     found = checked.filter(F.col("slug") == slug)
-    n = found.agg(F.count(F.lit(1)).alias("_n")).filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{slug}: manifests found: "), F.col("_n").cast("string")))))
+    n = found.agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{slug}: manifests found: "), F.col("_n").cast("string"))))
+    )
     return found.crossJoin(F.broadcast(n)).drop("_n")  # one row

@@ -28,7 +28,10 @@ def policy_versions(manifests: DataFrame, attributes: list[str], existing: DataF
 def latest_policy(policies: DataFrame) -> DataFrame:
     """The latest policy and the latest approved one of every source."""
     newest = lambda s: F.max_by("version", F.when(s, F.col("version")))
-    return policies.groupBy("source_id").agg(newest(F.lit(True)).alias("latest_version"), newest(F.col("status") == "approved").alias("approved_version"))
+    return policies.groupBy("source_id").agg(
+        newest(F.lit(True)).alias("latest_version"),
+        newest(F.col("status") == "approved").alias("approved_version"),
+    )
 
 
 def schedulable(manifests: DataFrame, sources: DataFrame, policies: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def hours(rows: DataFrame, at: str) -> DataFrame:
     """slot_at, receipts and sources of each hour that has receipts."""
-    return rows.groupBy(F.date_trunc("hour", at).alias("slot_at")).agg(F.count(F.lit(1)).alias("receipts"), F.countDistinct("source_id").alias("sources"))
+    return rows.groupBy(F.date_trunc("hour", at).alias("slot_at")).agg(
+        F.count(F.lit(1)).alias("receipts"),
+        F.countDistinct("source_id").alias("sources"),
+    )
 
 
 def missing_hours(found: DataFrame, n: int) -> DataFrame:
@@ -25,13 +28,18 @@ def overlaps(slots: DataFrame) -> DataFrame:
     over two later ones is reported once; ties are ordered by slot_id.
     """
     along = Window.partitionBy("source_id").orderBy("claimed_at", "slot_id")
-    paired = slots.filter("finished_at IS NOT NULL").withColumns({"next_id": F.lead("slot_id").over(along), "next_claimed": F.lead("claimed_at").over(along)})
+    paired = slots.filter("finished_at IS NOT NULL").withColumns(
+        {"next_id": F.lead("slot_id").over(along), "next_claimed": F.lead("claimed_at").over(along)}
+    )
     return paired.filter("finished_at > next_claimed").select("source_id", "slot_id", "next_id")
 
 
 def source_status(runs: DataFrame) -> DataFrame:
     """runs: source_id, status. Succeeded and failed runs of each source."""
-    return runs.groupBy("source_id").agg(F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return runs.groupBy("source_id").agg(
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )
 
 
 def issues(missing: DataFrame, overlapping: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -15,12 +15,28 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
-def article_payload(slug: Column, url: Column, title: Column, body: Column, words: Column, language: Column, retrieved_at: Column, requested_url: Column) -> Column:
+def article_payload(
+    slug: Column,
+    url: Column,
+    title: Column,
+    body: Column,
+    words: Column,
+    language: Column,
+    retrieved_at: Column,
+    requested_url: Column,
+) -> Column:
     """The stored document of an article record as canonical JSON; an empty language is English."""
     article = F.struct(url.alias("canonical_url"), F.coalesce(F.nullif(language, F.lit("")), F.lit("en")).alias("language"), title.alias("title"))
     content = F.struct(body.alias("body_text"), words.alias("word_count"))
-    acquisition = F.struct(url.alias("final_url"), F.lit(200).alias("http_status"), requested_url.alias("requested_url"), retrieved_at.alias("retrieved_at"))
-    return canonical_json({"schema_version": F.lit("calibre-article/v1"), "source_slug": slug, "article": article, "content": content, "acquisition": acquisition})
+    acquisition = F.struct(
+        url.alias("final_url"),
+        F.lit(200).alias("http_status"),
+        requested_url.alias("requested_url"),
+        retrieved_at.alias("retrieved_at"),
+    )
+    return canonical_json(
+        {"schema_version": F.lit("calibre-article/v1"), "source_slug": slug, "article": article, "content": content, "acquisition": acquisition}
+    )
 
 
 def kept_headers(headers: Column, names: list[str] = KEPT_HEADERS) -> Column:

@@ -21,7 +21,9 @@ def run_reports(runs: DataFrame, decisions: DataFrame, articles: DataFrame) -> D
     runs: run_id, started_at, finished_at, exit_code, timed_out, errors. decisions: run_id, decision. articles: run_id.
     """
     counted = decisions.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("decision") == "fetch").alias("eligible"), F.count_if(F.col("decision") == "skip").alias("skipped")
+        F.count(F.lit(1)).alias("discovered"), F.count_if(
+            F.col("decision") == "fetch"
+        ).alias("eligible"), F.count_if(F.col("decision") == "skip").alias("skipped")
     )
     made = articles.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     rows = runs.join(counted, "run_id", "left").join(made, "run_id", "left").fillna(0, ["discovered", "eligible", "skipped", "_n"])
@@ -29,8 +31,13 @@ def run_reports(runs: DataFrame, decisions: DataFrame, articles: DataFrame) -> D
     after = F.when(F.col("outcome") == "no_changes", 0).otherwise(F.col("exit_code"))
     elapsed = F.round(F.unix_micros(F.col("finished_at")) / 1e6 - F.unix_micros(F.col("started_at")) / 1e6, 6)
     return rows.select(
-        "run_id", "outcome", after.alias("exit_code"), "discovered", "eligible", "skipped", F.when(F.col("outcome") == "succeeded", F.col("_n")).otherwise(0).alias("normalized"),
-        elapsed.alias("elapsed_seconds"), ((after == 0) & F.col("outcome").isin("succeeded", "no_changes") & (F.col("errors") == 0)).alias("successful"),
+        "run_id", "outcome", after.alias("exit_code"), "discovered", "eligible", "skipped", F.when(
+            F.col("outcome") == "succeeded",
+            F.col("_n"),
+        ).otherwise(0).alias("normalized"),
+        elapsed.alias("elapsed_seconds"), (
+            (after == 0) & F.col("outcome").isin("succeeded", "no_changes") & (F.col("errors") == 0)
+        ).alias("successful"),
     )
 
 
@@ -67,12 +74,22 @@ def source_report(candidates: DataFrame) -> DataFrame:
 def source_overview(sources: DataFrame, documents: DataFrame, runs: DataFrame) -> DataFrame:
     """documents, succeeded and failed runs of every source; each child is counted before it is joined."""
     written = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
-    ran = runs.groupBy("source_id").agg(F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"))
-    return sources.select("source_id", "active").join(written, "source_id", "left").join(ran, "source_id", "left").fillna(0, ["documents", "succeeded", "failed"])
+    ran = runs.groupBy("source_id").agg(
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )
+    return sources.select("source_id", "active").join(written, "source_id", "left").join(ran, "source_id", "left").fillna(
+        0,
+        ["documents", "succeeded", "failed"],
+    )
 
 
 def totals(overview: DataFrame) -> DataFrame:
-    return overview.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.count_if("active").alias("active_sources"), F.count(F.lit(1)).alias("sources"))
+    return overview.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"),
+        F.count_if("active").alias("active_sources"),
+        F.count(F.lit(1)).alias("sources"),
+    )
 
 
 def recent_cycles(slots: DataFrame, most: int = 24) -> DataFrame:
@@ -102,7 +119,10 @@ def numbered_clusters(stats: DataFrame) -> DataFrame:
     counts = part.groupBy("_part").agg((F.max("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return part.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+    return part.join(F.broadcast(offsets), "_part").withColumn(
+        "number",
+        F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1,
+    ).drop("_at", "_part", "_before")
 
 
 def select_case(numbered: DataFrame, members: DataFrame, case: str) -> DataFrame:
@@ -128,7 +148,10 @@ def edition_of(published_at: Column, first_seen_at: Column) -> Column:
     at = F.from_utc_timestamp(F.coalesce(published_at, first_seen_at), NEW_YORK)
     day = F.date_add(F.to_date(at - F.expr("INTERVAL 2 HOURS")), 1)  # the first edition after it
     weekday = F.dayofweek(day)
-    return F.struct(F.when(weekday == 7, F.date_add(day, 2)).when(weekday == 1, F.date_add(day, 1)).otherwise(day).alias("edition"), published_at.isNull().alias("fallback"))
+    return F.struct(
+        F.when(weekday == 7, F.date_add(day, 2)).when(weekday == 1, F.date_add(day, 1)).otherwise(day).alias("edition"),
+        published_at.isNull().alias("fallback"),
+    )
 
 
 def to_score(clusters: DataFrame, scored: DataFrame) -> DataFrame:
@@ -151,13 +174,18 @@ def chain_breaks(events: DataFrame, subject: str, order: str) -> DataFrame:
 def feed_fingerprints(entries: DataFrame) -> DataFrame:
     """One digest of every feed's entries, whatever their order: what tells that a feed has not changed."""
     each = F.sha2(F.concat_ws("|", "url", "updated"), 256)
-    return entries.groupBy("feed").agg(F.count(F.lit(1)).alias("entries"), F.sha2(F.array_join(F.array_sort(F.collect_set(each)), ""), 256).alias("fingerprint"))
+    return entries.groupBy("feed").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(each)), ""), 256).alias("fingerprint"),
+    )
 
 
 def within_budget(stories: DataFrame, edition: str, order: list[Column], seconds: int, most: int) -> DataFrame:
     """The first stories of every edition that fit its reading time and number, with the time read so far."""
     along = Window.partitionBy(edition).orderBy(*order)
-    timed = stories.withColumns({"read_seconds": F.sum("reading_seconds").over(along.rowsBetween(Window.unboundedPreceding, 0)), "position": F.row_number().over(along)})
+    timed = stories.withColumns(
+        {"read_seconds": F.sum("reading_seconds").over(along.rowsBetween(Window.unboundedPreceding, 0)), "position": F.row_number().over(along)}
+    )
     return timed.filter((F.col("read_seconds") <= seconds) & (F.col("position") <= most))
 
 

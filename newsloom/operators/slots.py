@@ -39,7 +39,9 @@ class Source:
         if busy or (slot and slot["status"] == "succeeded"):
             return False
         self.slots[slot_at] = {
-            "status": "claimed", "attempts": (slot["attempts"] if slot else 0) + 1, "claimed_at": now, "lease_expires_at": now + lease, "finished_at": None, "run_id": None,
+            "status": "claimed", "attempts": (
+                slot["attempts"] if slot else 0
+            ) + 1, "claimed_at": now, "lease_expires_at": now + lease, "finished_at": None, "run_id": None,
         }
         return True
 
@@ -80,7 +82,14 @@ def fold(events: DataFrame, lease_seconds: int = 3600) -> DataFrame:
         if current is not None:
             yield rows()
 
-    dealt = events.select("source_id", "at", "seq", "action", "slot_at", "run_id").repartition("source_id").sortWithinPartitions("source_id", "at", "seq")
+    dealt = events.select(
+        "source_id",
+        "at",
+        "seq",
+        "action",
+        "slot_at",
+        "run_id",
+    ).repartition("source_id").sortWithinPartitions("source_id", "at", "seq")
     return dealt.mapInPandas(run, STATE)
 
 
@@ -88,7 +97,10 @@ def cycles(requests: DataFrame) -> DataFrame:
     """The cycle of each hour from requests (at, source_slugs array): the first request fixes the expected
     sources, sorted and distinct; later ones with another set are counted as mismatches."""
     rows = requests.select(F.date_trunc("hour", "at").alias("slot_at"), "at", F.array_sort(F.array_distinct("source_slugs")).alias("slugs"))
-    first = rows.groupBy("slot_at").agg(F.min("at").alias("dispatched_at"), F.min_by("slugs", F.struct("at", F.array_join("slugs", ","))).alias("expected"))
+    first = rows.groupBy("slot_at").agg(
+        F.min("at").alias("dispatched_at"),
+        F.min_by("slugs", F.struct("at", F.array_join("slugs", ","))).alias("expected"),
+    )
     wrong = rows.join(first, "slot_at").groupBy("slot_at").agg(F.count_if(F.col("slugs") != F.col("expected")).alias("mismatches"))
     return first.join(wrong, "slot_at").withColumn("status", F.when(F.size("expected") == 0, "completed").otherwise("dispatching"))
 
@@ -96,7 +108,10 @@ def cycles(requests: DataFrame) -> DataFrame:
 def completed(expected: DataFrame, slots: DataFrame) -> DataFrame:
     """slot_at, expected, terminal (sorted distinct slugs of finished slots) and whether both are equal."""
     done = slots.filter(F.col("status").isin(*TERMINAL)).groupBy("slot_at").agg(F.array_sort(F.collect_set("slug")).alias("terminal"))
-    both = expected.select("slot_at", "expected").join(done, "slot_at", "left").withColumn("terminal", F.coalesce("terminal", F.array().cast("array<string>")))
+    both = expected.select("slot_at", "expected").join(done, "slot_at", "left").withColumn(
+        "terminal",
+        F.coalesce("terminal", F.array().cast("array<string>")),
+    )
     return both.withColumn("completed", F.col("expected") == F.col("terminal"))
 
 
@@ -111,23 +126,39 @@ def soak_issues(expected_hours: DataFrame, cycles: DataFrame, slots: DataFrame,
     found = expected_hours.join(cycles, "slot_at", "left")
     missing = found.filter("status IS NULL").select(F.lit("missing_cycle").alias("code"), hour("slot_at").alias("detail"))
     there = found.filter("status IS NOT NULL")
-    open_cycles = there.filter("status <> 'completed'").select(F.lit("cycle_not_completed").alias("code"), F.concat_ws(":", hour("slot_at"), "status").alias("detail"))
+    open_cycles = there.filter("status <> 'completed'").select(
+        F.lit("cycle_not_completed").alias("code"),
+        F.concat_ws(":", hour("slot_at"), "status").alias("detail"),
+    )
     within = slots.join(there.select("slot_at"), "slot_at", "left_semi")
     actual = within.groupBy("slot_at").agg(F.array_sort(F.collect_set("slug")).alias("actual"))
     compared = there.join(actual, "slot_at", "left").withColumn("actual", F.coalesce("actual", F.array().cast("array<string>")))
     receipts = compared.filter("actual <> expected").select(
-        F.lit("source_receipt_mismatch").alias("code"), F.concat_ws("|", hour("slot_at"), F.array_join("expected", ","), F.array_join("actual", ",")).alias("detail")
+        F.lit("source_receipt_mismatch").alias("code"), F.concat_ws(
+            "|",
+            hour("slot_at"),
+            F.array_join("expected", ","),
+            F.array_join("actual", ","),
+        ).alias("detail")
+    )
+    claimed = within.filter("status = 'claimed'").select(
+        F.lit("source_slot_not_terminal").alias("code"),
+        F.col("slot_id").cast("string").alias("detail"),
     )
-    claimed = within.filter("status = 'claimed'").select(F.lit("source_slot_not_terminal").alias("code"), F.col("slot_id").cast("string").alias("detail"))
     # A failed slot without a run is no issue; any other finished slot needs a run of its source and status.
     ended = within.filter("status <> 'claimed' AND NOT (status = 'failed' AND run_id IS NULL)")
     run = runs.select("run_id", F.col("source_id").alias("_of"), F.col("status").alias("_status"))
     fits = F.col("_of").eqNullSafe(F.col("source_id")) & F.col("_status").eqNullSafe(F.col("status"))
     mismatched = ended.join(run, "run_id", "left").filter(~fits)
-    mismatched = mismatched.select(F.lit("collection_run_mismatch").alias("code"), F.concat_ws(":", "slot_id", "status", F.coalesce("_status", F.lit("none"))).alias("detail"))
+    mismatched = mismatched.select(
+        F.lit("collection_run_mismatch").alias("code"),
+        F.concat_ws(":", "slot_id", "status", F.coalesce("_status", F.lit("none"))).alias("detail"),
+    )
     along = Window.partitionBy("source_id").orderBy("claimed_at", "slot_id")
     finished = slots.join(expected_hours, "slot_at", "left_semi").filter("finished_at IS NOT NULL")
-    pairs = finished.withColumns({"next_id": F.lead("slot_id").over(along), "next_claimed": F.lead("claimed_at").over(along)}).filter("finished_at > next_claimed")
+    pairs = finished.withColumns(
+        {"next_id": F.lead("slot_id").over(along), "next_claimed": F.lead("claimed_at").over(along)}
+    ).filter("finished_at > next_claimed")
     overlaps = pairs.select(F.lit("overlapping_source_runs").alias("code"), F.concat_ws(":", "source_id", "slot_id", "next_id").alias("detail"))
     twice = duplicates.select(F.lit("duplicate_canonical_document").alias("code"), F.concat_ws(":", "source_id", "url", "n").alias("detail"))
     every = missing

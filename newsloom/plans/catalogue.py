@@ -83,7 +83,11 @@ def url_gate(spark, sf_dir):
     return _decisions(spark, sf_dir).select(F.col("ordinal").alias("page_id"), "canonical_url", "decision", "reason")
 
 
-@query(f"{GATE_SQL} SELECT count(*) AS discovered, count(*) FILTER (decision = 'fetch') AS eligible, count(*) FILTER (decision = 'skip') AS skipped FROM d")
+@query(
+    f"{
+        GATE_SQL
+    } SELECT count(*) AS discovered, count(*) FILTER (decision = 'fetch') AS eligible, count(*) FILTER (decision = 'skip') AS skipped FROM d"
+)
 def gate_counts(spark, sf_dir):
     return gate.counts(_decisions(spark, sf_dir))
 
@@ -94,33 +98,53 @@ NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t
 @query(f"SELECT doc_id, sha256(json_object('body_text', {NORM}, 'title', source)::VARCHAR) AS content_hash, length({NORM}) AS n FROM documents")
 def body_normalize_hash(spark, sf_dir):
     body = tx.normalise_body(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(body, F.col("source")).alias("content_hash"), F.char_length(body).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        tx.content_hash(body, F.col("source")).alias("content_hash"),
+        F.char_length(body).cast("long").alias("n"),
+    )
 
 
 @query(f"SELECT doc_id, sha256(source || chr(10) || {NORM}) AS bridge_hash, sha256({NORM}) AS body_hash FROM documents")
 def content_hashes(spark, sf_dir):
     body = tx.normalise_body(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat("source", F.lit("\n"), body), 256).alias("bridge_hash"), F.sha2(body, 256).alias("body_hash"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.sha2(F.concat("source", F.lit("\n"), body), 256).alias("bridge_hash"),
+        F.sha2(body, 256).alias("body_hash"),
+    )
 
 
 @query("""SELECT source, count(*) AS articles, count(*) FILTER (w >= 150) AS substantial, sum(w)::BIGINT AS words, min(w)::BIGINT AS least, max(w)::BIGINT AS most
   FROM (SELECT source, len(regexp_extract_all(text, '\\S+')) AS w FROM documents) GROUP BY source""".replace("\\\\", "\\"))
 def substantial_by_source(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", tx.word_count(F.col("text")).cast("long").alias("w"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("w") >= tx.LEAST_WORDS).alias("substantial"), F.sum("w").alias("words"), F.min("w").alias("least"), F.max("w").alias("most"))
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("articles"),
+        F.count_if(F.col("w") >= tx.LEAST_WORDS).alias("substantial"),
+        F.sum("w").alias("words"),
+        F.min("w").alias("least"),
+        F.max("w").alias("most"),
+    )
 
 
-@query(r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\S+')) < 150 THEN 'insufficient' WHEN contains(lower(text), 'developing story') THEN 'provisional' ELSE 'substantial' END AS completeness FROM documents""")
+@query(
+    r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\S+')) < 150 THEN 'insufficient' WHEN contains(lower(text), 'developing story') THEN 'provisional' ELSE 'substantial' END AS completeness FROM documents"""
+)
 def completeness(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.completeness(F.col("source"), F.col("text")).alias("completeness"))
 
 
-@query(r"""SELECT doc_id, sha256(source || chr(10) || chr(10) || array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 350), ' ')) AS contract FROM documents""")
+@query(
+    r"""SELECT doc_id, sha256(source || chr(10) || chr(10) || array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 350), ' ')) AS contract FROM documents"""
+)
 def text_contract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.text_contract(F.col("source"), F.col("text")), 256).alias("contract"))
 
 
-@query("SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS documents FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1)")
+@query(
+    "SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS documents FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1)"
+)
 def duplicate_content_groups(spark, sf_dir):
     groups = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
@@ -141,7 +165,9 @@ def snapshot_insert_ignore(spark, sf_dir):
     return corpus.insert_or_ignore(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), ["content_hash"], "doc_id")
 
 
-@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
+@query(
+    "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1"
+)
 def latest_version(spark, sf_dir):
     return corpus.latest_version(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
@@ -150,7 +176,12 @@ def latest_version(spark, sf_dir):
   (SELECT event_type, ts, CASE WHEN event_id % 7 <> 0 THEN ts END AS published FROM events)
   WHERE published >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR OR (published IS NULL AND ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR) GROUP BY event_type""")
 def freeze_window(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_type", "ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("published"), F.lit(1).alias("one"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_type",
+        "ts",
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("published"),
+        F.lit(1).alias("one"),
+    )
     anchor = rows.agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("cutoff"), F.lit(1).alias("one"))
     frozen = rows.join(F.broadcast(anchor), "one").filter(corpus.in_window(F.col("published"), F.col("ts"), F.col("cutoff")))  # one row
     return corpus.profile(frozen, "event_type", "published")
@@ -179,7 +210,10 @@ def _missing(spark, sf_dir):
 
 
 def _duplicates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id"), F.sha2("text", 256).alias("url")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return table(spark, sf_dir, "documents").groupBy(
+        F.col("source").alias("source_id"),
+        F.sha2("text", 256).alias("url"),
+    ).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query(f"WITH {MISSING_SQL} SELECT slot_at FROM m")
@@ -205,7 +239,9 @@ def soak_issues(spark, sf_dir):
     return receipts.issues(_missing(spark, sf_dir), receipts.overlaps(_slots(spark, sf_dir)), _duplicates(spark, sf_dir))
 
 
-@query("SELECT user_id AS source_id, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id AS source_id, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id"
+)
 def source_status(spark, sf_dir):
     status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed")
     return receipts.source_status(_slots(spark, sf_dir).withColumn("status", status))
@@ -230,7 +266,11 @@ def pair_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query(f"WITH {PAIR_SQL}, e AS (SELECT grp, left_id AS id, similarity FROM p UNION ALL SELECT grp, right_id, similarity FROM p) SELECT grp, id, round(avg(similarity), 6) AS centrality FROM e GROUP BY grp, id")
+@query(
+    f"WITH {
+        PAIR_SQL
+    }, e AS (SELECT grp, left_id AS id, similarity FROM p UNION ALL SELECT grp, right_id, similarity FROM p) SELECT grp, id, round(avg(similarity), 6) AS centrality FROM e GROUP BY grp, id"
+)
 def centrality(spark, sf_dir):
     return dossier.centrality(_pairs(spark, sf_dir), _eights(spark, sf_dir), "grp")
 
@@ -240,14 +280,22 @@ def centrality(spark, sf_dir):
   SELECT * FROM t WHERE rank <= 6""")
 def evidence_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
-    return dossier.top_by_publisher(rows, "lang", "source", [F.desc("n_chars"), F.asc("doc_id")], 6).select("lang", "source", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return dossier.top_by_publisher(rows, "lang", "source", [F.desc("n_chars"), F.asc("doc_id")], 6).select(
+        "lang",
+        "source",
+        "doc_id",
+        F.col("rank").cast("long").alias("rank"),
+    )
 
 
 @query("""SELECT s_suppkey, CASE WHEN lower(n_name) = 'france' THEN 'local' WHEN r_name IN ('EUROPE', 'AMERICA') THEN 'audience' ELSE 'excluded' END AS role
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def audience_role(spark, sf_dir):
     registry = (
-        table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+            table(spark, sf_dir, "region"),
+            F.col("n_regionkey") == F.col("r_regionkey"),
+        )
     )
     # The table's region names stand for the continents that the rule knows.
     continent = F.when(F.col("r_name") == "EUROPE", "Europe").when(F.col("r_name") == "AMERICA", "North America").otherwise(F.col("r_name"))
@@ -297,7 +345,11 @@ DISTANCE = 0.6
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("source"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"),
+        F.col("embedding").alias("v"),
+        F.col("label").cast("string").alias("source"),
+    )
 
 
 def _members(spark, sf_dir):
@@ -308,7 +360,11 @@ def _members(spark, sf_dir):
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
   SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_dot_product(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE 1 - list_dot_product(a.v, b.v) < {DISTANCE}""")
 def near_pairs(spark, sf_dir):
-    return clusters.near_pairs(_vectors(spark, sf_dir), DISTANCE).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("similarity", 6).alias("similarity"))
+    return clusters.near_pairs(_vectors(spark, sf_dir), DISTANCE).select(
+        F.col("a").alias("left_id"),
+        F.col("b").alias("right_id"),
+        F.round("similarity", 6).alias("similarity"),
+    )
 
 
 @query()

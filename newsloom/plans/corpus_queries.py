@@ -81,7 +81,11 @@ def _isolated(spark, sf_dir):
     return ingest.isolate(_records(spark, sf_dir), "article", "page_id", ingest.article_error(F.col("hosts")))
 
 
-@query(f"WITH e AS ({RECORDS_SQL}) SELECT 'article' AS kind, page_id AS index, 'InvalidRecord' AS error_class, error AS error_message FROM e WHERE error IS NOT NULL")
+@query(
+    f"WITH e AS ({
+        RECORDS_SQL
+    }) SELECT 'article' AS kind, page_id AS index, 'InvalidRecord' AS error_class, error AS error_message FROM e WHERE error IS NOT NULL"
+)
 def record_errors(spark, sf_dir):
     return _isolated(spark, sf_dir)[1]
 
@@ -101,7 +105,12 @@ def ingest_counters(spark, sf_dir):
     new = good.select("canonical_url").distinct().join(known, "canonical_url", "left_anti")
     snapshots = good.select("canonical_url", F.sha2("body", 256).alias("h")).distinct()
     none = F.lit(None).cast("string")
-    seen = pages.select("page_id", F.when(F.col("page_id") % 17 == 0, "maybe").otherwise("fetch").alias("decision"), none.alias("feed_published"), none.alias("feed_updated"))
+    seen = pages.select(
+        "page_id",
+        F.when(F.col("page_id") % 17 == 0, "maybe").otherwise("fetch").alias("decision"),
+        none.alias("feed_published"),
+        none.alias("feed_updated"),
+    )
     observed, wrong = ingest.isolate(seen, "observation", "page_id", ingest.observation_error())
     return ingest.run_counters(pages, new, snapshots, observed, bad.unionByName(wrong))
 
@@ -109,7 +118,10 @@ def ingest_counters(spark, sf_dir):
 @query(f"""WITH {URL_SQL}, d AS (SELECT host, canonical_url, min(page_id) AS document_id FROM c WHERE page_id % 5 = 0 GROUP BY host, canonical_url)
   SELECT c.page_id, d.document_id FROM c LEFT JOIN d ON c.host = d.host AND c.canonical_url = d.canonical_url""")
 def observation_documents(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url")).withColumn("source_id", urls.url_host(F.col("canonical_url")))
+    p = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url")).withColumn(
+        "source_id",
+        urls.url_host(F.col("canonical_url")),
+    )
     documents = p.filter("page_id % 5 = 0").groupBy("source_id", "canonical_url").agg(F.min("page_id").alias("document_id"))
     return ingest.with_document(p, documents).select("page_id", "document_id")
 
@@ -119,7 +131,10 @@ def observation_documents(spark, sf_dir):
 def article_decisions(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", urls.canonical_url(F.col("url")).alias("canonical_url"))
     decisions = p.select(
-        "canonical_url", F.col("page_id").alias("position"), F.col("url").alias("discovered_url"), F.when(F.col("page_id") % 2 == 0, "fetch").otherwise("skip").alias("decision"),
+        "canonical_url", F.col("page_id").alias("position"), F.col("url").alias("discovered_url"), F.when(
+            F.col("page_id") % 2 == 0,
+            "fetch",
+        ).otherwise("skip").alias("decision"),
         F.col("page_id").cast("string").alias("feed_published"), F.lit(None).cast("string").alias("feed_updated"),
     )
     return ingest.with_decision(p.select("page_id", "canonical_url"), decisions).select("page_id", "requested_url", "feed_published")
@@ -131,7 +146,13 @@ def article_decisions(spark, sf_dir):
 def known_state_lines(spark, sf_dir):
     last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("source_updated_at"))
     c = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return ingest.known_state(c.select(F.col("c_mktsegment").alias("source_slug"), F.concat(F.lit("https://example.com/"), "c_custkey").alias("canonical_url"), "source_updated_at"))
+    return ingest.known_state(
+        c.select(
+            F.col("c_mktsegment").alias("source_slug"),
+            F.concat(F.lit("https://example.com/"), "c_custkey").alias("canonical_url"),
+            "source_updated_at",
+        )
+    )
 
 
 @query("""WITH r AS (SELECT event_id, ts, CASE event_id % 6 WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 3 THEN 'yesterday'
@@ -143,10 +164,17 @@ def date_provenance(spark, sf_dir):
     at = lambda f: F.date_format("ts", f)
     k = F.col("event_id") % 6
     raw = (
-        F.when(k == 1, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, at("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k == 3, "yesterday").when(k == 4, at("yyyy-MM")).when(k == 5, at("yyyy-MM-dd'T'HH:mm:ss'.5Z'"))
+        F.when(k == 1, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, at("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k == 3, "yesterday").when(k == 4, at("yyyy-MM")).when(
+            k == 5,
+            at("yyyy-MM-dd'T'HH:mm:ss'.5Z'"),
+        )
     )
     rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
-    found = rows.select("event_id", dates.provenance({"feed_published": F.col("raw")}).alias("p"), dates.time_error(F.col("raw"), "dates.feed_published").alias("error"))
+    found = rows.select(
+        "event_id",
+        dates.provenance({"feed_published": F.col("raw")}).alias("p"),
+        dates.time_error(F.col("raw"), "dates.feed_published").alias("error"),
+    )
     return found.select("event_id", "p.feed_published.*", "error")
 
 
@@ -158,12 +186,18 @@ def publication_date_from_url(spark, sf_dir):
     d = F.col("o_orderdate") + F.expr("INTERVAL 10 YEARS")
     k = F.col("o_orderkey") % 3
     path = F.when(k == 0, F.date_format(d, "yyyy/MM/dd")).when(k == 1, F.lower(F.date_format(d, "yyyy/MMM/d"))).otherwise("news/today")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://e.com/"), path, F.lit("/story")).alias("url"), F.when(F.col("o_orderkey") % 5 == 0, "2 Jan 2026 03:04:05 GMT").alias("feed"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("https://e.com/"), path, F.lit("/story")).alias("url"),
+        F.when(F.col("o_orderkey") % 5 == 0, "2 Jan 2026 03:04:05 GMT").alias("feed"),
+    )
     none = F.lit(None).cast("string")
     return rows.select("o_orderkey", dates.publication_date([], none, F.col("feed"), none, F.col("url")).alias("p")).select("o_orderkey", "p.*")
 
 
-@query(r"""SELECT page_id, replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<') AS title FROM pages""")
+@query(
+    r"""SELECT page_id, replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<') AS title FROM pages"""
+)
 def html_title(spark, sf_dir):
     return html.parse_articles(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title")
 
@@ -173,7 +207,12 @@ def html_articles(spark, sf_dir):
     """Title, words and hashes of every page's article; its body comes from an HTML parser that SQL lacks."""
     made = html.parse_articles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     title, body = F.trim("title"), F.col("body_text")
-    return made.select("page_id", title.alias("title"), tx.python_words(body).cast("long").alias("word_count"), F.sha2(F.concat(title, F.lit("\n"), body), 256).alias("content_hash"))
+    return made.select(
+        "page_id",
+        title.alias("title"),
+        tx.python_words(body).cast("long").alias("word_count"),
+        F.sha2(F.concat(title, F.lit("\n"), body), 256).alias("content_hash"),
+    )
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS found FROM pages)
@@ -198,10 +237,16 @@ def likely_articles(spark, sf_dir):
     n = F.col("page_id") % 3
     home = F.concat(F.lit("https://www."), F.when(n == 0, host).when(n == 1, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise("elsewhere.example"))
     rows = p.select("page_id", F.concat("site", end, tail, F.lit("/?q=1")).alias("url"), home.alias("home"))
-    return rows.select("page_id", urls.same_site(F.col("url"), F.col("home")).alias("same_site"), urls.likely_article(F.col("url"), F.col("home")).alias("likely_article"))
+    return rows.select(
+        "page_id",
+        urls.same_site(F.col("url"), F.col("home")).alias("same_site"),
+        urls.likely_article(F.col("url"), F.col("home")).alias("likely_article"),
+    )
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS url FROM pages")
+@query(
+    r"SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS url FROM pages"
+)
 def experiment_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.experiment_url(F.col("url")).alias("url"))
 
@@ -211,7 +256,10 @@ def experiment_urls(spark, sf_dir):
 def bridge_texts(spark, sf_dir):
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2(tx.bridge_body(text), 256).alias("body_hash"), tx.ruby_words(text).cast("long").alias("ruby_words"), tx.python_words(text).cast("long").alias("python_words")
+        "doc_id", F.sha2(
+            tx.bridge_body(text),
+            256,
+        ).alias("body_hash"), tx.ruby_words(text).cast("long").alias("ruby_words"), tx.python_words(text).cast("long").alias("python_words")
     )
 
 
@@ -240,7 +288,17 @@ def concept_labels(spark, sf_dir):
     """The first four concepts of an event (an order), then those with a label: blank ones use up places."""
     line = F.col("l_linenumber")
     label = F.create_map(F.lit("eng"), F.when(line % 3 == 0, "").otherwise(F.concat("l_returnflag", line.cast("string"))))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(line.alias("at"), F.col("l_returnflag"), "l_suppkey", "l_partkey", places.localized(label).alias("label"), line.alias("score")).alias("c"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.struct(
+            line.alias("at"),
+            F.col("l_returnflag"),
+            "l_suppkey",
+            "l_partkey",
+            places.localized(label).alias("label"),
+            line.alias("score"),
+        ).alias("c"),
+    )
     listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("c"))
     return listed.select("l_orderkey", F.array_join(F.transform(places.distinct_labels(F.col("c"), 4), lambda x: x["label"]), ",").alias("concepts"))
 
@@ -249,7 +307,12 @@ def concept_labels(spark, sf_dir):
     g AS (SELECT source, range, count(*) AS n, count(*) FILTER (undated) AS u, sha256(string_agg(h, '' ORDER BY doc_id)) AS d FROM h GROUP BY source, range)
   SELECT source, sum(n)::BIGINT AS n, sum(u)::BIGINT AS unknown_dates, sha256(string_agg(d, '' ORDER BY range)) AS digest FROM g GROUP BY source""")
 def dataset_digest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("digest"), F.when(F.col("n_chars") % 5 != 0, F.lit("x")).alias("published_at"))
+    d = table(spark, sf_dir, "documents").select(
+        "source",
+        "doc_id",
+        F.sha2("text", 256).alias("digest"),
+        F.when(F.col("n_chars") % 5 != 0, F.lit("x")).alias("published_at"),
+    )
     return reports.grouped_digest(d, "source", "doc_id", "digest")
 
 
@@ -263,7 +326,12 @@ def _fetched(spark, sf_dir):
     k = F.col("doc_id") % 10
     status = F.when(k == 1, 403).when(k == 2, 500).otherwise(200)
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", "n_chars", reports.access_result(status, F.replace("text", F.lit("\n"), F.lit(" ")), F.when(k == 3, " ").otherwise("T")).alias("error"))
+    return d.select(
+        "doc_id",
+        "source",
+        "n_chars",
+        reports.access_result(status, F.replace("text", F.lit("\n"), F.lit(" ")), F.when(k == 3, " ").otherwise("T")).alias("error"),
+    )
 
 
 @query("""WITH e AS (SELECT source, n_chars, CASE WHEN doc_id % 10 = 1 THEN 'explicit access response 403' WHEN doc_id % 10 = 2 THEN 'HTTP 500' WHEN trim(replace(text, chr(10), ' ')) = '' THEN 'no article text extracted'

@@ -33,9 +33,14 @@ ISSUES_SQL = f"""{SLOTS_SQL}, {DUPLICATE_SQL}, h AS (SELECT hours.slot_at, statu
 
 
 def _soak(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumns({"slot_at": F.date_trunc("hour", "ts").cast("timestamp_ntz"), "slug": F.concat(F.lit("u"), "user_id")})
+    e = table(spark, sf_dir, "events").withColumns(
+        {"slot_at": F.date_trunc("hour", "ts").cast("timestamp_ntz"), "slug": F.concat(F.lit("u"), "user_id")}
+    )
     s = e.groupBy(F.col("user_id").alias("source_id"), "slug", "slot_at").agg(
-        F.min("event_id").alias("slot_id"), F.min("ts").alias("claimed_at"), F.max("ts").alias("last"), F.min_by("event_type", "event_id").alias("kind")
+        F.min("event_id").alias("slot_id"), F.min("ts").alias("claimed_at"), F.max("ts").alias("last"), F.min_by(
+            "event_type",
+            "event_id",
+        ).alias("kind")
     )
     status = F.when(F.col("kind") == "view", "claimed").when(F.col("kind") == "error", "failed").otherwise("succeeded")
     s = s.withColumns({"status": status, "finished_at": F.when(F.col("kind") != "view", F.col("last") + F.expr("INTERVAL 40 MINUTES"))})
@@ -46,7 +51,10 @@ def _soak(spark, sf_dir):
         F.when(F.col("slot_id") % 8 == 0, "failed").otherwise(F.col("status")).alias("status"),
     )
     expected = F.array_sort(F.collect_set(F.when(F.col("user_id") % 10 != 0, F.col("slug"))))
-    cycles = e.groupBy("slot_at").agg(expected.alias("expected")).withColumn("status", F.when(F.hour("slot_at") % 7 == 0, "running").otherwise("completed"))
+    cycles = e.groupBy("slot_at").agg(expected.alias("expected")).withColumn(
+        "status",
+        F.when(F.hour("slot_at") % 7 == 0, "running").otherwise("completed"),
+    )
     last = cycles.agg(F.max("slot_at").alias("last"))
     hours = last.select(F.explode(F.expr("sequence(last - INTERVAL 167 HOURS, last, INTERVAL 1 HOUR)")).alias("slot_at"))
     return hours, cycles, numbered, runs, slots.soak_issues(hours, cycles, numbered, runs, _duplicates(spark, sf_dir))
@@ -87,7 +95,14 @@ def lease_events(events):
     """Receipts as claims and finishes of their user's slots."""
     action = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("claim")
     at = F.col("ts").cast("timestamp")
-    named = {"source_id": F.col("user_id"), "at": at, "seq": F.col("event_id"), "action": action, "slot_at": F.date_trunc("hour", at), "run_id": F.col("event_id")}
+    named = {
+        "source_id": F.col("user_id"),
+        "at": at,
+        "seq": F.col("event_id"),
+        "action": action,
+        "slot_at": F.date_trunc("hour", at),
+        "run_id": F.col("event_id"),
+    }
     return events.select(*[c.alias(n) for n, c in named.items()])
 
 
@@ -97,12 +112,17 @@ def slot_claim_fold(spark, sf_dir):
     return slots.fold(lease_events(table(spark, sf_dir, "events")))
 
 
-@query("""SELECT DISTINCT s_name AS slug FROM supplier WHERE s_acctbal > 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity >= 49)""")
+@query(
+    """SELECT DISTINCT s_name AS slug FROM supplier WHERE s_acctbal > 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity >= 49)"""
+)
 def schedulable_sources(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     sources = s.select(F.col("s_name").alias("slug"), F.col("s_suppkey").alias("source_id"), (F.col("s_acctbal") > 0).alias("active"))
     approved = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)
-    drafts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.when(approved, "approved").otherwise("draft").alias("status"))
+    drafts = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("source_id"),
+        F.when(approved, "approved").otherwise("draft").alias("status"),
+    )
     return policies.schedulable(sources.select("slug"), sources, drafts).distinct()
 
 
@@ -121,7 +141,11 @@ def _policies(spark, sf_dir):
     return made.withColumn("version", F.col("version").cast("long"))
 
 
-@query(f"WITH {POLICY_SQL} SELECT source_id, max(version) AS latest_version, max(version) FILTER (version % 2 = 0) AS approved_version FROM v GROUP BY source_id")
+@query(
+    f"WITH {
+        POLICY_SQL
+    } SELECT source_id, max(version) AS latest_version, max(version) FILTER (version % 2 = 0) AS approved_version FROM v GROUP BY source_id"
+)
 def latest_policies(spark, sf_dir):
     made = _policies(spark, sf_dir).withColumn("status", F.when(F.col("version") % 2 == 0, "approved").otherwise("draft"))
     return policies.latest_policy(made)
@@ -139,12 +163,24 @@ FAULTS = [
     ('"limits":{', '"more":1,"limits":{', "manifest has unknown keys: more"),
     ('"owner_name":"Owner",', "", "source is missing keys: owner_name;source.owner_name must be a non-empty string"),
     ('"slug":"supplier-', '"slug":"Supplier_', "source.slug must use lower-case kebab-case"),
-    ('"source_type":"primary"', '"source_type":"gossip"', "source.source_type must be one of: primary, licensed_reporting, public_reporting, discovery_only"),
+    (
+        '"source_type":"primary"',
+        '"source_type":"gossip"',
+        "source.source_type must be one of: primary, licensed_reporting, public_reporting, discovery_only",
+    ),
     ('"canonical_url":"https://s-', '"canonical_url":"https://me@s-', "source.canonical_url must be an HTTP(S) URL without credentials"),
     ('"id":"supplier_', '"id":"../supplier_', "recipe.id must be a .recipe filename without directories"),
     ('"type":"builtin","id"', '"type":"generic","id"', "recipe.id is not allowed for a generic recipe"),
-    ('"feeds":[{', '"feeds":[],"x":[{', "discovery has unknown keys: x;discovery.feeds must contain between 1 and 20 items;policy_proposal.endpoint_url must match a discovery feed"),
-    ('"article":["s-', '"article":["other.example.com","S-', "discovery.allowed_hosts.article must hold lower-case hostnames;source canonical host must be in discovery.allowed_hosts.article"),
+    (
+        '"feeds":[{',
+        '"feeds":[],"x":[{',
+        "discovery has unknown keys: x;discovery.feeds must contain between 1 and 20 items;policy_proposal.endpoint_url must match a discovery feed",
+    ),
+    (
+        '"article":["s-',
+        '"article":["other.example.com","S-',
+        "discovery.allowed_hosts.article must hold lower-case hostnames;source canonical host must be in discovery.allowed_hosts.article",
+    ),
     ('"redirect":[]', '"redirect":["r.example.com","r.example.com"]', "allowed hosts contains duplicates"),
     ('"mode":"unseen_only"', '"mode":"unseen_only","field":"feed_updated"', "discovery.update_strategy.field is not allowed for unseen_only"),
     ('"mode":"unseen_only"', '"mode":"trusted_marker"', "discovery.update_strategy.field must be one of: feed_updated"),
@@ -188,17 +224,26 @@ def source_overview(spark, sf_dir):
 
 
 def _overview(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "failed").alias("status"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("source_id"),
+        F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "failed").alias("status"),
+    )
     sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_acctbal") > 0).alias("active"))
     return reports.source_overview(sources, o, o)
 
 
-@query("SELECT (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS documents, count(*) FILTER (c_acctbal > 0) AS active_sources, count(*) AS sources FROM customer")
+@query(
+    "SELECT (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS documents, count(*) FILTER (c_acctbal > 0) AS active_sources, count(*) AS sources FROM customer"
+)
 def operations_totals(spark, sf_dir):
     return reports.totals(_overview(spark, sf_dir))
 
 
-@query(f"""WITH {SLOTS_SQL} SELECT slot_at, count(*) AS slots, array_to_string(list_sort(list_distinct(list(slug))), ',') AS slugs FROM slots GROUP BY slot_at ORDER BY slot_at DESC LIMIT 24""")
+@query(
+    f"""WITH {
+        SLOTS_SQL
+    } SELECT slot_at, count(*) AS slots, array_to_string(list_sort(list_distinct(list(slug))), ',') AS slugs FROM slots GROUP BY slot_at ORDER BY slot_at DESC LIMIT 24"""
+)
 def recent_cycles(spark, sf_dir):
     """A report of the last 24 hours: the limit is the feature."""
     return reports.recent_cycles(_soak(spark, sf_dir)[2])
@@ -213,8 +258,16 @@ def recent_cycles(spark, sf_dir):
 def run_reports(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id"))
     k = F.col("run_id")
-    runs = e.groupBy("run_id").agg(F.min(F.col("ts").cast("timestamp")).alias("started_at"), F.max(F.col("ts").cast("timestamp")).alias("finished_at"))
-    runs = runs.select("*", F.when(k % 4 == 0, 1).otherwise(0).alias("exit_code"), (k % 8 == 0).alias("timed_out"), F.when(k % 5 == 0, 1).otherwise(0).alias("errors"))
+    runs = e.groupBy("run_id").agg(
+        F.min(F.col("ts").cast("timestamp")).alias("started_at"),
+        F.max(F.col("ts").cast("timestamp")).alias("finished_at"),
+    )
+    runs = runs.select(
+        "*",
+        F.when(k % 4 == 0, 1).otherwise(0).alias("exit_code"),
+        (k % 8 == 0).alias("timed_out"),
+        F.when(k % 5 == 0, 1).otherwise(0).alias("errors"),
+    )
     fetched = (F.col("event_type") == "click") & (k % 3 != 0)
     decisions = e.filter("event_type IN ('click', 'view')").select("run_id", F.when(fetched, "fetch").otherwise("skip").alias("decision"))
     return reports.run_reports(runs, decisions, e.filter("event_type = 'purchase'").select("run_id"))
@@ -240,7 +293,9 @@ def clusters_to_score(spark, sf_dir):
     return reports.to_score(c, hashed.filter("cluster % 3 = 0"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 1 DAY * (o_custkey % 366) < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
+@query(
+    "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 1 DAY * (o_custkey % 366) < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY"
+)
 def expired_snapshots(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.select("o_orderkey", F.col("o_orderdate").alias("retrieved_at"), (F.col("o_custkey") % 366).cast("int").alias("retention_days"))
@@ -258,10 +313,17 @@ def chain_breaks(spark, sf_dir):
     return reports.chain_breaks(chained, "user_id", "event_id").select("event_id")
 
 
-@query(f"""WITH {URL_SQL} SELECT host AS feed, count(*) AS entries, sha256(array_to_string(list_sort(list_distinct(list(sha256(canonical_url || '|' || page_id)))), '')) AS fingerprint FROM c GROUP BY host""")
+@query(
+    f"""WITH {
+        URL_SQL
+    } SELECT host AS feed, count(*) AS entries, sha256(array_to_string(list_sort(list_distinct(list(sha256(canonical_url || '|' || page_id)))), '')) AS fingerprint FROM c GROUP BY host"""
+)
 def feed_fingerprints(spark, sf_dir):
     url = urls.canonical_url(F.col("url"))
-    p = table(spark, sf_dir, "pages").select(url.alias("url"), F.col("page_id").cast("string").alias("updated")).withColumn("feed", urls.url_host(F.col("url")))
+    p = table(spark, sf_dir, "pages").select(
+        url.alias("url"),
+        F.col("page_id").cast("string").alias("updated"),
+    ).withColumn("feed", urls.url_host(F.col("url")))
     return reports.feed_fingerprints(p)
 
 
@@ -288,15 +350,18 @@ def prose_overlap(spark, sf_dir):
 def stream_slots(spark, sf_dir):
     """Each source-hour of the stream of receipts once, however often it is delivered."""
     at = F.col("ts").cast("timestamp")
-    received = hourly.read_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.date_trunc("hour", at).alias("slot_at"), at.alias("at"))
+    received = hourly.read_stream(spark, f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("source_id"),
+        F.date_trunc("hour", at).alias("slot_at"),
+        at.alias("at"),
+    )
     once = hourly.run_to_table(spark, hourly.delivered_once(received).select("source_id", "slot_at"), "append")
     return once.select("source_id", F.col("slot_at").cast("timestamp_ntz").alias("slot_at"))
 
 
-@query(f"""WITH {URL_SQL}, k AS (SELECT DISTINCT canonical_url FROM c WHERE page_id % 5 = 0)
-  SELECT page_id, CASE WHEN c.canonical_url IS NULL THEN 'invalid_url' WHEN known.canonical_url IS NULL THEN 'unseen' ELSE 'known_unchanged' END AS reason,
-    CASE WHEN c.canonical_url IS NOT NULL AND known.canonical_url IS NULL THEN 'fetch' ELSE 'skip' END AS decision
-  FROM c LEFT JOIN (SELECT DISTINCT canonical_url FROM c WHERE page_id % 5 = 0) known ON c.canonical_url = known.canonical_url""".replace(", k AS (SELECT DISTINCT canonical_url FROM c WHERE page_id % 5 = 0)", ""))
+@query(f"""WITH {URL_SQL}, s AS (SELECT DISTINCT canonical_url FROM c WHERE page_id % 5 = 0)
+  SELECT page_id, CASE WHEN c.canonical_url IS NULL THEN 'invalid_url' WHEN s.canonical_url IS NULL THEN 'unseen' ELSE 'known_unchanged' END AS reason,
+    CASE WHEN c.canonical_url IS NOT NULL AND s.canonical_url IS NULL THEN 'fetch' ELSE 'skip' END AS decision FROM c LEFT JOIN s ON c.canonical_url = s.canonical_url""")
 def stream_gate(spark, sf_dir):
     """The pages as a stream against the known state (every fifth page), a static table."""
     path = f"{sf_dir}/pages.parquet"
@@ -317,11 +382,22 @@ def stream_leases(spark, sf_dir):
     || doc_id || '","language":"' || coalesce(lang, 'en') || '","title":"T"},"content":{"body_text":' || to_json(text) || ',"word_count":' || len(regexp_extract_all(text, '\S+')) || '},"schema_version":"calibre-article/v1","source_slug":"' || source || '"}') AS payload_hash FROM documents""")
 def article_payloads(spark, sf_dir):
     url = F.concat(F.lit("https://e.com/"), "doc_id")
-    made = records.article_payload(F.col("source"), url, F.lit("T"), F.col("text"), word_count(F.col("text")), F.col("lang"), F.lit("2026-08-09T10:00:00Z"), F.concat(url, F.lit("?r")))
+    made = records.article_payload(
+        F.col("source"),
+        url,
+        F.lit("T"),
+        F.col("text"),
+        word_count(F.col("text")),
+        F.col("lang"),
+        F.lit("2026-08-09T10:00:00Z"),
+        F.concat(url, F.lit("?r")),
+    )
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(made, 256).alias("payload_hash"))
 
 
-@query("""SELECT event_id, 1 + (event_id % 3 = 0)::INT AS kept, '{' || CASE WHEN event_id % 2 = 0 THEN '"kind":"' || event_type || '",' ELSE '' END || '"user":' || user_id || '}' AS metadata FROM events""")
+@query(
+    """SELECT event_id, 1 + (event_id % 3 = 0)::INT AS kept, '{' || CASE WHEN event_id % 2 = 0 THEN '"kind":"' || event_type || '",' ELSE '' END || '"user":' || user_id || '}' AS metadata FROM events"""
+)
 def kept_metadata(spark, sf_dir):
     """Headers of the allowed names, and metadata without nulls."""
     k = F.col("event_id")
@@ -330,7 +406,9 @@ def kept_metadata(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.size(records.kept_headers(headers)).alias("kept"), metadata.alias("metadata"))
 
 
-@query("SELECT o_custkey, p_type, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+@query(
+    "SELECT o_custkey, p_type, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
+)
 def traversals(spark, sf_dir):
     """Orders to parts through their lines: documents of clusters, claims of stories, stories of editions."""
     link = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
@@ -342,7 +420,11 @@ def traversals(spark, sf_dir):
     CASE event_id % 3 WHEN 0 THEN user_id IN (SELECT c_custkey FROM customer) WHEN 1 THEN user_id IN (SELECT s_suppkey FROM supplier) ELSE false END AS found FROM events""")
 def audit_subjects(spark, sf_dir):
     k = F.col("event_id") % 3
-    events = table(spark, sf_dir, "events").select("event_id", F.when(k == 0, "Customer").when(k == 1, "Supplier").otherwise("Story").alias("subject_type"), F.col("user_id").alias("subject_id"))
+    events = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(k == 0, "Customer").when(k == 1, "Supplier").otherwise("Story").alias("subject_type"),
+        F.col("user_id").alias("subject_id"),
+    )
     tables = {"Customer": table(spark, sf_dir, "customer").select("c_custkey"), "Supplier": table(spark, sf_dir, "supplier").select("s_suppkey")}
     return records.subjects(events, tables).select("event_id", "subject_type", "found")
 
@@ -358,10 +440,16 @@ def model_checks(spark, sf_dir):
     """The data model's checks on suppliers as claims and receipts as evidence and cycles, with faults by their numbers."""
     s, e = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "events")
     k = F.col("s_suppkey")
-    claims = s.select(F.when(k % 4 == 0, "attributed").when(k % 4 == 1, "rumour").otherwise("confirmed").alias("status"), F.when(k % 8 == 0, "A").alias("attributed_to"))
+    claims = s.select(
+        F.when(k % 4 == 0, "attributed").when(k % 4 == 1, "rumour").otherwise("confirmed").alias("status"),
+        F.when(k % 8 == 0, "A").alias("attributed_to"),
+    )
     evidence = e.select((F.col("value") / 100).alias("confidence"))
     cycles = e.select(
-        F.date_trunc("hour", "ts").alias("slot_at"), F.lit("completed").alias("status"), F.when(F.col("user_id") % 2 != 0, F.col("ts")).alias("finished_at"),
+        F.date_trunc("hour", "ts").alias("slot_at"), F.lit("completed").alias("status"), F.when(
+            F.col("user_id") % 2 != 0,
+            F.col("ts"),
+        ).alias("finished_at"),
         F.array(F.lit("e"), F.when(F.col("user_id") % 10 > 4, "a").otherwise("z")).alias("expected_source_slugs"),
     )
     return constraints.check_model({"claims": claims, "evidence_items": evidence, "news_collection_cycles": cycles})

@@ -18,7 +18,10 @@ def write_articles(articles: DataFrame, folder: str) -> None:
 
 def write_frozen(rows: DataFrame, profile: DataFrame, folder: str) -> None:
     """A dataset by URL with sorted keys, and its profile (rows, undated rows and digest by source)."""
-    rows.select(*sorted(rows.columns)).repartitionByRange("url").sortWithinPartitions("url").write.option("ignoreNullFields", "false").json(f"{folder}/articles")
+    rows.select(*sorted(rows.columns)).repartitionByRange("url").sortWithinPartitions("url").write.option(
+        "ignoreNullFields",
+        "false",
+    ).json(f"{folder}/articles")
     profile.orderBy(profile.columns[0]).coalesce(1).write.json(f"{folder}/manifest")  # one row per source
 
 

@@ -47,7 +47,10 @@ def run_to_table(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
         else:  # a batch that runs again replaces itself
             batch.write.mode("overwrite").parquet(f"{folder}/table/_batch={number}")
 
-    query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode(mode).foreachBatch(put).option(
+        "checkpointLocation",
+        f"{folder}/checkpoint",
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     if not query.recentProgress:
         return spark.createDataFrame([], schema)
@@ -58,7 +61,11 @@ def hourly_counts(rows: DataFrame, at: str = "ts", kind: str = "event_type", lat
     """Receipts by hour and kind; works on batch and streaming frames (NTZ times are taken as UTC)."""
     timed = rows.withColumn("_at", F.col(at).cast("timestamp"))
     timed = timed.withWatermark("_at", late) if rows.isStreaming else timed
-    return timed.groupBy(F.window("_at", "1 hour").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
+    return timed.groupBy(F.window("_at", "1 hour").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("hour"),
+        kind,
+        "n",
+    )
 
 
 def run_hourly(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +86,10 @@ def gate_stream(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """The stream's candidates (canonical_url, ...) with decision and reason against the known state, a static table."""
     state = known.select("canonical_url", F.lit(True).alias("_known"))
     reason = F.when(F.col("canonical_url").isNull(), "invalid_url").when(F.col("_known").isNull(), "unseen").otherwise("known_unchanged")
-    return candidates.join(state, "canonical_url", "left").withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "unseen", "fetch").otherwise("skip")).drop("_known")
+    return candidates.join(state, "canonical_url", "left").withColumn("reason", reason).withColumn(
+        "decision",
+        F.when(F.col("reason") == "unseen", "fetch").otherwise("skip"),
+    ).drop("_known")
 
 
 def _pack(slots: dict) -> str:
@@ -123,7 +133,9 @@ def lease_stream(events: DataFrame, lease_seconds: int = 3600, late: str = "1 ho
         ends = [s["lease_expires_at"] for s in source.slots.values() if s["status"] == "claimed" and s["lease_expires_at"] > now]
         if ends:
             state.setTimeoutTimestamp(int(min(ends).replace(tzinfo=UTC).timestamp() * 1000) + 1)
-        made = [{"source_id": key[0], "slot_at": at, **source.slots[at], **({"status": "expired"} if state.hasTimedOut else {})} for at in sorted(touched)]
+        made = [
+            {"source_id": key[0], "slot_at": at, **source.slots[at], **({"status": "expired"} if state.hasTimedOut else {})} for at in sorted(touched)
+        ]
         frame = pd.DataFrame(made, columns=[f.split()[0] for f in STATE.split(", ")])
         frame["run_id"] = frame["run_id"].astype("Int64")
         yield frame

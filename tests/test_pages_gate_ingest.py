@@ -11,7 +11,10 @@ PAGE = """<html><head><title>Site &mdash; Title</title><meta property="article:p
 
 
 def test_article_of_a_page(spark):
-    df = spark.createDataFrame([(1, PAGE, "kept"), (2, None, "x"), (3, "", "y"), (4, "<p>open <b>never closed", "z")], "page_id long, html string, title string")
+    df = spark.createDataFrame(
+        [(1, PAGE, "kept"), (2, None, "x"), (3, "", "y"), (4, "<p>open <b>never closed", "z")],
+        "page_id long, html string, title string",
+    )
     got = {r.page_id: r for r in html.parse_articles(df).collect()}
     r = got[1]
     assert r.title == "Real headline" and r.provenance_url == "https://E.com/story?utm_source=a"
@@ -36,15 +39,32 @@ def decide(spark, rows, known=(), hosts=("e.com",), cap=100, trust=False):
 
 
 def test_gate_reasons(spark):
-    rows = [("https://E.com/a/?utm_source=x", None), ("https://e.com/b", None), ("https://e.com/b?ref=1", None), ("https://o.org/c", None), ("https://o.org/c", None), (None, None), ("mailto:x", None), ("https://e.com/d", None)]
+    rows = [
+        ("https://E.com/a/?utm_source=x", None),
+        ("https://e.com/b", None),
+        ("https://e.com/b?ref=1", None),
+        ("https://o.org/c", None),
+        ("https://o.org/c", None),
+        (None, None),
+        ("mailto:x", None),
+        ("https://e.com/d", None),
+    ]
     assert decide(spark, rows, known=[("https://e.com/a", None)], cap=1) == [
-        ("skip", "known_unchanged"), ("fetch", "unseen"), ("skip", "duplicate_in_run"), ("skip", "disallowed_host"), ("skip", "disallowed_host"), ("skip", "invalid_url"), ("skip", "invalid_url"), ("skip", "article_cap"),
+        ("skip", "known_unchanged"), ("fetch", "unseen"), (
+            "skip",
+            "duplicate_in_run",
+        ), ("skip", "disallowed_host"), ("skip", "disallowed_host"), ("skip", "invalid_url"), ("skip", "invalid_url"), ("skip", "article_cap"),
     ]
 
 
 def test_gate_trusts_markers_only_if_told(spark):
     known = [("https://e.com/a", "2026-08-09T10:00:00Z"), ("https://e.com/b", None), ("https://e.com/c", "2026-08-09T10:00:00Z")]
-    rows = [("https://e.com/a", "2026-08-09T11:00:00Z"), ("https://e.com/b", "2026-08-01T00:00:00Z"), ("https://e.com/c", "2026-08-09T10:00:00Z"), ("https://e.com/a", None)]
+    rows = [
+        ("https://e.com/a", "2026-08-09T11:00:00Z"),
+        ("https://e.com/b", "2026-08-01T00:00:00Z"),
+        ("https://e.com/c", "2026-08-09T10:00:00Z"),
+        ("https://e.com/a", None),
+    ]
     assert [r for _, r in decide(spark, rows, known)] == ["known_unchanged"] * 3 + ["duplicate_in_run"]
     assert [r for _, r in decide(spark, rows, known, trust=True)] == ["trusted_newer_update"] * 2 + ["known_unchanged", "duplicate_in_run"]
 
@@ -54,29 +74,71 @@ ROWS = "run_id string, ord long, url string, title string, content_hash string,
 
 def test_two_runs_with_different_bodies(spark):
     first = spark.createDataFrame([("r1", 1, "u", "Old", "h1", None, 10, "d1", "m", "high")], ROWS)
-    second = spark.createDataFrame([("r2", 2, "u", "New", "h2", "s", 9, "d2", "f", "medium"), ("r2", 3, "u", "New", "h2", "s", 12, None, None, None)], ROWS)
+    second = spark.createDataFrame(
+        [("r2", 2, "u", "New", "h2", "s", 9, "d2", "f", "medium"), ("r2", 3, "u", "New", "h2", "s", 12, None, None, None)],
+        ROWS,
+    )
     made = ingest.ingest(first, second)
     article = made["articles"].first()
     assert (article.title, article.date, article.confidence, article.first_seen_at, article.last_seen_at) == ("New", "d1", "high", 10, 12)
     assert made["versions"].count() == 2 and made["observations"].count() == 2
-    assert made["counters"].first().asDict() == {"run_id": "r2", "records": 2, "new_articles": 0, "new_versions": 1, "unchanged_records": 1, "new_observations": 1}
+    assert made["counters"].first().asDict() == {
+        "run_id": "r2",
+        "records": 2,
+        "new_articles": 0,
+        "new_versions": 1,
+        "unchanged_records": 1,
+        "new_observations": 1,
+    }
     # A run that was imported is not taken again.
     again = ingest.ingest(first, second, imported=spark.createDataFrame([("r2",)], "run_id string"))
     assert again["counters"].count() == 0 and again["versions"].count() == 1
 
 
 def test_preferred_dates(spark):
-    rows = [("a", 1, "d1", "medium"), ("a", 2, "d2", "medium"), ("a", 3, None, None), ("b", 1, "d1", "high"), ("b", 2, "d2", "medium"), ("c", 1, "d1", "medium"), ("c", 2, "d2", "high"), ("c", 3, "d3", "high"), ("d", 1, None, None)]
+    rows = [
+        ("a", 1, "d1", "medium"),
+        ("a", 2, "d2", "medium"),
+        ("a", 3, None, None),
+        ("b", 1, "d1", "high"),
+        ("b", 2, "d2", "medium"),
+        ("c", 1, "d1", "medium"),
+        ("c", 2, "d2", "high"),
+        ("c", 3, "d3", "high"),
+        ("d", 1, None, None),
+    ]
     df = spark.createDataFrame(rows, "k string, ord long, d string, c string").withColumn("s", F.lit("s"))
     for strict, of_a in ((False, "d2"), (True, None)):
-        got = {r.k: r.p and r.p.date for r in df.groupBy("k").agg(ingest.preferred_date("ord", "d", "s", "c", strict_reference=strict).alias("p")).collect()}
+        got = {
+            r.k: r.p and r.p.date for r in df.groupBy("k").agg(
+                ingest.preferred_date("ord", "d", "s", "c", strict_reference=strict).alias("p")
+            ).collect()
+        }
         assert got == {"a": of_a, "b": "d1", "c": "d3", "d": None}
 
 
 def test_a_bad_record_does_not_stop_its_siblings(spark):
     good = ("https://e.com/a", "https://e.com/a", " A  title ", "body", "2026-08-09T10:00:00Z", None, None, None, "2026-08-09T10:00:00Z")
-    rows = [good, ("ftp://e.com/a", *good[1:]), (*good[:1], "https://o.org/", *good[2:]), (*good[:2], " \n", *good[3:]), (*good[:3], " ", *good[4:]), (*good[:4], "yesterday", *good[5:]), (*good[:8], "2026-08-09")]
-    names = ["canonical_url", "requested_url", "title", "body", "article_published", "feed_published", "article_updated", "feed_updated", "retrieved_at"]
+    rows = [
+        good,
+        ("ftp://e.com/a", *good[1:]),
+        (*good[:1], "https://o.org/", *good[2:]),
+        (*good[:2], " \n", *good[3:]),
+        (*good[:3], " ", *good[4:]),
+        (*good[:4], "yesterday", *good[5:]),
+        (*good[:8], "2026-08-09"),
+    ]
+    names = [
+        "canonical_url",
+        "requested_url",
+        "title",
+        "body",
+        "article_published",
+        "feed_published",
+        "article_updated",
+        "feed_updated",
+        "retrieved_at",
+    ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position long, " + ", ".join(f"{n} string" for n in names))
     fine, receipts_ = ingest.isolate(df, "article", "position", ingest.article_error(F.array(F.lit("e.com"))))
     assert [r.position for r in fine.collect()] == [0]
@@ -86,20 +148,44 @@ def test_a_bad_record_does_not_stop_its_siblings(spark):
 
 
 def test_identities_must_match(spark):
-    df = spark.createDataFrame([(1, 1, 1, 5, 5, "approved"), (1, 2, 1, 5, 5, "approved"), (1, 1, 1, 5, 6, "approved"), (1, 1, 1, 5, 5, "draft")], "s long, ps long, rs long, p long, rp long, st string")
+    df = spark.createDataFrame(
+        [(1, 1, 1, 5, 5, "approved"), (1, 2, 1, 5, 5, "approved"), (1, 1, 1, 5, 6, "approved"), (1, 1, 1, 5, 5, "draft")],
+        "s long, ps long, rs long, p long, rp long, st string",
+    )
     got = [r[0] for r in df.select(ingest.context_error(*[F.col(c) for c in ("s", "ps", "rs", "p", "rp", "st")])).collect()]
-    assert got == [None, "source, policy, and collection run must match", "source, policy, and collection run must match", "source policy must be approved"]
+    assert got == [
+        None,
+        "source, policy, and collection run must match",
+        "source, policy, and collection run must match",
+        "source policy must be approved",
+    ]
     df = spark.createDataFrame([("v1", "a"), ("v2", "a"), ("v1", "b"), (None, None)], "v string, s string")
     got = [r[0] for r in df.select(ingest.identity_error(F.col("v"), "v1", F.col("s"), F.lit("a"))).collect()]
     assert got == [None, "unsupported schema_version", "source_slug does not match a", "unsupported schema_version"]
 
 
 def test_known_state(spark):
-    df = spark.createDataFrame([("s", "https://e.com/b", "2026-08-09 10:00:00"), ("s", "https://e.com/a", None)], "source_slug string, canonical_url string, at string").withColumn("source_updated_at", F.col("at").cast("timestamp"))
-    assert [r.line for r in ingest.known_state(df).collect()] == ['{"canonical_url":"https://e.com/a","source_updated_at":null}', '{"canonical_url":"https://e.com/b","source_updated_at":"2026-08-09T10:00:00Z"}']
+    df = spark.createDataFrame([("s", "https://e.com/b", "2026-08-09 10:00:00"), ("s", "https://e.com/a", None)], "source_slug string, canonical_url string, at string").withColumn(
+        "source_updated_at",
+        F.col("at").cast("timestamp"),
+    )
+    assert [r.line for r in ingest.known_state(df).collect()] == [
+        '{"canonical_url":"https://e.com/a","source_updated_at":null}',
+        '{"canonical_url":"https://e.com/b","source_updated_at":"2026-08-09T10:00:00Z"}',
+    ]
     v = "calibre-known-state/v1"
-    rows = [(v, "s", "https://e.com/a", None), ("v0", "s", "https://e.com/a", None), (v, "", "https://e.com/a", None), (v, "s", "x", None), (v, "s", "https://e.com/a", "yesterday")]
-    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string, c string, d string").select(ingest.known_state_error(*[F.col(c) for c in "abcd"])).collect()]
+    rows = [
+        (v, "s", "https://e.com/a", None),
+        ("v0", "s", "https://e.com/a", None),
+        (v, "", "https://e.com/a", None),
+        (v, "s", "x", None),
+        (v, "s", "https://e.com/a", "yesterday"),
+    ]
+    got = [
+        r[0] for r in spark.createDataFrame(rows, "a string, b string, c string, d string").select(
+            ingest.known_state_error(*[F.col(c) for c in "abcd"])
+        ).collect()
+    ]
     assert [g is None for g in got] == [True, False, False, False, False] and len(set(got)) == 5
 
 
@@ -107,10 +193,20 @@ def test_bodies_stay_below_the_run(spark, tmp_path):
     (tmp_path / "articles" / "deep").mkdir(parents=True)
     (tmp_path / "articles" / "deep" / "one.txt").write_text("First\nsecond")
     bodies = ingest.read_bodies(spark, str(tmp_path))
-    records = spark.createDataFrame([("articles/deep/one.txt",), ("articles/../../etc/passwd",), ("/etc/passwd",), ("articles/none.txt",)], "body_text_path string")
-    got = records.join(bodies, "body_text_path", "left").select("body_text_path", "body", ingest.path_error(F.col("body_text_path"), F.col("body")).alias("e")).collect()
+    records = spark.createDataFrame(
+        [("articles/deep/one.txt",), ("articles/../../etc/passwd",), ("/etc/passwd",), ("articles/none.txt",)],
+        "body_text_path string",
+    )
+    got = records.join(bodies, "body_text_path", "left").select(
+        "body_text_path",
+        "body",
+        ingest.path_error(F.col("body_text_path"), F.col("body")).alias("e"),
+    ).collect()
     assert {r.body_text_path: (r.body, r.e) for r in got} == {
-        "articles/deep/one.txt": ("First\nsecond", None), "articles/../../etc/passwd": (None, "body_text_path is outside the run root"), "/etc/passwd": (None, "body_text_path is outside the run root"), "articles/none.txt": (None, "body_text_path does not exist"),
+        "articles/deep/one.txt": ("First\nsecond", None), "articles/../../etc/passwd": (
+            None,
+            "body_text_path is outside the run root",
+        ), "/etc/passwd": (None, "body_text_path is outside the run root"), "articles/none.txt": (None, "body_text_path does not exist"),
     }
 
 

@@ -22,7 +22,11 @@ def test_cleaned_page(spark):
 def test_payload_is_canonical_json(spark):
     r = spark.range(1).select(records.article_payload(*[F.lit(x) for x in ("s", "https://e.com/é", 'T"', "b\n", 1, "", "t", "r")])).first()[0]
     plain = {
-        "schema_version": "calibre-article/v1", "source_slug": "s", "article": {"canonical_url": "https://e.com/é", "language": "en", "title": 'T"'}, "content": {"body_text": "b\n", "word_count": 1},
+        "schema_version": "calibre-article/v1", "source_slug": "s", "article": {
+            "canonical_url": "https://e.com/é",
+            "language": "en",
+            "title": 'T"',
+        }, "content": {"body_text": "b\n", "word_count": 1},
         "acquisition": {"final_url": "https://e.com/é", "http_status": 200, "requested_url": "r", "retrieved_at": "t"},
     }
     assert r == json.dumps(plain, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -38,24 +42,45 @@ def test_log_and_entries(spark):
 
 def test_model_checks_find_each_fault(spark):
     slots = spark.createDataFrame(
-        [(1, "2026-08-09 12:00:00", "claimed", 1, "2026-08-09 12:05:00", "2026-08-09 12:01:00", None, None), (1, "2026-08-09 12:00:00", "succeeded", 0, "2026-08-09 12:05:00", None, "2026-08-09 12:09:00", None), (2, "2026-08-09 12:30:00", "lost", 1, None, None, None, None)],
+        [
+            (1, "2026-08-09 12:00:00", "claimed", 1, "2026-08-09 12:05:00", "2026-08-09 12:01:00", None, None),
+            (1, "2026-08-09 12:00:00", "succeeded", 0, "2026-08-09 12:05:00", None, "2026-08-09 12:09:00", None),
+            (2, "2026-08-09 12:30:00", "lost", 1, None, None, None, None),
+        ],
         "source_id long, slot_at string, status string, attempts int, claimed_at string, lease_expires_at string, finished_at string, collection_run_id long",
     )
     for c in ("slot_at", "claimed_at", "lease_expires_at", "finished_at"):
         slots = slots.withColumn(c, F.col(c).cast("timestamp"))
     got = {r.check_name.split(".")[1]: r.violations for r in constraints.check_model({"news_collection_slots": slots}).collect()}
-    assert got == {"status": 1, "source_id_slot_at_unique": 1, "on_the_hour": 1, "attempts": 1, "lease_after_claim": 1, "finished_unless_claimed": 1, "success_has_run": 1}
+    assert got == {
+        "status": 1,
+        "source_id_slot_at_unique": 1,
+        "on_the_hour": 1,
+        "attempts": 1,
+        "lease_after_claim": 1,
+        "finished_unless_claimed": 1,
+        "success_has_run": 1,
+    }
 
 
 def test_sinks(spark, tmp_path):
-    articles = spark.createDataFrame([("https://e.com/b", "B", "body", None), ("https://e.com/a", "A", "text", "x")], "canonical_url string, title string, body string, section string")
+    articles = spark.createDataFrame(
+        [("https://e.com/b", "B", "body", None), ("https://e.com/a", "A", "text", "x")],
+        "canonical_url string, title string, body string, section string",
+    )
     outputs.write_articles(articles, f"{tmp_path}/run")
     lines = [json.loads(x) for p in (tmp_path / "run/articles").glob("part-*") for x in p.read_text().splitlines()]
     assert all(list(x) == sorted(x) for x in lines) and {x["section"] for x in lines} == {None, "x"}
     bodies = {r.identity: r.body for r in spark.read.parquet(f"{tmp_path}/run/bodies").collect()}
-    assert {x["canonical_url"]: bodies[x["identity"]] for x in lines} == {"https://e.com/b": "body", "https://e.com/a": "text"} and all(len(i) == 20 for i in bodies)
-
-    outputs.write_frozen(articles.withColumnRenamed("canonical_url", "url"), spark.createDataFrame([("s", 2)], "source string, n long"), f"{tmp_path}/frozen")
+    assert {
+        x["canonical_url"]: bodies[x["identity"]] for x in lines
+    } == {"https://e.com/b": "body", "https://e.com/a": "text"} and all(len(i) == 20 for i in bodies)
+
+    outputs.write_frozen(
+        articles.withColumnRenamed("canonical_url", "url"),
+        spark.createDataFrame([("s", 2)], "source string, n long"),
+        f"{tmp_path}/frozen",
+    )
     order = [json.loads(x)["url"] for p in sorted((tmp_path / "frozen/articles").glob("part-*")) for x in p.read_text().splitlines()]
     assert order == sorted(order) and len(order) == 2
 
@@ -66,7 +91,10 @@ def test_sinks(spark, tmp_path):
     for t in (0.145, 0.2):
         outputs.write_clusters(stats, members, t, str(tmp_path))
     assert {r.threshold for r in spark.read.parquet(f"{tmp_path}/clusters").collect()} == {0.145, 0.2}
-    outputs.write_scores(spark.createDataFrame([("cluster:1", "{}", "p", "{}")], "case string, dossier string, prompt string, score string"), str(tmp_path))
+    outputs.write_scores(
+        spark.createDataFrame([("cluster:1", "{}", "p", "{}")], "case string, dossier string, prompt string, score string"),
+        str(tmp_path),
+    )
     assert spark.read.parquet(f"{tmp_path}/scores").first().prompt == "p"
 
     rows = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c")], "run long, position long, url string")

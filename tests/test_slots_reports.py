@@ -24,12 +24,32 @@ def minutes(n):
 def test_lease_script(spark):
     """Claimed 12:05, refused at 12:15, claimed again after the lease, next hour blocked while live, done, refused."""
     script = [
-        (1, minutes(5), 1, "claim", T0, None), (1, minutes(15), 2, "claim", T0, None), (1, minutes(66), 3, "claim", T0, None), (1, minutes(70), 4, "claim", minutes(60), None),
-        (1, minutes(80), 5, "succeeded", T0, 7), (1, minutes(81), 6, "claim", T0, None), (1, minutes(82), 7, "claim", minutes(60), None), (1, minutes(83), 8, "failed", minutes(60), None), (2, minutes(5), 9, "failed", T0, 1),
+        (1, minutes(5), 1, "claim", T0, None), (1, minutes(15), 2, "claim", T0, None), (1, minutes(66), 3, "claim", T0, None), (
+            1,
+            minutes(70),
+            4,
+            "claim",
+            minutes(60),
+            None,
+        ),
+        (1, minutes(80), 5, "succeeded", T0, 7), (1, minutes(81), 6, "claim", T0, None), (1, minutes(82), 7, "claim", minutes(60), None), (
+            1,
+            minutes(83),
+            8,
+            "failed",
+            minutes(60),
+            None,
+        ), (2, minutes(5), 9, "failed", T0, 1),
     ]
     got = {r.slot_at: r for r in slots.fold(spark.createDataFrame(script, EVENTS)).collect()}
     assert set(got) == {T0, minutes(60)}
-    assert (got[T0].status, got[T0].attempts, got[T0].run_id, got[T0].claimed_at, got[T0].finished_at) == ("succeeded", 2, 7, minutes(66), minutes(80))
+    assert (got[T0].status, got[T0].attempts, got[T0].run_id, got[T0].claimed_at, got[T0].finished_at) == (
+        "succeeded",
+        2,
+        7,
+        minutes(66),
+        minutes(80),
+    )
     assert (got[minutes(60)].status, got[minutes(60)].attempts, got[minutes(60)].run_id) == ("failed", 1, None)
 
 
@@ -48,7 +68,16 @@ def plain_fold(events):
 
 def test_fold_matches_plain_replay(spark):
     draw = random.Random(3)
-    events = [(draw.randrange(4), minutes(draw.randrange(600)), i, draw.choice(["claim", "claim", "succeeded", "failed"]), minutes(60 * draw.randrange(5)), draw.choice([None, i])) for i in range(300)]
+    events = [
+        (
+            draw.randrange(4),
+            minutes(draw.randrange(600)),
+            i,
+            draw.choice(["claim", "claim", "succeeded", "failed"]),
+            minutes(60 * draw.randrange(5)),
+            draw.choice([None, i]),
+        ) for i in range(300)
+    ]
     got = {tuple(r) for r in slots.fold(spark.createDataFrame(events, EVENTS)).collect()}
     assert got == plain_fold(events)
 
@@ -82,7 +111,10 @@ def test_streams_read_folders(spark, tmp_path):
 def soak(spark, cycles, slot_rows, runs, hours=3):
     expected = spark.createDataFrame([(minutes(60 * i),) for i in range(hours)], "slot_at timestamp")
     c = spark.createDataFrame(cycles, "slot_at timestamp, status string, expected array<string>")
-    s = spark.createDataFrame(slot_rows, "slot_id long, slot_at timestamp, source_id long, slug string, status string, claimed_at timestamp, finished_at timestamp, run_id long")
+    s = spark.createDataFrame(
+        slot_rows,
+        "slot_id long, slot_at timestamp, source_id long, slug string, status string, claimed_at timestamp, finished_at timestamp, run_id long",
+    )
     r = spark.createDataFrame(runs, "run_id long, source_id long, status string")
     issues = slots.soak_issues(expected, c, s, r, spark.createDataFrame([], "source_id long, url string, n long"))
     verdict = slots.soak_verdict(expected, c, issues).first()
@@ -90,7 +122,16 @@ def soak(spark, cycles, slot_rows, runs, hours=3):
 
 
 def test_soak(spark):
-    slot = lambda i, status="succeeded", run=True: (i, minutes(60 * i), 1, "a", status, minutes(60 * i + 7), None if status == "claimed" else minutes(60 * i + 9), i if run else None)
+    slot = lambda i, status="succeeded", run=True: (
+        i,
+        minutes(60 * i),
+        1,
+        "a",
+        status,
+        minutes(60 * i + 7),
+        None if status == "claimed" else minutes(60 * i + 9),
+        i if run else None,
+    )
     cycle = lambda i, status="completed", slugs=("a",): (minutes(60 * i), status, list(slugs))
     run = lambda i, status="succeeded", source=1: (i, source, status)
     issues, verdict = soak(spark, [cycle(i) for i in range(3)], [slot(i) for i in range(3)], [run(i) for i in range(3)])
@@ -98,7 +139,12 @@ def test_soak(spark):
     issues, verdict = soak(spark, [cycle(0), cycle(2, "running")], [slot(0), slot(2, "claimed")], [run(0)])
     assert issues == {"missing_cycle": 1, "cycle_not_completed": 1, "source_slot_not_terminal": 1} and not verdict.passed
     # A failed slot without a run is fine; one with another source's run, or a success without any, is not.
-    issues, _ = soak(spark, [cycle(i) for i in range(3)], [slot(0, "failed", run=False), slot(1, "failed"), slot(2, run=False)], [run(1, "failed", source=2)])
+    issues, _ = soak(
+        spark,
+        [cycle(i) for i in range(3)],
+        [slot(0, "failed", run=False), slot(1, "failed"), slot(2, run=False)],
+        [run(1, "failed", source=2)],
+    )
     assert issues == {"collection_run_mismatch": 2}
     issues, _ = soak(spark, [cycle(0, slugs=("a", "b")), cycle(1), cycle(2)], [slot(0), slot(1), slot(2)], [run(i) for i in range(3)])
     assert issues == {"source_receipt_mismatch": 1}
@@ -108,11 +154,17 @@ def test_soak(spark):
 
 
 def test_cycles(spark):
-    asked = spark.createDataFrame([(minutes(5), ["b", "a", "a"]), (minutes(9), ["a", "b"]), (minutes(30), ["c"]), (minutes(61), [])], "at timestamp, source_slugs array<string>")
+    asked = spark.createDataFrame(
+        [(minutes(5), ["b", "a", "a"]), (minutes(9), ["a", "b"]), (minutes(30), ["c"]), (minutes(61), [])],
+        "at timestamp, source_slugs array<string>",
+    )
     got = {r.slot_at: r for r in slots.cycles(asked).collect()}
     assert (got[T0].expected, got[T0].mismatches, got[T0].status) == (["a", "b"], 1, "dispatching")
     assert got[minutes(60)].status == "completed"
-    done = spark.createDataFrame([(T0, "a", "succeeded"), (T0, "b", "failed"), (minutes(60), "x", "claimed")], "slot_at timestamp, slug string, status string")
+    done = spark.createDataFrame(
+        [(T0, "a", "succeeded"), (T0, "b", "failed"), (minutes(60), "x", "claimed")],
+        "slot_at timestamp, slug string, status string",
+    )
     assert {r.slot_at: r.completed for r in slots.completed(slots.cycles(asked), done).collect()} == {T0: True, minutes(60): True}
     lease = spark.createDataFrame([(T0, 900)], "at timestamp, s int").select(slots.lease_end(F.col("at"), F.col("s")).alias("e")).first().e
     assert lease == minutes(20)
@@ -150,10 +202,26 @@ def test_manifests(spark):
         return change
 
     got = faults(
-        spark, lambda m: None, lambda m: m.pop("limits"), put("recipe", {"type": "project", "path": "lib/calibre_recipes/../x.recipe"}), put("recipe", {"type": "project", "path": "lib/calibre_recipes/supplier-1.recipe"}),
-        put("recipe", {"type": "generic", "path": "x"}), put("discovery", "feeds", [{"url": "https://s-1.example.com/feed"}] * 2), put("discovery", "feeds", [{"url": "https://s-1.example.com/feed", "x": 1}]),
-        put("source", "name", " padded"), put("source", "name", 5), put("limits", "article_cap", 2.5), put("discovery", "update_strategy", {"mode": "trusted_marker", "field": "feed_updated"}),
-        put("policy_proposal", "notes", ""), put("policy_proposal", "allowed_uses", ["discovery", "resale"]), put("source", []), put("discovery", "allowed_hosts", "article", []),
+        spark, lambda m: None, lambda m: m.pop("limits"), put("recipe", {"type": "project", "path": "lib/calibre_recipes/../x.recipe"}), put(
+            "recipe",
+            {"type": "project", "path": "lib/calibre_recipes/supplier-1.recipe"},
+        ),
+        put("recipe", {"type": "generic", "path": "x"}), put("discovery", "feeds", [{"url": "https://s-1.example.com/feed"}] * 2), put(
+            "discovery",
+            "feeds",
+            [{"url": "https://s-1.example.com/feed", "x": 1}],
+        ),
+        put("source", "name", " padded"), put("source", "name", 5), put("limits", "article_cap", 2.5), put(
+            "discovery",
+            "update_strategy",
+            {"mode": "trusted_marker", "field": "feed_updated"},
+        ),
+        put("policy_proposal", "notes", ""), put("policy_proposal", "allowed_uses", ["discovery", "resale"]), put("source", []), put(
+            "discovery",
+            "allowed_hosts",
+            "article",
+            [],
+        ),
     )
     assert got[0] == [] and got[3] == [] and got[10] == []
     assert "manifest is missing keys: limits" in got[1] and got[2] == ['recipe.path must be "lib/calibre_recipes/supplier-1.recipe"']
@@ -186,7 +254,16 @@ def test_manifest_files(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("code", "late", "discovered", "eligible", "outcome"),
-    [(0, False, 3, 0, "no_changes"), (0, False, 0, 0, "succeeded"), (0, False, 3, 1, "succeeded"), (1, False, 3, 0, "no_changes"), (1, True, 3, 0, "failed"), (0, True, 3, 0, "no_changes"), (1, False, 0, 0, "failed"), (2, False, 3, 1, "failed")],
+    [
+        (0, False, 3, 0, "no_changes"),
+        (0, False, 0, 0, "succeeded"),
+        (0, False, 3, 1, "succeeded"),
+        (1, False, 3, 0, "no_changes"),
+        (1, True, 3, 0, "failed"),
+        (0, True, 3, 0, "no_changes"),
+        (1, False, 0, 0, "failed"),
+        (2, False, 3, 1, "failed"),
+    ],
 )
 def test_outcomes(spark, code, late, discovered, eligible, outcome):
     df = spark.createDataFrame([(code, late, discovered, eligible)], "c int, l boolean, d int, e int")
@@ -199,23 +276,34 @@ def test_editions_in_new_york(spark):
     got = [r.w and (r.w["from"], r.w["to"]) for r in days.select(reports.edition_window(F.to_date("d")).alias("w")).collect()]
     at = lambda *t: datetime(2026, *t)
     assert got == [(at(3, 6, 7), at(3, 9, 6)), (at(3, 9, 6), at(3, 10, 6)), None, (at(8, 11, 6), at(8, 12, 6))]
-    seen = spark.createDataFrame([(at(8, 12, 5, 59), None), (at(8, 12, 6, 1), None), (None, at(8, 14, 12)), (None, at(8, 16, 12))], "p timestamp, s timestamp")
+    seen = spark.createDataFrame(
+        [(at(8, 12, 5, 59), None), (at(8, 12, 6, 1), None), (None, at(8, 14, 12)), (None, at(8, 16, 12))],
+        "p timestamp, s timestamp",
+    )
     got = [(str(r.e.edition), r.e.fallback) for r in seen.select(reports.edition_of(F.col("p"), F.col("s")).alias("e")).collect()]
     assert got == [("2026-08-12", False), ("2026-08-13", False), ("2026-08-17", True), ("2026-08-17", True)]
 
 
 def test_small_reports(spark):
-    df = spark.createDataFrame([(1, "one two three four five six", "x one two three four five y"), (2, "too short", "too short"), (3, "a b c d e", "")], "id long, story string, source_text string")
+    df = spark.createDataFrame(
+        [(1, "one two three four five six", "x one two three four five y"), (2, "too short", "too short"), (3, "a b c d e", "")],
+        "id long, story string, source_text string",
+    )
     assert {r.id: r.overlap for r in reports.prose_overlap(df).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
     df = spark.createDataFrame([(200, "t", "T"), (403, "t", "T"), (404, "t", "T"), (200, " ", "T"), (200, "t", None)], "s int, x string, t string")
     got = [r[0] for r in df.select(reports.access_result(F.col("s"), F.col("x"), F.col("t"))).collect()]
     assert got == [None, "explicit access response 403", "HTTP 404", "no article text extracted", "no title extracted"]
-    status = spark.range(2).select(reports.run_status(F.col("id") == 0, F.lit("Error"), F.repeat(F.lit("x"), 3000)).alias("s")).orderBy("s.status").collect()
+    status = spark.range(2).select(
+        reports.run_status(F.col("id") == 0, F.lit("Error"), F.repeat(F.lit("x"), 3000)).alias("s")
+    ).orderBy("s.status").collect()
     assert status[0].s.status == "failed" and len(status[0].s.error_message) == 2000 and status[1].s.error_class is None
 
 
 def test_cases(spark):
-    stats = spark.createDataFrame([(10, 2, 3, 0.5, "b"), (20, 3, 3, 0.1, "a"), (30, 2, 3, 0.5, "a")], "cluster long, n_sources long, size long, mean_similarity double, title string")
+    stats = spark.createDataFrame(
+        [(10, 2, 3, 0.5, "b"), (20, 3, 3, 0.1, "a"), (30, 2, 3, 0.5, "a")],
+        "cluster long, n_sources long, size long, mean_similarity double, title string",
+    )
     numbered = reports.numbered_clusters(stats)
     assert {r.cluster: r.number for r in numbered.collect()} == {20: 1, 30: 2, 10: 3}
     members = spark.createDataFrame([(10, "u1"), (30, "u2"), (99, "alone")], "cluster long, url string")

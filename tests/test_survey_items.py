@@ -33,7 +33,10 @@ def test_experiment_url(spark):
         "HTTPS://Example.COM:443/a//b/?x=1#f", "http://a.b/", "http://a.b", "http://a.b///", "http://U:P@A.b:81/Path;p=1/x;q=2?r", "https://a.b/x/;p", " https://a.b/x\ty",
         "http://a.b?q=/z/", "http://a.b/%7Ex/#/y", "http://a.b/x;", "http://a.b/x;a;b/", "http://a.b/x y/",
     ]
-    made = spark.createDataFrame([(u,) for u in [*given, "mailto:a@b", "/x", None]], "u string").select("u", urls.experiment_url(F.col("u")).alias("v")).collect()
+    made = spark.createDataFrame([(u,) for u in [*given, "mailto:a@b", "/x", None]], "u string").select(
+        "u",
+        urls.experiment_url(F.col("u")).alias("v"),
+    ).collect()
     got = {r.u: r.v for r in made}
 
     def plain(u):
@@ -46,7 +49,10 @@ def test_experiment_url(spark):
 
 def test_local_completeness_and_identity(spark):
     rows = [("http://a/live/x", "Developing Story"), ("http://a/x", "A DEVELOPING story"), ("http://a/y", "short")]
-    got = spark.createDataFrame(rows, "u string, b string").select(tx.completeness_local(F.col("u"), F.col("b")), tx.identity_prefix(F.col("u"))).collect()
+    got = spark.createDataFrame(rows, "u string, b string").select(
+        tx.completeness_local(F.col("u"), F.col("b")),
+        tx.identity_prefix(F.col("u")),
+    ).collect()
     assert [r[0] for r in got] == ["live_page", "provisional", "substantial"]
     assert [r[1] for r in got] == [hashlib.sha256(u.encode()).hexdigest()[:20] for u, _ in rows]
 
@@ -57,7 +63,9 @@ def test_local_coverage(spark):
         (1, "a", us, long, "2026-01-03"), (1, "a", us, "short", None), (1, "b", "France", long, "2026-01-01"), (1, "c", us, None, "2026-02-01"),
         (2, "a", us, "word " * 149, None), (2, "a", us, long, None), (3, "b", None, " ", "2026-03-01"),
     ]
-    got = dossier.local_coverage(spark.createDataFrame(rows, "cluster long, publisher string, country string, body string, published_at string")).collect()
+    got = dossier.local_coverage(
+        spark.createDataFrame(rows, "cluster long, publisher string, country string, body string, published_at string")
+    ).collect()
     assert sorted(tuple(r) for r in got) == [
         (1, 4, 2, 3, False, 2, "2026-01-01", "2026-02-01"), (2, 2, 1, 1, True, 1, None, None), (3, 1, 0, 1, True, 0, "2026-03-01", "2026-03-01"),
     ]

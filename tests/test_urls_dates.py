@@ -51,14 +51,34 @@ def test_query_is_encoded_as_the_standard_library_does(spark):
 
 def test_sites_and_articles(spark):
     home = F.lit("https://www.e.com/")
-    rows = ["https://news.e.com/2026/08/09/a-long-story/", "https://e.com/short", "https://fake-e.com/2026/08/09/a-long-story", "https://e.com/video/2026/08/09/a-long-story", "https://e.com/2026/08/09/a-long-photo.jpg"]
+    rows = [
+        "https://news.e.com/2026/08/09/a-long-story/",
+        "https://e.com/short",
+        "https://fake-e.com/2026/08/09/a-long-story",
+        "https://e.com/video/2026/08/09/a-long-story",
+        "https://e.com/2026/08/09/a-long-photo.jpg",
+    ]
     assert values(spark, rows, urls.same_site(F.col("c"), home)) == [True, True, False, True, True]
     assert values(spark, rows, urls.likely_article(F.col("c"), home)) == [True, False, False, False, False]
-    assert values(spark, ["https://e.com/2026/aug/9/x", "https://e.com/2026/08/31/x", "https://e.com/2026/02/31/x", "https://e.com/x"], urls.date_in_path(F.col("c")).cast("string")) == ["2026-08-09", "2026-08-31", None, None]
+    assert values(
+        spark,
+        ["https://e.com/2026/aug/9/x", "https://e.com/2026/08/31/x", "https://e.com/2026/02/31/x", "https://e.com/x"],
+        urls.date_in_path(F.col("c")).cast("string"),
+    ) == ["2026-08-09", "2026-08-31", None, None]
 
 
 def test_strict_times(spark):
-    rows = ["2026-08-09T10:00:00-04:00", "2026-08-09T10:00:00.987Z", "2026-08-09T10:00:00", "2026-08-09", "2026", "yesterday", " ", None, "Sun, 09 Aug 2026 10:00:00 GMT"]
+    rows = [
+        "2026-08-09T10:00:00-04:00",
+        "2026-08-09T10:00:00.987Z",
+        "2026-08-09T10:00:00",
+        "2026-08-09",
+        "2026",
+        "yesterday",
+        " ",
+        None,
+        "Sun, 09 Aug 2026 10:00:00 GMT",
+    ]
     got = values(spark, rows, dates.iso(dates.strict_time(F.col("c"))), dates.time_error(F.col("c"), "at"))
     assert [g[0] for g in got] == ["2026-08-09T14:00:00Z", "2026-08-09T10:00:00Z", *[None] * 7]
     assert [g[1] is not None for g in got] == [False, False, True, True, True, True, False, False, True]
@@ -66,20 +86,41 @@ def test_strict_times(spark):
 
 def test_bridge_times_are_utc(spark):
     rows = ["2026-08-09T10:00:00-04:00", "2026-08-09T10:00:00", "2026-08-09 10:00", "2026-08-09", "2026-08-09T10:00:00.5Z", "09 Aug 2026", None, ""]
-    assert values(spark, rows, dates.bridge_time(F.col("c"))) == ["2026-08-09T14:00:00Z", "2026-08-09T10:00:00Z", "2026-08-09T10:00:00Z", "2026-08-09T00:00:00Z", "2026-08-09T10:00:00.500000Z", None, None, None]
+    assert values(spark, rows, dates.bridge_time(F.col("c"))) == [
+        "2026-08-09T14:00:00Z",
+        "2026-08-09T10:00:00Z",
+        "2026-08-09T10:00:00Z",
+        "2026-08-09T00:00:00Z",
+        "2026-08-09T10:00:00.500000Z",
+        None,
+        None,
+        None,
+    ]
 
 
 def test_markers_have_their_own_orders(spark):
-    df = spark.createDataFrame([("never", "2026-08-09T10:00:00Z", "2026-08-10"), (None, None, "x")], "source_updated_at string, updated_at string, updated string")
+    df = spark.createDataFrame(
+        [("never", "2026-08-09T10:00:00Z", "2026-08-10"), (None, None, "x")],
+        "source_updated_at string, updated_at string, updated string",
+    )
     known = dates.updated_marker(F.col("source_updated_at"), F.col("updated_at"), F.col("updated"))
     raw = dates.raw_marker(F.col("updated"), F.col("updated_at"), F.col("source_updated_at"))
     assert [tuple(r) for r in df.select(known, raw).collect()] == [("2026-08-09T10:00:00Z", "2026-08-10"), (None, "x")]
 
 
 def test_provenance_prefers_markup(spark):
-    df = spark.createDataFrame([("2026-08-09T10:00:00-04:00", "2026-08-09T09:00:00Z", None, "2026-08-10T00:00:00Z")], "ap string, fp string, au string, fu string")
-    p = dates.provenance({"article_published": F.col("ap"), "feed_published": F.col("fp"), "article_updated": F.col("au"), "feed_updated": F.col("fu")})
-    r = df.select(p.alias("p")).select("p", dates.chosen_date(F.col("p"), "published_at").alias("d"), dates.chosen_date(F.col("p"), "source_updated_at").alias("u")).first()
+    df = spark.createDataFrame(
+        [("2026-08-09T10:00:00-04:00", "2026-08-09T09:00:00Z", None, "2026-08-10T00:00:00Z")],
+        "ap string, fp string, au string, fu string",
+    )
+    p = dates.provenance(
+        {"article_published": F.col("ap"), "feed_published": F.col("fp"), "article_updated": F.col("au"), "feed_updated": F.col("fu")}
+    )
+    r = df.select(p.alias("p")).select(
+        "p",
+        dates.chosen_date(F.col("p"), "published_at").alias("d"),
+        dates.chosen_date(F.col("p"), "source_updated_at").alias("u"),
+    ).first()
     assert r.d == datetime(2026, 8, 9, 14) and r.u == datetime(2026, 8, 10)
     assert r.p.article_published.confidence == "high" and r.p.feed_published.method == "recipe_feed" and r.p.article_updated.method is None
 
@@ -90,7 +131,14 @@ def test_provenance_prefers_markup(spark):
         ("2026-08-09T10:00:00-04:00", None, None, None, "https://e.com/", ("2026-08-09T14:00:00+00:00", "article_markup", "high")),
         (None, "9 Aug 2026 12:00 GMT", "2026-08-08", None, "https://e.com/", ("2026-08-09T12:00:00+00:00", "recipe_log", "high")),
         (None, None, "2026-08-08", None, "https://e.com/", ("2026-08-08T00:00:00+00:00", "recipe_feed", "high")),
-        ("soon", None, None, "First published on Sun 9 Aug 2026 12.54 BST", "https://e.com/", ("2026-08-09T11:54:00+00:00", "article_text", "medium")),
+        (
+            "soon",
+            None,
+            None,
+            "First published on Sun 9 Aug 2026 12.54 BST",
+            "https://e.com/",
+            ("2026-08-09T11:54:00+00:00", "article_text", "medium"),
+        ),
         (None, None, None, "Written long ago", "https://e.com/world/2026/aug/09/story", ("2026-08-09T00:00:00+00:00", "url_path", "medium")),
         (None, None, None, None, "https://e.com/story", (None, None, None)),
     ],
@@ -107,7 +155,9 @@ def test_texts(spark):
     assert values(spark, [nbsp], tx.ruby_words(F.col("c")), tx.python_words(F.col("c")), tx.word_count(F.col("c"))) == [(4, 5, 4)]
     assert values(spark, [" A   title\n"], tx.normalise_title(F.col("c"))) == ["A title"]
     assert values(spark, ["Ann Bell, Cy Dunn and Di Orland", None, ""], tx.authors(F.col("c"))) == [["Ann Bell", "Cy Dunn", "Di Orland"], [], []]
-    assert values(spark, ["short"], tx.warnings(F.col("c"), F.lit("Please SIGN IN to continue"))) == [["body_under_150_words", "possible_access_wall"]]
+    assert values(spark, ["short"], tx.warnings(F.col("c"), F.lit("Please SIGN IN to continue"))) == [
+        ["body_under_150_words", "possible_access_wall"]
+    ]
     assert values(spark, [" ".join(f"w{i}" for i in range(60))], tx.excerpt(F.col("c"))) == [" ".join(f"w{i}" for i in range(55))]
 
 
@@ -119,5 +169,7 @@ def test_places(spark):
     df = spark.createDataFrame(rows, "country string, continent string, event string")
     role = places.audience_role(F.col("country"), places.continent_name(F.lit(None).cast("string"), F.col("continent")), F.col("event"))
     assert [r[0] for r in df.select(role).collect()] == ["local", "audience", "audience", "excluded", "excluded"]
-    assert [r[0] for r in df.select(places.country_name(F.lit(None).cast("string"), F.lit("country"), F.col("country"))).collect()][:2] == ["France", "Peru"]
+    assert [
+        r[0] for r in df.select(places.country_name(F.lit(None).cast("string"), F.lit("country"), F.col("country"))).collect()
+    ][:2] == ["France", "Peru"]
     assert values(spark, ["United States", "Peru"], places.role_by_country(F.col("c"))) == ["united_states", "international"]
