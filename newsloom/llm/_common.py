@@ -148,7 +148,9 @@ def rank_overall(rows: DataFrame, order: list[Column], rank: str, total: str) ->
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    numbered = numbered.withColumns({"_range": F.shiftright("_place", 33), "_inside": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_place")
+    numbered = numbered.withColumns(
+        {"_range": F.shiftright("_place", 33), "_inside": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}
+    ).drop("_place")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = (
         numbered.groupBy("_range")

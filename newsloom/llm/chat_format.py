@@ -52,7 +52,9 @@ def unescape_role(role: Column) -> Column:
 
 def text_parts(text: Column) -> Column:
     """A turn that is one text."""
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
+    return F.array(
+        F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+    )
 
 
 def plain_text(parts: Column) -> Column:
@@ -84,7 +86,10 @@ def visit(parts: Column, tokens: Mapping[str, int]) -> tuple[Column, Column]:
             (F.coalesce(F.try_element_at(cost, p["type"]), F.lit(0)) * F.coalesce(p["units"], F.lit(1))).cast("long").alias("tokens"),
         ),
     )
-    return F.coalesce(content, F.lit("")), F.coalesce(attachments, F.array().cast("array<struct<placeholder:int,type:string,ref:string,tokens:bigint>>"))
+    return F.coalesce(content, F.lit("")), F.coalesce(
+        attachments,
+        F.array().cast("array<struct<placeholder:int,type:string,ref:string,tokens:bigint>>"),
+    )
 
 
 def format_parts(turns: DataFrame, *, tokens: Mapping[str, int] | None = None) -> DataFrame:
@@ -98,7 +103,16 @@ def format_parts(turns: DataFrame, *, tokens: Mapping[str, int] | None = None) -
     role = F.coalesce("role", F.lit(""))
     speaks = role == ASSISTANT
     head = F.concat(F.when(speaks, OUT_OPEN).otherwise(IN_OPEN), escape_role(role), F.lit("\n"))
-    rows = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), attachments.alias("parts"), speaks.alias("speaks"), head.alias("head"), plain_text(F.col("parts")).alias("said"))
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        role.alias("role"),
+        content.alias("content"),
+        attachments.alias("parts"),
+        speaks.alias("speaks"),
+        head.alias("head"),
+        plain_text(F.col("parts")).alias("said"),
+    )
     rows = rows.withColumn("piece", F.concat("head", "content", F.when(F.col("speaks"), OUT_CLOSE).otherwise(IN_CLOSE)))
     ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "content")
     before = F.sum(F.char_length("piece").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,7 +131,13 @@ def format_parts(turns: DataFrame, *, tokens: Mapping[str, int] | None = None) -
             F.array_join("t.piece", "").alias("formatted"),
             F.array_compact("t.loss").alias("loss_mask"),
             F.flatten(
-                F.transform("t", lambda x: F.transform(x["parts"], lambda p: F.struct((x["n"] - 1).alias("turn"), p["placeholder"], p["type"], p["ref"], p["tokens"])))
+                F.transform(
+                    "t",
+                    lambda x: F.transform(
+                        x["parts"],
+                        lambda p: F.struct((x["n"] - 1).alias("turn"), p["placeholder"], p["type"], p["ref"], p["tokens"]),
+                    ),
+                )
             ).alias("attachments"),
             F.aggregate(F.flatten("t.parts"), F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("attachment_tokens"),
         )
@@ -140,7 +160,10 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss_mask: Column) -> Column:
     """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(loss_mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")))), "")
+    return F.array_join(
+        F.transform(loss_mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")))),
+        "",
+    )
 
 
 def planted(spark: SparkSession) -> DataFrame:

@@ -53,14 +53,24 @@ def with_vectors(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     digests = [
         F.struct(
             F.transform(f"_p_{v}", lambda p: F.struct(*[F.xxhash64(F.lit(s), p).alias(s) for s in SEEDS])).alias("whole"),
-            F.flatten(F.transform(f"_p_{v}", lambda p: F.transform(F.split(p, SENTENCE_END), lambda u: F.struct(*[F.xxhash64(F.lit(s), u).alias(s) for s in SEEDS])))).alias("parts"),
+            F.flatten(
+                F.transform(
+                    f"_p_{v}",
+                    lambda p: F.transform(F.split(p, SENTENCE_END), lambda u: F.struct(*[F.xxhash64(F.lit(s), u).alias(s) for s in SEEDS])),
+                )
+            ).alias("parts"),
         ).alias(f"_d_{v}")
         for v in texts.values()
     ]
     rows = rows.select(*columns, *digests)
     made = []
     for v in texts.values():
-        equal = [w for s in SEEDS for w in (_sum(F.col(f"_d_{v}.whole.{s}"), lambda x: x.bitwiseAND(F.lit(HALF))), _sum(F.col(f"_d_{v}.whole.{s}"), lambda x: F.shiftrightunsigned(x, 32)))]
+        equal = [
+            w for s in SEEDS for w in (
+                _sum(F.col(f"_d_{v}.whole.{s}"), lambda x: x.bitwiseAND(F.lit(HALF))),
+                _sum(F.col(f"_d_{v}.whole.{s}"), lambda x: F.shiftrightunsigned(x, 32)),
+            )
+        ]
         alike = [_sum(F.col(f"_d_{v}.parts.{s}"), _spread(j)) for s in SEEDS for j in range(20)]
         made.append(F.array(F.size(F.col(f"_d_{v}.parts")).cast("long"), *equal, *alike).alias(v))
     return rows.select(*columns, *made)
@@ -165,7 +175,10 @@ def fingerprints(docs: DataFrame, **parameters) -> DataFrame:
     """
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(docs, **parameters).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = with_next(docs, **parameters).withColumn(
+        "edited",
+        F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)),
+    )
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "v", "x", "edited")
     return with_vectors(rows, {"edited": "e"}).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "x")
 

@@ -171,7 +171,11 @@ def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: i
     draw = F.pmod(digest, F.lit(1 << 30)).cast("double") / (1 << 30)
     spare = F.greatest(F.char_length("text") - chars_per_doc, F.lit(0))
     start = F.pmod(F.shiftright(digest, 32), spare + 1).cast("int") + 1
-    drawn = known.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", start, F.lit(chars_per_doc)).alias("text"))
+    drawn = known.filter(draw < share[F.col("lang")]).select(
+        "lang",
+        F.xxhash64(F.lit(seed), "doc_id").alias("h"),
+        F.substring("text", start, F.lit(chars_per_doc)).alias("text"),
+    )
     sample: dict[str, list[str]] = {}
     for row in sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         sample.setdefault(row["lang"], []).append(row["text"])
@@ -236,7 +240,10 @@ def decide(model: Model, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
 
 
 def predict(
-    docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000, names: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000, names: tuple[str, str] = (
+        "lang_pred",
+        "score",
+    )
 ) -> DataFrame:
     """The prediction and its score, under ``names``, for every row, after the columns ``carry`` of ``docs``
     (all, if not given); columns of those names give way."""
@@ -260,6 +267,9 @@ def predict(
                     scores[usable] = score
                     for i, b in zip(usable, best, strict=True):
                         said[i] = model.languages[b]
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in before], pa.array(said, pa.string()), pa.array(scores)], names=[*before, *names])
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(n) for n in before], pa.array(said, pa.string()), pa.array(scores)],
+                    names=[*before, *names],
+                )
 
     return docs.mapInArrow(run, out)

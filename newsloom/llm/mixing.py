@@ -123,11 +123,23 @@ def positions(
     target = materialise(targets(ranked, weights, flatten).withColumn("_own", F.col("_w") * period >= 1))
     # Lanes by themselves are named by their source ('' or '=...'); the common lane is '~'.
     shared = materialise(
-        target.filter("NOT _own").select("_source", "_w", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block")).withColumn("_ideal", (F.col("_block") + 0.5) / F.col("_w"))
+        target.filter("NOT _own").select("_source", "_w", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block")).withColumn(
+            "_ideal",
+            (F.col("_block") + 0.5) / F.col("_w"),
+        )
+    )
+    common = rank_overall(shared, [F.col("_ideal"), F.col("_source"), F.col("_block")], "_turn", "_all").select(
+        "_source",
+        "_block",
+        F.lit("~").alias("_lane"),
+        "_turn",
     )
-    common = rank_overall(shared, [F.col("_ideal"), F.col("_source"), F.col("_block")], "_turn", "_all").select("_source", "_block", F.lit("~").alias("_lane"), "_turn")
     lanes = target.filter("_own").select(F.col("_source").alias("_lane"), "_blocks", F.col("_w").alias("_lw"))
-    rest = target.filter("NOT _own").agg(F.sum("_blocks").alias("_blocks"), F.sum("_w").alias("_lw")).filter(F.col("_lw") * period >= 1).select(F.lit("~").alias("_lane"), "_blocks", "_lw")
+    rest = target.filter("NOT _own").agg(F.sum("_blocks").alias("_blocks"), F.sum("_w").alias("_lw")).filter(F.col("_lw") * period >= 1).select(
+        F.lit("~").alias("_lane"),
+        "_blocks",
+        "_lw",
+    )
     slots = materialise(schedule(epochs(lanes.unionByName(rest), period)))
     own = slots.filter("_lane <> '~'").select(F.col("_lane").alias("_source"), F.col("_turn").alias("_block"), "slot", "release", "deadline")
     both = own.unionByName(common.join(slots, ["_lane", "_turn"]).select("_source", "_block", "slot", "release", "deadline"))
@@ -136,7 +148,9 @@ def positions(
     order = [F.coalesce("slot", F.lit((1 << 63) - 1)), F.col("_ideal"), F.col("_source"), F.col("_rank")]
     placed = placed.withColumns({f"_o{i}": c for i, c in enumerate(order)})
     return rank_overall(placed, [F.col(f"_o{i}") for i in range(len(order))], "position", "_all").select(
-        "doc_id", "source", "weight", F.col("_block").alias("block"), "slot", "release", "deadline", "position", F.col("slot").isNotNull().alias("exact"), "_all"
+        "doc_id", "source", "weight", F.col(
+            "_block"
+        ).alias("block"), "slot", "release", "deadline", "position", F.col("slot").isNotNull().alias("exact"), "_all"
     )
 
 
@@ -157,6 +171,11 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     found = positions(docs.select("doc_id", "source"), **parameters)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Places are known and dense: partitions are cut from them and need no sampling.
-    places = found.groupBy("doc_id").agg(F.min("position").alias("_position"), F.min(F.expr(f"cast((position * {parts}) div _all as int)")).alias("_part"))
-    ordered = docs.join(places, "doc_id", "left").withColumns({"_position": F.coalesce("_position", F.lit(-1)), "_part": F.coalesce("_part", F.lit(0))})
+    places = found.groupBy("doc_id").agg(
+        F.min("position").alias("_position"),
+        F.min(F.expr(f"cast((position * {parts}) div _all as int)")).alias("_part"),
+    )
+    ordered = docs.join(places, "doc_id", "left").withColumns(
+        {"_position": F.coalesce("_position", F.lit(-1)), "_part": F.coalesce("_part", F.lit(0))}
+    )
     return ordered.repartitionById(parts, "_part").sortWithinPartitions("_position").select(*docs.columns)

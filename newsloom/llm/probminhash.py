@@ -129,7 +129,13 @@ def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int =
                 rows = batch.slice(start, len(texts))
                 ends = np.arange(0, signature.size + 1, registers, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("text_digest"), pa.array(keys), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
+                    [
+                        rows.column("doc_id"),
+                        rows.column("text_digest"),
+                        pa.array(keys),
+                        pa.array(sizes.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel())),
+                    ],
                     names=["doc_id", "text_digest", "key", "n_shingles", "signature"],
                 )
 
@@ -151,7 +157,10 @@ def shingle_sets(texts: DataFrame, *, width: int, batch_chars: int = 2_000_000)
                 sets = [np.unique(found[i:j]).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(start, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"]
+                    [
+                        batch.column("node").slice(start, len(part)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
+                    ], names=["node", "shingles"]
                 )
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
@@ -165,7 +174,10 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "shingles": "_b"}),
+        "b",
+    )
     return both.filter(similar(F.col("_a"), F.col("_b"), threshold)).select("a", "b")
 
 
@@ -196,10 +208,15 @@ def components(edges: DataFrame, stored: Stored, name: str) -> DataFrame:
 def joined_by(more: DataFrame, parts: DataFrame, stored: Stored) -> DataFrame:
     """``parts`` (node, component) after the further links (a, b): only the components that these touch are labelled anew."""
     name = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
-    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+        F.coalesce("_a", "a").alias("a"),
+        F.coalesce("_b", "b").alias("b"),
+    )
     over = components(between, stored, "over").select(F.col("node").alias("component"), F.col("component").alias("_over"))
     # A node that had no link is its own component; it is not in ``parts``.
-    nodes = parts.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
+    nodes = parts.unionByName(
+        more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node"))
+    )
     return nodes.join(over, "component", "left").select("node", F.coalesce("_over", "component").alias("component"))
 
 
@@ -212,13 +229,34 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
     and a large component costs only its size times the number of blocks of the rest.
     """
     members = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = members.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("_largest"), F.sum("n").alias("_all"), F.max("n").alias("_most"))
+    sizes = members.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("_largest"),
+        F.sum("n").alias("_all"),
+        F.max("n").alias("_most"),
+    )
     wide = rows.join(sizes, "band").withColumns(
-        {"rest": F.col("component") != F.col("_largest"), "_l": F.expr(f"(_all - _most - 1) div {block} + 1"), "_r": F.expr(f"(_all - 1) div {block} + 1"), "_h": F.xxhash64("node")}
+        {
+            "rest": F.col("component") != F.col("_largest"),
+            "_l": F.expr(f"(_all - _most - 1) div {block} + 1"),
+            "_r": F.expr(f"(_all - 1) div {block} + 1"),
+            "_h": F.xxhash64("node"),
+        }
     )
     kept = rows.columns
-    left = wide.filter("rest").select(*kept, "rest", F.lit(True).alias("on_left"), F.expr("pmod(_h, _l)").alias("l"), F.explode(F.expr("sequence(0L, _r - 1)")).alias("r"))
-    right = wide.select(*kept, "rest", F.lit(False).alias("on_left"), F.explode(F.expr("sequence(0L, _l - 1)")).alias("l"), F.expr("pmod(_h, _r)").alias("r"))
+    left = wide.filter("rest").select(
+        *kept,
+        "rest",
+        F.lit(True).alias("on_left"),
+        F.expr("pmod(_h, _l)").alias("l"),
+        F.explode(F.expr("sequence(0L, _r - 1)")).alias("r"),
+    )
+    right = wide.select(
+        *kept,
+        "rest",
+        F.lit(False).alias("on_left"),
+        F.explode(F.expr("sequence(0L, _l - 1)")).alias("l"),
+        F.expr("pmod(_h, _r)").alias("r"),
+    )
     return left.unionByName(right).repartition("band", "l", "r").sortWithinPartitions("band", "l", "r")
 
 
@@ -243,7 +281,9 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def agreeing(met: pa.Table, registers: int, least: int, ratio: float, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def agreeing(met: pa.Table, registers: int, least: int, ratio: float, tile: int = 512) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+]:
     """Row numbers (i, j) of a meeting and the signatures: pairs of different components whose sizes allow
     a link and that agree in ``least`` registers or more; pairs of two rest rows once."""
     on_left, rest = met.column("on_left").to_numpy(), met.column("rest").to_numpy()
@@ -284,7 +324,10 @@ def partners(rows: DataFrame, *, threshold: float, bands: int, registers: int, l
                 found.update(node[i[here]].tolist(), node[j[here]].tolist())
             if found:
                 band = met.column("band")[0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([band] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["band", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([band] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())],
+                    names=["band", "node"],
+                )
 
     return dealt(rows, block).mapInArrow(run, "band long, node long").distinct()
 
@@ -327,7 +370,16 @@ def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands:
     return dealt(rows.join(sets, "node"), block).mapInArrow(run, "a long, b long").distinct()
 
 
-def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, agreement: float = 0.55, block: int = 1024) -> DataFrame:
+def judged_rows(
+    docs: DataFrame,
+    *,
+    width: int = 5,
+    threshold: float = 0.8,
+    bands: int = 24,
+    rows: int = 4,
+    agreement: float = 0.55,
+    block: int = 1024,
+) -> DataFrame:
     """The columns of ``near_classes`` and text_digest."""
     registers, stored = bands * rows, Stored(docs.sparkSession)
     made = stored.put("made", with_row_id(sketches(docs, width=width, registers=registers)))
@@ -342,9 +394,15 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     members = stored.put("members", banded.join(buckets, "band"))
 
     # A text is found by its digest and doc_id; equal ones are the same text, so one is enough.
-    known = stored.put("known", with_words.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_digest"))
+    known = stored.put(
+        "known",
+        with_words.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_digest"),
+    )
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(broadcast_if_small(known), "text_digest")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).join(
+        broadcast_if_small(known),
+        "text_digest",
+    )
     texts = found.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     sets = stored.put("sets", shingle_sets(texts, width=width).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
@@ -352,7 +410,10 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     parts = components(stored.put("links", linked(stars, sets, threshold)), stored, "parts")
 
     labelled = members.join(parts, "node", "left").select("node", "n_shingles", "number", "band", F.coalesce("component", "node").alias("component"))
-    several = lambda some: some.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    several = lambda some: some.groupBy("band").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+    ).filter("low <> high").select("band")
     open_rows = stored.put("open", labelled.join(several(labelled), "band", "left_semi").join(with_words.select("node", "signature"), "node"))
     stored.drop("members", "known", "links")
     sizes = {"threshold": threshold, "bands": bands, "registers": registers, "least": int(agreement * registers), "block": block}
@@ -364,7 +425,9 @@ def judged_rows(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, band
     classed = nodes.select("key", "node", "best", "n_copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = classed.groupBy("component").agg(F.min("best").alias("first"), F.sum("n_copies").alias("class_size"))
     by_key = classed.join(classes, "component").select(
-        "key", F.col("first.doc_id").alias("class_id"), F.col("first._row").alias("_kept"), "class_size", F.col("best.doc_id").alias("copy_id"), "n_copies"
+        "key", F.col(
+            "first.doc_id"
+        ).alias("class_id"), F.col("first._row").alias("_kept"), "class_size", F.col("best.doc_id").alias("copy_id"), "n_copies"
     )
     joined = made.select("doc_id", "key", "n_shingles", "_row", "text_digest").join(by_key, "key")
     return joined.select(

@@ -86,7 +86,12 @@ def own_features(flat: list[str], seen_before: np.ndarray) -> np.ndarray:
     place = np.flatnonzero(starts)
     repeats = np.zeros(n)
     if len(place) > 1:
-        total = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xBF58476D1CE4E5B9)) * ~space, dtype=np.uint64)])
+        total = np.concatenate(
+            [
+                [np.uint64(0)],
+                np.cumsum((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xBF58476D1CE4E5B9)) * ~space, dtype=np.uint64),
+            ]
+        )
         digest = total[np.append(place[1:], len(codes))] - total[place]
         same = (digest[1:] == digest[:-1]) & (line[place[1:]] == line[place[:-1]])
         repeats = np.bincount(line[place[1:]][same], minlength=n).astype(np.float64)
@@ -118,7 +123,14 @@ def pieces(flat: list[str], most_chars: int, most_lines: int) -> Iterator[tuple[
         start = stop
 
 
-def read_lines(texts: list[str], made, width: int, *, most_chars: int = 1_000_000, most_lines: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_lines(
+    texts: list[str],
+    made,
+    width: int,
+    *,
+    most_chars: int = 1_000_000,
+    most_lines: int = 20_000,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(what ``made`` makes of the own features [lines, width], lengths, lines of each text); no more than
     one piece's features stand in memory at once."""
     lines = [t.split("\n") for t in texts]
@@ -302,7 +314,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150) -> Model:
     for _ in range(50):  # Newton's method for the two parameters of the logistic curve
         p = 1 / (1 + np.exp(-(slope * z + offset)))
         w = p * (1 - p) + 1e-6
-        step = np.linalg.solve(np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-3 * np.eye(2), [((good - p) * z).sum(), (good - p).sum()])
+        step = np.linalg.solve(
+            np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-3 * np.eye(2),
+            [((good - p) * z).sum(), (good - p).sum()],
+        )
         slope, offset = slope + np.clip(step[0], -1, 1), offset + np.clip(step[1], -1, 1)
     return Model(weights, transition, float(slope), float(offset))
 

@@ -39,7 +39,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.as_text("base"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"), "n_live", "n_copied"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(
+            secrets.as_text("base"),
+            256,
+        ).alias("base_sha256"), secrets.as_text("spans").alias("spans"), "n_live", "n_copied"
     )
 
 
@@ -89,7 +92,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_crf, op2_language_id, op3_secret_scan, op4_sentencepiece, op5_probminhash, op6_exact_dedup, op7_fingerprint, op8_sharding, op9_chat_format, op10_mixing)
+    for f in (
+        op1_quality_crf,
+        op2_language_id,
+        op3_secret_scan,
+        op4_sentencepiece,
+        op5_probminhash,
+        op6_exact_dedup,
+        op7_fingerprint,
+        op8_sharding,
+        op9_chat_format,
+        op10_mixing,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -44,7 +44,11 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     gaps = F.split(text, pattern, -1)
     rows = F.transform(
         F.arrays_zip(gaps.alias("gap"), found.alias("match"), values.alias("value")),
-        lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.coalesce(F.char_length(x["match"]), F.lit(0)).alias("size"), x["value"].alias("value")),
+        lambda x: F.struct(
+            F.char_length(x["gap"]).alias("gap"),
+            F.coalesce(F.char_length(x["match"]), F.lit(0)).alias("size"),
+            x["value"].alias("value"),
+        ),
     )
     one = lambda at, x: F.struct(
         (at + x["gap"]).alias("start"),
@@ -63,9 +67,18 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     )
     chunks = F.transform(rows_in_chunks(rows), walk)
     ends = lambda c: F.aggregate(
-        c, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        c, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, x: F.struct(
+            (acc["at"] + x["at"]).alias("at"),
+            F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
+        )
+    )
+    moved = lambda by: lambda s: F.struct(
+        (s["start"] + by).alias("start"),
+        s["kind"].alias("kind"),
+        (s["end"] + by).alias("end"),
+        (s["value_start"] + by).alias("value_start"),
+        s["value"].alias("value"),
     )
-    moved = lambda by: lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), (s["value_start"] + by).alias("value_start"), s["value"].alias("value"))
     # One-element arrays bind what is used twice, so that it is computed once.
     whole = F.transform(F.array(chunks), lambda c: F.flatten(F.zip_with(c, ends(c)["starts"], lambda x, by: F.transform(x["out"], moved(by)))))[0]
     # Most texts hold no long match at all: one cheap test spares them the walk.
@@ -74,7 +87,10 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
 
 def rows_in_chunks(rows: Column) -> Column:
-    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda i: F.slice(r, i * CHUNK + 1, CHUNK))
+    cut = lambda r: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")),
+        lambda i: F.slice(r, i * CHUNK + 1, CHUNK),
+    )
     return F.transform(F.array(rows), cut)[0]
 
 
@@ -109,7 +125,14 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def find_secrets(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", most_owners: int = 2, most_repositories: int = 50) -> DataFrame:
+def find_secrets(
+    docs: DataFrame,
+    *,
+    repository: str = "doc_id",
+    owner: str = "source",
+    most_owners: int = 2,
+    most_repositories: int = 50,
+) -> DataFrame:
     """doc_id, base and all spans with the counts of each kind, and of copied candidates.
 
     A candidate is live when at most ``most_owners`` owners and ``most_repositories`` repositories

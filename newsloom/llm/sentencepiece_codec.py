@@ -114,7 +114,14 @@ def build_tokenizer(model: ModelFile, cache: int = 10_000):
     elif model.kind == BPE:
         usable = {p: i for i, (p, _) in enumerate(vocabulary)}
         tokenizer = Tokenizer(
-            models.BPE(usable, merges(model.pieces), cache_capacity=cache, unk_token=None if unknown is None else vocabulary[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+            models.BPE(
+                usable,
+                merges(model.pieces),
+                cache_capacity=cache,
+                unk_token=None if unknown is None else vocabulary[unknown][0],
+                fuse_unk=True,
+                byte_fallback=model.byte_fallback,
+            )
         )
     else:
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
@@ -242,7 +249,16 @@ class Codec:
         return text[1:] if opened and ids and self.marked[ids[0]] else text
 
 
-def encode(docs: DataFrame, path: str, *, column: str = "text", carry: list[str] | None = None, with_ids: bool = True, batch_chars: int = 2_000_000, threads: int | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    *,
+    column: str = "text",
+    carry: list[str] | None = None,
+    with_ids: bool = True,
+    batch_chars: int = 2_000_000,
+    threads: int | None = None,
+) -> DataFrame:
     """Rows of ``docs`` (its columns ``carry``, all if not given) with ids, n_tokens, n_unknown,
     decoded_sha256 and round_trip (decoded text = normalised text).
 
@@ -294,6 +310,9 @@ def decode(rows: DataFrame, path: str, *, column: str = "ids", into: str = "deco
         codec = Codec(data.value)
         for batch in batches:
             texts = [None if i is None else codec.decode(i) for i in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())], names=[*[f.name for f in kept], into])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())],
+                names=[*[f.name for f in kept], into],
+            )
 
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))

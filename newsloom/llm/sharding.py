@@ -36,7 +36,12 @@ def ranked(docs: DataFrame, payload: list[Column], *, shards: int, seed: str, bu
     order = [F.col("_u"), F.col("_id"), F.col("_crc"), F.col("_size")]
     inside = rank_in_group(rows, ["_source"], "_bucket", order, "_rank", "_of")
     fraction = (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_of")).cast("double")
-    placed = rank_overall(materialise(inside.withColumn("_at", fraction).drop("_bucket", "_rank", "_of")), [F.col("_at"), F.col("_source"), *order], "_pos", "_all")
+    placed = rank_overall(
+        materialise(inside.withColumn("_at", fraction).drop("_bucket", "_rank", "_of")),
+        [F.col("_at"), F.col("_source"), *order],
+        "_pos",
+        "_all",
+    )
     shard = F.expr(f"(_pos * {shards}) div _all")
     return placed.withColumn("_shard", shard).withColumn("_slot", F.expr(f"_pos - (_shard * _all + {shards - 1}) div {shards}"))
 

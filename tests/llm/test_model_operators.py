@@ -108,9 +108,13 @@ def as_string(sequence):
 def test_cross_parsing_matches_plain_search():
     draw = random.Random(5)
     chinese = [chr(0x4E00 + i) for i in range(150)]
-    samples = {k: ["".join(draw.choice(letters) for _ in range(300))] for k, letters in {"x": "abcde ", "y": "cdefg ", "z": "aéîo ", "zh": chinese}.items()}
+    samples = {
+        k: ["".join(draw.choice(letters) for _ in range(300))] for k, letters in {"x": "abcde ", "y": "cdefg ", "z": "aéîo ", "zh": chinese}.items()
+    }
     model = language_id.build(samples)
-    texts = ["".join(draw.choice(["a", "b", "é", "o", " ", "1", "!", *chinese[:9]]) for _ in range(n)) for n in (0, 1, 7, 50, 333)] + ["ABC cde", "жжж", "жaж"]
+    texts = [
+        "".join(draw.choice(["a", "b", "é", "o", " ", "1", "!", *chinese[:9]]) for _ in range(n)) for n in (0, 1, 7, 50, 333)
+    ] + ["ABC cde", "жжж", "жaж"]
     sequences = [language_id.encode(t, model.symbols) for t in texts]
     got = language_id.Parser(model, 64).phrases(sequences)
     for j, language in enumerate(model.languages):
@@ -135,7 +139,13 @@ def test_language_prediction(spark, odd, empty):
 def test_language_of_large_scripts(spark):
     """Chinese and Japanese text of some thousand letters, Cyrillic and Latin: no letter is lost to a cap."""
     draw = random.Random(12)
-    letters = {"zh": [chr(0x4E00 + 3 * i) for i in range(3000)], "ja": [chr(0x4E00 + 5 * i) for i in range(1500)] + [chr(0x3042 + i) for i in range(80)] * 30, "ru": "абвгдежзиклмно", "uk": "абвгдеєжзиїклмн", "en": "abcdefgh"}
+    letters = {
+        "zh": [chr(0x4E00 + 3 * i) for i in range(3000)],
+        "ja": [chr(0x4E00 + 5 * i) for i in range(1500)] + [chr(0x3042 + i) for i in range(80)] * 30,
+        "ru": "абвгдежзиклмно",
+        "uk": "абвгдеєжзиїклмн",
+        "en": "abcdefgh",
+    }
     # Words recur, as in prose; a language is told by them.
     words = {k: ["".join(draw.choice(v) for _ in range(3)) for _ in range(150)] for k, v in letters.items()}
     rows = [(i, "".join(draw.choice(words[k]) + draw.choice([" ", ""]) for _ in range(120)), k, "s", None) for i, k in enumerate(list(letters) * 30)]
@@ -192,20 +202,34 @@ def field(number, value):
 def unigram_file(path, *, fallback, dummy, extra):
     """A unigram model made by hand: pieces of random letters with random scores, all bytes if asked."""
     draw = random.Random(21)
-    normal = {"".join(draw.choice("▁abcdeé中") for _ in range(draw.randrange(1, 5))): -draw.uniform(1, 12) for _ in range(400)} | {c: -draw.uniform(8, 14) for c in "▁abcde"}
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback] + [(p, s, 1) for p, s in normal.items()]
+    normal = {"".join(draw.choice("▁abcdeé中") for _ in range(draw.randrange(1, 5))): -draw.uniform(1, 12) for _ in range(400)} | {
+        c: -draw.uniform(8, 14) for c in "▁abcde"
+    }
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [
+        (f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback
+    ] + [(p, s, 1) for p, s in normal.items()]
     data = b"".join(field(1, field(1, p) + field(2, s) + field(3, k)) for p, s, k in pieces)
-    data += field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(1, "identity") + field(3, int(dummy)) + field(4, int(extra)) + field(5, 1))
+    data += field(2, field(3, 1) + field(35, int(fallback))) + field(
+        3,
+        field(1, "identity") + field(3, int(dummy)) + field(4, int(extra)) + field(5, 1),
+    )
     Path(path).write_bytes(data)
     return str(path)
 
 
-@pytest.mark.parametrize(("fallback", "dummy", "extra"), [(True, True, False), (True, True, True), (False, True, True), (True, False, False), (False, False, True)])
+@pytest.mark.parametrize(
+    ("fallback", "dummy", "extra"),
+    [(True, True, False), (True, True, True), (False, True, True), (True, False, False), (False, False, True)],
+)
 def test_unigram_parity_with_the_original_library(tmp_path, fallback, dummy, extra):
     """Ids and decoded texts of a unigram model equal the original library's: scores, unknown characters, bytes, spaces."""
     path = unigram_file(tmp_path / "u.model", fallback=fallback, dummy=dummy, extra=extra)
     draw = random.Random(22)
-    texts = ["".join(draw.choice(["a", "b", "c", "de", "é", "中", " ", "  ", "\t", "\n", "zz", "ж"]) for _ in range(n)) for n in (1, 2, 5, 20, 80) for _ in range(40)]
+    texts = [
+        "".join(
+            draw.choice(["a", "b", "c", "de", "é", "中", " ", "  ", "\t", "\n", "zz", "ж"]) for _ in range(n)
+        ) for n in (1, 2, 5, 20, 80) for _ in range(40)
+    ]
     sentencepiece_codec.verify_parity(path, texts)
 
 
@@ -286,7 +310,12 @@ def test_signature_agreement_estimates_similarity():
 
 
 def test_pipeline(spark, tmp_path):
-    rows = near_rows() + [(900, "12345 !!", "en", "b", None), (901, None, "en", "b", None), (902, prose(900, 80), "en", "b", None), (903, prose(900, 80).replace(" ", "  "), "en", "b", None)]
+    rows = near_rows() + [
+        (900, "12345 !!", "en", "b", None),
+        (901, None, "en", "b", None),
+        (902, prose(900, 80), "en", "b", None),
+        (903, prose(900, 80).replace(" ", "  "), "en", "b", None),
+    ]
     spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     alive = [r for r in rows if r[0] not in (900, 901)]
     best = {}

@@ -68,7 +68,12 @@ def test_secret_query(spark):
             spans += [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
         said = [f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)]
         count = Counter(k for *_, k in spans)
-        assert (got[i].base_sha256, got[i].n_assign, got[i].n_access, got[i].n_hex) == (sha(",".join(said)), count["assign"], count["access"], count["hex"])
+        assert (got[i].base_sha256, got[i].n_assign, got[i].n_access, got[i].n_hex) == (
+            sha(",".join(said)),
+            count["assign"],
+            count["access"],
+            count["hex"],
+        )
         assert set(said) <= set(got[i].spans.split(","))
     assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 0
 
@@ -115,7 +120,9 @@ def test_near_query_finds_every_link(spark, documents):
 
 
 def test_exact_query_equals_its_sql(spark):
-    expected = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'").execute(queries.ORACLES["op6_exact_dedup"]).fetchall()
+    expected = duckdb.connect().execute(
+        f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'"
+    ).execute(queries.ORACLES["op6_exact_dedup"]).fetchall()
     got = queries.op6_exact_dedup(spark, SMALL).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == Counter(expected)
 
@@ -153,7 +160,9 @@ def test_sharding_query(spark, documents):
 
 
 def test_chat_query_equals_its_sql(spark):
-    expected = duckdb.connect().execute(f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'").execute(queries.ORACLES["op9_chat_format"])
+    expected = duckdb.connect().execute(
+        f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'"
+    ).execute(queries.ORACLES["op9_chat_format"])
     names = [d[0] for d in expected.description]
     got = queries.op9_chat_format(spark, SMALL).select(*names).collect()
     assert Counter(map(tuple, got)) == Counter(expected.fetchall())

@@ -20,7 +20,13 @@ BASE, ALONE, NAMELESS, LAST = prose(31, 150), prose(32, 60), prose(33, 150), pro
 ROWS = [
     *[(5, BASE, "en", "a", None)] * 2, *[(7, BASE.replace(" ", "  "), "en", "a", None)] * 2, (2, changed(BASE, 40), "en", "b", None),
     *[(2, changed(BASE, 40), "en", "b", None)] * 2, *[(None, ALONE, "en", "a", None)] * 30, *[(None, NAMELESS, "en", "a", None)] * 3,
-    (None, changed(NAMELESS, 20), "en", "b", None), (9, LAST, "en", "a", None), (9, changed(LAST, 90), "en", "a", None), (3, prose(35, 90), "en", "c", None),
+    (
+        None,
+        changed(NAMELESS, 20),
+        "en",
+        "b",
+        None,
+    ), (9, LAST, "en", "a", None), (9, changed(LAST, 90), "en", "a", None), (3, prose(35, 90), "en", "c", None),
 ]
 
 
@@ -30,7 +36,14 @@ def texts(rows):
 
 def test_exact_dedup_keeps_one_row(spark):
     docs = spark.createDataFrame(ROWS, DOCUMENTS)
-    expected = {(7, BASE.replace(" ", "  ")), (2, changed(BASE, 40)), (None, ALONE), (None, NAMELESS), (None, changed(NAMELESS, 20)), *[(i, t) for i, t, *_ in ROWS if i in (9, 3)]}
+    expected = {
+        (7, BASE.replace(" ", "  ")),
+        (2, changed(BASE, 40)),
+        (None, ALONE),
+        (None, NAMELESS),
+        (None, changed(NAMELESS, 20)),
+        *[(i, t) for i, t, *_ in ROWS if i in (9, 3)],
+    }
     got = exact_dedup.deduplicate(docs)
     assert texts(got.collect()) == Counter(expected) and got.columns == docs.columns
 
@@ -45,7 +58,10 @@ def test_near_dedup_keeps_one_row(spark):
 
 
 def test_repeated_rows_with_other_columns(spark):
-    docs = spark.createDataFrame([(1, ALONE, "b", "x"), (1, ALONE, "a", "y"), (1, ALONE, None, "z")], "doc_id long, text string, source string, _digest string")
+    docs = spark.createDataFrame(
+        [(1, ALONE, "b", "x"), (1, ALONE, "a", "y"), (1, ALONE, None, "z")],
+        "doc_id long, text string, source string, _digest string",
+    )
     for stage in (exact_dedup, probminhash):
         assert [tuple(r) for r in stage.deduplicate(docs).collect()] == [(1, ALONE, None, "z")]
 
