@@ -18,7 +18,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.filter(~queries.fold(3, 1)))
     if not model.languages:  # nothing is labelled: no language can be named, but texts with letters stay
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    names = tuple(next(n for n in (name, *(f"{name}_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns) for name in ("lang_pred", "lang_score"))
+    names = tuple(
+        next(
+            n for n in (name, *(f"{name}_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns
+        ) for name in ("lang_pred", "lang_score")
+    )
     return language_id.predict(docs, model, names=names).filter(F.col(names[0]) != language_id.UND).select(*docs.columns)
 
 
