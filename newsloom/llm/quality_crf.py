@@ -37,15 +37,26 @@ CLASSES = 10
 OWN = CLASSES + 7
 
 
+#: Signs of the classes full stop and comma, exclamation and question, bars and brackets: fixed values.
+SIGNS = {STOP: ".,;:'\"-", SHOUT: "!?", BAR: "|[]{}()<>/\\_=~`"}
+
+
+def class_of(ch: str) -> int:
+    """The class of a character below U+3000."""
+    if ord(ch) >= 128:
+        return UPPER if ch.isupper() else LETTER if ch.isalpha() else SPACE if ch.isspace() else OTHER
+    for test, kind in ((str.islower, LOWER), (str.isupper, UPPER), (str.isdigit, DIGIT), (str.isspace, SPACE)):
+        if test(ch):
+            return kind
+    for kind, signs in SIGNS.items():
+        if ch in signs:
+            return kind
+    return SIGN if ord(ch) > 32 else OTHER
+
+
 def class_table() -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x3000):
-        ch = chr(c)
-        if c < 128:
-            kind = LOWER if ch.islower() else UPPER if ch.isupper() else DIGIT if ch.isdigit() else SPACE if ch.isspace() else STOP if ch in ".,;:'\"-" else SHOUT if ch in "!?" else BAR if ch in "|[]{}()<>/\\_=~`" else SIGN if c > 32 else OTHER
-        else:
-            kind = UPPER if ch.isupper() else LETTER if ch.isalpha() else SPACE if ch.isspace() else OTHER
-        table[c] = kind
+    table[:0x3000] = [class_of(chr(c)) for c in range(0x3000)]
     table[0x3000:0xE000] = LETTER
     return table
 
