@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.places import UNITED_STATES, audience_role, role_by_country
+from ..functions.places import UNITED_STATES, distinct_labels, role_by_country
 from ..functions.text import LEAST_WORDS, completeness, completeness_local, word_count
 
 #: Articles of a dossier, and those of local publishers among them: fixed values.
@@ -204,6 +204,21 @@ def evidence_quota(articles: DataFrame, event: str, domain: str, order: Column)
     return near.withColumn("rank", rank).filter(F.col("rank") <= MOST_EVIDENCE).drop("_p", "_k")
 
 
+def event_dossiers(events: DataFrame, covered: DataFrame, evidence: DataFrame, most_concepts: int = 10) -> DataFrame:
+    """One row per event: event, title, event_date, country, coverage (struct), concepts and evidence (arrays in order).
+
+    events: event, title, event_date, country, concepts (array of label, score). covered: as from ``coverage``.
+    evidence: as from ``evidence_quota``, six rows an event at most. An event without sources or evidence has
+    a null coverage or an empty list.
+    """
+    facts = F.struct(*[c for c in covered.columns if c != "event"])
+    listed = evidence.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in evidence.columns if c not in ("event", "rank")]))).alias("_e"))
+    joined = events.join(covered.select("event", facts.alias("coverage")), "event", "left").join(listed, "event", "left")
+    concepts = distinct_labels(F.col("concepts"), most_concepts)
+    none = F.filter("_e", lambda _: F.lit(False))
+    return joined.select("event", "title", "event_date", "country", "coverage", concepts.alias("concepts"), F.coalesce("_e", none, F.array()).alias("evidence"))
+
+
 def missing_members(listed: DataFrame, articles: DataFrame) -> DataFrame:
     """cluster, listed, found of the clusters whose listed URLs are not all among the articles."""
     there = articles.select("url").distinct().withColumn("_there", F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, url_host
@@ -51,6 +51,14 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
     )
 
 
+def first_candidates(candidates: DataFrame, group: str, key: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` candidates of every group by ``order``, each key once, at its first place."""
+    others = [c for c in candidates.columns if c not in (group, key)]
+    once = candidates.groupBy(group, key).agg(F.min_by(F.struct(*others), order).alias("_c")).select(group, key, "_c.*")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return once.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+
+
 def counts(decisions: DataFrame) -> DataFrame:
     return decisions.agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if(

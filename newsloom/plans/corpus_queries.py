@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, html, places, urls
 from ..functions import text as tx
-from ..operators import ingest, reports
+from ..operators import gate, ingest, reports
 from .catalogue import NORM, URL_SQL, query, table
 
 #: Documents as the rows of two runs: even ids, then odd ones; four ids share a URL.
@@ -340,3 +340,12 @@ def _fetched(spark, sf_dir):
     coalesce(string_agg(DISTINCT error, ',' ORDER BY error), '') AS errors FROM e GROUP BY source""")
 def collection_report(spark, sf_dir):
     return reports.source_report(_fetched(spark, sf_dir).select("source", "error", (F.col("n_chars") % 5 != 0).alias("dated")))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(found) AS link, generate_subscripts(found, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS found FROM pages)),
+    o AS (SELECT page_id, link, min(i) AS i FROM l GROUP BY page_id, link)
+  SELECT page_id, i::INT - 1 AS position FROM o QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 3""")
+def candidate_links(spark, sf_dir):
+    """The first three links of every page, each address once."""
+    links = html.page_links(table(spark, sf_dir, "pages"))
+    return gate.first_candidates(links, "page_id", "link", "position", 3).select("page_id", "position")

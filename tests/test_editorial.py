@@ -188,3 +188,14 @@ def test_scores(spark):
         "reason is required",
     ]
     assert got[9:] == ["score has unexpected fields"] * 2
+
+
+def test_event_dossiers(spark):
+    concepts = [("", 1), ("One", 2), ("Two", 3)]
+    events = spark.createDataFrame([("e", "T", "2026-08-09", "Italy", concepts), ("f", "U", None, None, None)], "event string, title string, event_date string, country string, concepts array<struct<label:string,score:int>>")
+    covered = spark.createDataFrame([("e", 4, 2)], "event string, source_sample_size long, eligible_publishers long")
+    evidence = spark.createDataFrame([("e", 2, "u2"), ("e", 1, "u1")], "event string, rank int, uri string")
+    got = {r.event: r for r in dossier.event_dossiers(events, covered, evidence, most_concepts=2).collect()}
+    assert got["e"].coverage.eligible_publishers == 2 and [c.label for c in got["e"].concepts] == ["One"]
+    assert [x.uri for x in got["e"].evidence] == ["u1", "u2"]
+    assert got["f"].coverage is None and got["f"].evidence == [] and got["f"].concepts is None

@@ -227,3 +227,16 @@ def test_receipt_files(spark, tmp_path):
     receipts.append_jsonl(spark.createDataFrame([(2, None)], "b long, a string"), f"{tmp_path}/out")
     written = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert written == '{"a":null,"b":2}\n'
+
+
+def test_positions_in_receipts(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"a": 5}\n\n  \n{"a": 6}\n{"a": null}')
+    got = receipts.read_positions(spark, str(tmp_path / "r.jsonl"), "a long").orderBy("position").collect()
+    assert [(r.position, r.record.a) for r in got] == [(0, 5), (1, 6), (2, None)]
+
+
+def test_first_candidates(spark):
+    rows = [(1, "b", 2), (1, "a", 1), (1, "a", 0), (1, "c", 3), (2, "a", 9)]
+    df = spark.createDataFrame(rows, "page long, url string, at long")
+    got = {tuple(r) for r in gate.first_candidates(df, "page", "url", "at", 2).collect()}
+    assert got == {(1, "a", 0), (1, "b", 2), (2, "a", 9)}
