@@ -48,6 +48,12 @@ def group_pairs(vectors: DataFrame, group: str, key: str, vector: str, *, rows_p
     )
 
 
+def sorted_pairs(pairs: DataFrame, group: str) -> DataFrame:
+    """The list of a cluster's pairs by rising similarity, from ``group_pairs``: as long as the square of its size."""
+    one = F.struct("similarity", "left_id", "right_id")
+    return pairs.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("pairs"))
+
+
 def lone_centrality(size: Column) -> Column:
     """Centrality of a member without a pair: 1.0 for a cluster's only article, else 0.0."""
     return F.when(size == 1, 1.0).otherwise(0.0)

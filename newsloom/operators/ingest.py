@@ -85,6 +85,15 @@ def with_decision(articles: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def with_dates(articles: DataFrame, logged: DataFrame, feed: DataFrame) -> DataFrame:
+    """Each article (canonical_url, ...) with the dates that the recipe's log and the feeds name for its URL
+    (url, raw_date; of several the greatest counts), for the cascade of publication dates."""
+    for rows, name in ((logged, "logged_date"), (feed, "feed_date")):
+        one = rows.groupBy(F.col("url").alias("canonical_url")).agg(F.max("raw_date").alias(name))
+        articles = articles.join(one, "canonical_url", "left")
+    return articles
+
+
 def preferred_date(order: str, date: str, source: str, confidence: str, *, strict_reference: bool = False) -> Column:
     """The date that stays when rows are folded in order: one of high confidence is only replaced by
     another of high confidence, any other by whatever comes later. Struct of date, source, confidence.

@@ -179,6 +179,16 @@ def cluster_report(spark, sf_dir):
     return reports.numbered_clusters(stats)
 
 
+@query(
+    f"""WITH {PAIR_SQL} SELECT grp, string_agg(left_id || '-' || right_id, ',' ORDER BY similarity, left_id, right_id) AS pairs FROM p GROUP BY grp"""
+)
+def pair_lists(spark, sf_dir):
+    """The pairs of a fixed membership by rising similarity."""
+    listed = dossier.sorted_pairs(_pairs(spark, sf_dir), "grp")
+    said = F.transform("pairs", lambda p: F.concat_ws("-", p["left_id"], p["right_id"]))
+    return listed.select("grp", F.array_join(said, ",").alias("pairs"))
+
+
 @query("""WITH v AS (SELECT vec_id AS id, vec_id // 8 AS cluster, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT cluster FROM v GROUP BY cluster HAVING count(*) > 1),
     x AS (SELECT a.cluster, a.id AS inside, b.id AS outside, round(list_dot_product(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.cluster <> b.cluster WHERE a.cluster IN (SELECT cluster FROM g))
   SELECT cluster, inside, outside, similarity FROM x QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC, inside, outside) = 1""")

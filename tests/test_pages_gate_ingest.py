@@ -240,3 +240,10 @@ def test_first_candidates(spark):
     df = spark.createDataFrame(rows, "page long, url string, at long")
     got = {tuple(r) for r in gate.first_candidates(df, "page", "url", "at", 2).collect()}
     assert got == {(1, "a", 0), (1, "b", 2), (2, "a", 9)}
+
+
+def test_dates_of_logs_and_feeds(spark):
+    articles = spark.createDataFrame([("u",), ("w",)], "canonical_url string")
+    logged = spark.createDataFrame([("u", "1"), ("u", "2"), ("x", "3")], "url string, raw_date string")
+    got = {tuple(r) for r in ingest.with_dates(articles, logged, logged.filter("url = 'x'")).collect()}
+    assert got == {("u", "2", None), ("w", None, None)}
