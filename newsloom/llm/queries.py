@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, language_id, mixing, probminhash, quality_crf, secrets, sentencepiece_codec, sharding
+from . import (
+    chat_format,
+    exact_dedup,
+    fingerprint,
+    language_id,
+    mixing,
+    probminhash,
+    quality_crf,
+    secrets,
+    sentencepiece_codec,
+    sharding,
+    substring_dedup,
+)
 from ._common import table
 
 #: The model file of the encoding operator; a parameter of everything that uses it.
@@ -90,6 +102,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_chat_format,
         op10_mixing,
+        op13_substring_dedup,
     )
 }
 
