@@ -23,11 +23,14 @@ from . import (
     sentencepiece_codec,
     sharding,
     substring_dedup,
+    token_alignment,
 )
 from ._common import table
 
 #: The model file of the encoding operator; a parameter of everything that uses it.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The byte-level vocabulary that is aligned with it.
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def fold(parts: int, value: int):
@@ -102,6 +105,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = token_alignment.align(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL, carry=["doc_id"])
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_chat_format,
         op10_mixing,
+        op12_token_alignment,
         op13_substring_dedup,
     )
 }
