@@ -7,7 +7,7 @@ bytes, B a row for each token of B. The row products of A with the transpose of
 the product is the sum of the rows that the left row names) are the overlap links with their number of
 shared bytes; the products of the group incidences are the links of tokens that share a group.
 
-Tasks work block by block (some million characters). Equal groups of a block are multiplied once, and a
+Tasks work block by block (half a million characters). Equal groups of a block are multiplied once, and a
 block hands on each of its pairs of ids once, with its count. The counts of all blocks are summed, the
 highest of each id of B is found, and each block gets back the counts of its own pairs. So neither links
 nor texts are shuffled, only a block's distinct pairs and the numbers of its groups; no table of all pairs
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,9 @@ class ByteLevel:
     merged by rank; other models are left to the tokenizers library."""
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
-
+        self.data = data
         said, letters = json.loads(data), byte_letters()
         vocabulary, cut = said["model"]["vocab"], said["pre_tokenizer"] or {}
-        self.library = Tokenizer.from_str(data.decode())
-        self.library.encode_special_tokens = True
         self.bytes_of = [b""] * (max([*vocabulary.values(), *[t["id"] for t in said["added_tokens"]]]) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
@@ -72,6 +70,14 @@ class ByteLevel:
             ranks = {self.bytes_of[i]: i for i in range(256 + len(merges))}
             self.ranked = tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(self.data.decode())
+        library.encode_special_tokens = True
+        return library
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.ranked is not None:
             return [self.ranked.encode_to_numpy(t, disallowed_special=()).astype(np.int64) for t in texts]
@@ -88,7 +94,7 @@ class Pieces:
     """Ids and token bytes of a SentencePiece model, rebuilt on the tokenizers library."""
 
     def __init__(self, data: bytes):
-        self.codec = Codec(data)
+        self.codec = Codec(data, memory=150_000)
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.codec.model.pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -229,7 +235,7 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def align(
-    docs: DataFrame, path_a: str, path_b: str, *, column: str = "text", carry: list[str] | None = None, block_chars: int = 4_000_000
+    docs: DataFrame, path_a: str, path_b: str, *, column: str = "text", carry: list[str] | None = None, block_chars: int = 500_000
 ) -> DataFrame:
     """Rows of ``docs`` (its columns ``carry``, all if not given) with n_a, n_b, n_groups, n_links (overlap
     links), n_group_links (pairs of tokens that share a group), groups_sha256, n_best (links whose pair is
