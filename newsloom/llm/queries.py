@@ -22,6 +22,7 @@ from . import (
     secrets,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     substring_dedup,
     token_alignment,
 )
@@ -105,6 +106,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = token_alignment.align(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL, carry=["doc_id"])
     return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_chat_format,
         op10_mixing,
+        op11_spelling_variants,
         op12_token_alignment,
         op13_substring_dedup,
     )
