@@ -11,7 +11,7 @@ each span is verified: the words at its own place and at its source must have th
 failure (two texts with one 64-bit hash) starts again with other hashes.
 
 Only paths (hashes and places) are shuffled and grouped, never windows of whole texts; texts meet the
-few places that are asked of them in a broadcast of a counted table, or by a shuffle beyond that.
+few places that are asked of them in a broadcast of counted places, or by a shuffle beyond two million.
 
 Defined results: a null text has no words; texts of fewer than ``span`` words stay as they are; a row
 without an id counts as the one with the largest id; rows of one id are never sources of each other;
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Stored, broadcast_if_small
+from ._common import Stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hashes a task works on together.
 TOGETHER = 1_000_000
+#: Places (some 30 bytes each) that may be broadcast.
+MOST_PLACES = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PATHS = "doc long, row long, start int, n int, node long, path long"
 EDGES = "node long, path long, offset int, edge long, doc long, row long, start int"
@@ -141,8 +143,10 @@ def paths(docs: DataFrame, *, span: int = 50, k: int = 16, seed: int = 0) -> Dat
 
 
 def with_asked(docs: DataFrame, asked: DataFrame, *columns: Column, how: str = "inner") -> DataFrame:
-    """doc, row and ``columns`` of ``docs`` with what ``asked`` (materialised, one row for each doc and row) wants of them."""
-    return docs.select(*keyed(docs), *columns).join(broadcast_if_small(asked), ["doc", "row"], how)
+    """doc, row and ``columns`` of ``docs`` with what ``asked`` (materialised, one row for each doc and row, with an
+    array of places) wants of them: by a broadcast of no more than ``MOST_PLACES`` places, else by a shuffle."""
+    places = asked.agg(F.sum(F.size(asked.columns[-1]))).first()[0] or 0
+    return docs.select(*keyed(docs), *columns).join(F.broadcast(asked) if places <= MOST_PLACES else asked, ["doc", "row"], how)
 
 
 def edges(docs: DataFrame, asked: DataFrame, *, span: int, seed: int) -> DataFrame:
@@ -233,8 +237,9 @@ def repeated_spans(docs: DataFrame, *, span: int = 50, k: int = 16, tries: int =
         store = Stored(docs.sparkSession)
         every = store.put("paths", paths(docs, span=span, k=k, seed=seed))
         shared = every.groupBy("node").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).filter("_low < _high").select("node")
-        rows = store.put("shared", every.join(shared, "node"))
-        store.drop("paths")
+        # Written first: a join of two tables can split a node of very many rows, one of a table and a sum cannot.
+        rows = store.put("shared", every.join(store.put("several", shared), "node"))
+        store.drop("paths", "several")
         place = F.struct("doc", "row", "start")
         found = store.put("nodes", rows.groupBy("node", "path").agg(F.min(place).alias("source"), F.max("n").alias("n")))
         branching = store.put("branching", found.groupBy("node").agg(F.count(F.lit(1)).alias("_paths")).filter("_paths > 1").select("node"))
@@ -242,10 +247,11 @@ def repeated_spans(docs: DataFrame, *, span: int = 50, k: int = 16, tries: int =
         wanted = F.collect_list(F.struct("source.start", "n", "node", "path")).alias("wanted")
         asked = store.put("asked", found.join(branching, "node", "left_semi").groupBy("source.doc", "source.row").agg(wanted))
         each = store.put("edges", edges(docs, asked, span=span, seed=seed))
-        sources = each.groupBy("node", "edge").agg(F.min(place).alias("source"))
-        single = each.select("node", "path", "edge", F.col("offset").alias("start"), F.lit(1).alias("n")).join(sources, ["node", "edge"])
+        least = each.groupBy("node", "edge").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        met = each.join(store.put("least", least), ["node", "edge"], "left")
+        single = met.select("node", "path", F.col("offset").alias("start"), F.lit(1).alias("n"), F.coalesce("_least", place).alias("source"))
         pieces = store.put("pieces", whole.unionByName(glued(single, ["node", "path"])))
-        store.drop("nodes", "branching", "asked", "edges")
+        store.drop("nodes", "branching", "asked", "edges", "least")
         own = rows.join(pieces.withColumnsRenamed({"start": "_offset", "n": "_n"}), ["node", "path"]).filter("source.doc < doc")
         own = own.select("doc", "row", (F.col("start") + F.col("_offset")).alias("start"), F.col("_n").alias("n"), "source")
         made = glued(own.distinct(), ["doc", "row"])
