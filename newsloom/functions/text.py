@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ LEAST_WORDS = 150
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once a row, however often ``made`` uses it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def normalise_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"(?U)\s+", " "))
 

@@ -11,6 +11,13 @@ TRACKING_PARAMETERS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref"]
 MEDIA_ENDINGS = [".jpg", ".png", ".svg", ".pdf"]
 OTHER_PAGES = ["/about", "/contact", "/privacy", "/terms", "/newsletters", "/podcasts", "/video"]
 LEAST_PATH = 24
+#: A host in brackets and what may follow it; and an http(s) URL with a host in the characters of RFC 3986.
+IPV6 = r"^\[([0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*)(?:%[^\]]*)?\]"
+UNIT = r"(?:[A-Za-z0-9._~!$&'()*+,;=-]|%[0-9A-Fa-f]{2})"
+STANDARD = (
+    rf"(?i)\Ahttps?://(?:(?:{UNIT}|:)*@)?(?:\[[0-9A-F:.]+\]|{UNIT}+)(?::[0-9]*)?"
+    rf"(?:/(?:{UNIT}|[:@/])*)?(?:\?(?:{UNIT}|[:@/?])*)?(?:#(?:{UNIT}|[:@/?])*)?\z"
+)
 PARTS = r"(?is)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -71,13 +78,29 @@ def experiment_url(url: Column) -> Column:
     return F.when(part(2) != "", F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path))
 
 
+def authority(url: Column) -> Column:
+    """Host and port of a URL as they are written, without credentials; '' where there is none."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return F.regexp_replace(F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), "(?s)^.*@", "")
+
+
 def url_host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """The host of any URL in lower case, or null: what stands before the port, whatever its characters and
+    those of the path are. An IPv6 host comes without its brackets; other brackets make the URL invalid."""
+    place = authority(url)
+    plain = F.when(~place.rlike(r"[\[\]]"), F.regexp_extract(place, "^([^:]*)", 1))
+    host = F.when(place.rlike(IPV6), F.regexp_extract(place, IPV6, 1)).otherwise(plain)
+    return F.nullif(F.lower(host), F.lit(""))
 
 
 def http_url(url: Column) -> Column:
-    """The URL itself if it is an http(s) URL with a host, else null."""
-    return F.when(url.rlike(r"(?i)^https?://") & (F.coalesce(url_host(url), F.lit("")) != ""), url)
+    """The URL itself if it is an http(s) URL of the standard's characters with a host, else null."""
+    return F.when(url.rlike(STANDARD), url)
+
+
+def http_host(url: Column) -> Column:
+    """The host of a URL that ``http_url`` accepts, in lower case, an IPv6 host in its brackets."""
+    return F.lower(F.regexp_extract(authority(http_url(url)), r"^(\[[^\]]*\]|[^:]*)", 1))
 
 
 def bare_host(url: Column) -> Column:

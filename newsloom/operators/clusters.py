@@ -9,9 +9,8 @@ is contracted. Each round is joins and aggregations; no task holds a cluster.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,113 +18,158 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dossier import group_pairs, similarity
+from ..sources.tables import Tables
+from .dossier import similarity
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the cluster's checkpoint folder and read again (in a folder of our own
-    only where none is named). Unlike checkpoint() this also forgets the constraints that the optimizer
-    inferred, whose number would double from round to round."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as a table in the shared folder and read again."""
+    return Tables(df.sparkSession).put(df)
 
 
-#: Rows that stand for the others when vectors are dealt to cells, at most.
-MOST_PIVOTS = 256
+#: Rows that stand for the others when vectors are dealt to cells, and directions in which cells are told apart, at most.
+MOST_PIVOTS, MOST_DIRECTIONS = 1024, 64
+#: What 64-bit products of unit vectors, which are so to about 1e-7, may be off.
+BLUR = 1e-6
 
 
-def dealt_to_cells(vectors: DataFrame, rows_per_block: int) -> tuple[DataFrame, np.ndarray, dict[int, tuple[int, float]]]:
-    """(``vectors`` with the cell of their nearest pivot, the angles between pivots, (rows, radius) of each cell).
+@dataclass
+class Cells:
+    """What the driver knows of the cells that vectors are dealt to: one row for each, ``MOST_PIVOTS`` at most.
 
-    Pivots are rows that a digest chooses, more for larger tables and 256 at most; they and one row per cell
-    reach the driver. A cell's radius is the greatest angle of its rows to the pivot.
+    A vector is split into its part in the space of a few directions and the length of the rest. With a
+    cell's centre (of those parts), its radius around it and the longest rest in it, the inner product of x
+    with any row of the cell is within ``x·centre ± (|x|·radius + rest(x)·rest)``.
     """
-    n = vectors.count()
-    pivots = min(MOST_PIVOTS, max(1, int(4 * (n / rows_per_block) ** 0.5)))
-    drawn = vectors.filter("v IS NOT NULL").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    points = np.array([r["v"] for r in drawn], float)
+
+    points: np.ndarray
+    directions: np.ndarray
+    centres: np.ndarray
+    radius: np.ndarray
+    rest: np.ndarray
+    rows: np.ndarray
+
+    def parts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = vectors @ self.directions.T
+        return part, np.sqrt(np.maximum((vectors**2).sum(1) - (part**2).sum(1), 0))
+
+    def between(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest inner product that each vector can have with a row of each cell."""
+        part, rest = self.parts(vectors)
+        middle = part @ self.centres.T
+        spread = np.sqrt((part**2).sum(1))[:, None] * self.radius + rest[:, None] * self.rest + BLUR
+        return middle - spread, middle + spread
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
+def dealt_to_cells(tables: Tables, vectors: DataFrame, rows_per_block: int) -> tuple[DataFrame, Cells]:
+    """``vectors`` (id, v, ...; null vectors left out) with _cell, the nearest of the pivots, and _block in it; and the cells.
+
+    Pivots are rows that a digest chooses, more for larger tables; they, a sum of vectors and three numbers
+    for each cell are all that reaches the driver.
+    """
+    given = vectors.filter("v IS NOT NULL")
+    pivots = min(MOST_PIVOTS, max(1, int(4 * (given.count() / rows_per_block) ** 0.5)))
+    drawn = given.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    points = np.array([r["v"] for r in drawn], float).reshape(len(drawn), len(drawn[0]["v"]) if drawn else 0)
+    # More pivots than directions are not needed: a part in fewer directions makes wider bounds, never wrong ones.
+    directions = np.linalg.qr(points[:MOST_DIRECTIONS].T)[0].T
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                near = np.stack(rows["v"]).astype(float) @ points.T
-                cell = near.argmax(axis=1)
-                yield rows.assign(_cell=cell.astype(np.int32), _angle=np.arccos(np.clip(near[np.arange(len(rows)), cell], -1, 1)))
-
-    schema = T.StructType([*vectors.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])
-    celled = cut_lineage(vectors.mapInPandas(nearest, schema))
-    cells = {
-        r["_cell"]: (r["n"], r["radius"]) for r in celled.groupBy("_cell").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("_angle").alias("radius"),
-        ).collect()
-    }
-    return celled.drop("_angle"), np.arccos(np.clip(points @ points.T, -1, 1)) if len(points) else np.zeros((0, 0)), cells
-
-
-def block_products(
-    vectors: DataFrame, pick: Callable[
-        [pd.DataFrame, pd.DataFrame, np.ndarray, bool],
-        pd.DataFrame
-    ], schema: str, rows_per_block: int, widest: float = np.pi
-) -> DataFrame:
-    """What ``pick`` keeps of the products of all pairs of unit ``vectors`` (id, v, ...) within an angle of ``widest``.
-
-    Rows are dealt to cells around pivots, and two cells meet only if rows of both can be that near: the angle
-    of their pivots is at most their radii and ``widest`` together, as angles obey the triangle inequality. Large
-    cells are cut into blocks by digest; a task holds two blocks, and only what ``pick`` returns leaves it.
+                yield rows.assign(_cell=(stacked(rows["v"]) @ points.T).argmax(axis=1).astype(np.int32))
+
+    celled = tables.put(given.mapInPandas(nearest, T.StructType([*given.schema, T.StructField("_cell", T.IntegerType())])))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                part = stacked(rows["v"]) @ directions.T
+                for cell in rows["_cell"].unique():
+                    own = part[(rows["_cell"] == cell).to_numpy()]
+                    yield pd.DataFrame({"_cell": cell, "at": np.arange(len(directions)), "x": own.sum(0), "n": len(own)})
+
+    n = len(points)
+    cells = Cells(points, directions, np.zeros((n, len(directions))), np.zeros(n), np.zeros(n), np.zeros(n, int))
+    summed = celled.select("v", "_cell").mapInPandas(sums, "_cell int, at int, x double, n long").groupBy("_cell", "at")
+    for r in summed.agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect():
+        cells.centres[r["_cell"], r["at"]], cells.rows[r["_cell"]] = r["x"] / r["n"], r["n"]
+
+    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                part, rest = cells.parts(stacked(rows["v"]))
+                off = np.sqrt(((part - cells.centres[rows["_cell"]]) ** 2).sum(1))
+                yield pd.DataFrame({"_cell": rows["_cell"], "radius": off, "rest": rest}).groupby("_cell", as_index=False).max()
+
+    for r in celled.select("v", "_cell").mapInPandas(widths, "_cell int, radius double, rest double").groupBy("_cell").agg(
+        F.max("radius").alias("radius"), F.max("rest").alias("rest")
+    ).collect():
+        cells.radius[r["_cell"]], cells.rest[r["_cell"]] = r["radius"], r["rest"]
+    pieces = F.element_at(F.lit(blocks_of(cells, rows_per_block).tolist() or [1]), F.col("_cell") + 1)
+    return celled.withColumn("_block", F.pmod(F.xxhash64("id"), pieces).cast("int")), cells
+
+
+def blocks_of(cells: Cells, rows_per_block: int) -> np.ndarray:
+    return np.maximum(1, -(-cells.rows // rows_per_block))
+
+
+def meetings(vectors: DataFrame, least: float, *, rows_per_block: int = 2_000, tables: Tables | None = None) -> DataFrame:
+    """The rows of unit ``vectors`` (id, v, ...) in every pair of blocks (_ic, _ib, _jc, _jb) where they may have a
+    partner of similarity ``least`` or more, on the _left or _right side or (a block with itself) on both.
+
+    A row goes to the blocks of a cell only if its own bound allows it, so blocks meet with the rows of both
+    that can be near, and far cells do not meet at all.
     """
-    celled, between, cells = dealt_to_cells(vectors, rows_per_block)
-    blocks = {c: -(-n // rows_per_block) for c, (n, _) in cells.items()}
-    # Unit vectors are so to about 1e-7, which blurs small angles to 1e-3.
-    meeting = [(i, j, blocks[j]) for i in cells for j in cells if between[i, j] <= cells[i][1] + cells[j][1] + widest + 2e-3]
-    spark = vectors.sparkSession
-    meet = spark.createDataFrame(meeting, "_cell int, _other int, _others int")  # MOST_PIVOTS squared rows at most
-    size = spark.createDataFrame(list(blocks.items()), "_cell int, _own int")
-    dealt = celled.join(F.broadcast(size), "_cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_own")).cast("int")).drop("_own")
-    rows = dealt.join(F.broadcast(meet), "_cell").withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_others") - 1)))
+    celled, cells = dealt_to_cells(tables or Tables(vectors.sparkSession), vectors, rows_per_block)
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                may = cells.between(stacked(rows["v"]))[1] >= least
+                may[np.arange(len(rows)), rows["_cell"]] = True
+                yield rows.assign(_cells=[np.flatnonzero(m).astype(np.int32) for m in may])
+
+    schema = T.StructType([*celled.schema, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    pieces = F.element_at(F.lit(blocks_of(cells, rows_per_block).tolist() or [1]), F.col("_other") + 1)
+    rows = celled.mapInPandas(admit, schema).withColumn("_other", F.explode("_cells")).withColumn("_met", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
     mine, other = F.struct(F.col("_cell").alias("c"), F.col("_block").alias("b")), F.struct(F.col("_other").alias("c"), F.col("_met").alias("b"))
     rows = rows.withColumns({"_i": F.least(mine, other), "_j": F.greatest(mine, other), "_mine": mine})
-    rows = rows.select(
-        *vectors.columns,
-        F.col("_i.c").alias("_ic"),
-        F.col("_i.b").alias("_ib"),
-        F.col("_j.c").alias("_jc"),
-        F.col("_j.b").alias("_jb"),
-        (F.col("_mine") == F.col("_i")).alias("_left"),
-        (F.col("_mine") == F.col("_j")).alias("_right"),
-    )
+    ends = [F.col(f"_{x}.{y}").alias(f"_{x}{y}") for x in "ij" for y in "cb"]
+    return rows.select(*vectors.columns, *ends, (F.col("_mine") == F.col("_i")).alias("_left"), (F.col("_mine") == F.col("_j")).alias("_right"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["_left"]], rows[rows["_right"]]
-        if left.empty or right.empty:
-            return pick(left, right, np.zeros((len(left), len(right))), False)
-        return pick(
-            left,
-            right,
-            np.stack(left["v"]).astype(float) @ np.stack(right["v"]).astype(float).T,
-            bool(rows["_left"].iat[0] and rows["_right"].iat[0]),
-        )
 
-    return rows.groupBy("_ic", "_ib", "_jc", "_jb").applyInPandas(run, schema)
+MEET = ["_ic", "_ib", "_jc", "_jb"]
+
+
+def compared_pairs(met: DataFrame) -> int:
+    """How many products the blocks of ``meetings`` make."""
+    sides = met.groupBy(*MEET).agg(F.count_if("_left").alias("a"), F.count_if("_right").alias("b"), F.bool_and(F.col("_left") & F.col("_right")).alias("same"))
+    made = F.when(F.col("same"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b"))
+    return int(sides.agg(F.sum(made)).first()[0] or 0)
 
 
 def near_pairs(vectors: DataFrame, threshold: float, *, rows_per_block: int = 2_000) -> DataFrame:
-    """a < b and similarity of all pairs of ``vectors`` (id, v) with a distance below ``threshold``."""
+    """a < b and similarity of all pairs of ``vectors`` (id, v) with a distance below ``threshold``; rows with a
+    null vector have none."""
 
-    def pick(left: pd.DataFrame, right: pd.DataFrame, products: np.ndarray, same: bool) -> pd.DataFrame:
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["_left"]], rows[rows["_right"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        products = stacked(left["v"]) @ stacked(right["v"]).T
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         i, j = np.nonzero(1 - products < threshold)
-        keep = a[i] < b[j] if same else a[i] != b[j]
+        keep = a[i] < b[j] if rows["_left"].iat[0] and rows["_right"].iat[0] else a[i] != b[j]
         i, j = i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": products[i, j]})
 
-    widest = float(np.arccos(np.clip(1 - threshold, -1, 1)))
-    return block_products(vectors.select("id", "v"), pick, "a long, b long, similarity double", rows_per_block, widest)
+    met = meetings(vectors.select("id", "v"), 1 - threshold, rows_per_block=rows_per_block)
+    return met.groupBy(*MEET).applyInPandas(pick, "a long, b long, similarity double")
 
 
 def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataFrame:
@@ -133,10 +177,12 @@ def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataF
 
     Each round takes the least label among the neighbours and then the label of the label.
     """
+    tables = Tables(vectors.sparkSession)
     pairs = near_pairs(vectors, threshold, **sizes).select("a", "b")
-    ways = cut_lineage(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(vectors.select("id", F.col("id").alias("component")))
+    ways = tables.put(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    stepped = tables.put(vectors.select("id", F.lit(None).cast("long").alias("old"), F.col("id").alias("component")))
     while True:
+        labels = stepped.drop("old")
         near = ways.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, "id", "left").select(
             "id",
@@ -144,10 +190,10 @@ def near_components(vectors: DataFrame, threshold: float, **sizes: int) -> DataF
             F.least("component", F.coalesce("near", "component")).alias("component"),
         )
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        stepped = cut_lineage(hooked.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
-        labels = stepped.drop("old")
+        last, stepped = stepped, tables.put(hooked.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        tables.drop(last)
         if not stepped.filter("old <> component").limit(1).count():
-            return labels
+            return stepped.drop("old")
 
 
 def average_linkage(vectors: DataFrame, threshold: float = 0.145, **sizes: int) -> DataFrame:
@@ -155,59 +201,83 @@ def average_linkage(vectors: DataFrame, threshold: float = 0.145, **sizes: int)
 
     Merges while the mean distance is strictly below the threshold; ties go to the least id.
     """
-    edges = cut_lineage(near_pairs(vectors, threshold, **sizes).select("a", "b"))
+    tables = Tables(vectors.sparkSession)
+    edges = tables.put(near_pairs(vectors, threshold, **sizes).select("a", "b"))
     touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    members = touched.withColumn("cluster", F.col("id"))
-    centres = cut_lineage(
-        vectors.join(touched, "id", "left_semi").select(
-            "id",
-            F.lit(1).cast("long").alias("n"),
-            F.transform("v", lambda x: x.cast("double")).alias("s"),
-        )
-    )
+    members = tables.put(touched.withColumn("cluster", F.col("id")))
+    sums = F.transform("v", lambda x: x.cast("double")).alias("s")
+    centres = tables.put(vectors.join(members.select("id"), "id", "left_semi").select("id", F.lit(1).cast("long").alias("n"), sums))
     while True:
         a, b = (centres.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
         mean = similarity(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))
-        edges = cut_lineage(edges.join(a, "a").join(b, "b").select("a", "b", mean.alias("m")).filter(1 - F.col("m") < threshold))
-        ends = edges.select("a", "b", "m").union(edges.select("b", "a", "m"))
+        judged = tables.put(edges.join(a, "a").join(b, "b").select("a", "b", mean.alias("m")).filter(1 - F.col("m") < threshold))
+        tables.drop(edges)
+        ends = judged.select("a", "b", "m").union(judged.select("b", "a", "m"))
         nearest = ends.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("m", -F.least("a", "b"), -F.greatest("a", "b"))).alias("to"))
         back = nearest.select(F.col("id").alias("to"), F.col("to").alias("id"))
-        merges = cut_lineage(nearest.join(back, ["id", "to"]).filter("id < to"))
+        merges = tables.put(nearest.join(back, ["id", "to"]).filter("id < to"))
         if not merges.limit(1).count():
+            tables.drop(judged, merges, centres)
             return vectors.select("id").join(members, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
         into = merges.select(F.col("to").alias("cluster"), F.col("id").alias("_into"))
-        members = cut_lineage(members.join(into, "cluster", "left").select("id", F.coalesce("_into", "cluster").alias("cluster")))
+        last, members = members, tables.put(members.join(into, "cluster", "left").select("id", F.coalesce("_into", "cluster").alias("cluster")))
         gone = merges.join(centres.withColumnsRenamed({"id": "to", "n": "_n", "s": "_s"}), "to").select("id", "_n", "_s")
         kept = centres.join(merges.select(F.col("to").alias("id")), "id", "left_anti").join(gone, "id", "left")
-        centres = cut_lineage(
+        grown = tables.put(
             kept.select(
                 "id",
                 (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
                 F.when(F.col("_s").isNull(), F.col("s")).otherwise(F.zip_with("s", "_s", lambda x, y: x + y)).alias("s"),
             )
         )
-        named = edges.select("a", "b")
+        named = judged.select("a", "b")
         for x in "ab":
             named = named.join(into.withColumnsRenamed({"cluster": x, "_into": "_to"}), x, "left").withColumn(x, F.coalesce("_to", x)).drop("_to")
-        edges = named.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = tables.put(named.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tables.drop(last, judged, merges, centres)
+        centres = grown
+
+
+def similarities(members: DataFrame, *, rows_per_block: int = 2_000) -> DataFrame:
+    """Mean (of whole millionths, so that it does not depend on any order), least and greatest similarity of two rows
+    of every cluster, from rows (id, cluster, v). The blocks of a large cluster meet in pairs; four numbers for each
+    pair of blocks leave the tasks, never pairs of rows."""
+    rows = members.filter("v IS NOT NULL").select("cluster", "id", "v")
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, "cluster").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("cluster", "id", "v", "_block", F.least("_block", "_met").alias("_i"), F.greatest("_block", "_met").alias("_j"))
+    schema = "cluster long, min_similarity double, max_similarity double, millionths long, n long"
 
-
-def cluster_stats(members: DataFrame) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["_i"].iat[0], rows["_j"].iat[0]
+        left, right = stacked(rows["v"][rows["_block"] == i]), rows["v"][rows["_block"] == j]
+        low, high, millionths, n = np.inf, -np.inf, 0, 0
+        if len(left) and len(right):
+            right = stacked(right)
+            for start in range(0, len(left), 512):
+                products = left[start : start + 512] @ right.T
+                told = products[np.triu_indices(len(products), start + 1, len(right))] if i == j else products
+                if told.size:
+                    low, high, n = min(low, told.min()), max(high, told.max()), n + told.size
+                    millionths += int(np.round(told * 1_000_000).astype(np.int64).sum())
+        return pd.DataFrame({"cluster": [rows["cluster"].iat[0]], "min_similarity": [low], "max_similarity": [high], "millionths": [millionths], "n": [n]})
+
+    made = dealt.groupBy("cluster", "_i", "_j").applyInPandas(run, schema)
+    rounded = [F.round(f(c), 6).alias(c) for f, c in ((F.min, "min_similarity"), (F.max, "max_similarity"))]
+    mean = F.round(F.sum("millionths") / F.sum("n") / 1_000_000, 6).alias("mean_similarity")
+    return made.filter("n > 0").groupBy("cluster").agg(mean, *rounded)
+
+
+def cluster_stats(members: DataFrame, **sizes: int) -> DataFrame:
     """size, distinct sources and the mean, least and greatest similarity of the clusters of two or more,
     from rows (id, cluster, source, v)."""
     several = members.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         F.array_sort(F.collect_set("source")).alias("sources"),
     ).filter("size > 1")
-    pairs = group_pairs(members.join(several, "cluster", "left_semi"), "cluster", "id", "v")
-    # The mean is that of whole millionths, so that it does not depend on the order of the pairs.
-    mean = F.sum(F.round(F.col("similarity") * 1_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000
-    said = pairs.groupBy("cluster").agg(
-        F.round(mean, 6).alias("mean_similarity"),
-        F.min("similarity").alias("min_similarity"),
-        F.max("similarity").alias("max_similarity"),
-    )
-    return several.join(said, "cluster").withColumn("n_sources", F.size("sources").cast("long"))
+    rows = members.join(several.select("cluster"), "cluster", "left_semi")
+    return several.join(similarities(rows, **sizes), "cluster").withColumn("n_sources", F.size("sources").cast("long"))
 
 
 def run_summary(stats: DataFrame, members: DataFrame) -> DataFrame:
@@ -225,41 +295,66 @@ def run_summary(stats: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def nearest_outside(members: DataFrame, *, rows_per_block: int = 2_000) -> DataFrame:
+#: Cells that a row has asked after each round of ``nearest_outside``; then all that are left.
+ROUNDS = (1, 4, 16, 64)
+
+
+def nearest_outside(members: DataFrame, *, rows_per_block: int = 2_000, compared: list[int] | None = None) -> DataFrame:
     """For each cluster of two or more the most similar pair of a member and a row outside; ties go to
-    the least ids. From rows (id, cluster, v)."""
-    sizes = members.groupBy("cluster").agg((F.count(F.lit(1)) > 1).alias("grouped"))
-    rows = members.join(sizes, "cluster").select("id", "cluster", "grouped", "v")
-
-    def best(inside: pd.DataFrame, outside: pd.DataFrame, products: np.ndarray) -> pd.DataFrame:
-        inside, order = inside.reset_index(drop=True), np.argsort(outside["id"].to_numpy(), kind="stable")
-        outside = outside.iloc[order]
-        apart = inside["cluster"].to_numpy()[:, None] != outside["cluster"].to_numpy()[None, :]
-        able = inside["grouped"].to_numpy(bool) & apart.any(axis=1)
-        at = np.where(apart, products[:, order], -np.inf).argmax(axis=1)[able] if len(outside) else np.zeros(0, int)
-        rows = inside[able]
-        return pd.DataFrame(
-            {
-                "cluster": rows["cluster"],
-                "inside": rows["id"],
-                "outside": outside["id"].to_numpy()[at],
-                "similarity": products[:, order][np.flatnonzero(able), at],
-            }
-        )
+    the least ids. From rows (id, cluster, v).
 
-    def pick(left: pd.DataFrame, right: pd.DataFrame, products: np.ndarray, same: bool) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"cluster": [], "inside": [], "outside": [], "similarity": []})
-        found = [best(left, right, products)] if same else [best(left, right, products), best(right, left, products.T)]
-        return pd.concat(found)
-
-    ranked = block_products(
-        rows,
-        pick,
-        "cluster long, inside long, outside long, similarity double",
-        rows_per_block,
-    ).withColumn("similarity", F.round("similarity", 6))
-    pair = F.struct("inside", "outside", "similarity")
-    return ranked.groupBy("cluster").agg(
-        F.max_by(pair, F.struct("similarity", -F.col("inside"), -F.col("outside"))).alias("_p")
-    ).select("cluster", "_p.*")
+    Best first: a row asks the cells with its highest bounds, and the best similarity of its cluster so far goes
+    from round to round; a cell whose bound is below it is never asked. ``compared`` gets the products of each round.
+    """
+    tables = Tables(members.sparkSession)
+    several = members.groupBy("cluster").agg((F.count(F.lit(1)) > 1).alias("grouped"))
+    rows, cells = dealt_to_cells(tables, members.join(several, "cluster").select("id", "cluster", "grouped", "v"), rows_per_block)
+    rows = tables.put(rows)
+    pieces = F.element_at(F.lit(blocks_of(cells, rows_per_block).tolist() or [1]), F.col("_other") + 1)
+    schema = "cluster long, inside long, outside long, similarity double"
+    found, asked = members.sparkSession.createDataFrame([], schema), 0
+    for upto in [*[r for r in ROUNDS if r < len(cells.rows)], len(cells.rows)]:
+        best = tables.put(found.groupBy("cluster").agg(F.max("similarity").alias("_best")))
+        told = rows.filter("grouped").join(best, "cluster", "left")
+
+        def choose(batches: Iterator[pd.DataFrame], after: int = asked, upto: int = upto) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    bound = cells.between(stacked(batch["v"]))[1]
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, after:upto]
+                    # Similarities are told apart at six digits.
+                    may = np.take_along_axis(bound, order, 1) >= batch["_best"].fillna(-2.0).to_numpy()[:, None] - 2 * BLUR
+                    yield batch[["id", "cluster", "v"]].assign(_cells=[o[m].astype(np.int32) for o, m in zip(order, may, strict=True)])
+
+        asks = told.mapInPandas(choose, T.StructType([*[rows.schema[c] for c in ("id", "cluster", "v")], T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
+        asks = tables.put(asks.withColumn("_other", F.explode("_cells")).withColumn("_met", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int")))).drop("_cells"))
+        # Many rows may ask one block: they are dealt to as many groups as keep each small.
+        crowd = asks.groupBy("_other", "_met").agg(F.count(F.lit(1)).alias("_n")).withColumn("_groups", F.ceil(F.col("_n") / rows_per_block).cast("int"))
+        crowd = tables.put(crowd)
+        if compared is not None:
+            held = rows.groupBy(F.col("_cell").alias("_other"), F.col("_block").alias("_met")).agg(F.count(F.lit(1)).alias("_rows"))
+            compared.append(crowd.join(held, ["_other", "_met"]).agg(F.sum(F.col("_n") * F.col("_rows"))).first()[0] or 0)
+        left = asks.join(crowd, ["_other", "_met"]).withColumn("_group", F.pmod(F.xxhash64("id"), F.col("_groups")).cast("int")).drop("_n", "_groups")
+        right = rows.select("id", "cluster", "v", F.col("_cell").alias("_other"), F.col("_block").alias("_met")).join(crowd, ["_other", "_met"])
+        right = right.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_n", "_groups")
+
+        def pick(inside: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+            if inside.empty or outside.empty:
+                return pd.DataFrame({"cluster": [], "inside": [], "outside": [], "similarity": []})
+            outside = outside.sort_values("id", kind="stable")
+            products = np.round(stacked(inside["v"]) @ stacked(outside["v"]).T, 6)
+            apart = inside["cluster"].to_numpy()[:, None] != outside["cluster"].to_numpy()[None, :]
+            at = np.where(apart, products, -np.inf).argmax(axis=1)
+            made = pd.DataFrame(
+                {"cluster": inside["cluster"], "inside": inside["id"], "outside": outside["id"].to_numpy()[at], "similarity": products[np.arange(len(inside)), at]}
+            )[apart.any(axis=1)]
+            return made.sort_values(["similarity", "inside", "outside"], ascending=[False, True, True]).drop_duplicates("cluster")
+
+        keys = ["_other", "_met", "_group"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pick, schema)
+        pair = F.struct("inside", "outside", "similarity")
+        ranked = found.unionByName(met).groupBy("cluster").agg(F.max_by(pair, F.struct("similarity", -F.col("inside"), -F.col("outside"))).alias("_p"))
+        found, asked = tables.put(ranked.select("cluster", "_p.*")), upto
+        tables.drop(best, asks, crowd)
+    tables.drop(rows)
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import UNITED_STATES, distinct_labels, role_by_country
-from ..functions.text import LEAST_WORDS, completeness, completeness_local, word_count
+from ..functions.text import LEAST_WORDS, bound, completeness, completeness_local, word_count
 
 #: Articles of a dossier, and those of local publishers among them: fixed values.
 MOST_EVIDENCE, MOST_LOCAL = 6, 2
@@ -316,22 +316,25 @@ def prompt(event: dict[str, Column], evidence: Column, *, bodies: bool = True) -
 
 
 def score_error(response: Column) -> Column:
-    """The first fault of a score (JSON text), else null."""
-    score = F.try_parse_json(response)
-    at = lambda path, kind: F.try_variant_get(score, path, kind)
-    keys = lambda path: F.array_sort(F.json_object_keys(F.to_json(F.variant_get(score, path, "variant"))))
-    kind = lambda path: F.coalesce(F.schema_of_variant(F.variant_get(score, path, "variant")), F.lit(""))
-    whole = None
-    for name in SCORES:
-        test = (kind(f"$.scores.{name}") == "BIGINT") & F.coalesce(at(f"$.scores.{name}", "bigint").between(0, 5), F.lit(False))
-        whole = test if whole is None else whole & test
-    sure = F.coalesce(at("$.confidence", "double").between(0, 1), F.lit(False)) & kind("$.confidence").rlike("BIGINT|DECIMAL|DOUBLE|FLOAT")
+    """The first fault of a score (JSON text), else null. The text is parsed once."""
     listed = lambda names: F.array(*[F.lit(n) for n in sorted(names)])
-    return (
-        F.when(F.coalesce(keys("$") != listed(["primary_section", "scores", "confidence", "reason"]), F.lit(True)), "score has unexpected fields")
-        .when(~F.coalesce(at("$.primary_section", "string").isin(SECTIONS), F.lit(False)), "invalid primary section")
-        .when(F.coalesce(keys("$.scores") != listed(SCORES), F.lit(True)), "invalid score fields")
-        .when(~whole, "scores must be integers from 0 to 5")
-        .when(~sure, "confidence must be between 0 and 1")
-        .when(F.coalesce(F.trim(at("$.reason", "string")), F.lit("")) == "", "reason is required")
-    )
+
+    def fault(score: Column) -> Column:
+        at = lambda path, kind: F.try_variant_get(score, path, kind)
+        keys = lambda path: F.array_sort(F.json_object_keys(F.to_json(F.variant_get(score, path, "variant"))))
+        kind = lambda path: F.coalesce(F.schema_of_variant(F.variant_get(score, path, "variant")), F.lit(""))
+        whole = F.forall(
+            F.array(*[F.struct(kind(f"$.scores.{n}").alias("kind"), at(f"$.scores.{n}", "bigint").alias("value")) for n in SCORES]),
+            lambda x: (x["kind"] == "BIGINT") & F.coalesce(x["value"].between(0, 5), F.lit(False)),
+        )
+        sure = F.coalesce(at("$.confidence", "double").between(0, 1), F.lit(False)) & kind("$.confidence").rlike("BIGINT|DECIMAL|DOUBLE|FLOAT")
+        return (
+            F.when(F.coalesce(keys("$") != listed(["primary_section", "scores", "confidence", "reason"]), F.lit(True)), "score has unexpected fields")
+            .when(~F.coalesce(at("$.primary_section", "string").isin(SECTIONS), F.lit(False)), "invalid primary section")
+            .when(F.coalesce(keys("$.scores") != listed(SCORES), F.lit(True)), "invalid score fields")
+            .when(~whole, "scores must be integers from 0 to 5")
+            .when(~sure, "confidence must be between 0 and 1")
+            .when(F.coalesce(F.trim(at("$.reason", "string")), F.lit("")) == "", "reason is required")
+        )
+
+    return bound(F.try_parse_json(response), fault)

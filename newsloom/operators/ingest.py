@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bridge_time, strict_time, time_error
 from ..functions.text import normalise_body, normalise_title
-from ..functions.urls import canonical_url, http_url, url_host
+from ..functions.urls import canonical_url, http_host, http_url
 
 #: Longest message of an error receipt, in characters.
 MOST_MESSAGE = 500
@@ -15,7 +15,7 @@ MOST_MESSAGE = 500
 
 def url_error(url: Column, field: str, hosts: Column) -> Column:
     """A message where a URL is no http(s) URL with one of ``hosts`` (array), else null."""
-    allowed = F.array_contains(hosts, url_host(url))
+    allowed = F.array_contains(hosts, http_host(url))
     return F.when(http_url(url).isNull(), F.lit(f"{field} must be an HTTP URL")).when(
         ~F.coalesce(allowed, F.lit(False)),
         F.lit(f"{field} host is not allowed"),

@@ -35,6 +35,7 @@ ALLOWED_USES = ["discovery", "internal_analysis", "fact_extraction", "quotation_
 LIMITS = {"article_cap": (1, 500), "timeout_seconds": (1, 3600), "requests_per_minute": (1, 120), "max_concurrency": (1, 10)}
 RETENTION = (0, 365)
 MOST_FEEDS, MOST_HOSTS = 20, 50
+#: What slugs, recipe files, and hosts must be: fixed values.
 SLUG = r"\A[a-z0-9]+(?:-[a-z0-9]+)*\z"
 RECIPE_FILE = r"\A[a-z0-9][a-z0-9_.-]*\.recipe\z"
 HOST = r"\A(?=.{1,253}\z)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\z"
@@ -256,7 +257,8 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
         def read(value: str) -> str | None:
             try:
-                return json.dumps(yaml.safe_load(value)) if "&" not in value and "*" not in value else None  # no aliases
+                aliased = any(isinstance(e, yaml.AliasEvent) for e in yaml.parse(value, Loader=yaml.SafeLoader))
+                return None if aliased else json.dumps(yaml.safe_load(value))
             except (yaml.YAMLError, TypeError):
                 return None
 

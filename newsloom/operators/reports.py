@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+from ..sources.tables import Tables
+
 NEW_YORK = "America/New_York"
 
 
@@ -114,7 +117,9 @@ def numbered_clusters(stats: DataFrame) -> DataFrame:
     """``stats`` (n_sources, size, mean_similarity, title, ...) with number: from 1, most sources first, then
     largest, most similar, title. The clusters are ranked by sampled ranges of that order, not in one window."""
     order = [F.desc("n_sources"), F.desc("size"), F.desc("mean_similarity"), F.asc("title")]
+    # Written before it is read twice: ranges that are sampled anew would number otherwise.
     ranged = stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = Tables(stats.sparkSession).put(ranged)
     part = ranged.withColumn("_part", F.shiftright("_at", 33))
     counts = part.groupBy("_part").agg((F.max("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -192,12 +197,12 @@ def within_budget(stories: DataFrame, edition: str, order: list[Column], seconds
 def prose_overlap(pairs: DataFrame, words: int = 5) -> DataFrame:
     """id and the share of a story's n-word sequences that its source's text has too (0 for shorter stories).
     pairs: id, story, source_text."""
-    shingles = lambda c: F.array_distinct(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(F.split(c, r"\s+")) - words), lambda i: (i >= 0) & (i <= F.size(F.split(c, r"\s+")) - words)),
-            lambda i: F.array_join(F.slice(F.split(F.lower(c), r"\s+"), i + 1, words), " "),
-        )
-    )
+
+    def shingles(said: Column) -> Column:
+        places = lambda w: F.filter(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: i <= F.size(w) - words + 1)
+        one = lambda w: F.transform(places(w), lambda i: F.array_join(F.slice(w, i, words), " "))
+        return F.array_distinct(bound(F.split(F.lower(said), r"\s+"), lambda w: F.when(F.size(w) >= words, one(w)).otherwise(F.array().cast("array<string>"))))
+
     made = pairs.select("id", shingles(F.col("story")).alias("_a"), shingles(F.col("source_text")).alias("_b"))
     share = F.when(F.size("_a") > 0, F.round(F.size(F.array_intersect("_a", "_b")) / F.size("_a"), 6)).otherwise(0.0)
     return made.select("id", share.alias("overlap"))

@@ -41,14 +41,21 @@ def write_scores(scores: DataFrame, folder: str) -> None:
     scores.write.mode("append").partitionBy("case").parquet(f"{folder}/scores")
 
 
-def insert_or_ignore(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Append the rows whose key the table at ``path`` does not have (the first of each); gives how many."""
+def insert_or_ignore(rows: DataFrame, path: str, key: list[str], order: str | None = None) -> int:
+    """Append the rows whose key the table at ``path`` does not have, the first of each key by ``order`` (without one,
+    the least in its other columns); gives how many. The table's rows of a key that is written already never change, so a write that is repeated adds none."""
     spark = rows.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    fresh = rows.dropDuplicates(key)
+    others = [c for c in rows.columns if c not in key]
+    fresh = rows.groupBy(*key).agg((F.min_by(F.struct(*others), order) if order else F.min(F.struct(*others))).alias("_r")).select(*key, "_r.*").select(*rows.columns)
     if there:
         fresh = fresh.join(spark.read.parquet(path).select(*key).distinct(), key, "left_anti")
     seen = Observation()
     fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return seen.get["n"]
+
+
+def with_byte_size(snapshots: DataFrame, payload: str, into: str = "byte_size") -> DataFrame:
+    """The size in UTF-8 bytes of each snapshot's payload as canonical JSON (text)."""
+    return snapshots.withColumn(into, F.octet_length(payload).cast("long"))

@@ -7,7 +7,6 @@ folder, and reads that table; the stream's own checkpoint lies beside it. Nothin
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -18,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.slots import STATE, Source
+from ..sources.tables import shared_folder
 
 
 def work_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
-    return f"{folder}/{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_article_of_a_page(spark):
     r = got[1]
     assert r.title == "Real headline" and r.provenance_url == "https://E.com/story?utm_source=a"
     assert r.article_published == "2026-08-09T10:00:00Z" and r.article_updated == "2026-08-10T00:00:00Z"
-    assert r.body_text == "Site — Title Real headline\nFirst & second.\nThird line\nsource"
+    assert r.body_text == "Site — Title Real headline First & second.\nThird line\nsource"
     assert got[2].body_text == got[3].body_text == "" and got[4].body_text == "open never closed"
 
 
@@ -247,3 +247,45 @@ def test_dates_of_logs_and_feeds(spark):
     logged = spark.createDataFrame([("u", "1"), ("u", "2"), ("x", "3")], "url string, raw_date string")
     got = {tuple(r) for r in ingest.with_dates(articles, logged, logged.filter("url = 'x'")).collect()}
     assert got == {("u", "2", None), ("w", None, None)}
+
+
+def test_ordinary_urls_pass_the_gate(spark):
+    """Hosts with an underscore or other letters, and paths with a space, brackets, a bar or a stray percent sign."""
+    rows = [(u, None) for u in ("https://foo_bar.example.com/a", "https://e.com/a b", "https://e.com/x[1]", "https://e.com/a|b", "https://e.com/100%", "https://münchen.de/x")]
+    assert set(decide(spark, rows, hosts=("foo_bar.example.com", "e.com", "münchen.de"))) == {("fetch", "unseen")}
+
+
+def test_headings_end_no_line(spark):
+    pages = ["<h1>Head</h1>Lead", "<h2>Head</h2>Lead", "a<br/>b<br>c</br>d", "<p>x</div>y", "<form><p>a</form>b</p>c", "<title>T</title><h1></h1>z", "<h1>a<h1>b</h1>c</h1>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i long, html string")
+    got = [(r.title, r.body_text) for r in html.parse_articles(df).orderBy("i").collect()]
+    assert got == [("Head", "Head Lead"), ("", "Head\nLead"), ("", "a\nb c\nd"), ("", "x\ny"), ("", "b\nc"), ("T", "T z"), ("a b", "a b c")]
+
+
+def test_selectors():
+    from newsloom.functions.tree import page_tree
+
+    import pytest
+
+    root = page_tree("<div id=a class='x y'><p data-k='one two'>1<b>2</b><img src=s></p><section lang=en-GB><p>3</p></section></div><p>4</p>")
+    found = {
+        "p": "12 3 4", "div p": "12 3", "div > p": "12", "div>section > p, b": "2 3", "#a.x": "123", ".y [data-k]": "12", "[data-k~=two]": "12", "[data-k='one two'] b": "2",
+        "[lang|=en]": "3", "[data-k^=one]": "12", "[data-k$=\"two\"]": "12", "[data-k*='e t']": "12", "img[src]": "", "* > b": "2", "section b": None,
+    }
+    for selector, texts in found.items():
+        got = [e.text("") for e in root.all(selector)]
+        assert sorted(got) == sorted((texts or "").split(" ") if texts is not None else []), selector
+        assert (root.first(selector) is None) == (texts is None)
+    for wrong in ("", "a,", "> a", "a[", "a b c d!", "pp*p"):
+        with pytest.raises(ValueError):
+            root.all(wrong)
+
+
+def test_marks_of_dates(spark):
+    page = (
+        "<head><meta property='article:published_time' content='m1'><meta name=date content='m2'><meta itemprop=datePublished content='m3'></head><body><time>none</time>"
+        "<time datetime='t1'>x</time><time datetime='t2'></time><div data-gu-name='dateline'>First published on <b>9 Aug</b> 2026</div>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<p>x")], "i long, html string")
+    got = {r.i: r.marks for r in html.page_dates(df).collect()}
+    assert got == {1: ["t1", "m1", "m2", "m3", "First published on 9 Aug 2026"], 2: [None] * 5, 3: [None] * 5}

@@ -100,3 +100,11 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c")], "run long, position long, url string")
     assert [outputs.insert_or_ignore(rows, f"{tmp_path}/obs", ["run", "position"]) for _ in range(2)] == [2, 0]
     assert outputs.insert_or_ignore(rows.withColumn("run", F.lit(2).cast("long")), f"{tmp_path}/obs", ["run", "position"]) == 2
+
+
+def test_the_first_row_of_a_key_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "c", 1), (2, "d", 9)], "run long, what string, at long")
+    assert [outputs.insert_or_ignore(rows, f"{tmp_path}/first", ["run"], "at") for _ in range(2)] == [2, 0]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/first").collect())) == [(1, "c", 1), (2, "d", 9)]
+    sized = outputs.with_byte_size(spark.createDataFrame([('{"a":"é"}',), (None,)], "p string"), "p").collect()
+    assert [r.byte_size for r in sized] == [10, None]

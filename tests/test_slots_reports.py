@@ -242,8 +242,11 @@ def test_manifest_files(spark, tmp_path):
         (tmp_path / f"{name}.yml").write_text(yaml.safe_dump(m) if i else json.dumps(m))
     (tmp_path / "c.yml").write_text("a: &x 1\nb: *x\n")
     (tmp_path / "d.txt").write_text("no manifest")
+    (tmp_path / "e.yml").write_text("source: {name: AT&T News, note: 'a * b'}\nurl: https://e.com/?a=1&b=2\nkept: &anchor 1\n")
     read = manifests.read_manifests(spark, str(tmp_path))
-    checked = manifests.manifest_errors(read)
+    (other,) = read.filter("path LIKE '%e.yml'").collect()
+    assert json.loads(other.manifest) == {"source": {"name": "AT&T News", "note": "a * b"}, "url": "https://e.com/?a=1&b=2", "kept": 1}
+    checked = manifests.manifest_errors(read.filter("path NOT LIKE '%e.yml'"))
     assert [(r.path[-5:], r.errors) for r in checked.collect()] == [("a.yml", []), ("b.yml", []), ("c.yml", ["invalid JSON"])]
     assert [tuple(r) for r in manifests.duplicate_slugs(checked).collect()] == [("supplier-1", 2)]
     assert manifests.fetch_manifest(checked.filter("path LIKE '%a.yml'"), "supplier-1").count() == 1

@@ -173,3 +173,28 @@ def test_places(spark):
         r[0] for r in df.select(places.country_name(F.lit(None).cast("string"), F.lit("country"), F.col("country"))).collect()
     ][:2] == ["France", "Peru"]
     assert values(spark, ["United States", "Peru"], places.role_by_country(F.col("c"))) == ["united_states", "international"]
+
+
+HOSTS = [
+    "https://foo_bar.example.com/a", "https://e.com/a b", "https://e.com/x[1]", "https://e.com/a|b", "https://e.com/100%", "https://MÜNCHEN.de/x",
+    "https://[2001:DB8::1]:8080/x", "https://[::1]/", "https://2001:db8::1/a", "https://u:p@E.com:443/x", "https://e.com:/x", "http://a@b@c.org/", "//e.com/x", "ftp://e.com",
+    "https://e.com?x=/y", "https://e.com#f@g.h", "https:///x", "no url", "", "mailto:x@y.z", "https://x[1].com/", "https://[bad]/", "https://[::1]x/", "  https://e.com", "ht\ntps://e.c\tom/",
+]
+
+
+def test_hosts_as_the_standard_library(spark):
+    def plain(url):
+        try:
+            return urlsplit(url).hostname
+        except ValueError:
+            return None
+
+    assert values(spark, [*HOSTS, None], urls.url_host(F.col("c"))) == [*map(plain, HOSTS), None]
+
+
+def test_http_urls_of_the_standard(spark):
+    """Only the characters of the standard; hosts may have an underscore or be IPv6 in brackets."""
+    good = ["https://foo_bar.example.com/a", "http://[2001:db8::1]:8080/x", "HTTPS://E.com", "https://u:p@e.com/a%20b?q=[1]".replace("[1]", "(1)"), "https://e.com/#f"]
+    bad = ["https://e.com/a b", "https://e.com/x[1]", "https://e.com/a|b", "https://e.com/100%", "https://münchen.de/", "https:///x", "ftp://e.com", "e.com", None, ""]
+    got = values(spark, [*good, *bad], urls.http_url(F.col("c")), urls.http_host(F.col("c")))
+    assert got == [*zip(good, ["foo_bar.example.com", "[2001:db8::1]", "e.com", "e.com", "e.com"]), *[(None, None)] * len(bad)]
