@@ -12,9 +12,13 @@ places for all languages, which bounds the number of dependent steps however lon
 are parsed. The transitions of all automata stand in one table in which the rows of states overlap: a
 state's transition for a symbol is at the state's base plus the symbol, if the entry there names the state.
 It has hardly more entries than there are transitions (at most three for each training symbol), so that
-a model grows with the training text, and not with the alphabet too.
+a model grows with the training text, and not with the alphabet too. Languages are built one after the other, each
+into arrays of its own, and the characters drawn for each shrink where there are so many languages that together
+they would pass ``most_chars``: the model's size and the driver's memory have a bound at any number of languages.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the
+Defined results: repeated labelled rows (equal id and text) are drawn once; of more languages than ``most_chars``
+has room for (2,000 characters each), those with the most rows are learned; a text that is null or has no letter is
+``und`` with score 0; ties go to the
 language first in alphabetical order; without training text every text is ``und``; extra columns
 pass through ``predict``.
 """
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +41,8 @@ UND = "und"
 UNSEEN, BREAK, DIGIT, LETTERS = 0, 1, 2, 3
 STATE_BITS = 24
 STATES = (1 << STATE_BITS) - 1
+#: Characters of the whole training text, and of the passage of a language that is still worth having.
+MOST_CHARS, LEAST_PASSAGE = 4_000_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -44,7 +50,7 @@ class Model:
     """languages, symbol of each code point, the table of all transitions, where phrases begin, and log lengths."""
 
     languages: list[str]
-    symbols: np.ndarray  # uint16 by code point
+    symbols: np.ndarray  # int32 by code point
     base: np.ndarray  # int32 by state
     entries: np.ndarray  # int64 by base + symbol: the state and the next state, or -1
     starts: np.ndarray  # first state of each language
@@ -55,7 +61,7 @@ class Model:
 def symbol_table(texts: list[str]) -> tuple[np.ndarray, int]:
     """The symbol of every code point, and the number of symbols."""
     letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
-    symbols = np.full(0x110000, BREAK, np.uint16)
+    symbols = np.full(0x110000, BREAK, np.int32)
     symbols[[c for c in range(0x110000) if chr(c).isalpha()]] = UNSEEN
     for s, c in enumerate(letters, LETTERS):
         for form in {c, c.upper(), c.title()}:
@@ -104,18 +110,15 @@ def suffix_automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def overlapped(automata: list[list[dict[int, int]]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base, entries) of the table of all states, counted through. States with several transitions are
-    placed first, the largest first, each where its entries are free; those with one fill the gaps."""
-    states = [m for automaton in automata for m in automaton]
-    of = np.repeat(np.arange(len(automata)), [len(a) for a in automata])
-    offset = (np.cumsum([0, *map(len, automata)])[:-1] if automata else np.zeros(0, np.int64))[of].tolist()
+def overlapped(states: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, entries) of the table of one automaton: an entry holds a state and the next one, or is -1. States with several
+    transitions are placed first, the largest first, each where its entries are free; those with one fill the gaps."""
     sizes = np.fromiter(map(len, states), np.int64, len(states))
     several = np.flatnonzero(sizes > 1)
     several = several[np.argsort(-sizes[several], kind="stable")]
     room = 2 * int(sizes.sum()) + 4 * alphabet
     taken = bytearray(room)
-    base, entries = np.zeros(len(states) + 1, np.int32), np.full(room, -1, np.int64)  # the last state has no transitions
+    base, entries = np.zeros(len(states), np.int64), np.full(room, -1, np.int64)
     begin = alphabet
     for state in several.tolist():
         symbols = sorted(states[state])
@@ -130,11 +133,11 @@ def overlapped(automata: list[list[dict[int, int]]], alphabet: int) -> tuple[np.
         base[state] = at - low
         for s, to in states[state].items():
             taken[at + s - low] = 1
-            entries[at + s - low] = (state << STATE_BITS) | (to + offset[state])
+            entries[at + s - low] = (state << STATE_BITS) | to
     one = np.flatnonzero(sizes == 1)
     free = np.flatnonzero(np.frombuffer(taken, np.uint8)[alphabet:] == 0)[: len(one)] + alphabet
     symbol = np.fromiter((next(iter(states[i])) for i in one), np.int64, len(one))
-    to = np.fromiter((next(iter(states[i].values())) + offset[i] for i in one), np.int64, len(one))
+    to = np.fromiter((next(iter(states[i].values())) for i in one), np.int64, len(one))
     base[one] = free - symbol
     entries[free] = (one << STATE_BITS) | to
     used = int(np.flatnonzero(entries >= 0).max(initial=0)) + 1
@@ -142,50 +145,72 @@ def overlapped(automata: list[list[dict[int, int]]], alphabet: int) -> tuple[np.
 
 
 def build(samples: dict[str, list[str]]) -> Model:
+    """The model of all languages. Only one automaton stands in memory as dictionaries; its table is moved behind those
+    of the languages before it."""
     languages = sorted(samples)
     symbols, alphabet = symbol_table([t for texts in samples.values() for t in texts])
-    automata, weights = [], []
+    bases, tables, starts, first, weights, states, width = [], [], [], [], [], 0, 0
     for language in languages:
-        parts = [np.append(encode(t, symbols), np.uint16(BREAK)) for t in samples[language]]
-        sequence = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-        automata.append(suffix_automaton(sequence))
+        parts = [np.append(encode(t, symbols), np.int32(BREAK)) for t in samples[language]]
+        sequence = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        automaton = suffix_automaton(sequence)
+        base, entries = overlapped(automaton, alphabet)
+        # Both states of an entry count on from the states before.
+        bases.append((base + width).astype(np.int32))
+        tables.append(np.where(entries >= 0, entries + (states << STATE_BITS) + states, -1))
+        row = np.full(alphabet, -1, np.int64)
+        row[list(automaton[0])] = [to + states for to in automaton[0].values()]
+        first.append(row)
+        starts.append(states)
         weights.append(np.log2(max(2, len(sequence))))
-    starts = np.cumsum([0, *map(len, automata)])
-    if starts[-1] >= STATES or alphabet >= 1 << 16:
-        raise ValueError("the training text is too long or has too many letters for the table of transitions")
-    first = np.full((len(languages), alphabet), starts[-1], np.int64)  # the state after the last has no transitions
-    for row, automaton, start in zip(first, automata, starts[:-1], strict=True):
-        row[list(automaton[0])] = [to + start for to in automaton[0].values()]
-    return Model(languages, symbols, *overlapped(automata, alphabet), starts[:-1], first, np.array(weights))
-
-
-def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: int, seed: int) -> dict[str, list[str]]:
-    """About docs_per_language texts of each language, chosen by digest; of a longer text a passage of
-    chars_per_doc characters whose place the digest chooses."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+        states, width = states + len(automaton), width + len(entries)
+    if states >= STATES:
+        raise ValueError("texts given to build() are too long for the table of transitions; train() bounds them")
+    nothing = np.full(alphabet, -1, np.int64)  # the state after the last has no transitions
+    begun = np.array(first, np.int64).reshape(len(languages), alphabet)
+    return Model(
+        languages,
+        symbols,
+        np.concatenate([*bases, np.array([width], np.int32)]),
+        np.concatenate([*tables, nothing]),
+        np.array(starts, np.int64),
+        np.where(begun < 0, states, begun).astype(np.int32),
+        np.array(weights),
+    )
+
+
+def training_sample(docs: DataFrame, *, docs_per_language: int, chars_per_doc: int, seed: int, most_chars: int = MOST_CHARS) -> dict[str, list[str]]:
+    """Up to docs_per_language texts of each language, the first by digest; of a longer text a passage of
+    chars_per_doc characters whose place the digest chooses. All together have ``most_chars`` characters at most: with
+    many languages each has fewer passages, then shorter ones."""
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text")
+    most_languages = max(1, most_chars // LEAST_PASSAGE)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])
+    each = min(docs_per_language * chars_per_doc, most_chars // len(counts))
+    texts = max(1, min(docs_per_language, each // chars_per_doc))
+    chars = max(1, min(chars_per_doc, each // texts))
+    languages = known.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in counts], "lang string, _n long")
     digest = F.xxhash64(F.lit(seed), "doc_id", "text")
-    draw = F.pmod(digest, F.lit(1 << 30)).cast("double") / (1 << 30)
-    spare = F.greatest(F.char_length("text") - chars_per_doc, F.lit(0))
+    spare = F.greatest(F.char_length("text") - chars, F.lit(0))
     start = F.pmod(F.shiftright(digest, 32), spare + 1).cast("int") + 1
-    drawn = known.filter(draw < share[F.col("lang")]).select(
-        "lang",
-        F.xxhash64(F.lit(seed), "doc_id").alias("h"),
-        F.substring("text", start, F.lit(chars_per_doc)).alias("text"),
-    )
+    # A digest's share first, so that few rows are sorted; wide enough that the wanted number is there nearly always.
+    share = F.least(F.lit(1.0), (4 * texts + 40) / F.col("_n"))
+    drawn = known.join(F.broadcast(languages), "lang").filter(F.pmod(digest, F.lit(1 << 30)).cast("double") / (1 << 30) < share)
+    cut = drawn.select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", start, F.lit(chars)).alias("text"), digest.alias("_d"))
+    once = cut.groupBy("lang", "_d").agg(F.min("h").alias("h"), F.min("text").alias("text"))  # repeated rows once
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_d"))
     sample: dict[str, list[str]] = {}
-    for row in sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+    for row in sorted(once.withColumn("_place", place).filter(F.col("_place") <= texts).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         sample.setdefault(row["lang"], []).append(row["text"])
     return sample
 
 
-def train(docs: DataFrame, *, docs_per_language: int = 100, chars_per_doc: int = 800, seed: int = 7) -> Model:
+def train(docs: DataFrame, *, docs_per_language: int = 100, chars_per_doc: int = 800, seed: int = 7, most_chars: int = MOST_CHARS) -> Model:
     """Fit on a bounded sample of labelled rows (lang, text, doc_id): docs_per_language * chars_per_doc
-    characters of each language are expected at most, and all that are drawn are used."""
-    return build(training_sample(docs, docs_per_language=docs_per_language, chars_per_doc=chars_per_doc, seed=seed))
+    characters of each language and ``most_chars`` of all at most, and all that are drawn are used."""
+    return build(training_sample(docs, docs_per_language=docs_per_language, chars_per_doc=chars_per_doc, seed=seed, most_chars=most_chars))
 
 
 class Parser:

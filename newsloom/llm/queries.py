@@ -103,7 +103,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Targets of one to four parts, by a hash of the source's name."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=1 + F.crc32("source") % 4)
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Rows are shuffled by a seeded digest inside each source, rank r of n becomes the
 (2r + 1) / 2n, all rows are sorted by that fraction and the sequence is cut into equal counts, so
 every shard holds every source in the proportion of the whole table.
 
-Defined results: a null source is a source of its own; a null text has size 1 and the digest of
+Defined results: a null doc_id is one of its own, and rows are shuffled by id and text; a null source is a source of its own; a null text has size 1 and the digest of
 the empty text; identical repeated rows are interchangeable and each gets a slot; extra columns are
 not read; an empty table gives no rows. Groups of equal texts are not held together: a shard is a sample of
 the mixture, and ``text_group`` (a digest) tells which rows have equal texts.
@@ -12,7 +12,7 @@ the mixture, and ``text_group`` (a digest) tells which rows have equal texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import key_of, materialise, rank_in_group, rank_overall
@@ -31,7 +31,8 @@ def ranked(docs: DataFrame, payload: list[Column], *, shards: int, seed: str, bu
         (F.octet_length(text) + 1).cast("long").alias("_size"),
         F.crc32(text).alias("_crc"),
         F.md5(text).alias("_group"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"),
+        # By id and text: rows without an id, or of one id, do not crowd one bucket.
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("_u"),
     ).withColumn("_bucket", F.floor(F.conv(F.substring("_u", 1, 8), 16, 10).cast("double") / 2**32 * buckets).cast("int"))
     order = [F.col("_u"), F.col("_id"), F.col("_crc"), F.col("_size")]
     inside = rank_in_group(rows, ["_source"], "_bucket", order, "_rank", "_of")

@@ -333,3 +333,28 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_repeated_labelled_rows_are_drawn_once(spark):
+    """A third of all rows equal, one id for many texts: no more texts than asked for, and all of them different."""
+    rows = [(1, "the same words again and again", "en")] * 5000 + [(i, f"some words of text {i}", "en") for i in range(2000)] + [(7, f"autre texte {i}", "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language_id.training_sample(docs, docs_per_language=50, chars_per_doc=100, seed=7)
+    assert {k: len(v) for k, v in drawn.items()} == {"en": 50, "fr": 50} and all(len(set(v)) == 50 for v in drawn.values())
+
+
+def test_any_number_of_languages(spark):
+    """500 languages of labelled text: the whole training text keeps its bound, and they are told apart."""
+    def said(language, seed):
+        letters = random.Random(language)
+        words = ["".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        draw = random.Random(f"{language}-{seed}")
+        return " ".join(draw.choice(words) for _ in range(60))
+
+    rows = [(10 * k + i, said(k, i), f"l{k:03d}") for k in range(500) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs.filter("doc_id % 10 < 2"), docs_per_language=100, chars_per_doc=800, seed=7, most_chars=100_000)
+    assert sum(len(t) for v in sample.values() for t in v) <= 100_000 and len(sample) == 50
+    model = language_id.train(docs.filter("doc_id % 10 < 2"), most_chars=1_000_000)
+    assert len(model.languages) == 500
+    assert language_id.predict(docs.filter("doc_id % 10 = 2"), model).filter("lang <> lang_pred").count() <= 5
