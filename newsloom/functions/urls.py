@@ -113,7 +113,7 @@ def same_site(candidate: Column, homepage: Column) -> Column:
     return (host == home) | F.endswith(host, F.concat(F.lit("."), home))
 
 
-def likely_article(url: Column, homepage: Column) -> Column:
+def likely_article(url: Column, homepage: Column, least_path: int = LEAST_PATH) -> Column:
     """Whether a URL of the homepage's site looks like an article: a long path that is no file and no service page."""
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
     media = [F.endswith(path, F.lit(e)) for e in MEDIA_ENDINGS]
@@ -121,7 +121,7 @@ def likely_article(url: Column, homepage: Column) -> Column:
     wrong = media[0]
     for test in [*media[1:], *service]:
         wrong = wrong | test
-    return F.startswith(url, F.lit("http")) & same_site(url, homepage) & (F.char_length(path) >= LEAST_PATH) & ~wrong
+    return F.startswith(url, F.lit("http")) & same_site(url, homepage) & (F.char_length(path) >= least_path) & ~wrong
 
 
 def date_in_path(url: Column) -> Column:

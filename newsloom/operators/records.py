@@ -39,6 +39,39 @@ def article_payload(
     )
 
 
+def whole_payload(record: dict[str, Column]) -> Column:
+    """The stored document of an article record with all its fields as canonical JSON. Of ``record`` source_slug,
+    canonical_url, title, authors (array), language, section, description, dates (struct with its fields in order),
+    body_text, word_count, requested_url, retrieved_at, collector and recipe_path; what is missing is null, no
+    authors are an empty list, and an empty language is English."""
+    none = F.lit(None).cast("string")
+    of = lambda name: record.get(name, none)
+    language = F.coalesce(F.nullif(F.trim(of("language")), F.lit("")), F.lit("en"))
+    article = {
+        "authors": F.coalesce(record.get("authors", F.lit(None).cast("array<string>")), F.array().cast("array<string>")),
+        "canonical_url": of("canonical_url"),
+        "dates": of("dates"),
+        "description": of("description"),
+        "language": language,
+        "section": of("section"),
+        "title": of("title"),
+    }
+    acquisition = {
+        "collector": of("collector"),
+        "final_url": of("canonical_url"),
+        "http_receipt_inferred": F.lit(True),
+        "http_status": F.lit(200),
+        "recipe_path": of("recipe_path"),
+        "requested_url": of("requested_url"),
+        "retrieved_at": of("retrieved_at"),
+    }
+    content = {"body_text": of("body_text"), "word_count": of("word_count")}
+    nested = lambda fields: F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return canonical_json(
+        {"schema_version": F.lit("calibre-article/v1"), "source_slug": of("source_slug"), "article": nested(article), "content": nested(content), "acquisition": nested(acquisition)}
+    )
+
+
 def kept_headers(headers: Column, names: list[str] = KEPT_HEADERS) -> Column:
     """The entries of a map whose lower-case name is among ``names``."""
     return F.map_filter(headers, lambda k, _: F.lower(k).isin(names))
