@@ -21,6 +21,23 @@ def english_label(value: Column) -> Column:
     return F.try_element_at(value, F.lit("eng"))
 
 
+#: Labels within labels that ``nested_value`` goes down.
+LABELS = 4
+
+
+def nested_value(value: Column) -> Column:
+    """The text of a vendor's value (JSON text): of an object its English value, else that of its label, and so on down; a
+    plain value is itself. Nothing else of an object counts."""
+    parsed = F.try_parse_json(value)
+    found = []
+    for depth in range(LABELS + 1):
+        at = "$" + ".label" * depth
+        kind = F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))
+        found.append(F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get(parsed, at, "string")))
+        found.append(F.try_variant_get(parsed, f"{at}.eng", "string"))
+    return F.coalesce(*found)
+
+
 def country_name(country_label: Column, location_type: Column, location_label: Column) -> Column:
     """The country of a location: its country's label, or its own label if it is a country itself."""
     return F.coalesce(country_label, F.when(location_type == "country", location_label))

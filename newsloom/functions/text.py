@@ -62,6 +62,14 @@ def authors(value: Column) -> Column:
     return F.filter(F.split(F.coalesce(value, F.lit("")), r"\s*(?:,| and )\s*"), lambda n: F.trim(n) != "")
 
 
+def listed_authors(value: Column) -> Column:
+    """Names from a record's authors (JSON text): a list as it is, a text like ``authors``, none for anything else."""
+    parsed = F.try_parse_json(value)
+    kind = F.coalesce(F.schema_of_variant(parsed), F.lit("VOID"))
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<string>"))
+    return F.coalesce(listed, authors(F.when(kind == "STRING", F.try_variant_get(parsed, "$", "string"))))
+
+
 #: Phrases of pages behind an access wall: fixed values.
 WALLS = ["subscribe to continue", "sign in to continue", "already a subscriber"]
 

@@ -28,6 +28,13 @@ def latest_version(versions: DataFrame, key: str, order: str) -> DataFrame:
     return versions.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r")).select(key, "_r.*")
 
 
+def with_latest(articles: DataFrame, versions: DataFrame, key: str, order: str) -> DataFrame:
+    """Articles with the columns of their latest version in a struct ``latest``, null where there is none."""
+    others = [c for c in versions.columns if c != key]
+    last = versions.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("latest"))
+    return articles.join(last, key, "left")
+
+
 def in_window(published: Column, first_seen: Column, cutoff: Column) -> Column:
     """Published since the cutoff, or undated and first seen since then; no upper bound."""
     return (published >= cutoff) | (published.isNull() & (first_seen >= cutoff))

@@ -16,9 +16,12 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
     of ``cap`` rows, not by a running count over one partition. Host comes before duplicate, and a capped or
     known URL counts as seen. Rows without a valid URL are never grouped.
     """
-    rows = candidates.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_host", url_host(F.col("canonical_url")))
+    every = candidates.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_host", url_host(F.col("canonical_url")))
+    # Rows without a URL are decided without any join: their null would be one hot key.
+    invalid = every.filter("canonical_url IS NULL").withColumns({"reason": F.lit("invalid_url")})
+    rows = every.filter("canonical_url IS NOT NULL")
     # The first row of each URL, found again by (URL, ordinal): no task sorts all rows of one URL.
-    first = rows.filter("canonical_url IS NOT NULL").groupBy("canonical_url").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
+    first = rows.groupBy("canonical_url").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
     state = known.select("canonical_url", F.col("source_updated_at").alias("_known_at"), F.lit(True).alias("_known"))
     allowed = hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_allowed")).distinct()
     marker = F.col("source_updated_at")
@@ -29,13 +32,14 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
         .join(allowed, "_host", "left")
         .withColumn(
             "reason",
-            F.when(F.col("canonical_url").isNull(), "invalid_url")
-            .when(F.col("_allowed").isNull(), "disallowed_host")
+            F.when(F.col("_allowed").isNull(), "disallowed_host")
             .when(F.col("_first").isNull(), "duplicate_in_run")
             .when(F.col("_known").isNull(), "unseen")
             .when(newer, "trusted_newer_update")
             .otherwise("known_unchanged"),
         )
+        .select(*every.columns, "reason")
+        .unionByName(invalid.select(*every.columns, "reason"))
     )
     fetched = F.col("reason").isin("unseen", "trusted_newer_update")
     last = judged.filter(fetched).select("ordinal").orderBy("ordinal").limit(cap).agg(
@@ -59,6 +63,30 @@ def first_candidates(candidates: DataFrame, group: str, key: str, order: str, mo
     return once.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
+def filter_feeds(feeds: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Feeds (feed, articles: array of structs with url) with the articles whose url ``decisions`` (url, decision) lets
+    be fetched, in their order; a feed of which nothing is left stays, with an empty list."""
+    each = feeds.select("feed", F.posexplode("articles").alias("_at", "_a")).withColumn("_url", F.col("_a.url"))
+    fetched = decisions.filter("decision = 'fetch' AND url IS NOT NULL").select(F.col("url").alias("_url")).distinct()
+    kept = each.join(fetched, "_url", "left_semi").groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("_at", "_a"))).alias("_kept"))
+    kind = feeds.schema["articles"].dataType
+    some = F.transform("_kept", lambda x: x["_a"]).cast(kind)
+    return feeds.select("feed").join(kept, "feed", "left").select("feed", F.coalesce(some, F.array().cast(kind)).alias("articles"))
+
+
+def of_sources(rows: DataFrame, names: list[str] | None, column: str = "source") -> DataFrame:
+    """The rows of the named sources, all where none is named."""
+    return rows.filter(F.col(column).isin(names)) if names else rows
+
+
+def collector_identity(name: str, version: str, home: str, contact: str | None, *, required: bool = False) -> str:
+    """How a collector names itself to publishers: name, version, home page and an address to write to."""
+    contact = (contact or "").strip()
+    if required and not contact:
+        raise ValueError("a contact is required")
+    return f"{name}/{version} ({'; '.join([f'+{home}', *([f'mailto:{contact}'] if contact else [])])})"
+
+
 def counts(decisions: DataFrame) -> DataFrame:
     return decisions.agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if(

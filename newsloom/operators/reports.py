@@ -185,6 +185,33 @@ def feed_fingerprints(entries: DataFrame) -> DataFrame:
     )
 
 
+#: Body lengths in words whose shares a qualification tells, and classes of errors that it counts: fixed values.
+QUALIFYING_WORDS = (150, 300)
+ERROR_CLASSES = ("403", "429", "timeout", "paywall", "login", "challenge", "malformed_body")
+
+
+def qualification(rows: DataFrame) -> DataFrame:
+    """What the qualification of each source tells, from rows (source, url, words, published_at, updated_at,
+    authors, error; words are null where a fetch failed)."""
+    n = F.count("words")
+    percent = lambda x: F.round(F.try_divide(100 * x, n), 2)
+    least = [(w, F.count_if(F.col("words") >= w)) for w in QUALIFYING_WORDS]
+    got = F.col("words").isNotNull()
+    named = {"published": F.col("published_at").isNotNull(), "updated": F.col("updated_at").isNotNull(), "author": F.coalesce(F.size("authors") > 0, F.lit(False))}
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("fetched"),
+        n.alias("normalized"),
+        F.count_distinct(F.when(got, F.col("url"))).alias("unique_urls"),
+        F.min("words").alias("min_words"),
+        F.median("words").alias("median_words"),
+        F.max("words").alias("max_words"),
+        *[c.alias(f"at_least_{w}") for w, c in least],
+        *[percent(c).alias(f"percent_{w}") for w, c in least],
+        *[percent(F.count_if(got & test)).alias(f"{name}_coverage") for name, test in named.items()],
+        *[F.count_if(F.col("error") == e).alias(f"error_{e}") for e in ERROR_CLASSES],
+    )
+
+
 def within_budget(stories: DataFrame, edition: str, order: list[Column], seconds: int, most: int) -> DataFrame:
     """The first stories of every edition that fit its reading time and number, with the time read so far."""
     along = Window.partitionBy(edition).orderBy(*order)

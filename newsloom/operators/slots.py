@@ -27,18 +27,21 @@ class Source:
     """The slots of one source; events come in order of time.
 
     A claim is refused while its slot has succeeded or any slot of the source has a live lease; otherwise
-    the slot is claimed anew. A finish counts only for a claimed slot.
+    the slot is claimed anew. A finish counts only for a claimed slot. At most one lease is live at a time, so a
+    claim looks at the last one only, however many slots there are.
     """
 
     def __init__(self, slots: dict[datetime, dict] | None = None):
         self.slots = slots or {}
+        claimed = [s for s in self.slots.values() if s["status"] == "claimed"]
+        self.last = max(claimed, key=lambda s: s["lease_expires_at"], default=None)
 
     def claim(self, slot_at: datetime, now: datetime, lease: timedelta) -> bool:
         slot = self.slots.get(slot_at)
-        busy = any(s["status"] == "claimed" and s["lease_expires_at"] > now for s in self.slots.values())
+        busy = self.last is not None and self.last["status"] == "claimed" and self.last["lease_expires_at"] > now
         if busy or (slot and slot["status"] == "succeeded"):
             return False
-        self.slots[slot_at] = {
+        self.last = self.slots[slot_at] = {
             "status": "claimed", "attempts": (
                 slot["attempts"] if slot else 0
             ) + 1, "claimed_at": now, "lease_expires_at": now + lease, "finished_at": None, "run_id": None,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import canonical, dates, html, links
-from ..operators import frozen, records
+from ..operators import corpus, frozen, gate, records, reports
 from ..sources.corpus_table import CorpusTable
 from ..sources.tables import Tables, shared_folder
 from ..sources.versions import Snapshots
@@ -157,3 +157,48 @@ def frozen_difference(spark, sf_dir):
     before, after = (tables.put(frozen.digested(d, F.col("key"), F.col("text"))) for d in (docs, changed))
     trees = [tables.put(frozen.digest_tree(d, 3)) for d in (before, after)]
     return frozen.differences(before, after, frozen.differing_leaves(*trees, 3), 3)
+
+
+@query(r"""WITH r AS (SELECT doc_id, source, 'u' || (doc_id // 3) AS url, CASE WHEN doc_id % 11 <> 0 THEN len(regexp_extract_all(text, '\S+'))::BIGINT END AS words, doc_id, lang FROM documents)
+  SELECT source, count(*) AS fetched, count(words) AS normalized, count(DISTINCT url) FILTER (words IS NOT NULL) AS unique_urls, min(words) AS min_words, median(words)::DOUBLE AS median_words, max(words) AS max_words,
+    count(*) FILTER (words >= 150) AS at_least_150, count(*) FILTER (words >= 300) AS at_least_300, round(100.0 * count(*) FILTER (words >= 150) / count(words), 2)::DOUBLE AS percent_150,
+    round(100.0 * count(*) FILTER (words >= 300) / count(words), 2)::DOUBLE AS percent_300, round(100.0 * count(*) FILTER (words IS NOT NULL AND doc_id % 2 = 0) / count(words), 2)::DOUBLE AS published_coverage,
+    round(100.0 * count(*) FILTER (words IS NOT NULL AND doc_id % 5 = 0) / count(words), 2)::DOUBLE AS updated_coverage, round(100.0 * count(*) FILTER (words IS NOT NULL AND lang = 'en') / count(words), 2)::DOUBLE AS author_coverage,
+    count(*) FILTER (doc_id % 77 = 0) AS "error_403", count(*) FILTER (doc_id % 11 = 0 AND doc_id % 77 <> 0 AND doc_id % 22 = 0) AS "error_429", count(*) FILTER (doc_id % 11 = 0 AND doc_id % 77 <> 0 AND doc_id % 22 <> 0) AS error_timeout,
+    0::BIGINT AS error_paywall, 0::BIGINT AS error_login, 0::BIGINT AS error_challenge, 0::BIGINT AS error_malformed_body FROM r GROUP BY source""")
+def source_qualification(spark, sf_dir):
+    """The whole qualification of every source; fetches fail by their ids."""
+    from ..functions.text import word_count
+
+    k = F.col("doc_id")
+    failed = k % 11 == 0
+    rows = table(spark, sf_dir, "documents").select(
+        "source",
+        F.concat(F.lit("u"), F.expr("doc_id div 3")).alias("url"),
+        F.when(~failed, word_count(F.col("text")).cast("long")).alias("words"),
+        F.when(k % 2 == 0, "2026").alias("published_at"),
+        F.when(k % 5 == 0, "2026").alias("updated_at"),
+        F.when(F.col("lang") == "en", F.array(F.lit("A"))).alias("authors"),
+        F.when(k % 77 == 0, "403").when(failed & (k % 22 == 0), "429").when(failed, "timeout").alias("error"),
+    )
+    return reports.qualification(rows)
+
+
+@query("""WITH f AS (SELECT source AS feed, doc_id, doc_id % 3 = 0 AS kept FROM documents)
+  SELECT feed, count(*) FILTER (kept) AS n, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (kept), '') AS articles FROM f GROUP BY feed""")
+def filtered_feeds(spark, sf_dir):
+    """Feeds without the articles that are not fetched."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("u"), "doc_id").alias("url"))
+    feeds = docs.groupBy(F.col("source").alias("feed")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "url"))).alias("articles"))
+    decisions = docs.select("url", F.when(F.col("doc_id") % 3 == 0, "fetch").otherwise("skip").alias("decision"))
+    kept = gate.filter_feeds(feeds, decisions)
+    said = F.array_join(F.transform("articles", lambda a: a["doc_id"].cast("string")), ",")
+    return kept.select("feed", F.size("articles").cast("long").alias("n"), said.alias("articles"))
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders) SELECT c_custkey, max(o_orderkey) AS version, max_by(o_totalprice, o_orderkey) AS price FROM customer LEFT JOIN v ON c_custkey = o_custkey GROUP BY c_custkey""")
+def article_versions(spark, sf_dir):
+    """Every article (customers stand for them) with its latest version (their orders)."""
+    versions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    made = corpus.with_latest(table(spark, sf_dir, "customer").select("c_custkey"), versions, "c_custkey", "o_orderkey")
+    return made.select("c_custkey", F.col("latest.o_orderkey").alias("version"), F.col("latest.o_totalprice").alias("price"))

@@ -153,3 +153,64 @@ def test_candidates_of_pages(spark):
         (1, 1, f"https://www.e.com{path}", "One", None), (1, 3, f"https://www.e.com{path}2", "Two", None),
         *[(i, None, None, None, "no candidate links") for i in (2, 3, 4)],
     ]
+
+
+def test_small_rules(spark):
+    from newsloom.functions import places
+    from newsloom.functions import text as tx
+    from newsloom.operators import corpus, gate
+
+    values = {
+        '{"eng":"A","label":{"eng":"B"}}': "A", '{"label":{"eng":"B"}}': "B", '{"label":{"label":{"eng":"C"}}}': "C", '{"label":"D"}': "D", '"E"': "E", '{"deu":"F"}': None, "null": None, "{": None,
+        '{"eng":null,"label":"G"}': "G", '["H"]': None,
+    }
+    df = spark.createDataFrame([(k,) for k in values] + [(None,)], "v string")
+    assert {r.v: r.n for r in df.select("v", places.nested_value(F.col("v")).alias("n")).collect()} == {**values, None: None}
+    names = {'["A, B","C"]': ["A, B", "C"], '"A, B and C"': ["A", "B", "C"], "[]": [], "7": [], "null": [], '""': []}
+    df = spark.createDataFrame([(k,) for k in names] + [(None,)], "v string")
+    assert {r.v: r.n for r in df.select("v", tx.listed_authors(F.col("v")).alias("n")).collect()} == {**names, None: []}
+    feeds = spark.createDataFrame([("f", [("u1", "a"), ("u2", "b"), ("u1", "c"), (None, "d")]), ("g", [("u3", "x")]), ("h", [])], "feed string, articles array<struct<url: string, title: string>>")
+    decisions = spark.createDataFrame([("u1", "fetch"), ("u2", "skip"), ("u3", "skip"), (None, "fetch")], "url string, decision string")
+    got = {r.feed: [tuple(a) for a in r.articles] for r in gate.filter_feeds(feeds, decisions).collect()}
+    assert got == {"f": [("u1", "a"), ("u1", "c")], "g": [], "h": []}
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "source string")
+    assert gate.of_sources(rows, ["b"]).count() == 1 and gate.of_sources(rows, None).count() == gate.of_sources(rows, []).count() == 3
+    assert gate.collector_identity("Loom", "1.0", "https://e.com", " x@e.com ") == "Loom/1.0 (+https://e.com; mailto:x@e.com)"
+    with pytest.raises(ValueError):
+        gate.collector_identity("Loom", "1.0", "https://e.com", " ", required=True)
+    latest = corpus.with_latest(spark.range(2).toDF("k"), spark.createDataFrame([(0, 1, "x"), (0, 2, "y")], "k long, n int, v string"), "k", "n").collect()
+    assert {r.k: r.latest and r.latest.v for r in latest} == {0: "y", 1: None}
+
+
+def test_claims_look_at_the_last_lease_only():
+    """The same slots as when every slot is looked at, for random events; many slots take no longer."""
+    import time
+    from datetime import datetime, timedelta
+
+    from newsloom.operators.slots import Source
+
+    class Plain(Source):
+        def claim(self, slot_at, now, lease):
+            busy = any(s["status"] == "claimed" and s["lease_expires_at"] > now for s in self.slots.values())
+            if busy or self.slots.get(slot_at, {}).get("status") == "succeeded":
+                return False
+            self.last = None
+            return super().claim(slot_at, now, lease)
+
+    draw, start = random.Random(4), datetime(2026, 8, 9)
+    a, b = Source(), Plain()
+    for i in range(3000):
+        now, slot = start + timedelta(minutes=5 * i), start + timedelta(hours=draw.randint(0, 60))
+        if draw.random() < 0.6:
+            lease = timedelta(minutes=draw.choice([1, 12, 40]))
+            assert a.claim(slot, now, lease) == b.claim(slot, now, lease)
+        else:
+            status = draw.choice(["succeeded", "failed"])
+            assert a.finish(slot, now, status, 1) == b.finish(slot, now, status, 1)
+        if i % 500 == 0:
+            a = Source(a.slots)  # as read back from a state
+    assert a.slots == b.slots
+    began, many = time.time(), Source()
+    for i in range(20_000):
+        many.claim(start + timedelta(hours=i), start + timedelta(hours=i), timedelta(minutes=30))
+    assert len(many.slots) == 20_000 and time.time() - began < 2
