@@ -202,3 +202,14 @@ def article_versions(spark, sf_dir):
     versions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
     made = corpus.with_latest(table(spark, sf_dir, "customer").select("c_custkey"), versions, "c_custkey", "o_orderkey")
     return made.select("c_custkey", F.col("latest.o_orderkey").alias("version"), F.col("latest.o_totalprice").alias("price"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_split_to_array(lower(text), '\s+') AS w FROM conversations),
+    s AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM w)
+  SELECT a.conv_id || ':' || a.turn AS id, CASE WHEN len(a.s) > 0 THEN round(len(list_intersect(a.s, b.s)) / len(a.s), 6) ELSE 0.0 END AS overlap FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
+def prose_overlap_of_turns(spark, sf_dir):
+    """How much of every turn's prose the turn before it has."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source_text"))
+    pairs = said.join(before, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("story"), "source_text")
+    return reports.prose_overlap(pairs)
