@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, url_host
+from ..sources.tables import Tables
 
 
 def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: int, trust_markers: bool = False) -> DataFrame:
@@ -55,6 +56,40 @@ def decide(candidates: DataFrame, known: DataFrame, *, hosts: DataFrame, cap: in
     )
 
 
+#: Bits of the filter of a run's URLs (2 ** 28: 32 MB at most, in rows of 32,768 bits), and places that a URL has in it.
+FILTER_BITS, FILTER_HASHES = 1 << 28, 2
+
+
+def places(url: Column, seed: int, bits: int) -> tuple[Column, Column]:
+    """The row of the filter and the bit in it of a URL under one hash."""
+    at = F.pmod(F.xxhash64(url, F.lit(seed)), F.lit(bits))
+    return F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+
+
+def url_filter(urls: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of canonical_url as bitmaps: row (number) and bits; no more than ``bits`` / 32,768 rows."""
+    each = F.explode(F.array(*[F.struct(*[c.alias(n) for c, n in zip(places(F.col("canonical_url"), s, bits), ("row", "bit"), strict=True)]) for s in range(FILTER_HASHES)]))
+    return urls.filter("canonical_url IS NOT NULL").select(each.alias("p")).groupBy("p.row").agg(F.bitmap_construct_agg(F.col("p.bit")).alias("bits"))
+
+
+def may_be_in(rows: DataFrame, made: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose canonical_url the filter does not exclude: all that are in it, and a few others."""
+    for seed in range(FILTER_HASHES):
+        row, bit = places(F.col("canonical_url"), seed, bits)
+        one = F.broadcast(made.select(F.col("row").alias("_row"), F.col("bits").alias("_bits")))  # its size has a bound
+        met = rows.withColumns({"_row": row, "_bit": bit}).join(one, "_row")
+        byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+        rows = met.filter(F.expr(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1")).select(*rows.columns)
+    return rows
+
+
+def known_of_run(known: DataFrame, candidates: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``known`` that a run's ``candidates`` (url) may meet, for ``decide``: the state of billions of URLs is
+    read once, by a filter of the run's, and only what passes is shuffled."""
+    urls = candidates.select(canonical_url(F.col("url")).alias("canonical_url"))
+    return may_be_in(known, Tables(known.sparkSession).put(url_filter(urls, bits)), bits)
+
+
 def first_candidates(candidates: DataFrame, group: str, key: str, order: str, most: int) -> DataFrame:
     """The first ``most`` candidates of every group by ``order``, each key once, at its first place."""
     others = [c for c in candidates.columns if c not in (group, key)]

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import canonical, dates, html, links
+from ..functions import canonical, dates, html, links, urls
 from ..operators import corpus, frozen, gate, records, reports
 from ..sources.corpus_table import CorpusTable
 from ..sources.tables import Tables, shared_folder
 from ..sources.versions import Snapshots
-from .catalogue import ORACLES, query, table
+from .catalogue import CAP, ORACLES, query, table
 from .corpus_queries import _runs
 
 
@@ -213,3 +213,14 @@ def prose_overlap_of_turns(spark, sf_dir):
     before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source_text"))
     pairs = said.join(before, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("story"), "source_text")
     return reports.prose_overlap(pairs)
+
+
+@query(ORACLES["url_gate"])
+def url_gate_filtered(spark, sf_dir):
+    """The decisions of url_gate, with the known state read through a filter of the run's URLs."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), "url", F.lit(None).cast("string").alias("source_updated_at"))
+    url = urls.canonical_url(F.col("url"))
+    hosts = pages.filter("ordinal % 10 <> 9").select(urls.url_host(url).alias("host")).distinct()
+    known = pages.filter("ordinal % 5 = 0").select(url.alias("canonical_url"), "source_updated_at").filter("canonical_url IS NOT NULL").distinct()
+    made = gate.decide(pages, gate.known_of_run(known, pages), hosts=hosts, cap=CAP)
+    return made.select(F.col("ordinal").alias("page_id"), "canonical_url", "decision", "reason")
