@@ -30,7 +30,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import key_of, materialise, rank_in_group, rank_overall
+from ._common import broadcast_if_small, key_of, materialise, rank_in_group, rank_overall
 
 #: The weight of a source without a target, as a part of all weights.
 NEARLY_NOTHING = 1e-12
@@ -226,5 +226,6 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
         F.min(F.expr(f"cast((position * {parts}) div _all as int)")).alias("_part"),
     )
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (identity(docs) == F.col("_text"))
-    ordered = docs.join(places, same).repartitionById(parts, "_part").sortWithinPartitions("_position")
+    # Numbers only: where they are few, texts are shuffled once, to their places.
+    ordered = docs.join(broadcast_if_small(materialise(places)), same).repartitionById(parts, "_part").sortWithinPartitions("_position")
     return ordered.select(*[docs[c] for c in docs.columns])
