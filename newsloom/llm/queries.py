@@ -164,4 +164,14 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + 1 + length(escaped) + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+          p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+          m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k),
+          r AS (SELECT p.doc_id, p.i FROM p JOIN m ON p.k = m.k WHERE m.least < p.doc_id),
+          e AS (SELECT doc_id, i, coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -50) AS before FROM r),
+          g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(greatest(i, before + 50), i + 50)) AS j FROM e) GROUP BY doc_id),
+          x AS (SELECT w.doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w),
+          a AS (SELECT x.doc_id, string_agg(ws[x.j], ' ' ORDER BY x.j) AS kept, count(*) AS n FROM x LEFT JOIN (SELECT doc_id, unnest(gone) AS j FROM g) d ON x.doc_id = d.doc_id AND x.j = d.j WHERE d.j IS NULL GROUP BY x.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(a.n, 0))::BIGINT AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON w.doc_id = a.doc_id""",
 }
