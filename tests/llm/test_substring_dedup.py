@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from newsloom.llm import queries, substring_dedup
@@ -93,3 +94,11 @@ def test_colliding_hashes_start_again(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "word_hashes", poor)
     rows = [(1, "aa bb cc dd"), (2, "ee ff gg hh"), (3, "x aa bb cc dd")]
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"), span=4, k=2) == plain(rows, 4)
+
+
+def test_its_sql():
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    want = sorted((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in plain(rows, 50))
+    assert sorted(con.execute(queries.ORACLES["op13_substring_dedup"]).fetchall()) == want
