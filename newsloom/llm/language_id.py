@@ -265,7 +265,7 @@ def decide(model: Model, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
 
 
 def predict(
-    docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 1_000_000, names: tuple[str, str] = (
+    docs: DataFrame, model: Model, *, carry: list[str] | None = None, segment: int = 512, batch_chars: int = 500_000, names: tuple[str, str] = (
         "lang_pred",
         "score",
     )

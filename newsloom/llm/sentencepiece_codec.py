@@ -191,7 +191,7 @@ class Codec:
 
     RUN = 64
 
-    def __init__(self, data: bytes, memory: int = 400_000):
+    def __init__(self, data: bytes, memory: int = 150_000):
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.unknown = next((i for i, x in enumerate(self.model.pieces) if x[2] == UNKNOWN), -1)
@@ -256,7 +256,7 @@ def encode(
     column: str = "text",
     carry: list[str] | None = None,
     with_ids: bool = True,
-    batch_chars: int = 2_000_000,
+    batch_chars: int = 1_000_000,
     threads: int | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` (its columns ``carry``, all if not given) with ids, n_tokens, n_unknown,
