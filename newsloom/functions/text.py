@@ -110,13 +110,25 @@ def identity_prefix(url: Column) -> Column:
 def nfkc(text: Column) -> Column:
     """Unicode normalisation form NFKC; no built-in has it."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def form(texts: pa.Array) -> pa.Array:
         return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
+    def run(texts: pa.Array) -> pa.Array:
+        # Few texts at a time stand in memory as Python strings.
+        return pa.concat_arrays([form(texts.slice(i, 500)) for i in range(0, max(len(texts), 1), 500)])
+
     return F.arrow_udf(run, StringType())(text)
 
 
+def first_words(text: Column, words: int) -> Column:
+    """A beginning of ``text`` with its first words; after NFKC it still holds as many, as white space stays white space
+    and nothing composes across it."""
+    return F.array_join(F.slice(F.split(text, f"{SPACE}+", words + 2), 1, words + 1), " ")
+
+
 def text_contract(title: Column, body: Column, words: int = 350) -> Column:
-    """NFKC, squished title, blank line, and the first words of the body: what is embedded."""
+    """NFKC, squished title, blank line, and the first words of the body: what is embedded. Of a body only as much as
+    that needs goes to Python."""
     squish = lambda c: F.trim(F.regexp_replace(nfkc(c), f"{SPACE}+", " "))
-    return F.concat(squish(title), F.lit("\n\n"), F.array_join(F.slice(F.split(squish(body), " "), 1, words), " "))
+    begun = first_words(body, words)
+    return F.concat(squish(title), F.lit("\n\n"), F.array_join(F.slice(F.split(squish(begun), " "), 1, words), " "))
