@@ -9,14 +9,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.slots import STATE, Source
+from ..operators.slots import IN_MICROS, NO_TIME, STATE, Source, in_micros, replay, states, with_times
 from ..sources.tables import shared_folder
 
 
@@ -91,56 +92,94 @@ def gate_stream(candidates: DataFrame, known: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
-def _pack(slots: dict) -> str:
-    return json.dumps([{k: v.isoformat() if isinstance(v, datetime) else v for k, v in {"slot_at": at, **s}.items()} for at, s in slots.items()])
+#: In a group's text a slot is the list of its key and these.
+KEPT = [f.split()[0] for f in STATE.split(", ")][2:]
+#: What stands for null in an integer column on its way to pandas.
+NULL = -(1 << 63)
 
 
-def _unpack(text: str) -> dict:
-    slots = {}
-    for s in json.loads(text):
-        for k in ("slot_at", "claimed_at", "lease_expires_at", "finished_at"):
-            s[k] = s[k] and datetime.fromisoformat(s[k])
-        slots[s.pop("slot_at")] = s
-    return slots
+def _pack(held: dict[int | None, tuple[Source, int | None]]) -> str:
+    slots = [[source_id, timer, [[at, *(s[n] for n in KEPT)] for at, s in source.slots.items()]] for source_id, (source, timer) in held.items()]
+    return json.dumps(slots, separators=(",", ":"))
 
 
-def lease_stream(events: DataFrame, lease_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+def _unpack(text: str) -> dict[int | None, tuple[Source, int | None]]:
+    return {
+        source_id: (Source({at: dict(zip(KEPT, s, strict=True)) for at, *s in slots}), timer) for source_id, timer, slots in json.loads(text)
+    }
+
+
+def _by_source(rows: pd.DataFrame) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(source, its events in order) of a group's rows."""
+    rows = rows.iloc[np.lexsort((rows["seq"], rows["micros"], rows["source_id"]))]
+    source = rows["source_id"].to_numpy()
+    cuts = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist(), len(source)]
+    for start, stop in pairwise(cuts):
+        part = rows.iloc[start:stop]
+        at, slot_at, run_id = (
+            [other if v == NULL else v for v in part[n].tolist()] for n, other in (("micros", NO_TIME), ("slot_at", None), ("run_id", None))
+        )
+        yield int(source[start]), zip(at, part["action"].tolist(), slot_at, run_id, strict=True)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of IN_MICROS."""
+    kinds = {"long": "Int64", "int": "Int32", "string": "object"}
+    named = [f.split() for f in IN_MICROS.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(named)
+    return pd.DataFrame({n: pd.array(list(c), dtype=kinds[kind]) for (n, kind), c in zip(named, columns, strict=True)})
+
+
+def lease_stream(events: DataFrame, lease_seconds: int = 3600, late: str = "1 hour", together: int = 64) -> DataFrame:
     """The changed slots of every source after each batch of ``events`` (as for ``operators.slots.fold``).
 
-    A source's slots are its state. A timer stands at the end of its earliest live lease, in the time of the
-    events: when the watermark has passed it, slots whose lease is over come out with status ``expired`` (they can
-    be claimed again). A timer in processing time would keep a stream over given data from ever ending.
+    The slots of up to ``together`` sources with neighbouring ids are one state, as a call for a state costs
+    as much as hundreds of events; each source is judged alone. A source's timer stands at the end of its earliest live
+    lease, in the time of the events, and a state's at the earliest of its sources': when the watermark has passed it,
+    slots whose lease is over come out with status ``expired`` (they can be claimed again). A timer in processing time
+    would keep a stream over given data from ever ending.
     """
+    lease = lease_seconds * 1_000_000
+
+    def timer(source: Source, now: int) -> int | None:
+        ends = [s["lease_expires_at"] for s in source.slots.values() if s["status"] == "claimed" and s["lease_expires_at"] > now * 1000]
+        return min(ends) // 1000 + 1 if ends else None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        source = Source(_unpack(state.get[0]) if state.exists else {})
-        now = datetime.fromtimestamp(state.getCurrentWatermarkMs() / 1000, UTC).replace(tzinfo=None)
-        if state.hasTimedOut:
-            touched = {at for at, s in source.slots.items() if s["status"] == "claimed" and s["lease_expires_at"] <= now}
-        else:
-            touched = set()
-            rows = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable")
-            for e in rows.itertuples(index=False):
-                at, slot_at = e.at.to_pydatetime(), e.slot_at.to_pydatetime()
-                if e.action == "claim":
-                    changed = source.claim(slot_at, at, timedelta(seconds=lease_seconds))
-                else:
-                    changed = source.finish(slot_at, at, e.action, None if pd.isna(e.run_id) else int(e.run_id))
-                if changed:
-                    touched.add(slot_at)
-            state.update((_pack(source.slots),))
-        ends = [s["lease_expires_at"] for s in source.slots.values() if s["status"] == "claimed" and s["lease_expires_at"] > now]
-        if ends:
-            state.setTimeoutTimestamp(int(min(ends).replace(tzinfo=UTC).timestamp() * 1000) + 1)
-        made = [
-            {"source_id": key[0], "slot_at": at, **source.slots[at], **({"status": "expired"} if state.hasTimedOut else {})} for at in sorted(touched)
-        ]
-        frame = pd.DataFrame(made, columns=[f.split()[0] for f in STATE.split(", ")])
-        frame["run_id"] = frame["run_id"].astype("Int64")
-        yield frame
-
-    timed = events.withWatermark("at", late)
-    return timed.groupBy("source_id").applyInPandasWithState(step, STATE, "slots string", "update", GroupStateTimeout.EventTimeTimeout)
+        held = _unpack(state.get[0]) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        made, told = [], set()
+        for number, of_source in () if state.hasTimedOut else _by_source(pd.concat(list(batches))):
+            source_id = None if pd.isna(key[0]) else number
+            source, _ = held.get(source_id) or (Source(), None)
+            changed = replay(source, of_source, lease)
+            made += states(source_id, {at: source.slots[at] for at in changed})
+            told.add(source_id)
+            held[source_id] = source, timer(source, now)
+        for source_id, (source, ends) in held.items():
+            if source_id not in told and ends is not None and ends < now:
+                over = {at: s for at, s in source.slots.items() if s["status"] == "claimed" and s["lease_expires_at"] <= now * 1000}
+                made += states(source_id, {at: {**s, "status": "expired"} for at, s in over.items()})
+                held[source_id] = source, timer(source, now)
+        state.update((_pack(held),))
+        timers = [ends for _, ends in held.values() if ends is not None]
+        if timers:
+            state.setTimeoutTimestamp(min(timers))
+        yield _frame(made)
+
+    or_null = lambda c: F.coalesce(c, F.lit(NULL))
+    timed = events.withWatermark("at", late).select(
+        F.expr(f"source_id div {together}").alias("sources"),
+        "at",
+        or_null(F.col("source_id")).alias("source_id"),
+        or_null(in_micros("at")).alias("micros"),
+        or_null(F.col("seq")).alias("seq"),
+        "action",
+        or_null(in_micros("slot_at")).alias("slot_at"),
+        or_null(F.col("run_id")).alias("run_id"),
+    )
+    grouped = timed.groupBy("sources")
+    return with_times(grouped.applyInPandasWithState(step, IN_MICROS, "slots string", "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def latest_slots(changes: DataFrame) -> DataFrame:

@@ -84,3 +84,33 @@ def test_state_forgets_and_leases_expire(spark, tmp_path):
     assert told == {"claimed": 240, "succeeded": 239, "expired": 1}
     assert changes.filter("event = 'expired'").first().slot_at == START + timedelta(days=2, hours=5)
     assert max(kept) < 2.5 * 24 * 3 and kept[-1] <= kept[3] + 10
+
+
+def test_sources_share_states_and_are_judged_alone(spark, tmp_path):
+    """640 sources in ten states (one each before); a neighbour's receipts neither end nor prolong a lease; null sources and times as in the fold."""
+    at = lambda m: START + timedelta(minutes=m)
+    claims = [(i, at(i % 60), i, "claim", START, i) for i in range(640)]
+    odd = [(None, at(1), 700, "claim", START, 7), (None, at(2), 701, "failed", START, None), (5, None, 702, "claim", at(60), 8)]
+    later = [(7, at(200), 800, "succeeded", START, 9), (8, at(200), 801, "succeeded", START, None), (7, at(201), 802, "claim", at(180), None)]
+    schema = EVENTS.rpartition(",")[0]
+    for rows in (claims + odd, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    query = (
+        hourly.lease_stream(source)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/_batch={n}"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 11
+    got = {(r.source_id, r.slot_at): r for r in hourly.latest_slots(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    want = {(r.source_id, r.slot_at): r for r in slots.fold(spark.read.parquet(f"{tmp_path}/events")).collect()}
+    assert set(got) == set(want) and len(got) == 643
+    live = {k for k, r in got.items() if r.status == "claimed"}
+    assert live == {(7, at(180)), (5, at(60))}  # the first is new, the second has no end
+    for k, r in got.items():
+        assert r == want[k] if k in live or want[k].status != "claimed" else r.asDict() == want[k].asDict() | {"status": "expired"}
+    assert got[7, START].run_id == 9 and got[None, START].status == "failed" and got[5, at(60)].lease_expires_at is None
