@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,27 @@ def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         start = stop
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, where its C library can be asked to (glibc's can)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for ``mapInArrow``, that leaves little memory behind: Python workers stay for later tasks and
+    stages, and would keep the most that they ever took beside an executor's own memory."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 #: Rows of a materialised table (a few short columns) that may be broadcast: some 50 MB.
 MOST_BROADCAST = 500_000
 

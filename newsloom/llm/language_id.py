@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import text_blocks
+from ._common import giving_back, text_blocks
 
 UND = "und"
 #: Symbols: a letter without training text, a break, a digit; learned letters follow.
@@ -297,4 +297,4 @@ def predict(
                     names=[*before, *names],
                 )
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(giving_back(run), out)

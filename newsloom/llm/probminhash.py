@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import Stored, broadcast_if_small, rows_kept, text_blocks, text_digest, with_row_id
+from ._common import Stored, broadcast_if_small, giving_back, rows_kept, text_blocks, text_digest, with_row_id
 
 U64 = np.uint64
 #: Odd multipliers of a shingle's words, by place.
@@ -48,7 +48,7 @@ class Words(dict):
     """Digest of each word, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = digest = xxhash.xxh64_intdigest(word)
         return digest
@@ -118,7 +118,7 @@ def sketch(texts: list[str], words: Words, width: int, registers: int) -> tuple[
     return keys, np.bincount(owner, minlength=len(texts)), signatures(owner, all_shingles, 1.25 - 0.25 / times, len(texts), registers)
 
 
-def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int = 2_000_000) -> DataFrame:
+def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int = 1_000_000) -> DataFrame:
     """doc_id, text_digest, key, n_shingles, signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +141,11 @@ def sketches(docs: DataFrame, *, width: int, registers: int, batch_chars: int =
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_digest"), text.alias("text")).mapInArrow(
-        run, "doc_id long, text_digest binary, key string, n_shingles int, signature array<int>"
+        giving_back(run), "doc_id long, text_digest binary, key string, n_shingles int, signature array<int>"
     )
 
 
-def shingle_sets(texts: DataFrame, *, width: int, batch_chars: int = 2_000_000) -> DataFrame:
+def shingle_sets(texts: DataFrame, *, width: int, batch_chars: int = 1_000_000) -> DataFrame:
     """node and its distinct shingle digests, from rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def shingle_sets(texts: DataFrame, *, width: int, batch_chars: int = 2_000_000)
                     ], names=["node", "shingles"]
                 )
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(giving_back(run), "node long, shingles array<long>")
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
@@ -329,7 +329,7 @@ def partners(rows: DataFrame, *, threshold: float, bands: int, registers: int, l
                     names=["band", "node"],
                 )
 
-    return dealt(rows, block).mapInArrow(run, "band long, node long").distinct()
+    return dealt(rows, block).mapInArrow(giving_back(run), "band long, node long").distinct()
 
 
 def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands: int, registers: int, least: int, block: int) -> DataFrame:
@@ -367,7 +367,7 @@ def links_between(rows: DataFrame, sets: DataFrame, *, threshold: float, bands:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt(rows.join(sets, "node"), block).mapInArrow(run, "a long, b long").distinct()
+    return dealt(rows.join(sets, "node"), block).mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def judged_rows(

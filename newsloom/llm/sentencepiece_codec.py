@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import text_blocks
+from ._common import giving_back, text_blocks
 
 MARK = "▁"
 #: Piece types of the model file: fixed values.
@@ -298,7 +298,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], *columns], names=out_names)
 
     read = docs.select(*dict.fromkeys([*names, column]))
-    return read.mapInArrow(run, T.StructType([*kept, *made]))
+    return read.mapInArrow(giving_back(run), T.StructType([*kept, *made]))
 
 
 def decode(rows: DataFrame, path: str, *, column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -315,4 +315,4 @@ def decode(rows: DataFrame, path: str, *, column: str = "ids", into: str = "deco
                 names=[*[f.name for f in kept], into],
             )
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
+    return rows.mapInArrow(giving_back(run), T.StructType([*kept, T.StructField(into, T.StringType())]))
